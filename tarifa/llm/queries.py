@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import exact_dedup, mixing, quality, simhash
 from .common import read
 
 #: Weights of the sources in turn, in code-point order.
 MIX_SCHEDULES = (mixing.constant(3), mixing.constant(1), mixing.constant(2))
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component."""
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    fp = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", fp.alias("fingerprint"), "component_id")
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of equal texts."""
+    found = exact_dedup.assign(read(spark, sf_dir, "documents"), keep=("doc_id",))
+    return found.select("doc.doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged by the fixed and the adaptive rules."""
     return quality.judge(read(spark, sf_dir, "documents"))
@@ -28,6 +41,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_exact_dedup": op5_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }

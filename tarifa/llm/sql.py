@@ -103,4 +103,13 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-SQL = {"op9_quality_rules": OP9, "op10_mixing": OP10}
+OP5 = rf"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(translate(coalesce(text, ''), {_SPACES}, '')) AS s FROM documents
+), k AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY s ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY s) AS g FROM d
+)
+SELECT doc_id, keep_id, g AS group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, s AS text_sha256 FROM k
+"""
+
+SQL = {"op5_exact_dedup": OP5, "op9_quality_rules": OP9, "op10_mixing": OP10}
