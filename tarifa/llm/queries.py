@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, quality, simhash
+from . import bpe, chat, exact_dedup, html, mixing, quality, simhash
 from .common import read
 
 #: Weights of the sources in turn, in code-point order.
@@ -57,6 +57,12 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    found = html.extract(read(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged by the fixed and the adaptive rules."""
     return quality.judge(read(spark, sf_dir, "documents"))
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_html_extraction": op7_html_extraction,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
