@@ -50,6 +50,12 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
 
 
+def pinned(value: Column) -> Column:
+    """``value``, computed where it stands: the optimizer moves no filter across an expression that isn't
+    deterministic, and a filter moved below the counts would compute them once per element."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def base_features(docs: DataFrame, keep: list[Column], text_col: str = "text") -> DataFrame:
     """``keep`` and the counts of the fixed rules, each over the whole text (null: none).
 
@@ -93,7 +99,7 @@ def base_features(docs: DataFrame, keep: list[Column], text_col: str = "text") -
     return df.select(
         *[F.col(f"keep{i}").alias(name) for i, name in enumerate(_names(docs, keep))],
         "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
-        F.coalesce(F.when(s.isNotNull(), covered), F.lit(0)).cast("long").alias("n_repeat_words"),
+        pinned(F.coalesce(F.when(s.isNotNull(), covered), F.lit(0)).cast("long")).alias("n_repeat_words"),
     )
 
 
