@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html, mixing, quality, simhash
+from . import bpe, chat, exact_dedup, html, importance, mixing, quality, simhash, token_counts
 from .common import read
 
 #: Weights of the sources in turn, in code-point order.
@@ -41,6 +41,11 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fp.alias("fingerprint"), "component_id")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and whether the sample keeps it."""
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of equal texts."""
     found = exact_dedup.assign(read(spark, sf_dir, "documents"), keep=("doc_id",))
@@ -63,6 +68,14 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words and tokens."""
+    import public_tokenizers
+
+    pieces = token_counts.sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), pieces)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged by the fixed and the adaptive rules."""
     return quality.judge(read(spark, sf_dir, "documents"))
@@ -79,9 +92,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_html_extraction": op7_html_extraction,
+    "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
