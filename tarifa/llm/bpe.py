@@ -19,6 +19,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -26,6 +27,8 @@ from .common import require, text_of
 
 #: Words whose encoding a task remembers; beyond, it starts afresh.
 CACHE_WORDS = 300_000
+#: Code points of text whose words are merged at once, and rows decoded at once; a longer text goes alone.
+MERGE_CHARS, DECODE_ROWS = 8 << 20, 1000
 _SHIFT = 20
 
 
@@ -54,8 +57,8 @@ class Tokenizer:
             self.names[k] = name
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         symbols, suffix = byte_symbols(), model["end_of_word_suffix"]
-        self.inner = np.array([self.vocab[s] for s in symbols], np.int64)
-        self.last = np.array([self.vocab[s + suffix] for s in symbols], np.int64)
+        self.inner = np.array([self.vocab[s] for s in symbols], np.int32)
+        self.last = np.array([self.vocab[s + suffix] for s in symbols], np.int32)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.left = np.array([self.vocab[a] for a, _ in pairs], np.int64)
         self.right = np.array([self.vocab[b] for _, b in pairs], np.int64)
@@ -70,7 +73,7 @@ class Tokenizer:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair of symbols, -1 where they don't merge."""
-        key = (a << _SHIFT) | b
+        key = (a.astype(np.int64) << _SHIFT) | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank_of[at], -1)
 
@@ -92,9 +95,9 @@ class Tokenizer:
         symbol = self.inner[raw]
         symbol[ends] = self.last[raw[ends]]
         total = len(symbol)
-        after = np.arange(1, total + 1)
+        after = np.arange(1, total + 1, dtype=np.int32)
         after[ends] = -1
-        before = np.arange(-1, total - 1)
+        before = np.arange(-1, total - 1, dtype=np.int32)
         before[ends[:-1] + 1] = -1
 
         lists: dict[int, list[np.ndarray]] = {}
@@ -115,7 +118,7 @@ class Tokenizer:
                     heapq.heappush(active, r)
                 lists[r].append(positions)
 
-        index(np.flatnonzero(after >= 0))
+        index(np.flatnonzero(after >= 0).astype(np.int32))
         while active:
             rank = heapq.heappop(active)
             left, right = self.left[rank], self.right[rank]
@@ -129,7 +132,7 @@ class Tokenizer:
                     if p != taken:
                         free.append(p)
                         taken = q
-                at = np.array(free, np.int64)
+                at = np.array(free, np.int32)
             if not len(at):
                 continue
             gone = after[at]
@@ -168,6 +171,17 @@ class Tokenizer:
         return " ".join([names[k] for k in np.frombuffer(packed, "<u4").tolist()])
 
 
+def slices(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``MERGE_CHARS`` of text."""
+    begin, size = 0, 0
+    for k, n in enumerate(pc.utf8_length(texts).to_pylist()):
+        if size and size + n > MERGE_CHARS:
+            yield batch.slice(begin, k - begin)
+            begin, size = k, 0
+        size += n
+    yield batch.slice(begin)
+
+
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids) per row: the ids of the whole text, packed as little-endian unsigned
     32-bit integers.  ``tokenizer`` is the path of a tokenizer file, read on the driver.
@@ -181,9 +195,10 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts = Tokenizer.load(spec.value).encoder()
         for batch in batches:
-            ids = encode_texts(batch.column(1).to_pylist())
-            columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids"])
+            for part in slices(batch, batch.column(1)):
+                ids = encode_texts(part.column(1).to_pylist())
+                columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_of(text_col)).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
@@ -197,8 +212,10 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode_ids = Tokenizer.load(spec.value).decode
         for batch in batches:
-            texts = [decode_ids(x.as_py() or b"") for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "text"])
+            for at in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(at, DECODE_ROWS)
+                texts = [decode_ids(x.as_py() or b"") for x in part.column(2)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "text"])
 
     kind = dict(encoded.dtypes)["doc_id"]
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, text string")
