@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html, importance, mixing, quality, simhash, token_counts
+from . import bpe, chat, exact_dedup, html, importance, line_dedup, mixing, quality, simhash, token_counts
 from .common import read
 
 #: Weights of the sources in turn, in code-point order.
 MIX_SCHEDULES = (mixing.constant(3), mixing.constant(1), mixing.constant(2))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line's class, links and fate."""
+    return line_dedup.line_matches(read(spark, sf_dir, "documents"))
+
+
 def word_bpe() -> str:
     """The path of the tokenizer the queries encode with."""
     import public_tokenizers
@@ -90,6 +95,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_quality_classifier": op4_quality_classifier,
