@@ -1,0 +1,84 @@
+"""Release admission: an archive enters the shadow registry if its attestation and contents allow it."""
+
+from __future__ import annotations
+
+import tarfile
+import tempfile
+from collections.abc import Iterable
+from dataclasses import dataclass
+from pathlib import Path
+
+from ..contracts import SHADOW_ONLY
+from .bundle import LOCK_FILE, verify_lock
+from .documents import archive_problems, read_json, sha256_file
+from .registry import Registry, register_bundle
+
+# Fixed values of the public provenance formats.
+PREDICATE = "https://slsa.dev/provenance/v1"
+BUILD_TYPE = "https://actions.github.io/buildtypes/workflow/v1"
+
+
+class AdmissionError(RuntimeError):
+    """A release isn't admitted."""
+
+
+@dataclass(frozen=True)
+class Identity:
+    """Who must have built a release."""
+
+    repository: str
+    workflow_name: str
+    workflow_path: str
+
+
+def _at(record, *path):
+    for key in path:
+        record = record.get(key, {}) if isinstance(record, dict) else {}
+    return record
+
+
+def matches(record: dict, archive: str, sha256: str, who: Identity) -> bool:
+    """Whether a verified attestation is about this archive and from this builder."""
+    result = _at(record, "verificationResult")
+    statement, certificate = _at(result, "statement"), _at(result, "signature", "certificate")
+    build = _at(statement, "predicate", "buildDefinition")
+    workflow = _at(build, "externalParameters", "workflow")
+    subjects = statement.get("subject", [])
+    return (
+        any(isinstance(s, dict) and s.get("name") == archive and _at(s, "digest").get("sha256") == sha256 for s in subjects)
+        and certificate.get("githubWorkflowRepository") == who.repository
+        and certificate.get("githubWorkflowName") == who.workflow_name
+        and statement.get("predicateType") == PREDICATE
+        and build.get("buildType") == BUILD_TYPE
+        and workflow.get("path") == who.workflow_path
+        and str(workflow.get("repository", "")).endswith(who.repository)
+        and bool(result.get("verifiedTimestamps"))
+    )
+
+
+def the_attestation(records: Iterable[dict], archive: str, sha256: str, who: Identity) -> dict:
+    """The one attestation that matches; none or several is an error."""
+    found = [r for r in records if matches(r, archive, sha256, who)]
+    if len(found) != 1:
+        raise AdmissionError(f"{len(found)} attestations match; one must")
+    return found[0]
+
+
+def admit(
+    archive: str | Path, attestations: Iterable[dict], who: Identity, registry: Registry, release_id: str, actor: str,
+    forbidden: Iterable[str] = (),
+) -> dict:
+    """Check an archive from outside in (attestation, members, lock, governance) and register it."""
+    archive = Path(archive)
+    digest = sha256_file(archive)
+    the_attestation(attestations, archive.name, digest, who)
+    if problems := archive_problems(archive, (LOCK_FILE, "manifest.json"), forbidden):
+        raise AdmissionError("; ".join(problems))
+    with tempfile.TemporaryDirectory() as folder:
+        with tarfile.open(archive) as tar:
+            tar.extractall(folder, filter="data")
+        report, lock = verify_lock(folder), read_json(Path(folder) / LOCK_FILE)
+    if lock.get("governance_status") != SHADOW_ONLY:
+        raise AdmissionError("the release isn't held for shadow use")
+    register_bundle(registry, release_id, release_id, archive.name, lock, report.status, actor)
+    return {"status": "ADMITTED_TO_SHADOW_REGISTRY", "release_id": release_id, "archive_sha256": digest, "integrity": report.as_dict()}

@@ -1,0 +1,127 @@
+"""Documents: canonical JSON, hashes, reports, verified downloads, archive members.  Small and driver-side."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import re
+import tarfile
+import time
+import urllib.request
+from collections.abc import Callable, Iterable
+from pathlib import Path
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame
+
+
+def canonical_json(value) -> bytes:
+    """Compact JSON with sorted keys, as UTF-8."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
+
+
+def sha256_json(value) -> str:
+    return hashlib.sha256(canonical_json(value)).hexdigest()
+
+
+def sha256_file(path: str | Path) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def write_json(value, path: str | Path) -> None:
+    Path(path).write_text(json.dumps(value, indent=2), encoding="utf-8")
+
+
+def read_json(path: str | Path):
+    return json.loads(Path(path).read_text(encoding="utf-8"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A small result as CSV with a header, in one file, through Spark's writer."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def markdown(df: DataFrame, title: str, digits: int = 5) -> str:
+    """A small result as a Markdown table."""
+
+    def cell(x) -> str:
+        return "" if x is None else f"{x:.{digits}f}" if isinstance(x, float) else str(x).replace("|", "\\|")
+
+    rows = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    return "\n".join(rows + ["| " + " | ".join(map(cell, r)) + " |" for r in df.collect()]) + "\n"
+
+
+def safe_file_name(name: str | None, fallback: str) -> str:
+    """Letters, digits, dots, dashes and underscores of a name; other runs become one underscore."""
+    return re.sub(r"[^A-Za-z0-9._-]+", "_", name.strip().strip('"')) or fallback if name else fallback
+
+
+def header_file_name(header: str | None) -> str | None:
+    """The file name in a content-disposition header, the encoded form first."""
+    for pattern, read in ((r"filename\*=UTF-8''([^;]+)", unquote), (r'filename="?([^";]+)"?', str.strip)):
+        if header and (m := re.search(pattern, header, re.I)):
+            return read(m[1])
+    return None
+
+
+def verified_cache(path: str | Path, name: str | None, listed_size: int | None, known: dict[str, dict]) -> tuple[bool, str | None]:
+    """Whether a cached file is the registered one: by name, size and SHA-256; also its hash where it came to that.
+
+    A listed size that differs from the registered one raises: the source itself has changed.
+    """
+    path = Path(path)
+    if name not in known or not path.exists():
+        return False, None
+    want = known[name]
+    if listed_size is not None and int(listed_size) != int(want["size"]):
+        raise RuntimeError(f"{name} is now listed with {listed_size} bytes; {want['size']} are registered")
+    if path.stat().st_size != int(want["size"]):
+        return False, None
+    digest = sha256_file(path)
+    return digest == want["sha256"], digest
+
+
+def download(url: str, to: str | Path, least_bytes: int = 1_000_000, attempts: int = 3, opener: Callable = urllib.request.urlopen, pause: Callable = time.sleep) -> str:
+    """Fetch a file in chunks and return its SHA-256; short files and errors are tried again, later each time."""
+    to, last = Path(to), None
+    for attempt in range(1, attempts + 1):
+        try:
+            digest, size = hashlib.sha256(), 0
+            with opener(url, timeout=90) as source, to.open("wb") as sink:
+                while chunk := source.read(1 << 20):
+                    digest.update(chunk)
+                    sink.write(chunk)
+                    size += len(chunk)
+            if size < least_bytes:
+                raise OSError(f"{size} bytes are too few")
+            return digest.hexdigest()
+        except OSError as e:
+            last = e
+            to.unlink(missing_ok=True)
+            if attempt < attempts:
+                pause(5 * attempt)
+    raise RuntimeError(f"can't fetch {url}: {last}")
+
+
+def list_remote(url: str, opener: Callable = urllib.request.urlopen) -> list[dict]:
+    """(name, size, url) of the files that a JSON listing names."""
+    with opener(url, timeout=90) as source:
+        body = json.load(source)
+    files = body if isinstance(body, list) else body.get("files", [])
+    return [{"name": f.get("filename") or f.get("name"), "size": f.get("size"), "url": (f.get("content_details") or f).get("download_url")} for f in files]
+
+
+def archive_problems(path: str | Path, required: Iterable[str] = (), forbidden: Iterable[str] = ()) -> list[str]:
+    """What is wrong with a tar archive's members: unsafe paths, links, forbidden names, missing members."""
+    out, names = [], set()
+    with tarfile.open(path) as tar:
+        for m in tar.getmembers():
+            parts = Path(m.name).parts
+            names.add(m.name.removeprefix("./"))
+            if m.name.startswith("/") or ".." in parts:
+                out.append(f"unsafe path {m.name}")
+            if m.issym() or m.islnk():
+                out.append(f"link {m.name}")
+            out += [f"forbidden name {m.name}" for token in forbidden if token in m.name]
+    return out + [f"missing member {r}" for r in sorted(set(required) - names)]
