@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarifa.llm import bpe, exact_dedup, mixing, quality, queries, simhash
+from tarifa.llm import exact_dedup, mixing, quality, queries, simhash
 from tarifa.llm.common import checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -39,8 +39,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document of the mix, encoded and decoded."""
-    path = queries.word_bpe()
-    return queries.digests(bpe.encode(docs, path), path)
+    return queries.digests(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [

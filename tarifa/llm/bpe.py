@@ -28,7 +28,7 @@ from .common import require, text_of
 #: Words whose encoding a task remembers; beyond, it starts afresh.
 CACHE_WORDS = 300_000
 #: Code points of text whose words are merged at once, and rows decoded at once; a longer text goes alone.
-MERGE_CHARS, DECODE_ROWS = 8 << 20, 1000
+MERGE_CHARS, DECODE_ROWS = 4 << 20, 1000
 _SHIFT = 20
 
 
@@ -219,3 +219,29 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     kind = dict(encoded.dtypes)["doc_id"]
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, text string")
+
+
+def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, text): ``encode``, then ``decode`` of what it gave, in the same Python worker.
+
+    Two chained operators would hold two workers, each with its own tokenizer, for every task.
+    """
+    require(docs, id_col, text_col)
+    spec = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text("utf-8"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Tokenizer.load(spec.value)
+        encode_texts = known.encoder()
+        for batch in batches:
+            for part in slices(batch, batch.column(1)):
+                ids = encode_texts(part.column(1).to_pylist())
+                for at in range(0, len(ids), DECODE_ROWS):
+                    own = ids[at : at + DECODE_ROWS]
+                    columns = [
+                        part.column(0).slice(at, DECODE_ROWS), pa.array([len(x) // 4 for x in own], pa.int64()),
+                        pa.array(own, pa.binary()), pa.array([known.decode(x) for x in own], pa.string()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "text"])
+
+    kind = dict(docs.dtypes)[id_col]
+    return docs.select(id_col, text_of(text_col)).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, text string")

@@ -26,17 +26,16 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def digests(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded documents, decoded again."""
-    return bpe.decode(encoded, tokenizer).select(
+def digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of documents, encoded and decoded again."""
+    return bpe.encode_and_decode(docs, word_bpe()).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
     )
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
-    path = word_bpe()
-    return digests(bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    return digests(read(spark, sf_dir, "documents"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
