@@ -269,7 +269,7 @@ def unseen_category_rate(spark, sf_dir):
 
 def _requests(spark, sf_dir) -> DataFrame:
     """Events read as scored requests, a window per day."""
-    n = F.get_json_object("props", "$.n").cast("long")
+    n = F.get_json_object("props", "$.k").cast("long")
     return read(spark, sf_dir, "events").select(
         F.date_format("ts", "yyyy-MM-dd").alias("window_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("value").alias("latency_ms"), (F.col("event_type") == "error").alias("error"), n.alias("batch_size"),
