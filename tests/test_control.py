@@ -1,0 +1,76 @@
+"""The contract, the review lifecycle, bundles and the registry."""
+
+from __future__ import annotations
+
+import pytest
+
+from tarifa import contracts
+from tarifa.control import bundle, environment
+from tarifa.control.documents import sha256_json, write_json
+from tarifa.control.registry import Registry, RegistryError
+from tarifa.functions import exprs as X
+from tarifa.operators import review
+
+GOLDEN = "55d45bd12228a8007f17d59cb2fa37f23b90e3b0315f78478db28c7a19622e25"
+
+
+def test_contract_hash_and_columns():
+    assert contracts.contract_hash() == GOLDEN
+    contracts.check_columns(contracts.FEATURES)
+    with pytest.raises(contracts.ContractError):
+        contracts.check_columns([*contracts.FEATURES, "insured_id"])
+
+
+def test_lifecycle_opens_recovers_and_reopens():
+    now, states = review.Lifecycle(), []
+    for alerts in (["feature_drift"], ["feature_drift"], [], ["error_rate"], [], []):
+        now, event = review.observe(now, alerts, "ab" * 32, "w")
+        states.append((event["state"], event["review_id_after"]))
+    name = "review-0002-abababab"
+    assert states == [
+        ("WATCH", None), ("REVIEW_REQUIRED", name), ("RECOVERING", name), ("REVIEW_REQUIRED", name), ("RECOVERING", name), ("HEALTHY", None),
+    ]
+
+
+def test_bundle_lock_sees_changes(tmp_path):
+    manifest = {"models": {}, "bundle_contract_version": "0.27", "governance_status": contracts.SHADOW_ONLY, "feature_contract_hash": GOLDEN}
+    for name, _ in bundle.COMMON_FILES:
+        write_json(manifest if name == "manifest.json" else {}, tmp_path / name)
+    lock = bundle.build_lock(tmp_path, manifest, {}, {})
+    assert bundle.verify_lock(tmp_path).artifact_count == 3
+    assert lock["lock_digest_sha256"] == sha256_json({k: v for k, v in lock.items() if k != "lock_digest_sha256"})
+    write_json({"changed": 1}, tmp_path / "parity_reference.json")
+    with pytest.raises(bundle.BundleError):
+        bundle.verify_lock(tmp_path)
+    for bad in ("/x", "../x", "a//b", ""):
+        with pytest.raises(bundle.BundleError):
+            bundle.safe_path(bad)
+
+
+def test_environment_precedence():
+    full = dict.fromkeys((*environment.EXACT, environment.NATIVE), "1.2.3")
+    assert environment.compare(full, full).compatible
+    assert environment.compare(full, full | {"xgboost": "1.2.9"}).compatible
+    assert environment.compare(full, full | {"xgboost": "2.0.0"}).status == environment.REJECT_NATIVE
+    assert environment.compare(full, full | {"numpy": "9", "xgboost": "2"}).status == environment.REJECT_PICKLE
+    assert environment.compare({}, full).status == environment.REJECT_MISSING
+
+
+def test_registry_chain_and_rules():
+    r = Registry()
+    r.register("a", "ref", "0" * 64, "0.27", "1", contracts.SHADOW_ONLY, bundle.VERIFIED, "op")
+    with pytest.raises(RegistryError):
+        r.register("a", "ref", "0" * 64, "0.27", "1", contracts.SHADOW_ONLY, bundle.VERIFIED, "op")
+    with pytest.raises(RegistryError):
+        r.activate("a", False, "op")
+    r.activate("a", True, "op")
+    assert r.verify_chain()["event_count"] == 2
+    r.events[0]["actor"] = "someone"
+    with pytest.raises(RegistryError):
+        r.verify_chain()
+
+
+def test_expressions(spark):
+    df = spark.createDataFrame([("1.5", "31/12/2020", 24.0), ("x", "32/13/2020", 25.0), (None, None, None)], "n string, d string, age double")
+    rows = df.select(X.number("n").alias("n"), X.day_first("d").cast("string").alias("d"), X.age_band("age").alias("b")).collect()
+    assert [tuple(r) for r in rows] == [(1.5, "2020-12-31", "<25"), (None, None, "25-34"), (None, None, "nan")]
