@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, require, text_of
 
-#: Hash buckets of the models, and the pseudo-count each bucket starts with.
+#: Hash buckets of the models, and the pseudo-count a bucket has on average.
 BUCKETS, SMOOTHING = 10_000, 1.0
 #: Labelled texts that the target model is fitted on at most (those of smallest hash of the id).
 TARGET_ROWS = 100_000
@@ -75,8 +75,10 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_rows:
     table = np.zeros((2, buckets))
     for r in sums.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         table[:, r.bucket] = r.raw, r.target
-    chance = (table + SMOOTHING) / (table.sum(1, keepdims=True) + SMOOTHING * buckets)
-    return np.log(chance[1] / chance[0])
+    prior = SMOOTHING * buckets
+    raw = (table[0] + SMOOTHING) / (table[0].sum() + prior)
+    target = (table[1] + prior * raw) / (table[1].sum() + prior)  # drawn to the raw model, so that few labels tell little
+    return np.log(target / raw)
 
 
 def log_weights(docs: DataFrame, model: np.ndarray) -> DataFrame:
@@ -130,8 +132,8 @@ def resample(
     """(doc_id, n_grams, log_weight, sample_key, kept) per row of ``docs``: ``share`` of the rows kept.
 
     Null and empty texts have weight 0 (the models tell nothing).  Rows that tie with the last one
-    kept, as repeated rows do, are kept too.  Without good labels all weights but the models'
-    smoothing are lost, and the sample is nearly uniform.  Labels of missing documents are ignored.
+    kept, as repeated rows do, are kept too.  Without good labels all weights are 0 and the sample is
+    uniform.  Labels of missing documents are ignored.
     An empty table gives no rows.
     """
     require(docs, "doc_id", "text")
