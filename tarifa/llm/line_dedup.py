@@ -1,23 +1,23 @@
 """Near-duplicate lines by an exact set-similarity join.
 
-A line is the set of its words.  Words are ordered from rare to frequent (counts in hashed slots,
-ties by hash), so two lines at Jaccard 4/5 or more share a word in the first part of both, the
-*prefix*.  Lines meet in the buckets of their prefix words and are filtered there by length, by the
-word's position, and by parity bitmaps; what is left is verified on the words themselves.  A pair
-counts in the bucket of its first common word alone.
-
-Lines of equal word sets are one class, joined once.  Buckets report classes with the number of
-their links and their earliest match, never the pairs.  A bucket of too many classes is dealt out in
-blocks, each pair of blocks a bucket of its own.
+A line is the set of its words.  Words are ordered from rare to frequent, so two lines at Jaccard
+4/5 or more share a word in the first part of both, the *prefix*.  The order goes by 32 bits of a
+word's hash, its *name* (how many lines have a word in the name's slot, then the name), and lines
+meet in buckets of names.  A pair counts in the bucket of its first common name alone: where the
+names before it are equal too, the pair has met already.  Pairs are filtered by length, by the
+name's position and by parity bitmaps; what is left is verified on the words.
+
+Lines of equal word sets are one class, joined once.  A first pass over small rows finds which
+classes pass the filters in which buckets; only those are sent with their words.  Buckets report
+classes with the number of their links and their earliest match, never the pairs.  A bucket of too
+many classes is dealt out in blocks, each pair of blocks a bucket of its own.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-from operator import xor
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +32,18 @@ UP, DOWN = 4, 5
 #: Slots of the word counts, and slots a row of counts holds.
 SLOTS, SLOT_BLOCK = 1 << 20, 1 << 14
 #: Classes in a bucket or block at most, and pairs filtered at once.
-BLOCK, PAIRS = 2000, 1 << 22
+BLOCK, PAIRS = 2000, 1 << 21
 #: Words and classes a task remembers; beyond, it starts afresh.
 CACHE = 300_000
-#: Documents up to which the lines to verify are broadcast.
+#: Words of lines worked on at once.
+CHUNK = 1 << 18
+#: Rows of a table up to which it is broadcast.
 BROADCAST_ROWS = 100_000
 #: Stands for a null id: it sorts last and is given back as null.
 NO_ID = 2**63 - 1
 
 
-def prefix_length(size: int) -> int:
+def prefix_length(size):
     """Words of a line of ``size`` that its prefix has."""
     return size + (-UP * size // DOWN) + 1
 
@@ -58,42 +60,39 @@ def lines_of(text: str) -> Iterator[tuple[int, set[bytes]]]:
             yield k, words
 
 
-def class_of(words: set[bytes]) -> bytes:
-    """The digest of a set of words."""
-    return hashlib.md5(b" ".join(sorted(words)), usedforsecurity=False).digest()
-
-
-class Order:
-    """Words as integers that sort from rare to frequent; remembers them."""
+class Sets:
+    """Sets of words as arrays, each set's words from rare to frequent; remembers the words' hashes."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts, self.keys = counts, {}
+        self.counts, self.known = counts, {}
 
-    def key(self, word: bytes) -> int:
-        """Count of the word's slot, 32 bits that name its bucket, and 64 that tell it from others."""
-        k = self.keys.get(word)
-        if k is None:
-            if len(self.keys) > CACHE:
-                self.keys.clear()
-            h = xxhash.xxh64_intdigest(word)
-            k = self.keys[word] = (int(self.counts[h & (SLOTS - 1)]) << 96) | (h >> 32 << 64) | h
-        return k
+    def _hashes(self, word: bytes) -> tuple[int, int]:
+        pair = self.known[word] = xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(word, 1)
+        return pair
 
-    def sort(self, words: set[bytes]) -> list[int]:
-        return sorted(map(self.key, words))
+    def arrays(self, sets: list[set[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(words, their slots' counts, begins, classes) of non-empty sets; a class is two sums of hashes."""
+        if len(self.known) > CACHE:
+            self.known.clear()
+        known, new = self.known.get, self._hashes
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        begins = np.cumsum(sizes) - sizes
+        both = np.array([known(w) or new(w) for words in sets for w in words], np.uint64)
+        classes = np.stack([np.add.reduceat(both[:, k], begins) for k in (0, 1)], 1)
+        h = both[:, 0]
+        seen = self.counts[names_of(h) & np.uint32(SLOTS - 1)]
+        order = np.lexsort((h, seen, np.repeat(np.arange(len(sets)), sizes)))
+        return h[order], seen[order], begins, classes
 
 
-def bucket_of(key: int) -> int:
-    """The bucket of a word, as a signed 32-bit integer."""
-    x = key >> 64 & 0xFFFFFFFF
-    return x - (1 << 32) if x >> 31 else x
+def names_of(h: np.ndarray) -> np.ndarray:
+    """The 32 bits of words that name their buckets."""
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
-def parity(keys: list[int]) -> tuple[int, int]:
-    """128 bits, each the parity of the words that hash to it: differing bits never exceed differing words."""
-    bits = reduce(xor, (1 << (k & 127) for k in keys), 0)
-    low, high = bits & (1 << 64) - 1, bits >> 64
-    return low - (1 << 64) if low >> 63 else low, high - (1 << 64) if high >> 63 else high
+def parity(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """64 bits a set, each the parity of the words that hash to it: differing bits never exceed differing words."""
+    return np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), begins)
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
@@ -103,7 +102,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
         table, seen = np.zeros(SLOTS, np.int64), Counter()
 
         def settle() -> None:
-            slots = np.array([xxhash.xxh64_intdigest(w) & (SLOTS - 1) for w in seen], np.int64)
+            slots = np.array([xxhash.xxh64_intdigest(w) >> 32 & (SLOTS - 1) for w in seen], np.int64)
             np.add.at(table, slots, np.fromiter(seen.values(), np.int64, len(seen)))
             seen.clear()
 
@@ -138,216 +137,254 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
 
 def class_lines(docs: DataFrame, counts, id_col: str) -> DataFrame:
-    """A row per line with a word: id, line_no, cls and, once per class and task, what buckets need of it."""
+    """A row per line with a word: id, line_no, its class (id_low, id_high) and, once per class and task, what buckets need of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, known = Order(counts.value), set()
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
+        sets, known = Sets(counts.value), set()
+
+        def rows(at: list[tuple[int, int]], words: list[set[bytes]]) -> pa.RecordBatch:
+            h, seen, begins, classes = sets.arrays(words)
+            size = np.diff(np.append(begins, len(h)))
+            low, high = classes.view(np.int64).T.copy()
+            cls = list(zip(low.tolist(), high.tolist()))
+            if len(known) > CACHE:
+                known.clear()
+            new = np.array([not (c in known or known.add(c)) for c in cls])
+            name, row = names_of(h), np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(h)) - begins[row]
+            prev = np.concatenate((name[:1], name[:-1]))
+            # A name counted once is in no other line; one that a line has twice is taken once.
+            own = np.flatnonzero(new[row] & (place < prefix_length(size)[row]) & (seen > 1) & ((place == 0) | (prev != name)))
+            ends = np.searchsorted(own, np.append(begins, len(h)))
+            name, prev, place = (x.astype(np.uint32).view(np.int32)[own] for x in (name, prev, place))
+            often = seen[own] > BLOCK
+
+            def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+                return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([i for i, _ in at], pa.int64()), pa.array([k for _, k in at], pa.int32()), pa.array(low), pa.array(high),
+                    pa.array(size, pa.int32()), lists(name, ends), lists(place, ends), lists(prev, ends),
+                    lists(name[often], np.concatenate(([0], np.cumsum(often)))[ends]), pa.array(parity(h, begins).view(np.int64)),
+                ],
+                columns,
+            )
+
+        at, words, n = [], [], 0
         for batch in batches:
-            rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for k, words in lines_of(text.as_py()):
-                    cls = class_of(words)
-                    if cls in known:
-                        rows.append((doc_id, k, cls, None, None, None, None, None))
-                        continue
-                    if len(known) > CACHE:
-                        known.clear()
-                    known.add(cls)
-                    keys = order.sort(words)
-                    # A word counted once is in no other line.
-                    own = [(bucket_of(x), p) for p, x in enumerate(keys[: prefix_length(len(keys))]) if x >> 96 > 1]
-                    rows.append((doc_id, k, cls, len(keys), [b for b, _ in own], [p for _, p in own], *parity(keys)))
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-
-    names = ["id", "line_no", "cls", "size", "buckets", "places", "low", "high"]
+                for k, line in lines_of(text.as_py()):
+                    at.append((doc_id, k))
+                    words.append(line)
+                    n += len(line)
+                    if n > CHUNK:
+                        yield rows(at, words)
+                        at, words, n = [], [], 0
+        if at:
+            yield rows(at, words)
+
+    columns = ["id", "line_no", "id_low", "id_high", "size", "buckets", "places", "prevs", "often", "parity"]
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    return docs.select(ids, text_of("text")).mapInArrow(
-        run, "id long, line_no int, cls binary, size int, buckets array<int>, places array<int>, low long, high long"
-    )
+    types = "id long, line_no int, id_low long, id_high long, size int, buckets array<int>, places array<int>, prevs array<int>, often array<int>, parity long"
+    return docs.select(ids, text_of("text")).mapInArrow(run, types)
+
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted rows (bucket, deal, ...) so that no group is cut, with the number of each row's group; repeated rows once."""
+    rest: pa.Table | None = None
 
-def pairs_within(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs i < j of rows inside groups that begin and end at these rows, some at a time."""
-    row = np.arange(ends[-1] if len(ends) else 0)
-    last = np.repeat(ends, ends - starts)
+    def known_rows(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
+        batch = table.combine_chunks().to_batches()[0]
+        key = [batch.column(k).to_numpy() for k in range(5)]  # bucket, deal, size, id_low, id_high
+        differs = [np.concatenate(([True], x[1:] != x[:-1])) for x in key]
+        batch = batch.filter(pa.array(np.logical_or.reduce(differs)))
+        bucket, deal = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        starts = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (deal[1:] != deal[:-1])))
+        return batch, np.cumsum(starts) - 1
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        batch, group = known_rows(table if rest is None else pa.concat_tables([rest, table]))
+        cut = int(np.searchsorted(group, group[-1]))
+        rest = pa.Table.from_batches([batch.slice(cut)])
+        if cut:
+            yield batch.slice(0, cut), group[:cut]
+    if rest is not None:
+        yield known_rows(rest)
+
+
+def near_pairs(a: dict[str, np.ndarray], group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j of rows of a group that the length, position and bitmap filters let through, some at a time."""
+    size = a["size"]
+    key = group * (1 << 32) + size  # sorted: a longer line is a later row
+    last = np.searchsorted(key, group * (1 << 32) + size * DOWN // UP, "right")
+    row = np.arange(len(size))
     more = last - row - 1
     begin, total = 0, np.concatenate(([0], np.cumsum(more)))
     while begin < len(row):
         end = max(begin + 1, int(np.searchsorted(total, total[begin] + PAIRS, "right")) - 1)
         n = more[begin:end]
         i = np.repeat(row[begin:end], n)
-        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
         begin = end
+        met = (a["place"][i] > 0) & (a["place"][j] > 0) & (a["prev"][i] == a["prev"][j])
+        dealt = a["one"][i] | (a["block"][i] != a["block"][j])
+        i, j = i[~met & dealt], j[~met & dealt]
+        x, y = size[i], size[j]
+        need = least_overlap(x, y)
+        apart = x + y - 2 * need  # words that may differ
+        fine = (np.minimum(x - a["place"][i], y - a["place"][j]) >= need) & (a["place"][i] + a["place"][j] <= apart)
+        fine &= np.bitwise_count(a["parity"][i] ^ a["parity"][j]) <= apart
+        yield i[fine], j[fine]
 
 
-def passes(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs of rows the length, position and bitmap filters let through, other block pairs left out."""
-    x, y = a["size"][i], a["size"][j]
-    ok = (DOWN * np.minimum(x, y) >= UP * np.maximum(x, y)) & ((a["block"][i] != a["block"][j]) | (a["one"][i]))
-    i, j, x, y, at = i[ok], j[ok], x[ok], y[ok], np.flatnonzero(ok)
-    need = least_overlap(x, y)
-    fine = np.minimum(x - a["place"][i], y - a["place"][j]) >= need
-    differ = np.bitwise_count(a["low"][i] ^ a["low"][j]).astype(np.int64) + np.bitwise_count(a["high"][i] ^ a["high"][j])
-    out = np.zeros(len(ok), bool)
-    out[at[fine & (differ <= x + y - 2 * need)]] = True
-    return out
-
-
-def columns_of(batch: pa.RecordBatch) -> tuple[dict[str, np.ndarray], pa.StructArray, np.ndarray, np.ndarray]:
-    """Of buckets (bucket, lo, hi, members): the members' columns, the members, and where buckets begin and end."""
-    members = batch.column(3)
-    sizes = np.diff(members.offsets.to_numpy())
-    ends = np.cumsum(sizes)
-    flat = members.flatten()
-    a = {k: flat.field(k).to_numpy(zero_copy_only=False) for k in ("size", "place", "block", "low", "high")}
-    a |= {k: a[k].view(np.uint64) for k in ("low", "high")} | {k: a[k].astype(np.int64) for k in ("size", "place")}
-    a["one"] = np.repeat(batch.column(1).to_numpy() == batch.column(2).to_numpy(), sizes)
-    return a, flat, ends - sizes, ends
+def of_deals(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The block of each row, and whether its bucket deals with one block."""
+    deal = batch.column("deal").to_numpy()
+    return {"block": batch.column("block").to_numpy(), "one": deal >> 32 == deal & 0xFFFFFFFF}
 
 
 def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members of buckets that pass the filters with some other member."""
-    for batch in batches:
-        a, flat, starts, ends = columns_of(batch)
-        keep = np.zeros(len(flat), bool)
-        for i, j in pairs_within(starts, ends):
-            ok = passes(a, i, j)
-            keep[i[ok]] = keep[j[ok]] = True
-        sizes, at = ends - starts, np.flatnonzero(keep)
-        head = [pa.array(np.repeat(batch.column(k).to_numpy(), sizes)[at], pa.int32()) for k in range(3)]
-        part = flat.take(pa.array(at))
-        yield pa.RecordBatch.from_arrays([*head, *(part.field(k) for k in _MEMBER)], ["bucket", "lo", "hi", *_MEMBER])
-
-
-_MEMBER = ("cls", "size", "place", "block", "low", "high")
-_MEMBER_TYPES = "cls binary, size int, place int, block int, low long, high long"
-
-
-def bucketed(lines: DataFrame) -> DataFrame:
-    """(bucket, lo, hi, members) with two members or more: classes by prefix word, large buckets in pairs of blocks."""
-    rows = (
-        lines.where("size(buckets) > 0")
-        .select("cls", "size", "low", "high", F.explode(F.arrays_zip("buckets", "places")).alias("z"))
-        .select(F.col("z.buckets").alias("bucket"), F.col("z.places").alias("place"), "cls", "size", "low", "high")
-    )
-    counts = lines.where("size(buckets) > 0").select(F.explode("buckets").alias("bucket")).groupBy("bucket").count()
-    large = materialize(counts.where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
-    member = F.struct(*_MEMBER)
-    if large.isEmpty():
-        rows = rows.withColumns({"block": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)})
-    else:
-        rows = rows.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    buckets = rows.groupBy("bucket", "lo", "hi").agg(F.collect_set(member).alias("members"))
-    return buckets.where("size(members) > 1")
+    """The rows of buckets that pass the filters with some other row."""
+    for batch, group in whole_groups(batches):
+        a = of_deals(batch) | {k: batch.column(k).to_numpy() for k in ("size", "place", "prev", "parity")}
+        a |= {k: a[k].astype(np.int64) for k in ("size", "place")}
+        keep = np.zeros(len(group), bool)
+        for i, j in near_pairs(a, group):
+            keep[i] = keep[j] = True
+        yield batch.filter(pa.array(keep)).select(["bucket", "deal", "block", "id_low", "id_high"])
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of buckets whose members have their words and first places: per class, links and earliest linked place."""
-    for batch in batches:
-        a, flat, starts, ends = columns_of(batch)
-        words = flat.field("words")
-        ids, nos = flat.field("first_id").to_numpy(), flat.field("first_no").to_numpy()
-        buckets = np.repeat(batch.column(0).to_numpy(), ends - starts)
-        sets: dict[int, tuple[list[int], set[int]]] = {}
-        links = np.zeros(len(flat), np.int64)
-        best: list[tuple | None] = [None] * len(flat)
-
-        def own(k: int) -> tuple[list[int], set[int]]:
+    """Of buckets' rows with the words: per class, links and earliest linked place."""
+    for batch, group in whole_groups(batches):
+        words = batch.column("words")
+        ends = words.offsets.to_numpy()
+        h = words.values.to_numpy().view(np.uint64)[ends[0] : ends[-1]]
+        begins, size = (ends - ends[0])[:-1].astype(np.int64), np.diff(ends).astype(np.int64)
+        row, name = np.repeat(np.arange(len(size)), size), names_of(h)
+        bucket = batch.column("bucket").to_numpy().view(np.uint32)
+        at = np.flatnonzero(name == bucket[row])
+        found = row[at]
+        place = np.full(len(size), np.int64(1) << 40)  # not in this bucket: passes no filter
+        np.minimum.at(place, found, at - begins[found])
+        before = np.where(place < size, begins + place - 1, 0)
+        a = of_deals(batch) | {"size": size, "place": place, "prev": name[before], "parity": parity(h, begins)}
+        ids, nos = batch.column("first_id").to_numpy(), batch.column("first_no").to_numpy()
+        sets: dict[int, tuple[set[int], set[int]]] = {}
+        links, best = np.zeros(len(size), np.int64), [None] * len(size)
+
+        def own(k: int) -> tuple[set[int], set[int]]:
+            """All words of a row, and the names before the bucket's."""
             if k not in sets:
-                found = words[k].values.to_numpy().tolist()
-                sets[k] = found, set(found)
+                sets[k] = set(h[begins[k] : begins[k] + size[k]].tolist()), set(name[begins[k] : begins[k] + place[k]].tolist())
             return sets[k]
 
-        for i, j in pairs_within(starts, ends):
-            ok = passes(a, i, j)
-            for x, y in zip(i[ok].tolist(), j[ok].tolist()):
-                (order, mine), (_, other) = own(x), own(y)
-                common = mine & other
-                if len(common) < least_overlap(len(mine), len(other)):
-                    continue
-                first = next(w for w in order if w in common)
-                name = (first >> 32) & 0xFFFFFFFF
-                if (name - (1 << 32) if name >> 31 else name) != buckets[x]:
+        for i, j in near_pairs(a, group):
+            for x, y in zip(i.tolist(), j.tolist()):
+                (mine, my_names), (other, its_names) = own(x), own(y)
+                if not my_names.isdisjoint(its_names):
                     continue  # counted in another bucket
+                if len(mine & other) < least_overlap(len(mine), len(other)):
+                    continue
                 for k, o in ((x, y), (y, x)):
                     links[k] += 1
-                    place = (ids[o], nos[o])
-                    if best[k] is None or place < best[k]:
-                        best[k] = place
-        at = np.flatnonzero(links)
+                    at = (ids[o], nos[o])
+                    if best[k] is None or at < best[k]:
+                        best[k] = at
+        some = np.flatnonzero(links)
         yield pa.RecordBatch.from_arrays(
             [
-                flat.field("cls").take(pa.array(at)), pa.array(links[at], pa.int64()),
-                pa.array([int(best[k][0]) for k in at], pa.int64()), pa.array([int(best[k][1]) for k in at], pa.int32()),
+                batch.column("id_low").take(pa.array(some)), batch.column("id_high").take(pa.array(some)), pa.array(links[some], pa.int64()),
+                pa.array([int(best[k][0]) for k in some], pa.int64()), pa.array([int(best[k][1]) for k in some], pa.int32()),
             ],
-            ["cls", "n_links", "match_id", "match_no"],
+            ["id_low", "id_high", "n_links", "match_id", "match_no"],
         )
 
 
-def with_words(docs: DataFrame, wanted: DataFrame, counts, id_col: str) -> DataFrame:
-    """``wanted`` (first_id, first_no, cls, bucket, lo, hi, ...) with the words of each class, rare ones first."""
-    by_doc = materialize(
-        wanted.groupBy("first_id").agg(F.collect_list(F.struct("first_no", "bucket", "lo", "hi", *_MEMBER)).alias("asked"))
+#: The order within buckets: groups together, short lines first, a class's repeats side by side.
+_SORTED = ("bucket", "deal", "size", "id_low", "id_high")
+
+
+def bucketed(lines: DataFrame) -> DataFrame:
+    """Classes by prefix name, sorted within partitions by ``_SORTED``; large buckets in pairs of blocks."""
+    rows = lines.where("size(buckets) > 0").select(
+        F.explode(F.arrays_zip("buckets", "places", "prevs")).alias("z"), "size", "id_low", "id_high", "parity"
     )
+    rows = rows.select(F.col("z.buckets").alias("bucket"), "size", "id_low", "id_high", F.col("z.places").alias("place"), F.col("z.prevs").alias("prev"), "parity")
+    often = lines.select(F.explode("often").alias("bucket"), "id_low").groupBy("bucket").agg(F.approx_count_distinct("id_low").alias("n"))
+    large = materialize(often.where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    n_large = large.limit(BROADCAST_ROWS + 1).count()
+    if n_large:
+        rows = rows.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("id_low"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        low, high = F.least("block", "other").cast("long"), F.greatest("block", "other").cast("long")
+        rows = rows.withColumn("deal", F.shiftleft(low, 32).bitwiseOR(high)).drop("blocks", "other")
+    else:
+        rows = rows.withColumns({"block": F.lit(0), "deal": F.lit(0).cast("long")})
+    rows = rows.select(*_SORTED, "block", "place", "prev", "parity")
+    return rows.repartition("bucket", "deal").sortWithinPartitions(*_SORTED)
+
+
+def with_words(docs: DataFrame, wanted: DataFrame, counts, id_col: str) -> DataFrame:
+    """``wanted`` (first_id, first_no, bucket, deal, block, id_low, id_high) with the words of each class, rare ones first."""
+    asked = F.struct("first_no", "bucket", "deal", "block", "id_low", "id_high")
+    by_doc = materialize(wanted.groupBy("first_id").agg(F.collect_list(asked).alias("asked")))
     if by_doc.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         by_doc = F.broadcast(by_doc)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("first_id"), text_of("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(counts.value)
+        sets = Sets(counts.value)
         for batch in batches:
-            for doc_id, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                asked = asked.as_py()
-                numbers, rows, known = {r["first_no"] for r in asked}, [], {}
-                for k, words in lines_of(text.as_py()):
-                    if k in numbers:
-                        known[k, class_of(words)] = [_signed(x & (1 << 64) - 1) for x in order.sort(words)]
+            for doc_id, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                numbers = {r["first_no"] for r in asked}
+                some = [(k, words) for k, words in lines_of(text.as_py()) if k in numbers]
+                if not some:
+                    continue
+                h, _, begins, classes = sets.arrays([words for _, words in some])
+                ids = classes.view(np.int64).tolist()
+                known = {(k, *c): w.view(np.int64) for (k, _), c, w in zip(some, ids, np.split(h, begins[1:]))}
+                rows = []
                 for r in asked:  # another document of the same id may lack the line
-                    if (found := known.get((r["first_no"], r["cls"]))) is not None:
-                        rows.append({**r, "first_id": doc_id, "words": found})
+                    if (found := known.get((r["first_no"], r["id_low"], r["id_high"]))) is not None:
+                        rows.append({**r, "size": len(found), "first_id": doc_id, "words": found})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    def _signed(x: int) -> int:
-        return x - (1 << 64) if x >> 63 else x
-
     i32, i64 = pa.int32(), pa.int64()
-    out = pa.schema([("first_id", i64), ("first_no", i32), ("bucket", i32), ("lo", i32), ("hi", i32), ("cls", pa.binary()), ("size", i32), ("place", i32), ("block", i32), ("low", i64), ("high", i64), ("words", pa.list_(i64))])
+    out = pa.schema([("bucket", i32), ("deal", i64), ("size", i32), ("id_low", i64), ("id_high", i64), ("block", i32), ("first_id", i64), ("first_no", i32), ("words", pa.list_(i64))])
     return texts.join(by_doc, "first_id").select("first_id", "text", "asked").mapInArrow(
-        run, f"first_id long, first_no int, bucket int, lo int, hi int, {_MEMBER_TYPES}, words array<long>"
+        run, "bucket int, deal long, size int, id_low long, id_high long, block int, first_id long, first_no int, words array<long>"
     )
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The lines of ``docs`` (id, line_no, cls) and their classes (cls, first_id, first_no, n_links, match_id, match_no)."""
+    """The lines of ``docs`` (id, line_no, id_low, id_high) and their classes (id_low, id_high, first_id, first_no, n_links, match_id, match_no)."""
     require(docs, id_col, "text")
-    checkpoint_dir(docs.sparkSession)
-    counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs))  # SLOTS integers
-    lines = materialize(class_lines(docs, counts, id_col))
-    first = lines.groupBy("cls").agg(F.min(F.struct("id", "line_no")).alias("first"))
-    first = materialize(first.select("cls", F.col("first.id").alias("first_id"), F.col("first.line_no").alias("first_no")))
-    types = f"bucket int, lo int, hi int, {_MEMBER_TYPES}"
-    asked = bucketed(lines).mapInArrow(survivors, types).join(first, "cls")
-    ready = with_words(docs, asked, counts, id_col)
-    member = F.struct(*_MEMBER, "first_id", "first_no", "words")
+    spark = docs.sparkSession
+    counts = spark.sparkContext.broadcast(word_counts(docs))  # SLOTS integers
+    path = f"{checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    class_lines(docs, counts, id_col).write.parquet(path)
+    lines, cls = spark.read.parquet(path), ("id_low", "id_high")
+    first = lines.groupBy(*cls).agg(F.min(F.struct("id", "line_no")).alias("first"))
+    first = materialize(first.select(*cls, F.col("first.id").alias("first_id"), F.col("first.line_no").alias("first_no")))
+    passed = bucketed(lines).mapInArrow(survivors, "bucket int, deal long, block int, id_low long, id_high long")
+    ready = with_words(docs, passed.join(first, [*cls]), counts, id_col)
     found = (
-        ready.groupBy("bucket", "lo", "hi").agg(F.collect_set(member).alias("members"))
-        .mapInArrow(verify, "cls binary, n_links long, match_id long, match_no int")
-        .groupBy("cls").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("match_id", "match_no")).alias("match"))
+        ready.repartition("bucket", "deal").sortWithinPartitions(*_SORTED)
+        .mapInArrow(verify, "id_low long, id_high long, n_links long, match_id long, match_no int")
+        .groupBy(*cls).agg(F.sum("n_links").alias("n_links"), F.min(F.struct("match_id", "match_no")).alias("match"))
     )
-    classes = first.join(found, "cls", "left").select(
-        "cls", "first_id", "first_no", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    classes = first.join(found, [*cls], "left").select(
+        *cls, "first_id", "first_no", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.col("match.match_id").alias("match_id"), F.col("match.match_no").alias("match_no"),
     )
-    return lines.select("id", "line_no", "cls"), classes
+    return lines.select("id", "line_no", *cls), classes
 
 
 def line_matches(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -361,7 +398,7 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     are judged alike.  An empty table gives no rows.
     """
     lines, classes = line_classes(docs, id_col)
-    rows = lines.join(classes, "cls")
+    rows = lines.join(classes, ["id_low", "id_high"])
     place = F.struct(F.col("id").alias("i"), F.col("line_no").alias("k"))
     first = F.struct(F.col("first_id").alias("i"), F.col("first_no").alias("k"))
     match = F.struct(F.col("match_id").alias("i"), F.col("match_no").alias("k"))
