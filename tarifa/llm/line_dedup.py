@@ -61,28 +61,42 @@ def lines_of(text: str) -> Iterator[tuple[int, set[bytes]]]:
 
 
 class Sets:
-    """Sets of words as arrays, each set's words from rare to frequent; remembers the words' hashes."""
+    """Sets of words as arrays; remembers the words' hashes."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts, self.known = counts, {}
+        self.ranks = np.floor(256 * np.log2(np.maximum(counts, 1))).astype(np.uint64)  # 13 bits
+        self.index, self.hashes = {}, np.zeros((2, 1 << 16), np.uint64)
 
-    def _hashes(self, word: bytes) -> tuple[int, int]:
-        pair = self.known[word] = xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(word, 1)
-        return pair
+    def _add(self, word: bytes) -> int:
+        k = self.index[word] = len(self.index)
+        if k == self.hashes.shape[1]:
+            self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)), 1)
+        self.hashes[:, k] = hashes_of(word)
+        return k
 
     def arrays(self, sets: list[set[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(words, their slots' counts, begins, classes) of non-empty sets; a class is two sums of hashes."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, new = self.known.get, self._hashes
+        """(words, ranks, begins, classes) of non-empty sets; a class is two sums of hashes.
+
+        A rank sorts words by set, then from rare to frequent, and ends in the word's name.
+        """
+        if len(self.index) > CACHE:
+            self.index.clear()
+        known, new = self.index.get, self._add
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         begins = np.cumsum(sizes) - sizes
-        both = np.array([known(w) or new(w) for words in sets for w in words], np.uint64)
-        classes = np.stack([np.add.reduceat(both[:, k], begins) for k in (0, 1)], 1)
-        h = both[:, 0]
-        seen = self.counts[names_of(h) & np.uint32(SLOTS - 1)]
-        order = np.lexsort((h, seen, np.repeat(np.arange(len(sets)), sizes)))
-        return h[order], seen[order], begins, classes
+        at = np.array([new(w) if (k := known(w)) is None else k for words in sets for w in words])
+        h = self.hashes[0][at]
+        classes = np.stack([np.add.reduceat(x, begins) for x in (h, self.hashes[1][at])], 1)
+        name = names_of(h)
+        row = np.repeat(np.arange(len(sets), dtype=np.uint64), sizes)  # under 2**18: CHUNK
+        rank = row << np.uint64(46) | self.ranks[name & np.uint32(SLOTS - 1)] << np.uint64(32) | name
+        return h, rank, begins, classes
+
+
+def hashes_of(word: bytes) -> tuple[int, int]:
+    """Two 64-bit hashes of a word."""
+    x = xxhash.xxh3_128_intdigest(word)
+    return x & (1 << 64) - 1, x >> 64
 
 
 def names_of(h: np.ndarray) -> np.ndarray:
@@ -102,7 +116,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
         table, seen = np.zeros(SLOTS, np.int64), Counter()
 
         def settle() -> None:
-            slots = np.array([xxhash.xxh64_intdigest(w) >> 32 & (SLOTS - 1) for w in seen], np.int64)
+            slots = np.array([hashes_of(w)[0] >> 32 & (SLOTS - 1) for w in seen], np.int64)
             np.add.at(table, slots, np.fromiter(seen.values(), np.int64, len(seen)))
             seen.clear()
 
@@ -143,19 +157,23 @@ def class_lines(docs: DataFrame, counts, id_col: str) -> DataFrame:
         sets, known = Sets(counts.value), set()
 
         def rows(at: list[tuple[int, int]], words: list[set[bytes]]) -> pa.RecordBatch:
-            h, seen, begins, classes = sets.arrays(words)
+            h, rank, begins, classes = sets.arrays(words)
             size = np.diff(np.append(begins, len(h)))
             low, high = classes.view(np.int64).T.copy()
             cls = list(zip(low.tolist(), high.tolist()))
             if len(known) > CACHE:
                 known.clear()
             new = np.array([not (c in known or known.add(c)) for c in cls])
-            name, row = names_of(h), np.repeat(np.arange(len(size)), size)
-            place = np.arange(len(h)) - begins[row]
-            prev = np.concatenate((name[:1], name[:-1]))
+            name = np.sort(rank).astype(np.uint32)
+            first = prefix_length(size)
+            row = np.repeat(np.arange(len(size)), first)
+            place = np.arange(len(row)) - (np.cumsum(first) - first)[row]
+            at_word = begins[row] + place
+            prev, name = name[np.maximum(at_word - 1, 0)], name[at_word]
+            seen = counts.value[name & np.uint32(SLOTS - 1)]
             # A name counted once is in no other line; one that a line has twice is taken once.
-            own = np.flatnonzero(new[row] & (place < prefix_length(size)[row]) & (seen > 1) & ((place == 0) | (prev != name)))
-            ends = np.searchsorted(own, np.append(begins, len(h)))
+            own = np.flatnonzero(new[row] & (seen > 1) & ((place == 0) | (prev != name)))
+            ends = np.searchsorted(own, np.append(0, np.cumsum(first)))
             name, prev, place = (x.astype(np.uint32).view(np.int32)[own] for x in (name, prev, place))
             often = seen[own] > BLOCK
 
@@ -178,7 +196,7 @@ def class_lines(docs: DataFrame, counts, id_col: str) -> DataFrame:
                     at.append((doc_id, k))
                     words.append(line)
                     n += len(line)
-                    if n > CHUNK:
+                    if n > CHUNK or len(words) == CHUNK:
                         yield rows(at, words)
                         at, words, n = [], [], 0
         if at:
@@ -191,12 +209,12 @@ def class_lines(docs: DataFrame, counts, id_col: str) -> DataFrame:
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Sorted rows (bucket, deal, ...) so that no group is cut, with the number of each row's group; repeated rows once."""
+    """Sorted rows (``_SORTED``, ...) so that no group is cut, with the number of each row's group; repeated rows once."""
     rest: pa.Table | None = None
 
     def known_rows(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
         batch = table.combine_chunks().to_batches()[0]
-        key = [batch.column(k).to_numpy() for k in range(5)]  # bucket, deal, size, id_low, id_high
+        key = [batch.column(k).to_numpy() for k in range(5)]
         differs = [np.concatenate(([True], x[1:] != x[:-1])) for x in key]
         batch = batch.filter(pa.array(np.logical_or.reduce(differs)))
         bucket, deal = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -241,21 +259,18 @@ def near_pairs(a: dict[str, np.ndarray], group: np.ndarray) -> Iterator[tuple[np
         yield i[fine], j[fine]
 
 
-def of_deals(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    """The block of each row, and whether its bucket deals with one block."""
-    deal = batch.column("deal").to_numpy()
-    return {"block": batch.column("block").to_numpy(), "one": deal >> 32 == deal & 0xFFFFFFFF}
-
-
 def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of buckets that pass the filters with some other row."""
     for batch, group in whole_groups(batches):
-        a = of_deals(batch) | {k: batch.column(k).to_numpy() for k in ("size", "place", "prev", "parity")}
-        a |= {k: a[k].astype(np.int64) for k in ("size", "place")}
+        shape, tag, deal = (batch.column(k).to_numpy() for k in ("shape", "tag", "deal"))
+        a = {"size": shape >> 32, "place": (shape & 0xFFFFFFFF) >> 1, "block": shape & 1, "prev": tag & 0xFFFFFFFF}
+        a |= {"one": deal >> 32 == deal & 0xFFFFFFFF, "parity": batch.column("parity").to_numpy().view(np.uint64)}
         keep = np.zeros(len(group), bool)
         for i, j in near_pairs(a, group):
             keep[i] = keep[j] = True
-        yield batch.filter(pa.array(keep)).select(["bucket", "deal", "block", "id_low", "id_high"])
+        out = {k: batch.column(k) for k in ("bucket", "deal", "parity")}
+        out |= {"second": pa.array(a["block"].astype(np.int32)), "id_part": pa.array((tag >> 32).astype(np.int32)), "size": pa.array(a["size"].astype(np.int32))}
+        yield pa.RecordBatch.from_pydict(out).filter(pa.array(keep))
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +287,9 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(len(size), np.int64(1) << 40)  # not in this bucket: passes no filter
         np.minimum.at(place, found, at - begins[found])
         before = np.where(place < size, begins + place - 1, 0)
-        a = of_deals(batch) | {"size": size, "place": place, "prev": name[before], "parity": parity(h, begins)}
+        deal = batch.column("deal").to_numpy()
+        a = {"block": batch.column("second").to_numpy(), "one": deal >> 32 == deal & 0xFFFFFFFF}
+        a |= {"size": size, "place": place, "prev": name[before], "parity": parity(h, begins)}
         ids, nos = batch.column("first_id").to_numpy(), batch.column("first_no").to_numpy()
         sets: dict[int, tuple[set[int], set[int]]] = {}
         links, best = np.zeros(len(size), np.int64), [None] * len(size)
@@ -306,15 +323,22 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: The order within buckets: groups together, short lines first, a class's repeats side by side.
-_SORTED = ("bucket", "deal", "size", "id_low", "id_high")
+_SORTED, _SORTED_WORDS = ("bucket", "deal", "shape", "tag", "parity"), ("bucket", "deal", "size", "id_low", "id_high")
 
 
 def bucketed(lines: DataFrame) -> DataFrame:
-    """Classes by prefix name, sorted within partitions by ``_SORTED``; large buckets in pairs of blocks."""
+    """Classes by prefix name, sorted within partitions by ``_SORTED``; large buckets in pairs of blocks.
+
+    Rows are many and small: ``tag`` is a part of the class's id and the name before, ``shape`` the
+    size, the place and whether the row is of the deal's second block.
+    """
     rows = lines.where("size(buckets) > 0").select(
-        F.explode(F.arrays_zip("buckets", "places", "prevs")).alias("z"), "size", "id_low", "id_high", "parity"
+        F.explode(F.arrays_zip("buckets", "places", "prevs")).alias("z"), "size", "id_low", "parity"
     )
-    rows = rows.select(F.col("z.buckets").alias("bucket"), "size", "id_low", "id_high", F.col("z.places").alias("place"), F.col("z.prevs").alias("prev"), "parity")
+    low32 = lambda c: F.col(c).cast("long").bitwiseAND(0xFFFFFFFF)
+    rows = rows.select(
+        F.col("z.buckets").alias("bucket"), F.col("z.places").alias("place"), F.col("z.prevs").alias("prev"), "size", "id_low", "parity"
+    ).withColumn("tag", F.shiftleft("id_low", 32).bitwiseOR(low32("prev")))
     often = lines.select(F.explode("often").alias("bucket"), "id_low").groupBy("bucket").agg(F.approx_count_distinct("id_low").alias("n"))
     large = materialize(often.where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     n_large = large.limit(BROADCAST_ROWS + 1).count()
@@ -323,16 +347,17 @@ def bucketed(lines: DataFrame) -> DataFrame:
         rows = rows.withColumn("block", F.pmod(F.xxhash64("id_low"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         low, high = F.least("block", "other").cast("long"), F.greatest("block", "other").cast("long")
-        rows = rows.withColumn("deal", F.shiftleft(low, 32).bitwiseOR(high)).drop("blocks", "other")
+        rows = rows.withColumns({"deal": F.shiftleft(low, 32).bitwiseOR(high), "second": (F.col("block") > F.col("other")).cast("int")})
     else:
-        rows = rows.withColumns({"block": F.lit(0), "deal": F.lit(0).cast("long")})
-    rows = rows.select(*_SORTED, "block", "place", "prev", "parity")
+        rows = rows.withColumns({"second": F.lit(0), "deal": F.lit(0).cast("long")})
+    shape = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("place").cast("long"), 1)).bitwiseOR(F.col("second").cast("long"))
+    rows = rows.withColumn("shape", shape).select(*_SORTED)
     return rows.repartition("bucket", "deal").sortWithinPartitions(*_SORTED)
 
 
 def with_words(docs: DataFrame, wanted: DataFrame, counts, id_col: str) -> DataFrame:
-    """``wanted`` (first_id, first_no, bucket, deal, block, id_low, id_high) with the words of each class, rare ones first."""
-    asked = F.struct("first_no", "bucket", "deal", "block", "id_low", "id_high")
+    """``wanted`` (first_id, first_no, bucket, deal, second, id_low, id_high) with the words of each class, rare ones first."""
+    asked = F.struct("first_no", "bucket", "deal", "second", "id_low", "id_high")
     by_doc = materialize(wanted.groupBy("first_id").agg(F.collect_list(asked).alias("asked")))
     if by_doc.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         by_doc = F.broadcast(by_doc)
@@ -346,7 +371,8 @@ def with_words(docs: DataFrame, wanted: DataFrame, counts, id_col: str) -> DataF
                 some = [(k, words) for k, words in lines_of(text.as_py()) if k in numbers]
                 if not some:
                     continue
-                h, _, begins, classes = sets.arrays([words for _, words in some])
+                h, rank, begins, classes = sets.arrays([words for _, words in some])
+                h = h[np.argsort(rank)]
                 ids = classes.view(np.int64).tolist()
                 known = {(k, *c): w.view(np.int64) for (k, _), c, w in zip(some, ids, np.split(h, begins[1:]))}
                 rows = []
@@ -357,9 +383,9 @@ def with_words(docs: DataFrame, wanted: DataFrame, counts, id_col: str) -> DataF
                     yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     i32, i64 = pa.int32(), pa.int64()
-    out = pa.schema([("bucket", i32), ("deal", i64), ("size", i32), ("id_low", i64), ("id_high", i64), ("block", i32), ("first_id", i64), ("first_no", i32), ("words", pa.list_(i64))])
+    out = pa.schema([("bucket", i32), ("deal", i64), ("size", i32), ("id_low", i64), ("id_high", i64), ("second", i32), ("first_id", i64), ("first_no", i32), ("words", pa.list_(i64))])
     return texts.join(by_doc, "first_id").select("first_id", "text", "asked").mapInArrow(
-        run, "bucket int, deal long, size int, id_low long, id_high long, block int, first_id long, first_no int, words array<long>"
+        run, "bucket int, deal long, size int, id_low long, id_high long, second int, first_id long, first_no int, words array<long>"
     )
 
 
@@ -371,12 +397,16 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, Da
     path = f"{checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
     class_lines(docs, counts, id_col).write.parquet(path)
     lines, cls = spark.read.parquet(path), ("id_low", "id_high")
-    first = lines.groupBy(*cls).agg(F.min(F.struct("id", "line_no")).alias("first"))
-    first = materialize(first.select(*cls, F.col("first.id").alias("first_id"), F.col("first.line_no").alias("first_no")))
-    passed = bucketed(lines).mapInArrow(survivors, "bucket int, deal long, block int, id_low long, id_high long")
-    ready = with_words(docs, passed.join(first, [*cls]), counts, id_col)
+    first = lines.groupBy(*cls).agg(F.min(F.struct("id", "line_no")).alias("first"), F.max("parity").alias("parity"), F.max("size").alias("size"))
+    first = first.select(*cls, F.col("first.id").alias("first_id"), F.col("first.line_no").alias("first_no"), "parity", "size")
+    first.write.parquet(f"{path}-first")
+    first = spark.read.parquet(f"{path}-first")
+    passed = bucketed(lines).mapInArrow(survivors, "bucket int, deal long, parity long, second int, id_part int, size int")
+    # Classes that these columns don't tell apart all come along; what wasn't in the bucket is told by its words.
+    known = first.withColumn("id_part", F.shiftright(F.shiftleft("id_low", 32), 32).cast("int"))
+    ready = with_words(docs, passed.join(known, ["parity", "size", "id_part"]), counts, id_col)
     found = (
-        ready.repartition("bucket", "deal").sortWithinPartitions(*_SORTED)
+        ready.repartition("bucket", "deal").sortWithinPartitions(*_SORTED_WORDS)
         .mapInArrow(verify, "id_low long, id_high long, n_links long, match_id long, match_no int")
         .groupBy(*cls).agg(F.sum("n_links").alias("n_links"), F.min(F.struct("match_id", "match_no")).alias("match"))
     )
