@@ -6,7 +6,10 @@ merge, what only one side has becomes optional, neighbours of one label become r
 that differ become slots.  Inference runs in the tasks that read the pages; what they find for a
 host is merged in two rounds, so a host with any share of the pages is no one task's work.
 
-The wrapper's text mass says which of its elements holds the article; pages are read through that.
+Pages are read through their host's wrapper: its article element, or the innermost one outside of
+which nothing varies, less the blocks whose texts are the same on every page.  Elements that HTML or
+a class's one word sets aside go everywhere; longer names with such a word only where a host's pages
+don't differ, so that there is no wrapper to tell.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +29,7 @@ from .common import materialize, require, text_of
 
 #: Hosts a task keeps before it hands on what it has; parts a host's findings are merged in first.
 TASK_HOSTS, MERGE_PARTS = 1000, 32
-#: Hosts up to which the wrappers' readings are broadcast (under 1 KB each).
+#: Hosts up to which the wrappers' readings are broadcast (17 bytes a constant text, and a path).
 BROADCAST_ROWS = 20_000
 #: Elements nested deeper than this are read as if they stood at this depth.
 DEPTH = 200
@@ -65,6 +69,7 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
 )
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_HEADING = frozenset("p h1 h2 h3 h4 h5 h6".split())
 _NAMED = re.compile(r"class|id|role|hidden|style", re.I)
 
 
@@ -85,8 +90,8 @@ def label_of(tag: str, attributes: str) -> str:
 
 
 @lru_cache(maxsize=20_000)
-def set_aside(label: str) -> bool:
-    """Whether a label says that its element isn't part of an article."""
+def set_aside(label: str, lone: bool = False) -> bool:
+    """Whether a label says that its element isn't part of an article; ``lone``: also if a name only begins or ends so."""
     tag, *names = re.split(r"[.#@]", label)
     if label.endswith("!"):
         return True
@@ -96,7 +101,10 @@ def set_aside(label: str) -> bool:
         return True
     for name in names:
         words = re.split(r"[^a-z]+", name)
-        if words[0] not in ("has", "with", "no", "not") and (words[0] in ASIDE_WORDS or words[-1] in ASIDE_WORDS):
+        if not lone:
+            if name in ASIDE_WORDS:
+                return True
+        elif words[0] not in ("has", "with", "no", "not") and (words[0] in ASIDE_WORDS or words[-1] in ASIDE_WORDS):
             return True
     return False
 
@@ -174,11 +182,11 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
 # label "" with its constant text, or null for a slot, in place of items.
 
 
-def shape(page: str) -> list:
-    """The wrapper of one page."""
+def shape(stream: list[tuple[str, str, str]]) -> list:
+    """The wrapper of one page, from its events."""
     root = ["", False, False, []]
     stack = [root]
-    for kind, _, value in events(page):
+    for kind, _, value in stream:
         if kind == "open":
             node = [value, False, False, []]
             stack[-1][3].append(node)
@@ -251,109 +259,171 @@ def expression(wrapper: list) -> str:
     return "".join(map(write, wrapper[3]))
 
 
+def tag_of(label: str) -> str:
+    return re.split(r"[.#@!]", label, maxsplit=1)[0]
+
+
+def named(path: str, text: str) -> str:
+    """The name of a text at a path."""
+    return xxhash.xxh3_64_hexdigest(f"{path}\0{text}")
+
+
 class Host:
-    """What is known of a host: its wrapper and, by path, how many characters of text pages hold there."""
+    """What is known of a host: its wrapper and, by path, how many characters of text pages hold there.
 
-    def __init__(self, wrapper: list | None = None, mass: dict[str, int] | None = None, pages: int = 0):
+    ``low`` and ``high`` are the least and greatest hash of a page's texts: they differ if pages do.
+    """
+
+    def __init__(self, wrapper: list | None = None, mass: dict[str, int] | None = None, pages: int = 0, low: int | None = None, high: int | None = None):
         self.wrapper, self.mass, self.pages = wrapper, mass or {}, pages
-        self._seen: set[str] = set()
+        self.low, self.high = low, high
+
+    @property
+    def lone(self) -> bool:
+        """Whether all pages are alike, so that what is constant says nothing."""
+        return self.low == self.high
 
     def add_page(self, page: str) -> None:
         self.pages += 1
         path, aside = [], 0
-        labels: list[str] = []
-        for kind, tag, value in events(page):
+        texts: list[str] = []
+        stream = list(events(page))
+        some = False
+        for kind, tag, value in stream:
             if kind == "open":
                 aside += aside > 0 or set_aside(value) or tag == "a" or is_header(value)
                 path.append(value)
-                labels.append("<" + value)
             elif kind == "close":
                 aside -= aside > 0
                 path.pop()
-                labels.append(">")
-            elif size := len(value.strip()):
-                labels.append("#")
+            elif text := " ".join(value.split()):
+                some = True
                 if not aside:
+                    texts.append(text)
                     for k in range(1, len(path) + 1):
                         key = "/".join(path[:k])
-                        self.mass[key] = self.mass.get(key, 0) + size
-        outline = "".join(labels)
-        if outline not in self._seen:  # texts of a known outline could only turn constants into slots
-            if len(self._seen) < 1000:
-                self._seen.add(outline)
-            new = shape(page)
-            self.wrapper = new if self.wrapper is None else merged(self.wrapper, new)
+                        self.mass[key] = self.mass.get(key, 0) + len(text)
+        if some:  # a page without text has no template either
+            own = xxhash.xxh3_64_intdigest("\0".join(texts)) if texts else None
+            self._merge(shape(stream), own, own)
+
+    def _merge(self, wrapper: list | None, low: int | None, high: int | None) -> None:
+        if wrapper is not None:
+            self.wrapper = wrapper if self.wrapper is None else merged(self.wrapper, wrapper)
+        if low is not None:
+            self.low = low if self.low is None else min(self.low, low)
+            self.high = high if self.high is None else max(self.high, high)
 
     def add(self, other: Host) -> None:
         self.pages += other.pages
         for k, n in other.mass.items():
             self.mass[k] = self.mass.get(k, 0) + n
-        if other.wrapper is not None:
-            self.wrapper = other.wrapper if self.wrapper is None else merged(self.wrapper, other.wrapper)
+        self._merge(other.wrapper, other.low, other.high)
 
     def to_json(self) -> str:
-        return json.dumps([self.wrapper, self.mass, self.pages], ensure_ascii=False)
+        return json.dumps([self.wrapper, self.mass, self.pages, self.low, self.high], ensure_ascii=False)
 
     @classmethod
     def from_json(cls, text: str) -> Host:
         return cls(*json.loads(text))
 
+    def constants(self) -> list[str]:
+        """The names of the texts that every page has, unless all pages are alike."""
+        out: set[str] = set()
+
+        def walk(items: list, path: str) -> None:
+            for label, optional, _, inner in items:
+                if optional:
+                    continue
+                if label:
+                    walk(inner, f"{path}/{label}" if path else label)
+                elif inner is not None:
+                    out.add(named(path, inner))
+
+        if self.wrapper is not None and not self.lone:
+            walk(self.wrapper[3], "")
+        return sorted(out)
+
     def main(self) -> str:
         """The path of the wrapper's element that holds the article.
 
         Of the articles (else of the main elements) the one with most text; without any, the
-        innermost element that holds nine tenths of the text outside what is set aside.
+        innermost element outside of which there are only constants, what is set aside, and links
+        that stand in no heading or paragraph.
         """
+        lone = self.lone
         found: dict[str, list[str]] = {"article": [], "main": []}
-        inner: dict[str, list[str]] = {}
 
         def walk(item: list, path: str) -> None:
             for child in item[3]:
-                if child[0] and not set_aside(child[0]):
+                if child[0] and not set_aside(child[0], lone):
                     own = f"{path}/{child[0]}" if path else child[0]
-                    tag = re.split(r"[.#@!]", child[0])[0]
+                    tag = tag_of(child[0])
                     kind = "article" if tag == "article" else "main" if tag == "main" or "@main" in child[0] else ""
                     if kind and self.mass.get(own):
                         found[kind].append(own)
-                    inner.setdefault(path, []).append(own)
                     walk(child, own)
 
-        if self.wrapper is not None:
-            walk(self.wrapper, "")
+        def varies(item: list, fixed: bool, prose: bool = False) -> bool:
+            label, optional, _, inner = item
+            fixed = fixed and not optional
+            if not label:
+                return lone or not fixed or inner is None
+            tag = tag_of(label)
+            if set_aside(label, lone) or lone and is_header(label) or tag == "a" and not prose:
+                return False
+            return any(varies(x, fixed, prose or tag in _HEADING) for x in inner)
+
+        if self.wrapper is None:
+            return ""
+        walk(self.wrapper, "")
         for kind in ("article", "main"):
             if found[kind]:
                 return max(found[kind], key=lambda p: (self.mass[p], -len(p), p))
-        path, most = "", max([0, *(self.mass.get(p, 0) for p in inner.get("", []))])
-        while steps := [p for p in inner.get(path, []) if 10 * self.mass.get(p, 0) >= 9 * most > 0]:
-            if re.split(r"[.#@!]", steps[0].rpartition("/")[2])[0] not in BLOCK:
+        path, items = "", [(x, True) for x in self.wrapper[3]]
+        while len(holding := {x[0] for x, fixed in items if varies(x, fixed)}) == 1:
+            label = holding.pop()
+            if tag_of(label) not in BLOCK:
                 break
-            path = steps[0]
+            path = f"{path}/{label}" if path else label
+            items = [(y, fixed and not x[1]) for x, fixed in items if x[0] == label for y in x[3]]
         return path
 
 
 # ---------------------------------------------------------------- reading
 
 
-def read_page(page: str, main: str) -> str | None:
-    """The main text of a page through the element at path ``main`` ("" for all); None if the page has no such element."""
+def read_page(page: str, main: str, constants: frozenset | set = frozenset(), lone: bool = True) -> tuple[str, bool]:
+    """The main text of a page through the element at path ``main`` ("" for all), and whether that fits the page.
+
+    Blocks of ``constants`` alone go.  It doesn't fit a page that lacks the element, or has more text
+    outside of it than inside, not counting constants, links and what is set aside.
+    """
     path: list[str] = []
+    paths = [""]
     blocks: list[str] = []
     run: list[str] = []
+    varying = False
     inside, aside, there = (1, 0, True) if not main else (0, 0, False)
+    links = within = without = 0
     wanted = main.split("/") if main else []
 
     def flush() -> None:
+        nonlocal varying
         if run:
-            if text := " ".join("".join(run).split()):
+            if (text := " ".join("".join(run).split())) and varying:
                 blocks.append(text)
             run.clear()
+        varying = False
 
     for kind, tag, value in events(page):
         if kind == "open":
             path.append(value)
+            paths.append(f"{paths[-1]}/{value}" if paths[-1] else value)
+            links += tag == "a"
             if not inside and len(path) == len(wanted) and path == wanted:
                 inside, there = len(path), True
-            elif aside or set_aside(value) or not wanted and is_header(value):
+            elif aside or set_aside(value, lone) or lone and not (inside and wanted) and is_header(value):
                 aside += 1
             if tag in BLOCK:
                 flush()
@@ -366,21 +436,31 @@ def read_page(page: str, main: str) -> str | None:
                 aside -= 1
             elif main and inside == len(path):
                 inside = 0
+            links -= tag == "a"
             path.pop()
+            paths.pop()
+        elif not aside and (text := " ".join(value.split())):
+            new = not constants or named(paths[-1], text) not in constants
+            if inside:
+                run.append(value)
+                varying = varying or new
+                within += len(text) * new
+            elif not links:
+                without += len(text) * new
         elif inside and not aside:
             run.append(value)
     flush()
-    return "\n".join(blocks) if there else None
+    return "\n".join(blocks), there
 
 
-def main_text(page: str, main: str) -> str:
+def main_text(page: str, main: str, constants: frozenset | set = frozenset(), lone: bool = True) -> str:
     """``read_page``, by the page's own wrapper where the host's doesn't fit."""
-    text = read_page(page, main)
-    if text is None:
+    text, fits = read_page(page, main, constants, lone)
+    if not fits:
         own = Host()
         own.add_page(page)
-        text = read_page(page, own.main())
-    return text or ""
+        text, _ = read_page(page, own.main(), constants, lone)
+    return text
 
 
 def host_of(url):
@@ -389,7 +469,11 @@ def host_of(url):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, pages, main, wrapper) per host of ``pages`` (url, html): all pages take part."""
+    """(host, pages, main, wrapper, lone, constants) per host of ``pages`` (url, html): all pages take part.
+
+    ``constants`` has the 16 digits each of the names of texts that every page has, ``lone`` says that
+    the pages don't differ.
+    """
     require(pages, "url", "html")
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,10 +503,14 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = [Host.from_json(x.as_py()) for x in batch.column(1)]
-            columns = [[h.pages for h in known], [h.main() for h in known], [expression(h.wrapper) for h in known]]
-            kinds = (pa.int64(), pa.string(), pa.string())
+            columns = [
+                [h.pages for h in known], [h.main() for h in known], [expression(h.wrapper) if h.wrapper else "" for h in known],
+                [h.lone for h in known], [" ".join(h.constants()) for h in known],
+            ]
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["host", "pages", "main", "wrapper"]
+                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                ["host", "pages", "main", "wrapper", "lone", "constants"],
             )
 
     parts = (
@@ -432,30 +520,36 @@ def wrappers(pages: DataFrame) -> DataFrame:
     )
     first = parts.repartition("host", "part").select("host", "known").mapInArrow(combine, "host string, known string")
     second = first.repartition("host").mapInArrow(combine, "host string, known string")
-    return second.mapInArrow(finish, "host string, pages long, main string, wrapper string")
+    return second.mapInArrow(finish, "host string, pages long, main string, wrapper string, lone boolean, constants string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) per row of ``pages`` (page_id, url, html): the whole page's main text.
 
     Character references are decoded, white space inside a block (line breaks included) is one
-    space, blocks are joined by a line feed in page order.  Null and empty pages, and pages without
+    space, blocks are joined by a line feed in page order.  A block whose texts are the same on every
+    page of the host goes.  Null and empty pages, and pages without
     an article, give the empty text.  Pages without a host share the wrapper of the host "".
     Repeated rows are read alike.  An empty table gives no rows.
     """
     require(pages, "page_id", "url", "html")
-    mains = materialize(wrappers(pages).select("host", "main"))
+    mains = materialize(wrappers(pages).select("host", "main", "lone", "constants"))
     if mains.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         mains = F.broadcast(mains)
     rows = (
         pages.select("page_id", "url", text_of("html").alias("html"), host_of(F.col("url")).alias("host"))
         .join(mains, "host", "left")
-        .select("page_id", "url", "html", F.coalesce("main", F.lit("")).alias("main"))
+        .select(
+            "page_id", "url", "html", F.coalesce("main", F.lit("")).alias("main"),
+            F.coalesce("lone", F.lit(True)).alias("lone"), F.coalesce("constants", F.lit("")).alias("constants"),
+        )
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named_by = lru_cache(maxsize=1000)(lambda text: frozenset(text.split()))
         for batch in batches:
-            texts = [main_text(page.as_py(), main.as_py()) for page, main in zip(batch.column(2), batch.column(3))]
+            rows = zip(batch.column(2), batch.column(3), batch.column(4), batch.column(5))
+            texts = [main_text(page.as_py(), main.as_py(), named_by(known.as_py()), lone.as_py()) for page, main, lone, known in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = dict(pages.dtypes)["page_id"]

@@ -233,6 +233,20 @@ def test_html_extraction(spark):
     assert row.pages == 3 and "#" in row.wrapper and "?" in row.wrapper
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def test_html_keeps_slots_and_drops_constants(spark):
+    """Pages of one outline: a notice of any class is constant over them, a section of a listed word isn't."""
+    frame = "<body><article><div class='box-7'>We use your data.</div><h1>Title {0}</h1><div class='social-history'><p>Then {0}</p></div><p>By <b>Ann {0}</b></p></article></body>"
+    pages = spark.createDataFrame([(k, "http://h.example/", frame.format(k)) for k in range(4)], PAGES)
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == {k: f"Title {k}\nThen {k}\nBy Ann {k}" for k in range(4)}
+    row = html.wrappers(pages).first()
+    assert "We use your data." in row.wrapper and "Title" not in row.wrapper
+    copies = spark.createDataFrame([(k, "http://h.example/", frame.format(0)) for k in range(2)], PAGES)  # nothing to tell by
+    assert {r.text for r in html.extract(copies).collect()} == {"We use your data.\nTitle 0\nBy Ann 0"}
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(8)
     texts = EDGES + ["w " * rng.randint(0, 40) for _ in range(300)]
