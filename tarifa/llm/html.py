@@ -450,7 +450,7 @@ def read_page(page: str, main: str, constants: frozenset | set = frozenset(), lo
         elif inside and not aside:
             run.append(value)
     flush()
-    return "\n".join(blocks), there
+    return "\n".join(blocks), there and without <= within
 
 
 def main_text(page: str, main: str, constants: frozenset | set = frozenset(), lone: bool = True) -> str:

@@ -247,6 +247,18 @@ def test_html_keeps_slots_and_drops_constants(spark):
     assert {r.text for r in html.extract(copies).collect()} == {"We use your data.\nTitle 0\nBy Ann 0"}
 
 
+def test_html_keeps_what_stands_beside_the_body(spark):
+    """Without an article element, and on pages of a template that few of a host's pages have."""
+    frame = "<body><div class='x'>Site</div><h1>Title {0}</h1><div id='b'><p>" + "word {0} " * 40 + "</p></div><p>End {0}</p></body>"
+    pages = spark.createDataFrame([(k, "http://h.example/", frame.format(k)) for k in range(4)], PAGES)
+    body = {k: " ".join([f"word {k}"] * 40) for k in range(4)}
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == {k: f"Title {k}\n{body[k]}\nEnd {k}" for k in range(4)}
+    most = [(k, "http://o.example/", f"<body><article><p>{body[0]} {k}</p></article></body>") for k in range(20)]
+    few = (20, "http://o.example/", f"<body><article><p>In short</p></article><div><article class='story'><p>{body[1]}</p></article></div></body>")
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame([*most, few], PAGES)).collect()}
+    assert found[20] == body[1] and found[3] == f"{body[0]} 3"
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(8)
     texts = EDGES + ["w " * rng.randint(0, 40) for _ in range(300)]
