@@ -60,6 +60,19 @@ def lines_of(text: str) -> Iterator[tuple[int, set[bytes]]]:
             yield k, words
 
 
+def parts_of(lines: Iterator[tuple[int, set[bytes]]]) -> Iterator[list[tuple[int, set[bytes]]]]:
+    """Lines in parts of at most ``CHUNK`` lines, each part cut once it has as many words: what ``Sets.arrays`` takes."""
+    part, n = [], 0
+    for k, words in lines:
+        part.append((k, words))
+        n += len(words)
+        if n > CHUNK or len(part) == CHUNK:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
 class Sets:
     """Sets of words as arrays; remembers the words' hashes."""
 
@@ -367,20 +380,19 @@ def with_words(docs: DataFrame, wanted: DataFrame, counts, id_col: str) -> DataF
         sets = Sets(counts.value)
         for batch in batches:
             for doc_id, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                numbers = {r["first_no"] for r in asked}
-                some = [(k, words) for k, words in lines_of(text.as_py()) if k in numbers]
-                if not some:
-                    continue
-                h, rank, begins, classes = sets.arrays([words for _, words in some])
-                h = h[np.argsort(rank)]
-                ids = classes.view(np.int64).tolist()
-                known = {(k, *c): w.view(np.int64) for (k, _), c, w in zip(some, ids, np.split(h, begins[1:]))}
-                rows = []
-                for r in asked:  # another document of the same id may lack the line
-                    if (found := known.get((r["first_no"], r["id_low"], r["id_high"]))) is not None:
-                        rows.append({**r, "size": len(found), "first_id": doc_id, "words": found})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=out)
+                by_line: dict[int, list[dict]] = {}
+                for r in asked:
+                    by_line.setdefault(r["first_no"], []).append(r)
+                for part in parts_of((k, words) for k, words in lines_of(text.as_py()) if k in by_line):
+                    h, rank, begins, classes = sets.arrays([words for _, words in part])
+                    h = h[np.argsort(rank)]
+                    rows = []
+                    for (k, _), own, w in zip(part, classes.view(np.int64).tolist(), np.split(h, begins[1:])):
+                        for r in by_line[k]:  # another document of the same id may have another line
+                            if own == [r["id_low"], r["id_high"]]:
+                                rows.append({**r, "size": len(w), "first_id": doc_id, "words": w.view(np.int64)})
+                    if rows:
+                        yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     i32, i64 = pa.int32(), pa.int64()
     out = pa.schema([("bucket", i32), ("deal", i64), ("size", i32), ("id_low", i64), ("id_high", i64), ("second", i32), ("first_id", i64), ("first_no", i32), ("words", pa.list_(i64))])

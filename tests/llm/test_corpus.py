@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -168,6 +169,23 @@ def test_line_dedup(spark, monkeypatch, block):
         assert (r.class_doc_id, r.class_line_no) == next((a, b) for a, b, v in lines if v == w)
 
 
+def test_words_of_a_very_long_document(spark):
+    """More lines asked of one document than ranks number."""
+    n = (1 << 18) + 5
+    text = "\n".join(f"a{k} b{k}" for k in range(n))
+    counts, cls = np.ones(line_dedup.SLOTS, np.uint32), []
+    for part in range(0, n, 1 << 17):
+        sets = [{b"a%d" % k, b"b%d" % k} for k in range(part, min(n, part + (1 << 17)))]
+        cls += line_dedup.Sets(counts).arrays(sets)[3].view(np.int64).tolist()
+    wanted = pa.table({"first_id": np.zeros(n, np.int64), "first_no": np.arange(n, dtype=np.int32), "bucket": np.zeros(n, np.int32), "deal": np.zeros(n, np.int64), "second": np.zeros(n, np.int32), "id_low": [c[0] for c in cls], "id_high": [c[1] for c in cls]})
+    found = line_dedup.with_words(docs_of(spark, [text]), spark.createDataFrame(wanted), spark.sparkContext.broadcast(counts), "doc_id").toArrow()
+    words = dict(zip(found["first_no"].to_pylist(), found["words"].to_pylist()))
+    assert len(words) == found.num_rows == n
+    signed = lambda w: line_dedup.hashes_of(w)[0] - (line_dedup.hashes_of(w)[0] >> 63 << 64)
+    for k in (0, 3, n // 2, n - 3, n - 1):
+        assert set(words[k]) == {signed(b"a%d" % k), signed(b"b%d" % k)}
+
+
 def test_importance_prefers_the_target(spark):
     rng = random.Random(4)
     good = lambda: " ".join(rng.choices(["river", "stone", "cloud", "tree"], k=30))
