@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from . import bpe, chat, exact_dedup, html, importance, line_dedup, mixing, quality, simhash, token_counts
 from .common import read
 
-#: Weights of the sources in turn, in code-point order.
-MIX_SCHEDULES = (mixing.constant(3), mixing.constant(1), mixing.constant(2))
+#: Schedules of the sources in turn, in code-point order: falling, flat and rising; they are mixed 3 : 1 : 2.
+MIX_SCHEDULES = (((0.0, 5.0), (1.0, 1.0)), mixing.constant(1), ((0.0, 1.0), (1.0, 3.0)))
+#: The same weights at an even pace, which is what the SQL of op10_mixing says of positions.
+EVEN_SCHEDULES = tuple(mixing.constant(mixing.integral(s)) for s in MIX_SCHEDULES)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +89,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's part in the mix and its training position."""
-    rows = mixing.mix(read(spark, sf_dir, "documents"), MIX_SCHEDULES)
+    rows = mixing.mix(read(spark, sf_dir, "documents"), EVEN_SCHEDULES)
     return rows.select(
         "doc.doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position")
     )

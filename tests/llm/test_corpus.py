@@ -303,6 +303,23 @@ def test_curriculum_inverts_its_integral(spark):
         assert abs(area / mixing.integral(ramp) - r.s) < 1e-9
 
 
+def test_pipeline_mixes_along_a_curriculum(spark):
+    """The first source's pace falls, the second's is even, the third's rises."""
+    import corpus_pipeline
+
+    assert [mixing.integral(s) for s in MIX_SCHEDULES] == [3, 1, 2]
+    docs = spark.createDataFrame([(k, "w " * 10, "abc"[k % 3]) for k in range(900)], "doc_id long, text string, source string")
+    area = (lambda t: 5 * t - 2 * t * t, lambda t: t, lambda t: t + t * t)
+    rows = mixing.placed(docs, MIX_SCHEDULES).collect()
+    for r in rows:
+        assert abs(area[r.schedule_id](r.position) / mixing.integral(MIX_SCHEDULES[r.schedule_id]) - r.begin / r.target) < 1e-9
+    order = [r.source for r in corpus_pipeline.mixed(spark, docs, "").collect()]
+    assert len(order) == sum(r.passes for r in rows)
+    early = Counter(order[: len(order) // 2])
+    whole = Counter(order)
+    assert early["a"] > 0.6 * whole["a"] and early["c"] < 0.4 * whole["c"]
+
+
 def test_quality_edges(spark):
     rows = {r.doc_id: r for r in quality.judge(docs_of(spark, EDGES)).collect()}
     assert len(rows) == len(EDGES)
