@@ -31,6 +31,17 @@ def test_fitted_models(spark):
     assert boosted.deviance_after < boosted.deviance_before
 
 
+def test_boosted_models_are_locked_and_tested(spark):
+    from tarifa.plans.queries import CATEGORIES, NUMERIC, _fitted
+
+    folder = needs_data("sf0.001")
+    prep, _ = _fitted(spark, folder)
+    assert (prep.numeric, prep.categorical) == (NUMERIC, CATEGORIES)
+    rows = {r.target: r for r in QUERIES["boosted_fit_scores"](spark, folder).collect()}
+    assert set(rows) == {"total_claims", "total_incurred"}
+    assert all(r.scale > 0 and r.deviance > 0 and r.rows > 0 and 0.5 < r.calibration_ratio < 2 and r.deviance_after < r.deviance_before for r in rows.values())
+
+
 def test_chain_finds_each_change(spark):
     rows = {r.sequence: r for r in QUERIES["event_chain_verify"](spark, needs_data("sf0.01")).collect()}
     assert [k for k, r in rows.items() if not r.hash_ok] == [5, 9] or sorted(k for k, r in rows.items() if not r.hash_ok) == [5, 9]
