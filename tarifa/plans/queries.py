@@ -291,18 +291,18 @@ def monitoring_snapshot(spark, sf_dir):
     return rounded(monitoring.snapshot(_requests(spark, sf_dir), last=200), rates=_RATES)
 
 
-def _alerts(spark, sf_dir) -> DataFrame:
+def _alerts(spark, sf_dir, last: int = monitoring.LAST) -> DataFrame:
     rows = _requests(spark, sf_dir).withColumnsRenamed({"latency_ms": "latency", "batch_size": "batch"})
     base = drift.numeric_baseline(rows.where("window_id < '2024-01-08'"), ("latency", "batch"))
     counts = drift.numeric_counts(rows, base, ("latency", "batch"), ("window_id",))
     psi = drift.feature_psi(counts, drift.as_buckets(base, None), ("window_id",))
     top = drift.largest(psi, ("latency", "batch"), ("window_id",))
-    snaps = monitoring.snapshot(_requests(spark, sf_dir), last=200).join(top, "window_id", "left")
+    snaps = monitoring.snapshot(_requests(spark, sf_dir), last=last).join(top, "window_id", "left")
     return monitoring.with_alerts(snaps, LIMITS)
 
 
 def monitoring_alerts(spark, sf_dir):
-    out = _alerts(spark, sf_dir).select("window_id", "max_psi", "max_psi_feature", *[f"alert_{a}" for a in monitoring.ALERTS], "alert_status")
+    out = _alerts(spark, sf_dir, 200).select("window_id", "max_psi", "max_psi_feature", *[f"alert_{a}" for a in monitoring.ALERTS], "alert_status")
     return rounded(out, rates=("max_psi",))
 
 

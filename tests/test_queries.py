@@ -42,6 +42,18 @@ def test_boosted_models_are_locked_and_tested(spark):
     assert all(r.scale > 0 and r.deviance > 0 and r.rows > 0 and 0.5 < r.calibration_ratio < 2 and r.deviance_after < r.deviance_before for r in rows.values())
 
 
+def test_reviews_see_the_last_5000_requests(spark, monkeypatch):
+    from tarifa.operators import monitoring
+    from tarifa.plans import queries
+
+    rows = spark.createDataFrame([("d", k, 1000.0 - k, False, 1, 0, 0.0, 0.0) for k in range(300)], "window_id string, seq long, latency_ms double, error boolean, batch_size long, unseen int, freq_log_ratio double, loss_log_ratio double")
+    assert [monitoring.snapshot(rows, n).first().latency_max for n in (50, 200, monitoring.LAST)] == [750.0, 900.0, 1000.0]
+    seen, real = [], monitoring.snapshot
+    monkeypatch.setattr(monitoring, "snapshot", lambda requests, last=monitoring.LAST: seen.append(last) or real(requests, last))
+    assert queries.review_lifecycle(spark, needs_data("sf0.01")).count() > 0
+    assert seen == [5000]
+
+
 def test_chain_finds_each_change(spark):
     rows = {r.sequence: r for r in QUERIES["event_chain_verify"](spark, needs_data("sf0.01")).collect()}
     assert [k for k, r in rows.items() if not r.hash_ok] == [5, 9] or sorted(k for k, r in rows.items() if not r.hash_ok) == [5, 9]
