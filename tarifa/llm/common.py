@@ -21,10 +21,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for reliable checkpoints: what the session names, else a local one (tests)."""
+    """The shared folder for reliable checkpoints that the session names; on one machine without one, a temporary folder."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -37,6 +39,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def firsts(rows: DataFrame, *key: str) -> DataFrame:
+    """``rows``, written once, with ``first_of_key``: true for exactly one row of each key, which is nobody's large task."""
+    rows = materialize(rows.withColumn("row_of_key", F.monotonically_increasing_id()))
+    least = rows.groupBy(*key).agg(F.min("row_of_key").alias("row_of_key")).select("row_of_key", F.lit(True).alias("first_of_key"))
+    return rows.join(least, "row_of_key", "left").withColumn("first_of_key", F.coalesce("first_of_key", F.lit(False))).drop("row_of_key")
+
+
 def text_of(column: str | Column = "text") -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

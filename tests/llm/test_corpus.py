@@ -150,40 +150,73 @@ def test_probing_loses_no_link(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def brute_lines(rows):
+    """Of (id, text) rows in order: (place, words, links, earliest place alike, removed) of their lines; nulls last."""
+    key = lambda i, n, k: (i is None, i or 0, n, k)
+    lines = sorted((key(i, n, k), i, k, frozenset(x.encode().split())) for n, (i, t) in enumerate(rows) for k, x in enumerate((t or "").split("\n")) if x.encode().split())
+    like = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    classes = {w for *_, w in lines}
+    links = {c: sum(like(c, d) for d in classes) - 1 for c in classes}
+    first = {}
+    for _, i, k, w in lines:
+        first.setdefault(w, (i, k))
+    return [(i, k, *first[w], links[w], any(like(w, v) for *_, v in lines[:n])) for n, (_, i, k, w) in enumerate(lines)]
+
+
+def line_rows(df):
+    return [(r.doc_id, r.line_no, r.class_doc_id, r.class_line_no, r.n_links, r.removed) for r in df.collect()]
+
+
+def texts_of_lines(rng, n):
+    line = lambda: " ".join(rng.sample("abcdefghijklmn", rng.randint(1, 9)))
+    return [None, "", "\n\n", "a b\nb a\n a  b "] + ["\n".join(line() for _ in range(5)) for _ in range(n)]
+
+
 @pytest.mark.parametrize("block", [2000, 8])
 def test_line_dedup(spark, monkeypatch, block):
+    """With a small block every frequent word goes the way of names that may be too frequent."""
     monkeypatch.setattr(line_dedup, "BLOCK", block)
-    rng = random.Random(2)
-    line = lambda: " ".join(rng.sample("abcdefghijklmn", rng.randint(1, 9)))
-    texts = [None, "", "\n\n", "a b\nb a\n a  b "] + ["\n".join(line() for _ in range(5)) for _ in range(60)]
-    lines = [(i, k, set(x.split())) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if x.split()]
-    like = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
-    classes = {frozenset(w) for _, _, w in lines}
-    links = {c: sum(like(c, d) for d in classes) - 1 for c in classes}
-    rows = {(r.doc_id, r.line_no): r for r in line_dedup.line_matches(docs_of(spark, texts)).collect()}
-    assert len(rows) == len(lines)
-    for n, (i, k, w) in enumerate(lines):
-        r = rows[i, k]
-        assert r.n_links == links[frozenset(w)]
-        assert r.removed == any(like(w, v) for _, _, v in lines[:n])
-        assert (r.class_doc_id, r.class_line_no) == next((a, b) for a, b, v in lines if v == w)
-
-
-def test_words_of_a_very_long_document(spark):
-    """More lines asked of one document than ranks number."""
-    n = (1 << 18) + 5
-    text = "\n".join(f"a{k} b{k}" for k in range(n))
-    counts, cls = np.ones(line_dedup.SLOTS, np.uint32), []
-    for part in range(0, n, 1 << 17):
-        sets = [{b"a%d" % k, b"b%d" % k} for k in range(part, min(n, part + (1 << 17)))]
-        cls += line_dedup.Sets(counts).arrays(sets)[3].view(np.int64).tolist()
-    wanted = pa.table({"first_id": np.zeros(n, np.int64), "first_no": np.arange(n, dtype=np.int32), "bucket": np.zeros(n, np.int32), "deal": np.zeros(n, np.int64), "second": np.zeros(n, np.int32), "id_low": [c[0] for c in cls], "id_high": [c[1] for c in cls]})
-    found = line_dedup.with_words(docs_of(spark, [text]), spark.createDataFrame(wanted), spark.sparkContext.broadcast(counts), "doc_id").toArrow()
-    words = dict(zip(found["first_no"].to_pylist(), found["words"].to_pylist()))
-    assert len(words) == found.num_rows == n
-    signed = lambda w: line_dedup.hashes_of(w)[0] - (line_dedup.hashes_of(w)[0] >> 63 << 64)
-    for k in (0, 3, n // 2, n - 3, n - 1):
-        assert set(words[k]) == {signed(b"a%d" % k), signed(b"b%d" % k)}
+    texts = texts_of_lines(random.Random(2), 60)
+    found = line_rows(line_dedup.line_matches(docs_of(spark, texts)))
+    assert sorted(found) == sorted(brute_lines(list(enumerate(texts))))
+
+
+def test_line_dedup_of_long_lines(spark, monkeypatch):
+    """Lines with bitmaps of several widths, near and far; tasks hand on what they gather in small parts."""
+    monkeypatch.setattr(line_dedup, "GATHERED", 50)
+    monkeypatch.setattr(line_dedup, "COUNTED", 300)
+    monkeypatch.setattr(line_dedup, "PART", 20)
+    monkeypatch.setattr(line_dedup, "SLICE", 3000)
+    rng, lines = random.Random(3), []
+    for n in (30, 99, 101, 190, 210, 390, 420, 900, 1700):
+        base = rng.sample(range(3000), n)
+        lines.append(base)
+        for _ in range(6):
+            gone = rng.randint(0, n // 8)
+            lines.append(base[gone:] + rng.sample(range(3000, 6000), rng.randint(0, n // 8)))
+    rng.shuffle(lines)
+    texts = ["\n".join(" ".join(f"w{x}" for x in y) for y in lines[k : k + 3]) for k in range(0, len(lines), 3)]
+    found = line_rows(line_dedup.line_matches(docs_of(spark, texts).repartition(3)))
+    assert sorted(found) == sorted(brute_lines(list(enumerate(texts))))
+
+
+def test_lines_of_repeated_and_null_ids_are_judged_apart(spark):
+    texts = ["alpha beta gamma delta", "unique line number one here", "alpha beta gamma delta", "one\ntwo", "one\ntwo", "two\n\nthree"]
+    ids = [1, 5, 5, None, None, None]
+    docs = docs_of(spark, texts, ids).coalesce(1)
+    assert sorted(map(str, line_rows(line_dedup.line_matches(docs)))) == sorted(map(str, brute_lines(list(zip(ids, texts)))))
+    left = sorted(str((r.doc_id, r.text)) for r in line_dedup.without_repeats(docs).collect())
+    assert left == sorted(map(str, [(1, texts[0]), (5, texts[1]), (5, ""), (None, texts[3]), (None, ""), (None, "\nthree")]))
+
+
+def test_lines_of_a_very_long_document(spark, monkeypatch):
+    """A document with more lines than are worked on at once."""
+    monkeypatch.setattr(line_dedup, "SLICE_LINES", 1000)
+    n = 20_000
+    text = "\n".join(f"a{k} b{k} c{k} d{k}" for k in range(n))
+    rows = line_rows(line_dedup.line_matches(docs_of(spark, [text, "x y\n" + text])))
+    assert len(rows) == 2 * n + 1 and sum(r[5] for r in rows) == n
+    assert all(r[2:4] == (0, r[1] - 1) for r in rows if r[0] == 1 and r[1])
 
 
 def test_importance_prefers_the_target(spark):
