@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +66,43 @@ def require(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+#: Bits a member of a bitmap of hashes, and its bits at most (a power of two: 32 MB).
+BITS_A_HASH, MOST_BITS = 32, 28
+
+
+def bitmap_of(hashes: DataFrame) -> np.ndarray:
+    """A bit for the leading bits of every hash of a one-column frame of longs: an array of at most 2**MOST_BITS bits.
+
+    It tells tasks which rows can't matter; more hashes than it has room for make it let more
+    rows through, never fewer.
+    """
+    n = hashes.count()
+    bits = min(max(16, math.ceil(math.log2(max(n, 1) * BITS_A_HASH))), MOST_BITS)
+    block = 1 << 16  # bits
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at // block).astype(np.int32)), pa.array((at % block).astype(np.int32))], ["block", "bit"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            blocks, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for b in np.unique(blocks).tolist():
+                known.setdefault(b, np.zeros(block, bool))[bit[blocks == b]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.int32()), pa.array([np.packbits(x).tobytes() for x in known.values()], pa.binary())], ["block", "bits"])
+
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    found = hashes.mapInArrow(positions, "block int, bit int").repartition("block").mapInArrow(fold, "block int, bits binary")
+    for r in found.toLocalIterator():
+        out[r.block * block // 8 : (r.block + 1) * block // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which unsigned hashes a bitmap lets through."""
+    at = hashes >> np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)
+    return bitmap[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1 == 1

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpoint_dir, firsts, materialize, require, text_of
+from .common import SPACE, bitmap_of, checkpoint_dir, firsts, in_bitmap, materialize, require, text_of
 
 #: Similarity as a fraction: intersection over union of 4/5.
 UP, DOWN = 4, 5
@@ -43,8 +43,6 @@ UP, DOWN = 4, 5
 LEAST_BITS, MOST_BITS = 16, 26
 #: Bits of names that a row of counts covers.
 NAME_BLOCK = 22
-#: Bits a class of the bitmap of wanted classes, and the bitmap's bits at most (a power of two: 32 MB).
-BITS_A_CLASS, MOST_WANTED = 32, 28
 #: Classes in a bucket or block at most, and pairs filtered at once.
 BLOCK, PAIRS = 2000, 1 << 20
 #: Classes a task remembers; beyond, it starts afresh.
@@ -52,7 +50,7 @@ CACHE = 1_000_000
 #: Bytes of text and lines worked on at once; a longer line is worked on alone.
 SLICE, SLICE_LINES = 4 << 20, 1 << 19
 #: Names whose counts a task keeps, and rows for buckets, before it hands them on.
-COUNTED, GATHERED = 4_000_000, 1_000_000
+COUNTED, GATHERED = 1_500_000, 500_000
 #: Rows of buckets a part is meant to have, and parts at most.
 PART, MOST_PARTS = 250_000, 20_000
 #: Words up to which a line's bitmap has 64 bits; twice as many for each doubling.
@@ -158,7 +156,8 @@ def lines_of(texts: pa.Array) -> Iterator[Lines]:
             line, code = key >> 32, key & 0xFFFFFFFF
             begins = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
             digest = xxhash.xxh3_128_digest
-            hashes = np.frombuffer(b"".join([digest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()]), "<u8").reshape(-1, 2)
+            vocabulary = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+            hashes = np.frombuffer(b"".join([digest(w) for w in vocabulary]), "<u8").reshape(-1, 2)
             yield Lines(doc[line[begins]], number[line[begins]], begins, code, hashes)
 
 
@@ -555,44 +554,16 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- words
 
 
-def bitmap_of(classes: DataFrame) -> np.ndarray:
-    """A bit for the leading bits of every class's ``id_low``: at most 2**MOST_WANTED bits."""
-    n = classes.count()
-    bits = min(max(16, math.ceil(math.log2(max(n, 1) * BITS_A_CLASS))), MOST_WANTED)
-    block = 1 << 16  # bits
-
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits))
-            yield pa.RecordBatch.from_arrays([pa.array((at // block).astype(np.int32)), pa.array((at % block).astype(np.int32))], ["block", "bit"])
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        for batch in batches:
-            blocks, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for b in np.unique(blocks).tolist():
-                known.setdefault(b, np.zeros(block, bool))[bit[blocks == b]] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.int32()), pa.array([np.packbits(x).tobytes() for x in known.values()], pa.binary())], ["block", "bits"])
-
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    found = classes.select("id_low").mapInArrow(positions, "block int, bit int").repartition("block").mapInArrow(fold, "block int, bits binary")
-    for r in found.toLocalIterator():
-        out[r.block * block // 8 : (r.block + 1) * block // 8] = np.frombuffer(r.bits, np.uint8)
-    return out
-
-
 def class_words(docs: DataFrame, wanted, levels) -> DataFrame:
     """(id_low, id_high, words) of the classes that the bitmap ``wanted`` lets through, from rare to frequent, once a class and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
         bitmap, table = wanted.value, levels.value
-        shift = np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)
         for batch in batches:
             for some in lines_of(batch.column(0)):
                 cls = some.classes()
-                at = cls[:, 0] >> shift
-                there = np.flatnonzero(bitmap[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1)
+                there = np.flatnonzero(in_bitmap(bitmap, cls[:, 0]))
                 if len(known) > CACHE:
                     known.clear()
                 there = np.array([k for k in there.tolist() if not ((c := cls[k].tobytes()) in known or known.add(c))], np.int64)
@@ -683,7 +654,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, Da
     asked = materialize(
         asked.select(*_CLASS, "bucket", "deal", "second", F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"), F.col("first.line_no").alias("first_no"))
     )
-    wanted = spark.sparkContext.broadcast(bitmap_of(asked.select(*_CLASS).distinct()))
+    wanted = spark.sparkContext.broadcast(bitmap_of(asked.select("id_low").distinct()))
     words = class_words(docs, wanted, levels).dropDuplicates(_CLASS)
     ready = words.join(asked, [*_CLASS]).withColumn("size", F.size("words"))
     found = (
