@@ -4,11 +4,13 @@
    memtable is verified byte by byte.  A full memtable flushes a sorted run of entries
    (digest, rows, longest text, smallest id), so a text with any number of copies leaves one entry
    per flush.
-2. Entries are dealt by digest.  Each partition keeps an index of sorted runs, each with a Bloom
-   filter; a new run looks its digests up in the older ones, and size-tiered compaction merges
-   runs, keeping per digest the longest text and, of those, the smallest id.
-3. Digests hit in different flushes are verified: the texts behind their entries are fetched and
-   grouped by their bytes.  Should texts differ under one digest, they end in classes of their own.
+2. Entries are dealt by digest to parts of a bounded number of entries.  Each part keeps an index of
+   sorted runs, each with a Bloom filter; a new run looks its digests up in the older ones, and
+   size-tiered compaction merges runs, keeping per digest the longest text and, of those, the
+   smallest id.
+3. Digests hit in different flushes are verified: tasks read the texts again, a bitmap of the hit
+   digests tells them which to send, once a flush, and these are grouped by their bytes.  Should
+   texts differ under one digest, they end in classes of their own.
 """
 
 from __future__ import annotations
@@ -21,16 +23,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize, require, text_of
+from .common import SPACES, bitmap_of, firsts, in_bitmap, materialize, require, text_of
 
 #: Bytes of text and number of digests at which a memtable is flushed.
 MEMTABLE_BYTES, MEMTABLE_ENTRIES = 32 << 20, 50_000
-#: Classes up to which they are broadcast (under 100 bytes each) rather than joined by a shuffle.
+#: Classes up to which they are broadcast (under 200 bytes each) rather than joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Stands for a null id: it sorts last and is given back as null.
 NO_ID = 2**63 - 1
 
-_ENTRY = "digest binary, n long, length long, id long"
+#: Entries that a part of the index is meant to have: under 100 bytes each.
+PART = 1_000_000
+
+_ENTRY = "digest binary, n long, length long, id long, ties long"
 _DROP = SPACES.encode()
 
 
@@ -45,21 +50,26 @@ def digest_of(text: Column, digest_bytes: int = 32) -> Column:
 
 
 class Memtable:
-    """Texts seen since the last flush: per digest, the distinct normalised texts with their rows."""
+    """Texts seen since the last flush: per digest, the distinct normalised texts with their rows.
+
+    An entry has the rows, the longest text's code points, the smallest id of a row with that many,
+    and how many rows have both.
+    """
 
-    def __init__(self, digest_bytes: int):
-        self.digest_bytes, self.rows, self.bytes = digest_bytes, {}, 0
+    def __init__(self, digest_bytes: int, texts: bool = False):
+        self.digest_bytes, self.rows, self.bytes, self.texts = digest_bytes, {}, 0, texts
 
-    def put(self, doc_id: int, text: str) -> None:
-        data = text.encode("utf-8", "surrogatepass").translate(None, _DROP)
-        same = self.rows.setdefault(hashlib.sha256(data).digest()[: self.digest_bytes], [])
-        length = len(text)
+    def put(self, doc_id: int, length: int, digest: bytes, data: bytes) -> None:
+        same = self.rows.setdefault(digest, [])
+        new = (-length, doc_id)
         for entry in same:
             if entry[0] == data:  # the hit is verified
                 entry[1] += 1
-                entry[2:] = min((entry[2], entry[3]), (-length, doc_id))
+                old = (entry[2], entry[3])
+                if new <= old:
+                    entry[2:] = [*new, entry[4] + 1 if new == old else 1]
                 return
-        same.append([data, 1, -length, doc_id])
+        same.append([data, 1, *new, 1])
         self.bytes += len(data) + 200
 
     def full(self) -> bool:
@@ -67,23 +77,30 @@ class Memtable:
 
     def flush(self) -> pa.RecordBatch:
         """The entries, sorted by digest; the memtable is empty afterwards."""
-        flat = [(d, e[1], -e[2], e[3]) for d in sorted(self.rows) for e in self.rows[d]]
+        flat = [(d, e[1], -e[2], e[3], e[4], e[0]) for d in sorted(self.rows) for e in self.rows[d]]
         self.rows, self.bytes = {}, 0
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        columns = list(zip(*flat)) or [()] * 4
+        kinds = (pa.binary(), *[pa.int64()] * 4, pa.string())[: 5 + self.texts]
+        columns = list(zip(*flat)) or [()] * 6
+        if self.texts:
+            columns[5] = [x.decode("utf-8", "surrogatepass") for x in columns[5]]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], ["digest", "n", "length", "id"]
+            [pa.array(c, k) for c, k in zip(columns, kinds)], ["digest", "n", "length", "id", "ties", "same"][: 5 + self.texts]
         )
 
 
-def flush_runs(digest_bytes: int):
-    """The map task of step 1, over batches of (id, text)."""
+def flush_runs(digest_bytes: int, wanted=None):
+    """The map task of step 1, over batches of (id, text); of step 3 with ``wanted``, a broadcast bitmap of digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Memtable(digest_bytes)
+        table = Memtable(digest_bytes, wanted is not None)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                table.put(doc_id, text.as_py())
+                text = text.as_py()
+                data = text.encode("utf-8", "surrogatepass").translate(None, _DROP)
+                digest = hashlib.sha256(data).digest()[:digest_bytes]
+                if wanted is not None and not in_bitmap(wanted.value, np.array([leading(digest)], np.uint64))[0]:
+                    continue
+                table.put(doc_id, len(text), digest, data)
                 if table.full():
                     yield table.flush()
         yield table.flush()
@@ -91,15 +108,22 @@ def flush_runs(digest_bytes: int):
     return run
 
 
-def fold(keys, n, length, ids, hit) -> tuple:
-    """Sort entries by key and fold equal keys: rows added up, the longest text's smallest id, any hit."""
+def leading(digest: bytes) -> int:
+    """The first 64 bits of a digest."""
+    return int.from_bytes(digest[:8].ljust(8, b"\0"), "big")
+
+
+def fold(keys, n, length, ids, ties, hit) -> tuple:
+    """Sort entries by key and fold equal keys: rows added up, the longest text's smallest id and its rows, any hit."""
     order = np.lexsort((ids, -length, keys))
-    keys, n, length, ids, hit = keys[order], n[order], length[order], ids[order], hit[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
-    count = np.diff(np.append(first, len(keys)))
+    keys, n, length, ids, ties, hit = (x[order] for x in (keys, n, length, ids, ties, hit))
     if not len(keys):
-        return keys, n, length, ids, hit
-    return keys[first], np.add.reduceat(n, first), length[first], ids[first], np.logical_or.reduceat(hit, first) | (count > 1)
+        return keys, n, length, ids, ties, hit
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    count = np.diff(np.append(first, len(keys)))
+    best = np.repeat(first, count)
+    ties = np.where((length == length[best]) & (ids == ids[best]), ties, 0)
+    return keys[first], np.add.reduceat(n, first), length[first], ids[first], np.add.reduceat(ties, first), np.logical_or.reduceat(hit, first) | (count > 1)
 
 
 class Run:
@@ -107,8 +131,8 @@ class Run:
 
     PROBES, BITS = 4, 12
 
-    def __init__(self, keys, n, length, ids, hit):
-        self.parts = keys, n, length, ids, hit
+    def __init__(self, keys, n, length, ids, ties, hit):
+        self.parts = keys, n, length, ids, ties, hit
         self.size = max(64, self.BITS * len(keys))
         bits = np.zeros(self.size, bool)
         for at in self._places(keys):
@@ -141,11 +165,11 @@ class MergeIndex:
     def __init__(self):
         self.levels: list[list[Run]] = []
 
-    def put(self, keys, n, length, ids) -> None:
-        keys, n, length, ids, hit = fold(keys, n, length, ids, np.zeros(len(keys), bool))
+    def put(self, keys, n, length, ids, ties) -> None:
+        keys, n, length, ids, ties, hit = fold(keys, n, length, ids, ties, np.zeros(len(keys), bool))
         for older in (r for level in self.levels for r in level):
             hit |= older.holds(keys)
-        self._add(0, Run(keys, n, length, ids, hit))
+        self._add(0, Run(keys, n, length, ids, ties, hit))
 
     def _add(self, level: int, run: Run) -> None:
         if level == len(self.levels):
@@ -172,13 +196,13 @@ def compact(digest_bytes: int):
         index = MergeIndex()
         for batch in batches:
             keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), f"S{digest_bytes}")
-            index.put(keys, *(batch.column(i).to_numpy() for i in (1, 2, 3)))
+            index.put(keys, *(batch.column(i).to_numpy() for i in (1, 2, 3, 4)))
         for part in [index.compacted()] if index.levels else []:
             keys = [k.ljust(digest_bytes, b"\0") for k in part[0].tolist()]
             for at in range(0, len(keys), 50_000):
                 cut = slice(at, at + 50_000)
                 columns = [pa.array(keys[cut], pa.binary()), *(pa.array(p[cut]) for p in part[1:])]
-                yield pa.RecordBatch.from_arrays(columns, ["digest", "n", "length", "id", "hit"])
+                yield pa.RecordBatch.from_arrays(columns, ["digest", "n", "length", "id", "ties", "hit"])
 
     return run
 
@@ -186,39 +210,31 @@ def compact(digest_bytes: int):
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:
     """The classes of equal texts that have two rows or more.
 
-    Columns: ``digest``, ``same`` (the normalised text, only where a digest has several classes),
-    ``group_size``, ``keep_id``.
+    Columns: ``digest``, ``variant`` (SHA-512 of the normalised text, only where a digest has several
+    classes), ``group_size``, ``keep_id`` and ``keep_length`` (of the row that stays), ``ties`` (rows
+    that have both).
     """
-    ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id")
-    entries = materialize(
-        docs.select(ids, text_of(text_col).alias("text"))
-        .mapInArrow(flush_runs(digest_bytes), _ENTRY)
-        .withColumn("entry", F.monotonically_increasing_id())
-    )
-    index = materialize(
-        entries.drop("entry").repartition("digest").mapInArrow(compact(digest_bytes), f"{_ENTRY}, hit boolean")
-    )
-    hits = index.where("hit").select("digest")
-    reps = materialize(entries.join(hits, "digest", "left_semi"))
-    texts = docs.select(ids, digest_of(text_of(text_col), digest_bytes).alias("digest"), normalised(text_of(text_col)).alias("same"))
-    if reps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        reps = F.broadcast(reps)
+    spark = docs.sparkSession
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(text_col).alias("text"))
+    entries = materialize(texts.mapInArrow(flush_runs(digest_bytes), _ENTRY))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // PART))
+    index = materialize(entries.repartition(parts, "digest").mapInArrow(compact(digest_bytes), f"{_ENTRY}, hit boolean"))
+    single = index.where("NOT hit").select("digest", F.lit(None).cast("string").alias("variant"), "n", "length", "id", "ties")
+    lead = F.conv(F.rpad(F.hex(F.substring("digest", 1, 8)), 16, "0"), 16, -10).cast("long")
+    wanted = spark.sparkContext.broadcast(bitmap_of(index.where("hit").select(lead)))
     verified = (
-        texts.join(reps, ["id", "digest"])
-        .groupBy("entry", "digest", "n", "length", "id").agg(F.min("same").alias("same"))  # repeated rows of one id
+        texts.mapInArrow(flush_runs(digest_bytes, wanted), f"{_ENTRY}, same string")
         .groupBy("digest", "same")
-        .agg(F.sum("n").alias("n"), F.max("length").alias("length"), F.min_by("id", F.struct(-F.col("length"), "id")).alias("id"))
-    )
-    verified = materialize(verified.select("digest", F.sha2("same", 512).alias("variant"), "same", "n", "id"))
-    split = verified.groupBy("digest").count().where("count > 1").select("digest")
-    split = materialize(split)
-    found = verified.join(split.withColumn("split", F.lit(True)), "digest", "left").select(
-        "digest", F.when(F.col("split"), F.col("same")).alias("same"), "n", "id"
+        .agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("length")).alias("shorter"), "id")).alias("best"))
     )
-    single = index.where("NOT hit").select("digest", F.lit(None).cast("string").alias("same"), "n", "id")
+    variant, length = F.sha2("same", 512).alias("variant"), (-F.col("best.shorter")).alias("length")
+    verified = materialize(verified.select("digest", variant, "n", length, F.col("best.id").alias("id")))
+    split = materialize(verified.groupBy("digest").count().where("count > 1").select("digest", F.lit(True).alias("split")))
+    found = verified.join(index.where("hit").select("digest", "ties"), "digest").join(split, "digest", "left")
+    found = found.select("digest", F.when(F.col("split"), F.col("variant")).alias("variant"), "n", "length", "id", F.when(F.col("split"), F.lit(2)).otherwise(F.col("ties")).alias("ties"))
     keep = F.when(F.col("id") != NO_ID, F.col("id")).alias("keep_id")
-    both = found.unionByName(single)
-    return materialize(both.where("n > 1 OR same IS NOT NULL").select("digest", "same", F.col("n").alias("group_size"), keep))
+    both = found.unionByName(single).where("n > 1 OR variant IS NOT NULL")
+    return materialize(both.select("digest", "variant", F.col("n").alias("group_size"), keep, F.col("length").alias("keep_length"), "ties"))
 
 
 def assign(
@@ -228,37 +244,43 @@ def assign(
     ``group_size``, ``kept``, ``digest``.
 
     Texts are equal if they are the same without white space; null counts as empty.  Of equal texts
-    the one with most code points stays, then the smallest id, null ids last.  Repeated rows (one
-    id, equal texts) are one document: each of them carries the same answer.  An empty table gives
-    no rows.
+    the row with most code points stays, then the one with the smallest id (a whole number), null ids
+    last; of rows that have both in common, repeated rows included, one stays, any.  So each class keeps
+    exactly one row, whatever ids repeat.  An empty table gives no rows.
     """
     require(docs, id_col, text_col)
     groups = classes(docs, id_col, text_col, digest_bytes)
+    text = text_of(text_col)
     rows = docs.select(
-        F.struct(*(keep or ["*"])).alias("doc"),
-        F.col(id_col).alias("id"),
-        digest_of(text_of(text_col), digest_bytes).alias("digest"),
-        text_of(text_col).alias("the_text"),
-    )
-    on = ["digest"]
-    if groups.where("same IS NOT NULL").isEmpty():
-        groups, rows = groups.drop("same"), rows.drop("the_text")
-    else:  # a digest with several texts: the join compares them
-        rows = rows.withColumn("the_text", normalised(F.col("the_text")))
-        on = [rows["digest"] == groups["digest"], groups["same"].isNull() | (groups["same"] == rows["the_text"])]
+        F.struct(*(keep or ["*"])).alias("doc"), F.col(id_col).cast("long").alias("id"), digest_of(text, digest_bytes).alias("digest"),
+        F.length(text).cast("long").alias("length"), F.sha2(normalised(text), 512).alias("own_variant"),
+    )
+    on = rows["digest"] == groups["digest"]
+    if groups.where("variant IS NOT NULL").isEmpty():
+        rows = rows.drop("own_variant")
+    else:  # a digest with several texts
+        on &= groups["variant"].isNull() | (groups["variant"] == rows["own_variant"])
+    no_ties = groups.where("ties > 1").isEmpty()
     if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         groups = F.broadcast(groups)
-    joined = rows.join(groups, on, "left")
     single = F.col("group_size").isNull()
-    return joined.select(
-        "doc",
-        F.when(single, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (single | F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-        rows["digest"].alias("digest"),
-    )
+    joined = rows.join(groups, on, "left").select(
+        "doc", F.when(single, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (single | F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("keep_length"))).alias("kept"), rows["digest"].alias("digest"),
+        "variant", F.coalesce("ties", F.lit(1)).alias("ties"),
+    )
+    out = ("doc", "keep_id", "group_size", "kept", "digest")
+    if no_ties:
+        return joined.select(*out)
+    tied = F.col("kept") & (F.col("ties") > 1)
+    one = firsts(joined.where(tied).withColumn("variant", F.coalesce("variant", F.lit(""))), "digest", "variant")
+    return joined.where(~tied).select(*out).unionByName(one.withColumn("kept", F.col("first_of_key")).select(*out))
 
 
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
+    """The rows of ``docs`` that ``assign`` keeps, with their columns: exactly one of each class of equal texts.
+
+    Null and empty texts are one class, repeated and null ids make no difference; an empty table gives
+    no rows.
+    """
     return assign(docs, **options).where("kept").select("doc.*")

@@ -107,9 +107,10 @@ OP5 = rf"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(translate(coalesce(text, ''), {_SPACES}, '')) AS s FROM documents
 ), k AS (
-  SELECT *, first_value(doc_id) OVER (PARTITION BY s ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY s) AS g FROM d
+  SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY s) AS g
+  FROM d WINDOW w AS (PARTITION BY s ORDER BY n DESC, doc_id NULLS LAST)
 )
-SELECT doc_id, keep_id, g AS group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, s AS text_sha256 FROM k
+SELECT doc_id, keep_id, g AS group_size, place = 1 AS kept, s AS text_sha256 FROM k
 """
 
 OP6 = rf"""
