@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialize, require, text_of
+from .common import firsts, materialize, require, text_of
 
 BITS = 64
 #: Fingerprints above which a bucket is divided, unless so few bits are free that it can't be large.
@@ -333,6 +334,11 @@ def near_duplicates(
 
     Copies share a fingerprint, and all work past the first pass is on distinct fingerprints.
     """
+    return _components(docs, radius, width, id_col, text_col).select("doc_id", "fp", "component_id")
+
+
+def _components(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``near_duplicates`` with ``root``, the smallest fingerprint of their component."""
     require(docs, id_col, text_col)
     rows = materialize(fingerprints(docs, id_col, text_col, width))
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
@@ -343,14 +349,44 @@ def near_duplicates(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     names = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialize(roots.join(names, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(roots.join(names, "root").select("fp", "root", "component_id"))
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def first_of_each(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``near_duplicates``, with the columns of ``docs``: the one of smallest id.
+
+    Null ids come last; of rows that share the id, the one of smallest fingerprint stays, and of those
+    (repeated rows included) one, any.  An empty table gives no rows.
+
+    Rows whose id is theirs alone are told by the id.  Rows of repeated and null ids are told by their
+    fingerprint, computed again where they lie.
+    """
+    found = materialize(_components(docs, radius, width, id_col, text_col))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp"))
+    best = materialize(found.groupBy("root").agg(first.alias("b")).select("b.doc_id", "b.fp"))
+    repeated = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    gone = found.where("doc_id IS NOT NULL").join(best.where("doc_id IS NOT NULL").withColumn("stays", F.lit(True)), ["doc_id", "fp"], "left")
+    gone = gone.where("stays IS NULL").select("doc_id").unionByName(repeated).distinct()
+    own_id = F.col(id_col)
+    alone = docs.where(own_id.isNotNull()).join(_broadcast_if_small(materialize(gone).select(F.col("doc_id").alias("gone_id"))), own_id == F.col("gone_id"), "left_anti")
+    if repeated.isEmpty() and found.where("doc_id IS NULL").isEmpty():
+        return alone
+    again = docs.join(_broadcast_if_small(repeated.select(F.col("doc_id").alias("repeated_id"))), own_id == F.col("repeated_id"), "left_semi")
+    again = again.unionByName(docs.where(own_id.isNull())).select(F.struct("*").alias("doc"), text_of(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [fingerprint(t.as_py(), width) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc", "fp"])
+
+    kinds = StructType([StructField("doc", docs.schema), StructField("fp", LongType())])
+    rows = again.mapInArrow(run, kinds).select("doc", "fp", F.col("doc")[id_col].alias("doc_id"))
+    known = _broadcast_if_small(best.select(F.col("doc_id").alias("best_id"), F.col("fp").alias("best_fp")))
+    rows = rows.join(known, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("fp") == F.col("best_fp")), "left_semi")
+    return alone.unionByName(firsts(rows, "doc_id", "fp").where("first_of_key").select("doc.*"))
 
 
-def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, with their columns; rows without an id stay."""
-    found = near_duplicates(docs, **options)
-    gone = materialize(found.where("doc_id != component_id").select("doc_id").distinct())
-    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti")
+def _broadcast_if_small(rows: DataFrame) -> DataFrame:
+    """A written table of ids, broadcast if it is small."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows

@@ -64,13 +64,46 @@ def test_exact_dedup(spark, digest_bytes):
     assert {r.doc.doc_id: (r.keep_id, r.group_size) for r in found.collect()} == brute_exact(enumerate(texts))
 
 
+REPEATED = [(3, "A b c d e"), (5, "A b c d e"), (5, "f g h i j"), (7, "x y"), (7, "x y"), (None, "n u l l"), (None, "n u l l"), (None, ""), (9, None), (5, "A bcd e "), (2, "q r s"), (2, "q rs")]
+
+
+@pytest.mark.parametrize("digest_bytes", [32, 1])
+def test_exact_dedup_keeps_one_row_of_each_text(spark, digest_bytes):
+    """Whatever ids repeat or are null."""
+    docs = docs_of(spark, [t for _, t in REPEATED], [i for i, _ in REPEATED])
+    rows = [(r.doc.doc_id, r.doc.text, r.keep_id, r.group_size, r.kept) for r in exact_dedup.assign(docs, digest_bytes=digest_bytes).collect()]
+    assert len(rows) == len(REPEATED)
+    kept = sorted(((i, t) for i, t, _, _, k in rows if k), key=str)
+    assert kept == sorted([(3, "A b c d e"), (5, "f g h i j"), (7, "x y"), (None, "n u l l"), (9, None), (2, "q r s")], key=str)
+    assert sorted(map(str, exact_dedup.distinct_documents(docs, digest_bytes=digest_bytes).select("doc_id", "text").collect())) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in kept)
+    assert {(i, n) for _, _, i, n, _ in rows} == {(3, 3), (5, 1), (7, 2), (None, 2), (9, 2), (2, 2)}
+
+
+def test_exact_dedup_by_shuffled_joins(spark, monkeypatch):
+    """Beyond the size of a broadcast, and with an index of many parts."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(exact_dedup, "PART", 10)
+    rng = random.Random(1)
+    texts = EDGES + [" ".join(rng.choices("abcd", k=rng.randint(1, 5))) for _ in range(300)]
+    found = exact_dedup.assign(docs_of(spark, texts).repartition(7))
+    assert {r.doc.doc_id: (r.keep_id, r.group_size) for r in found.collect()} == brute_exact(enumerate(texts))
+
+
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    """Whatever ids repeat or are null."""
+    docs = docs_of(spark, [t for _, t in REPEATED], [i for i, _ in REPEATED])
+    left = sorted(((r.doc_id, r.text) for r in simhash.first_of_each(docs).collect()), key=str)
+    assert left == sorted([(3, "A b c d e"), (5, "f g h i j"), (7, "x y"), (None, "n u l l"), (9, None), (2, "q r s"), (2, "q rs"), (5, "A bcd e ")], key=str)
+
+
 def test_merge_index_folds_runs():
     index, rng, want = exact_dedup.MergeIndex(), np.random.default_rng(3), Counter()
     for _ in range(30):
         keys = np.array([hashlib.sha256(bytes([x])).digest() for x in rng.integers(0, 200, 20)], "S32")
         want.update(keys.tolist())
-        index.put(keys, np.ones(20, int), np.zeros(20, int), np.arange(20))
-    keys, n, *_, hit = index.compacted()
+        index.put(keys, np.ones(20, int), np.zeros(20, int), np.arange(20), np.ones(20, int))
+    keys, n, _, ids, ties, hit = index.compacted()
+    assert all(1 <= t <= m for t, m in zip(ties.tolist(), n.tolist()))
     assert dict(zip(keys.tolist(), n.tolist())) == want
     assert hit.tolist() == [want[k] > 1 for k in keys.tolist()]
 
