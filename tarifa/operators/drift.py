@@ -4,21 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import MISSING, UNSEEN
 from ..functions.exprs import bin_index, number, psi_term
+from .quantiles import exact_quantiles
 
 DECILES = tuple(i / 10 for i in range(1, 10))
 
 
-def quantile(c: str, q: Sequence[float], exact: bool = True) -> Column:
-    """Aggregate: interpolated quantiles; ``exact=False`` uses a sketch whose size doesn't grow with the values."""
-    qs = F.array(*map(F.lit, q))
-    return F.percentile(c, qs) if exact else F.percentile_approx(c, qs, 100_000)
-
-
 def unpivot(df: DataFrame, features: Sequence[str], kind: str, keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., feature, value): a row per record and feature."""
     value = (lambda f: number(f)) if kind == "double" else (lambda f: F.col(f).cast("string"))
@@ -29,13 +24,18 @@ def unpivot(df: DataFrame, features: Sequence[str], kind: str, keep: Sequence[st
 def numeric_baseline(df: DataFrame, features: Sequence[str], exact: bool = True) -> DataFrame:
     """(feature, cuts, ordinal, expected): shares of training records by decile bin, the last one missing values.
 
-    Equal deciles collapse, so features have different numbers of bins.
+    Equal deciles collapse, so features have different numbers of bins; one without values has none.
+    ``exact=False`` uses a sketch whose size doesn't grow with the values.
     """
-    wide = df.select(*[number(f).alias(f) for f in features]).agg(*[quantile(f, DECILES, exact).alias(f) for f in features])
+    long = unpivot(df, features, "double")
+    if exact:
+        deciles = exact_quantiles(long, DECILES)
+    else:
+        deciles = long.groupBy("feature").agg(F.percentile_approx("value", F.array(*map(F.lit, DECILES)), 100_000).alias("q"))
+    names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, features))).alias("feature"))
     no_cuts = F.array().cast("array<double>")
-    cells = [F.struct(F.lit(f).alias("feature"), F.coalesce(F.array_sort(F.array_distinct(f)), no_cuts).alias("cuts")) for f in features]
-    cuts = wide.select(F.inline(F.array(*cells)))
-    counts = binned(unpivot(df, features, "double"), cuts).groupBy("feature", "ordinal").agg(F.count("*").alias("n"))
+    cuts = names.join(deciles, "feature", "left").select("feature", F.coalesce(F.array_sort(F.array_distinct("q")), no_cuts).alias("cuts"))
+    counts = binned(long, cuts).groupBy("feature", "ordinal").agg(F.count("*").alias("n"))
     bins = cuts.select("feature", "cuts", F.explode(F.sequence(F.lit(0), F.size("cuts") + 1)).alias("ordinal"))
     rows = bins.join(counts, ["feature", "ordinal"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = F.sum("n").over(Window.partitionBy("feature"))

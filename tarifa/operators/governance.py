@@ -38,7 +38,7 @@ def closer(pivot: DataFrame, reference: str, challenger: str) -> DataFrame:
 
 
 # The gates an approval uses; ``complexity`` is recorded beside them and decides nothing.
-DECIDING = ("frequency_improvement", "loss_improvement", "frequency_calibrated", "loss_calibrated", "transport_consistent", "tail_stable")
+DECIDING = ("locked_frequency", "locked_loss", "rolling_frequency", "rolling_loss", "transport_consistent", "lower_loss_deviance")
 RECORDED = (*DECIDING, "complexity")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..contracts import OFFLINE_FLOOR, TOTAL_EPS
 from ..functions.exprs import age_band, at_least, poisson_deviance, ratio, tweedie_deviance, weighted_mean
 from ..session import checkpointed
+from .quantiles import exact_quantiles
 
 
 def year_summary(df: DataFrame, year: str = "year", exact_ids: bool = True) -> DataFrame:
@@ -194,8 +195,8 @@ def reconciliation(parts: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def tail_thresholds(df: DataFrame, loss: str = "total_incurred", quantiles: Sequence[float] = (0.99, 0.995)) -> DataFrame:
-    """Exact quantiles of the positive losses: one row ``q0``, ``q1``, ..."""
-    q = df.where(F.col(loss) > 0).agg(F.percentile(loss, F.array(*map(F.lit, quantiles))).alias("q"))
+    """Exact quantiles of the positive losses: one row ``q0``, ``q1``, ..., null if there are none."""
+    q = exact_quantiles(df.where(F.col(loss) > 0).select(F.col(loss).alias("value")), quantiles, ()).agg(F.first("q").alias("q"))
     return q.select(*[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(len(quantiles))])
 
 

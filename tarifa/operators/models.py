@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import json
 import math
+import time
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from ..contracts import CATEGORICAL_FEATURES, NUMERIC_FEATURES, OFFLINE_FLOOR, ONLINE_FLOOR, SHADOW_ONLY
 from ..functions.exprs import number, unseen_warnings
 from ..session import checkpointed
+from .drift import unpivot
+from .quantiles import exact_quantiles
 
 #: The catalogue: name, target, role, estimator.
 CATALOGUE = (
@@ -27,6 +32,11 @@ CATALOGUE = (
     ("glm_loss", "pure_premium", "reference", "tweedie_glm"), ("xgb_loss", "pure_premium", "challenger", "boosted_tweedie"),
 )
 
+#: Levels of a category that become columns.
+MOST_LEVELS = 1000
+#: Depth of boosted trees, and trees of the catalogue's boosted models.
+DEPTH, TREES = 4, {"xgb_freq": 450, "xgb_loss": 500}
+
 
 @dataclass
 class Preprocessor:
@@ -41,18 +51,22 @@ class Preprocessor:
     levels: dict[str, list[str]] = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> Preprocessor:
-        """Two aggregations: medians, modes and levels, then moments of the imputed numbers.  Mode ties go to the smallest."""
-        if not (self.numeric or self.categorical):
-            return self
-        one = df.agg(
-            *[F.median(number(c)).alias(f"m_{c}") for c in self.numeric],
-            *[F.mode(F.col(c).cast("string"), True).alias(f"o_{c}") for c in self.categorical],
-            *[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(f"l_{c}") for c in self.categorical],
-        ).first()
-        self.medians = {c: one[f"m_{c}"] if one[f"m_{c}"] is not None else 0.0 for c in self.numeric}
-        self.modes = {c: one[f"o_{c}"] for c in self.categorical}
-        self.levels = {c: list(one[f"l_{c}"]) for c in self.categorical}
+        """Exact medians, counts of levels, then moments of the imputed numbers.  Mode ties go to the smallest.
+
+        A category of more than ``MOST_LEVELS`` levels is an error: every level becomes a column.
+        """
+        if self.categorical:
+            counts = unpivot(df, self.categorical, "string").where("value IS NOT NULL").groupBy("feature", "value").count()
+            most = MOST_LEVELS * len(self.categorical)
+            found = counts.limit(most + 1).collect()
+            by = {c: sorted((r["value"], r["count"]) for r in found if r.feature == c) for c in self.categorical}
+            if wide := [c for c, x in by.items() if len(x) > MOST_LEVELS] or ["together"] * (len(found) > most):
+                raise ValueError(f"categories of too many levels: {wide}")
+            self.levels = {c: [v for v, _ in x] for c, x in by.items()}
+            self.modes = {c: max(x, key=lambda y: y[1])[0] if x else None for c, x in by.items()}
         if self.numeric:
+            medians = {r.feature: r.q[0] for r in exact_quantiles(unpivot(df, self.numeric, "double"), (0.5,)).collect()}  # a row a feature
+            self.medians = {c: medians.get(c, 0.0) for c in self.numeric}
             two = df.agg(
                 *[F.avg(self.imputed(c)).alias(f"a_{c}") for c in self.numeric],
                 *[F.stddev_pop(self.imputed(c)).alias(f"s_{c}") for c in self.numeric],
@@ -90,6 +104,22 @@ class Glm:
         return F.exp(F.lit(self.intercept) + F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
 
 
+def weighted_total(rows: DataFrame, rate: str, weight: str):
+    """Sums of the weights and of the weighted rates; a partition without weight is an error, named as such."""
+    total = rows.agg(F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col(rate)).alias("wy")).first()
+    if not total.w or total.w <= 0:
+        raise ValueError("no rows with positive weight to fit on")
+    return total
+
+
+def scale_of(rows: DataFrame, target: str, weight: str, pred: Column) -> float:
+    """Actual over predicted total of a calibration year; a year without rows is an error."""
+    sums = rows.agg(F.sum(target).alias("a"), F.sum(pred * F.col(weight)).alias("p")).first()
+    if sums.a is None or sums.p is None:
+        raise ValueError("no rows to calibrate on")
+    return sums.a / max(sums.p, 1e-12)
+
+
 def fit_glm(rows: DataFrame, rate: str, weight: str, power: float, alpha: float = 1e-4, passes: int = 2, max_iter: int = 100) -> Glm:
     """Minimise sum(w * d / 2) / sum(w) + alpha / 2 * |b|^2 over ``features``, the intercept free.
 
@@ -98,8 +128,10 @@ def fit_glm(rows: DataFrame, rate: str, weight: str, power: float, alpha: float
     predictions add up to the target), by fixed point otherwise.  The label is divided by its weighted mean, which keeps the
     solver in range for sums of money.
     """
-    total = rows.agg(F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col(rate)).alias("wy")).first()
+    total = weighted_total(rows, rate, weight)
     mean = total.wy / total.w
+    if mean <= 0:
+        raise ValueError("a log-link model needs a positive total")
     scaled = rows.select("features", (F.col(rate) / mean).alias("label"), F.col(weight).alias("w"))
     own = alpha * mean ** (power - 2)  # the penalty in units of the divided label
     working, model = total.w, None  # sum of w * mu ** (2 - power) where mu = 1
@@ -115,74 +147,116 @@ def fit_glm(rows: DataFrame, rate: str, weight: str, power: float, alpha: float
 
 @dataclass
 class Booster:
-    """A fitted sum of trees: base score in logs, and per tree its leaves' values and the model that finds them."""
+    """A fitted sum of trees: base score in logs, and trees as arrays.
+
+    Node 0 is a tree's root; ``feature`` is -1 at a leaf; values of ``threshold`` or less go left.
+    """
 
     base: float
-    trees: list = field(default_factory=list)
+    trees: list[dict[str, list]] = field(default_factory=list)
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """Scores in logs of a matrix of features."""
+        out, rows = np.full(len(x), self.base), np.arange(len(x))
+        for t in self.trees:
+            feature, threshold, left, right, value = (np.array(t[k]) for k in ("feature", "threshold", "left", "right", "value"))
+            node = np.zeros(len(x), int)
+            while (inner := feature[node] >= 0).any():
+                low = x[rows, np.maximum(feature[node], 0)] <= threshold[node]
+                node = np.where(inner, np.where(low, left[node], right[node]), node)
+            out += value[node]
+        return out
+
+    def rate(self) -> Column:
+        """The mean as a column over ``features``, by Arrow batches."""
+        own = self
+
+        @F.pandas_udf("double")
+        def score(x: pd.Series) -> pd.Series:
+            return pd.Series(np.exp(own.margins(np.stack(x.to_numpy()))) if len(x) else np.zeros(0))
+
+        return score(vector_to_array("features"))
 
     def transform(self, rows: DataFrame, out: str = "prediction") -> DataFrame:
-        score = F.lit(self.base)
-        for k, (tree, values) in enumerate(self.trees):
-            rows = tree.transform(rows).drop("prediction")
-            score = score + F.coalesce(F.get(F.array(*map(F.lit, values)), F.col(f"leaf{k}").cast("int")), F.lit(0.0))
-        return rows.withColumn(out, F.exp(score)).drop(*[f"leaf{k}" for k in range(len(self.trees))])
+        return rows.withColumn(out, self.rate())
+
+
+def tree_arrays(tree, columns: Sequence[int], values: Sequence[float]) -> dict[str, list]:
+    """A Spark ML regression tree over some ``columns`` as the arrays of ``Booster``; ``values`` by leaf."""
+    out: dict[str, list] = {k: [] for k in ("feature", "threshold", "left", "right", "value")}
+    leaves = iter(values)
+
+    def add(node) -> int:
+        k = len(out["feature"])
+        leaf = node.getClass().getSimpleName() == "LeafNode"
+        for key, x in (("feature", -1 if leaf else columns[node.split().featureIndex()]), ("threshold", 0.0 if leaf else node.split().threshold()), ("left", -1), ("right", -1), ("value", next(leaves) if leaf else 0.0)):
+            out[key].append(x)
+        if not leaf:
+            out["left"][k], out["right"][k] = add(node.leftChild()), add(node.rightChild())
+        return k
+
+    add(tree._java_obj.rootNode())
+    return out
 
 
 def fit_booster(
-    rows: DataFrame, rate: str, weight: str, power: float, rounds: int = 20, depth: int = 4, learning_rate: float = 0.3,
-    reg_lambda: float = 1.0, min_child_weight: float = 5.0, subsample: float = 0.9, seed: int = 42,
+    rows: DataFrame, rate: str, weight: str, power: float, rounds: int = 20, depth: int = DEPTH, learning_rate: float = 0.3,
+    reg_lambda: float = 1.0, min_child_weight: float = 5.0, subsample: float = 0.9, colsample: float = 0.9, seed: int = 42,
 ) -> Booster:
     """Newton boosting of a log-link Poisson (power 1) or Tweedie (1 < power < 2) mean over ``features``.
 
-    Each round fits a regression tree to -gradient / hessian with hessian weights and sets leaves to
-    -G / (H + lambda) from one aggregation by leaf.  The running score is written out each round, so
-    the plan doesn't grow.
+    Each round fits a regression tree to -gradient / hessian with hessian weights, on a share of the
+    rows and of the features, and sets leaves to -G / (H + lambda) from one aggregation by leaf.  The
+    running score is written out each round, so the plan doesn't grow.
     """
-    data = rows.select("features", F.col(rate).alias("y"), F.col(weight).alias("w"))
-    total = data.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy")).first()
+    data = rows.select("features", F.col(rate).alias("y"), F.col(weight).alias("w")).where("w > 0")
+    total = weighted_total(data, "y", "w")
     out = Booster(math.log(max(total.wy / total.w, 1e-12)))
+    width, chosen = len(data.first()["features"]), np.random.default_rng(seed)
     state = data.withColumn("f", F.lit(out.base))
     for k in range(rounds):
         mu = F.exp("f")
         up, down = F.pow(mu, F.lit(2.0 - power)), F.col("y") * F.pow(mu, F.lit(1.0 - power))
         step = state.withColumns({"g": F.col("w") * (up - down), "h": F.col("w") * ((2 - power) * up + (power - 1) * down)})
         step = checkpointed(step.where("h > 0").withColumn("z", -F.col("g") / F.col("h")))
+        columns = sorted(chosen.choice(width, max(1, math.ceil(colsample * width)), replace=False).tolist())
+        step = VectorSlicer(inputCol="features", outputCol="some", indices=columns).transform(step)
         weight_sum = step.agg(F.sum("h")).first()[0] or 1.0
         sample = step.sample(subsample, seed + k) if subsample < 1 else step
         tree = DecisionTreeRegressor(
-            labelCol="z", weightCol="h", maxDepth=depth, leafCol=f"leaf{k}", seed=seed + k,
+            featuresCol="some", labelCol="z", weightCol="h", maxDepth=depth, leafCol="leaf", seed=seed + k,
             minWeightFractionPerNode=min(0.49, min_child_weight / weight_sum),
         ).fit(sample)
-        found = tree.transform(step).groupBy(f"leaf{k}").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # 2**depth rows
-        values = [0.0] * (1 + max(int(r[0]) for r in found))
+        found = tree.transform(step).groupBy("leaf").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # 2**depth rows
+        values = [0.0] * ((tree.numNodes + 1) // 2)
         for r in found:
-            values[int(r[0])] = -learning_rate * r.g / (r.h + reg_lambda)
-        out.trees.append((tree, values))
-        leaf = F.get(F.array(*map(F.lit, values)), F.col(f"leaf{k}").cast("int"))
+            values[int(r.leaf)] = -learning_rate * r.g / (r.h + reg_lambda)
+        out.trees.append(tree_arrays(tree, columns, values))
+        leaf = F.get(F.array(*map(F.lit, values)), F.col("leaf").cast("int"))
         state = tree.transform(step).select("features", "y", "w", (F.col("f") + leaf).alias("f"))
     return out
 
 
 @dataclass
 class Scorer:
-    """A sealed set of GLMs for batch scoring: one transform chain, no row-at-a-time code."""
+    """A sealed set of models for batch scoring: one transform chain, no row-at-a-time code."""
 
     prep: Preprocessor
-    models: dict[str, Glm]
+    models: dict[str, Glm | Booster]
     scales: dict[str, float]
     version: str = "1"
 
     def score(self, records: DataFrame) -> DataFrame:
-        """Rates of every model, log ratios of challenger to reference, and warnings."""
+        """Rates of every model, log ratios of challenger to reference where both are there, and warnings."""
         rows = self.prep.transform(records)
         rows = rows.withColumns(
             {m: F.greatest(g.rate(), F.lit(ONLINE_FLOOR)) * F.lit(self.scales.get(m, 1.0)) for m, g in self.models.items()}
         )
+        pairs = {"frequency": ("xgb_freq", "glm_freq"), "pure_premium": ("xgb_loss", "glm_loss")}
         return rows.withColumns(
-            {
+            {f"{n}_log_ratio": F.log(F.col(a) / F.col(b)) for n, (a, b) in pairs.items() if a in self.models and b in self.models}
+            | {
                 "model_version": F.lit(self.version), "governance_status": F.lit(SHADOW_ONLY),
-                "frequency_log_ratio": F.log(F.col("xgb_freq") / F.col("glm_freq")),
-                "pure_premium_log_ratio": F.log(F.col("xgb_loss") / F.col("glm_loss")),
                 "warnings": unseen_warnings(self.prep.categorical, self.prep.levels),
             }
         ).drop("features")
@@ -195,20 +269,29 @@ class Scorer:
         d = json.loads(text)
         prep = Preprocessor(**d["prep"])
         prep.numeric, prep.categorical = tuple(prep.numeric), tuple(prep.categorical)
-        return cls(prep, {m: Glm(**g) for m, g in d["models"].items()}, d["scales"], d["version"])
+        return cls(prep, {m: (Booster if "trees" in g else Glm)(**g) for m, g in d["models"].items()}, d["scales"], d["version"])
+
+
+def fit_model(name: str, rows: DataFrame, prep: Preprocessor, **options) -> Glm | Booster:
+    """A model of the catalogue fitted on rows with totals and exposure."""
+    kind = {n: k for n, _, _, k in CATALOGUE}[name]
+    target, power = ("total_claims", 1.0) if name.endswith("freq") else ("total_incurred", 1.5)
+    data = prep.transform(rows).withColumn("rate", F.col(target) / F.col("total_exposure"))
+    return (fit_booster if kind.startswith("boosted") else fit_glm)(data, "rate", "total_exposure", power, **options)
+
+
+def held(c: Column | str) -> Column:
+    """A rate held above the offline floor."""
+    return F.greatest(c, F.lit(OFFLINE_FLOOR))
 
 
 def locked_run(
     train: DataFrame, calibration: DataFrame, test: DataFrame, prep: Preprocessor, target: str, power: float, **options
 ) -> tuple[Glm, float, DataFrame]:
     """Fit on one year, lock the scale on the next, and score a third: (model, scale, test with ``pred``)."""
-    w = "total_exposure"
-    rate = F.col(target) / F.col(w)
-    glm = fit_glm(prep.transform(train).withColumn("rate", rate), "rate", w, power, **options)
-    floor = lambda c: F.greatest(c, F.lit(OFFLINE_FLOOR))
-    sums = prep.transform(calibration).agg(F.sum(target).alias("a"), F.sum(floor(glm.rate()) * F.col(w)).alias("p")).first()
-    scale = sums.a / max(sums.p, 1e-12)
-    return glm, scale, prep.transform(test).withColumn("pred", floor(floor(glm.rate()) * scale)).drop("features")
+    glm = fit_model("glm_freq" if power == 1 else "glm_loss", train, prep, **options)
+    scale = scale_of(prep.transform(calibration), target, "total_exposure", held(glm.rate()))
+    return glm, scale, prep.transform(test).withColumn("pred", held(held(glm.rate()) * scale)).drop("features")
 
 
 def rolling_windows(years: Sequence[int]) -> list[tuple[list[int], int]]:
@@ -223,3 +306,13 @@ def save_scorer(scorer: Scorer, spark: SparkSession, path: str) -> None:
 
 def load_scorer(spark: SparkSession, path: str) -> Scorer:
     return Scorer.from_json(spark.read.text(path, wholetext=True).first()[0])
+
+
+def complexity(models: dict[str, tuple[Glm | Booster, float]], rows: DataFrame) -> list[tuple[str, float, float, int]]:
+    """(model, fit_seconds, predict_seconds, bytes) of fitted models with the seconds their fits took, measured over ``rows`` with ``features``."""
+    out = []
+    for name, (model, fit_seconds) in models.items():
+        began = time.perf_counter()
+        rows.agg(F.sum(model.rate())).first()
+        out.append((name, fit_seconds, time.perf_counter() - began, len(json.dumps(asdict(model)))))
+    return out

@@ -3,53 +3,99 @@
 The draw is a Poisson(1) count from an integer hash of the row's key and the replicate, so the rows
 need no order and any engine reproduces it.  For large tables this is equivalent to drawing as many
 rows as there are with replacement.
+
+Rows are never multiplied by the replicates: each batch of rows gives a matrix of counts, the counts
+times the rows' terms add to the task's sums, and a task hands on one row per group and replicate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import exp, factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import TOTAL_EPS
-from ..functions.exprs import lcg
 
 MODULUS = (1 << 31) - 1
 #: Integer thresholds of the Poisson(1) distribution function, up to 7 draws.
 POISSON_STEPS = tuple(int(MODULUS * sum(exp(-1) / factorial(i) for i in range(k + 1))) for k in range(8))
-
-
-def draws(key: Column, rep: Column, seed: int) -> Column:
-    """How often replicate ``rep`` draws the row with integer ``key``."""
-    h = lcg(lcg(key, seed) + rep * 7919, seed + 1)
-    return sum(((h >= t).cast("int") for t in POISSON_STEPS[1:]), (h >= POISSON_STEPS[0]).cast("int"))
-
-
-def replicates(df: DataFrame, sums: dict[str, Column], key: Column, reps: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """Sums of each replicate: (by..., rep, one column per sum).  Only the key and the sums' terms are carried along."""
-    terms = [c.alias(f"t{i}") for i, c in enumerate(sums.values())]
-    rows = df.select(*by, key.alias("k"), *terms).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    rows = rows.withColumn("n", draws(F.col("k"), F.col("rep"), seed)).where("n > 0")
-    return rows.groupBy(*by, "rep").agg(*[F.sum(F.col("n") * F.col(f"t{i}")).alias(name) for i, name in enumerate(sums)])
-
-
-def deviance_differences(df: DataFrame, pairs: dict[str, tuple[Column, Column]], key: Column, reps: int = 250, seed: int = 2026) -> DataFrame:
-    """(rep, one column per pair): weighted mean deviance of the first less that of the second."""
+#: Counts drawn at once.
+CELLS = 1 << 20
+
+
+def mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """``exprs.lcg`` over an array of integers."""
+    step = x % MODULUS * 48271 + seed % MODULUS
+    step = (step % MODULUS * 69621 + 12345) % MODULUS
+    return (step * 39373 + 271828) % MODULUS
+
+
+def draws(keys: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
+    """How often each replicate draws each key: a row per key, a column per replicate."""
+    h = mixed(mixed(keys, seed)[:, None] + reps * 7919, seed + 1)
+    return np.searchsorted(np.array(POISSON_STEPS), h, "right").astype(np.float64)
+
+
+def replicates(df: DataFrame, sums: dict[str, Column], key: Column, reps: int, seed: int, groups: Column | None = None) -> DataFrame:
+    """Sums of each replicate: (group, rep, one column per sum), nulls left out.
+
+    ``key`` is an integer.  ``groups``: an array of the names of the groups that a row belongs to, of which
+    there are few; without it all rows are the group "".  A group that a replicate draws no row of has sums of 0.
+    """
+    names = [f"t{i}" for i in range(len(sums))]
+    terms = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in zip(names, sums.values())]
+    rows = df.select(key.cast("long").alias("k"), (F.array(F.lit("")) if groups is None else groups).alias("groups"), *terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str | None, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("k").to_numpy(zero_copy_only=False)
+            values = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], 1)
+            lists = batch.column("groups")
+            row = np.repeat(np.arange(batch.num_rows), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(int))
+            coded = lists.flatten().dictionary_encode(null_encoding="encode")
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            members = [(name, row[code == i]) for i, name in enumerate(coded.dictionary.to_pylist())]
+            step = max(1, CELLS // len(keys))
+            for at in range(0, reps, step):
+                n = draws(keys, np.arange(at, min(at + step, reps)), seed)
+                for name, own in members:
+                    if name not in totals:
+                        totals[name] = np.zeros((reps, len(names)))
+                    totals[name][at : at + n.shape[1]] += (n if len(own) == len(keys) else n[own]).T @ values[own]
+        for name, own in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * reps, pa.string()), pa.array(range(reps), pa.int32()), *map(pa.array, own.T.copy())], ["group", "rep", *names])
+
+    parts = rows.mapInArrow(run, ", ".join(["group string", "rep int", *[f"{n} double" for n in names]]))
+    return parts.groupBy("group", "rep").agg(*[F.sum(n).alias(name) for n, name in zip(names, sums)])
+
+
+def deviance_differences(
+    df: DataFrame, pairs: dict[str, tuple[Column, Column]], key: Column, reps: int = 250, seed: int = 2026, groups: Column | None = None
+) -> DataFrame:
+    """(group, rep, one column per pair): weighted mean deviance of the first less that of the second."""
     w = F.col("total_exposure")
     sums = {f"d_{name}": w * (a - b) for name, (a, b) in pairs.items()} | {"w": w}
-    return replicates(df, sums, key, reps, seed).select("rep", *[(F.col(f"d_{n}") / F.col("w")).alias(n) for n in pairs])
+    out = replicates(df, sums, key, reps, seed, groups)
+    return out.select("group", "rep", *[F.try_divide(F.col(f"d_{n}"), F.col("w")).alias(n) for n in pairs])
 
 
-def ratios(df: DataFrame, pred: Column, actual: Column, key: Column, by: Sequence[str], reps: int = 300, seed: int = 2026) -> DataFrame:
-    """(by..., rep, ratio): predicted over actual total of each replicate."""
-    sums = replicates(df, {"p": pred, "a": actual}, key, reps, seed, by)
-    return sums.select(*by, "rep", (F.col("p") / F.greatest("a", F.lit(TOTAL_EPS))).alias("ratio"))
+def ratios(df: DataFrame, models: dict[str, tuple[Column, Column]], key: Column, groups: Column, reps: int = 300, seed: int = 2026) -> DataFrame:
+    """(group, model, rep, ratio): predicted over actual total of each replicate; ``models`` maps a name to both."""
+    sums = {f"p_{m}": p for m, (p, _) in models.items()} | {f"a_{m}": a for m, (_, a) in models.items()}
+    found = replicates(df, sums, key, reps, seed, groups)
+    cells = [F.struct(F.lit(m).alias("model"), (F.col(f"p_{m}") / F.greatest(f"a_{m}", F.lit(TOTAL_EPS))).alias("ratio")) for m in models]
+    return found.select("group", "rep", F.inline(F.array(*cells)))
 
 
 def summary(frame: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean, 95 % interval and share above zero of the replicates."""
+    """Mean, 95 % interval and share above zero of the replicates, which are some hundreds a group."""
     return frame.groupBy(*by).agg(
         F.avg(value).alias("mean"), F.percentile(value, 0.025).alias("ci95_low"), F.percentile(value, 0.975).alias("ci95_high"),
         F.avg((F.col(value) > 0).cast("double")).alias("p_gt_0"),

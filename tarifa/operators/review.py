@@ -1,68 +1,48 @@
 """The review lifecycle: a state machine with hysteresis over a release's monitoring windows.
 
-``step`` is pure; the batch fold, the streaming fold and the tests all use it.  It recommends and
-never acts: nothing here changes prices, approvals or what is served.
+``step`` is pure; the batch fold, the streaming fold and the tests all use it.  The fold says which state
+follows; severity and the recommended action are column expressions.  It recommends and never acts.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
-from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Alerts by severity, and states.
-HIGH = frozenset({"error_rate", "unseen_category_rate", "frequency_disagreement", "pure_premium_disagreement"})
-MEDIUM = frozenset({"feature_drift", "p95_latency_ms"})
+HIGH = ("error_rate", "unseen_category_rate", "frequency_disagreement", "pure_premium_disagreement")
+MEDIUM = ("feature_drift", "p95_latency_ms")
 HEALTHY, WATCH, REVIEW, RECOVERING = "HEALTHY", "WATCH", "REVIEW_REQUIRED", "RECOVERING"
-BOUNDARY = "Recommendations only: nothing is priced, promoted, rolled back or served differently by this controller."
-
-
-def evidence(snapshot: dict, label: str) -> dict:
-    """The aggregate evidence of a monitoring snapshot: a flat record with a default for everything."""
-    latency, spread, drift = (snapshot.get(k, {}) for k in ("latency_ms", "disagreement", "feature_drift"))
-    names = ("service_version", "model_version", "governance_status", "privacy_boundary")
-    return {"label": label} | {k: snapshot.get(k) for k in names} | {
-        "request_count": int(snapshot.get("request_count", 0)),
-        "records_scored": int(snapshot.get("records_scored", 0)),
-        "error_rate": float(snapshot.get("error_rate", 0.0)),
-        "unseen_category_rate": float(snapshot.get("unseen_category_rate", 0.0)),
-        "p95_latency_ms": float(latency.get("p95", 0.0)),
-        "frequency_abs_log_ratio_p95": float(spread.get("frequency_abs_log_ratio_p95", 0.0)),
-        "pure_premium_abs_log_ratio_p95": float(spread.get("pure_premium_abs_log_ratio_p95", 0.0)),
-        "max_feature_psi": float(drift.get("max_psi", 0.0)),
-        "max_feature_psi_feature": drift.get("max_psi_feature"),
-        "feature_drift_alert_eligible": bool(drift.get("alert_eligible", False)),
-        "active_alerts": sorted(k for k, on in snapshot.get("alerts", {}).items() if on),
-    }
-
-
-def digest(record: dict) -> str:
-    """SHA-256 of a record as compact ASCII JSON with sorted keys."""
-    return hashlib.sha256(json.dumps(record, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
-
-
-def severity(alerts: Iterable[str]) -> str:
-    alerts = set(alerts)
-    return "HIGH" if alerts & HIGH else "MEDIUM" if alerts & MEDIUM else "NONE"
-
-
-def recommendation(alerts: Iterable[str]) -> str:
-    """What a required review should look into."""
-    alerts = set(alerts)
-    serving = bool(alerts & {"error_rate", "unseen_category_rate"})
-    model = bool(alerts & {"frequency_disagreement", "pure_premium_disagreement"})
-    rules = (
-        (serving and model, "INVESTIGATE_SERVING_DATA_AND_MODEL"),
-        (serving, "INVESTIGATE_SERVING_AND_INPUT_CONTRACT"),
-        (model, "REVIEW_MODEL_DISAGREEMENT"),
-        ("feature_drift" in alerts, "REVIEW_PORTFOLIO_MIX_AND_SEGMENT_CALIBRATION"),
-        ("p95_latency_ms" in alerts, "REVIEW_SERVING_PERFORMANCE"),
-    )
-    return next((name for holds, name in rules if holds), "CONTINUE_SHADOW")
+
+
+def any_of(alerts: Column | str, *names: str) -> Column:
+    """Whether an array of alerts has one of these."""
+    return F.arrays_overlap(alerts, F.array(*map(F.lit, names)))
+
+
+def severity(alerts: Column | str) -> Column:
+    return F.when(any_of(alerts, *HIGH), "HIGH").when(any_of(alerts, *MEDIUM), "MEDIUM").otherwise("NONE")
+
+
+def recommended_action(state: Column | str, alerts: Column | str) -> Column:
+    """What to do in a state; a required review says what to look into."""
+    state = F.col(state) if isinstance(state, str) else state
+    serving, model = any_of(alerts, "error_rate", "unseen_category_rate"), any_of(alerts, "frequency_disagreement", "pure_premium_disagreement")
+    return (
+        F.when(state == HEALTHY, "CONTINUE_SHADOW").when(state == WATCH, "OBSERVE_NEXT_WINDOW").when(state == RECOVERING, "VERIFY_RECOVERY")
+        .when(serving & model, "INVESTIGATE_SERVING_DATA_AND_MODEL").when(serving, "INVESTIGATE_SERVING_AND_INPUT_CONTRACT")
+        .when(model, "REVIEW_MODEL_DISAGREEMENT").when(any_of(alerts, "feature_drift"), "REVIEW_PORTFOLIO_MIX_AND_SEGMENT_CALIBRATION")
+        .when(any_of(alerts, "p95_latency_ms"), "REVIEW_SERVING_PERFORMANCE").otherwise("CONTINUE_SHADOW")
+    )
+
+
+def with_evidence(windows: DataFrame, *columns: str) -> DataFrame:
+    """``windows`` with ``evidence`` (JSON of ``columns``, in their order, nulls left out) and its SHA-256."""
+    out = windows.withColumn("evidence", F.to_json(F.struct(*columns)))
+    return out.withColumn("evidence_sha256", F.sha2("evidence", 256))
 
 
 @dataclass(frozen=True)
@@ -76,7 +56,7 @@ class Lifecycle:
     review_id: str | None = None
 
 
-def step(now: Lifecycle, alerts: Sequence[str], evidence_sha256: str, open_after: int = 2, close_after: int = 2) -> Lifecycle:
+def step(now: Lifecycle, alert: bool, evidence_sha256: str, open_after: int = 2, close_after: int = 2) -> Lifecycle:
     """The lifecycle after one more window.
 
     ``open_after`` windows with alerts in a row open a review; ``close_after`` green ones in a row
@@ -84,7 +64,7 @@ def step(now: Lifecycle, alerts: Sequence[str], evidence_sha256: str, open_after
     """
     n = now.sequence + 1
     under_review = now.state in (REVIEW, RECOVERING)
-    if alerts:
+    if alert:
         breaches = now.breaches + 1
         if under_review:
             return replace(now, state=REVIEW, breaches=breaches, greens=0, sequence=n)
@@ -97,62 +77,39 @@ def step(now: Lifecycle, alerts: Sequence[str], evidence_sha256: str, open_after
     return Lifecycle(HEALTHY, 0, 0, n, None if under_review or now.state == WATCH else now.review_id)
 
 
-def action(state: str, alerts: Sequence[str]) -> str:
-    return {HEALTHY: "CONTINUE_SHADOW", WATCH: "OBSERVE_NEXT_WINDOW", RECOVERING: "VERIFY_RECOVERY"}.get(state) or recommendation(alerts)
-
-
-def observe(now: Lifecycle, alerts: Sequence[str], evidence_sha256: str, label: str, **options: int) -> tuple[Lifecycle, dict]:
-    """The next lifecycle and the event that records the window."""
-    alerts = sorted(alerts)
-    after = step(now, alerts, evidence_sha256, **options)
-    return after, {
-        "sequence": after.sequence, "label": label, "state": after.state, "severity": severity(alerts),
-        "recommended_action": action(after.state, alerts), "active_alerts": alerts, "breach_streak": after.breaches,
-        "recovery_streak": after.greens, "review_id_before": now.review_id, "review_id_after": after.review_id,
-        "evidence_sha256": evidence_sha256,
-    }
-
-
-def replay(snapshots: Iterable[tuple[str, dict]], **options: int) -> list[dict]:
-    """The events of labelled snapshots in order, each with its evidence."""
-    now, out = Lifecycle(), []
-    for label, snapshot in snapshots:
-        record = evidence(snapshot, label)
-        now, event = observe(now, record["active_alerts"], digest(record), label, **options)
-        out.append(event | {"evidence": record})
-    return out
-
+FOLDED = (
+    "release_id string, sequence long, label string, state string, breach_streak long, recovery_streak long, "
+    "review_id_before string, review_id_after string"
+)
 
-def lifecycle_snapshot(events: list[dict], open_after: int = 2, close_after: int = 2) -> dict:
-    """The current state with its whole history."""
-    last = events[-1] if events else {}
-    return {
-        "state": last.get("state", HEALTHY), "review_id": last.get("review_id_after"),
-        "breach_streak": last.get("breach_streak", 0), "recovery_streak": last.get("recovery_streak", 0),
-        "open_after_breaches": open_after, "close_after_green": close_after, "events": list(events),
-        "automation_boundary": BOUNDARY,
-    }
 
-
-EVENT_SCHEMA = (
-    "release_id string, sequence long, label string, state string, severity string, recommended_action string, "
-    "active_alerts array<string>, breach_streak long, recovery_streak long, review_id_before string, review_id_after string, "
-    "evidence_sha256 string"
-)
+def folded(release_id: str, now: Lifecycle, rows: pd.DataFrame, **options: int) -> tuple[Lifecycle, pd.DataFrame]:
+    """The lifecycle after some windows (label, alert, evidence_sha256), and a row each."""
+    out = []
+    for r in rows.sort_values("label").itertuples():
+        after = step(now, bool(r.alert), r.evidence_sha256, **options)
+        out.append((release_id, after.sequence, r.label, after.state, after.breaches, after.greens, now.review_id, after.review_id))
+        now = after
+    return now, pd.DataFrame(out, columns=[c.split()[0] for c in FOLDED.split(", ")])
 
 
 def lifecycle(windows: DataFrame, open_after: int = 2, close_after: int = 2) -> DataFrame:
     """The events of every release's windows (release_id, label, active_alerts, evidence_sha256), by label.
 
-    A release has a row per monitoring window, so its group is small whatever the traffic; releases
-    run in parallel.
+    Labels are a release's own.  What is folded is a label, a flag and a hash per monitoring window, so a
+    group is small whatever the traffic; releases run in parallel.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        now, out = Lifecycle(), []
-        for r in rows.sort_values("label").itertuples():
-            now, event = observe(now, list(r.active_alerts), r.evidence_sha256, r.label, open_after=open_after, close_after=close_after)
-            out.append({"release_id": r.release_id} | event)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in EVENT_SCHEMA.split(", ")])
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return folded(key[0], Lifecycle(), rows, open_after=open_after, close_after=close_after)[1]
+
+    thin = windows.select("release_id", "label", (F.size("active_alerts") > 0).alias("alert"), "evidence_sha256")
+    events = thin.groupBy("release_id").applyInPandas(fold, FOLDED)
+    return described(events.join(windows.select("release_id", "label", "active_alerts", "evidence_sha256"), ["release_id", "label"]))
+
+
+def described(events: DataFrame) -> DataFrame:
+    """Folded windows with their alerts sorted, severity and recommended action."""
+    alerts = F.array_sort("active_alerts")
+    return events.withColumns({"active_alerts": alerts, "severity": severity("active_alerts"), "recommended_action": recommended_action("state", "active_alerts")})
 
-    return windows.groupBy("release_id").applyInPandas(fold, EVENT_SCHEMA)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..contracts import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES, PRIVACY_BOUNDARY, SHADOW_ONLY
+from ..operators.governance import DECIDING
 from ..operators.resample import MODULUS, POISSON_STEPS
 from ..sources.policy import COVERAGES, ROW_KEY
 
@@ -101,19 +102,33 @@ def _lcg(x: str, seed: int) -> str:
     return f"((({step} % {MODULUS} * 69621 + 12345) % {MODULUS}) * 39373 + 271828) % {MODULUS}"
 
 
-def _boot(seed: int) -> str:
+def _boot(rows: str, seed: int, reps: int) -> str:
+    """Tables ``b0`` (``rows`` with a key) and ``b2`` (with replicates and counts)."""
     h = _lcg(f"({_lcg('k', seed)}) + rep * 7919", seed + 1)
     n = " + ".join(f"(h >= {t})::INT" for t in POISSON_STEPS)
-    return f""", b0 AS (SELECT *, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey)::BIGINT AS k FROM v WHERE year = {TEST}),
-b1 AS (SELECT b0.*, rep, {h} AS h FROM b0, range(100) AS u(rep)), b2 AS (SELECT *, {n} AS n FROM b1)"""
+    return f""", b0 AS (SELECT *, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey)::BIGINT AS k FROM {rows}),
+b1 AS (SELECT b0.*, rep, {h} AS h FROM b0, range({reps}) AS u(rep)), b2 AS (SELECT *, {n} AS n FROM b1)"""
 
 
-_DRAWN = BASE + _boot(2026) + ", f AS (SELECT rep, " + ", ".join(
-    f"sum(n * total_exposure * ({_unit(a, a)} - {_unit(b, b)})) / sum(n * total_exposure) AS {name}"
-    for name, a, b in (("frequency", "glm_freq", "xgb_freq"), ("loss", "glm_loss", "xgb_loss"))
-) + " FROM b2 WHERE n > 0 GROUP BY rep), ci AS (" + " UNION ALL ".join(
-    f"SELECT '{x}' AS pair, avg({x}) AS mean, quantile_cont({x}, 0.025) AS low, quantile_cont({x}, 0.975) AS high, avg(({x} > 0)::INT) AS p FROM f" for x in ("frequency", "loss")
-) + ")"
+_PAIRS = (("frequency", "glm_freq", "xgb_freq"), ("loss", "glm_loss", "xgb_loss"))
+_DIFFERENCES = ", ".join(f"sum(n * total_exposure * ({_unit(a, a)} - {_unit(b, b)})) / sum(n * total_exposure) AS {name}" for name, a, b in _PAIRS)
+
+
+def _interval(x: str) -> str:
+    return f"avg({x}) AS mean, quantile_cont({x}, 0.025) AS low, quantile_cont({x}, 0.975) AS high, avg(({x} > 0)::INT) AS p"
+
+
+_DRAWN = (
+    _boot(f"(SELECT * FROM v WHERE year = {TEST})", 2026, 250) + f", f AS (SELECT rep, {_DIFFERENCES} FROM b2 GROUP BY rep), ci AS ("
+    + " UNION ALL ".join(f"SELECT '{x}' AS pair, {_interval(x)} FROM f" for x, *_ in _PAIRS) + ")"
+)
+_WINDOWS = (
+    _boot(f"(SELECT * FROM v WHERE year IN ({CALIBRATION}, {TEST}))", 2026, 200).replace("b0", "w0").replace("b1", "w1").replace("b2", "w2")
+    + f", wf AS (SELECT year, rep, {_DIFFERENCES} FROM w2 GROUP BY year, rep), wci AS ("
+    + " UNION ALL ".join(f"SELECT year AS test_year, '{x}' AS target, {_interval(x)} FROM wf GROUP BY year" for x, *_ in _PAIRS) + ")"
+)
+_ROUNDED = "round(mean, 6) AS mean, round(low, 6) AS ci95_low, round(high, 6) AS ci95_high, round(p, 6) AS p_gt_0"
+_SEGMENT = "unnest(list_filter(['all', CASE WHEN seen THEN 'seen' ELSE 'unseen' END, 'business_' || business_type], lambda x: x IS NOT NULL)) AS segment"
 
 
 def _cuts(rows: str, features: tuple[str, ...]) -> str:
@@ -155,7 +170,7 @@ psi AS (SELECT {keys}feature, sum((a1 - e1) * ln(a1 / e1)) AS psi FROM pe GROUP
 
 
 _NUMERIC, _CATEGORIES = ("driver_age", "vehicle_value", "seats"), ("business_type", "vehicle_brand", "policy_type")
-_TRAINED = BASE + f", tr AS (SELECT * FROM v WHERE year = {TRAIN}), nw AS (SELECT * FROM v WHERE year = {TEST} AND driver_age > 10)"
+_TRAINED = BASE + f", tr AS (SELECT * FROM v WHERE year = {TRAIN}), nw AS (SELECT * FROM v WHERE year = {TEST})"
 _FEATURE_PSI = _TRAINED + _numeric_base("tr", _NUMERIC) + _categorical_base("tr", _CATEGORIES) + f""",
 an AS ({_long('nw', _NUMERIC, 'DOUBLE')}), al AS ({_long('nw', _CATEGORIES, 'VARCHAR')}),
 ex AS (SELECT feature, ordinal::VARCHAR AS bucket, expected FROM nb UNION ALL SELECT feature, bucket, expected FROM cb),
@@ -175,7 +190,7 @@ _EVENTS = """WITH e AS (
          quantile_cont(batch::DOUBLE, 0.5) AS batch_median, quantile_cont(batch::DOUBLE, 0.95) AS batch_p95, max(batch) AS batch_max,
          quantile_cont(fr, 0.5) AS frequency_p50, quantile_cont(fr, 0.95) AS frequency_p95,
          quantile_cont(lo, 0.5) AS pure_premium_p50, quantile_cont(lo, 0.95) AS pure_premium_p95
-  FROM k WHERE k <= 200 GROUP BY ALL
+  FROM k WHERE k <= 5000 GROUP BY ALL
 ), sn AS (
   SELECT c.*, coalesce(error_count / nullif(request_count, 0)::DOUBLE, 0) AS error_rate,
          coalesce(unseen_warning_records / nullif(records_scored, 0)::DOUBLE, 0) AS unseen_category_rate, w.* EXCLUDE (window_id)
@@ -186,19 +201,21 @@ _ALERT = ("error_rate > 0.2", "unseen_category_rate > 0.06", "latency_p95 > 472"
 _ALERT_NAMES = ("error_rate", "unseen_category_rate", "p95_latency_ms", "frequency_disagreement", "pure_premium_disagreement", "feature_drift")
 
 
-def _gap(m: str) -> str:
-    return f"abs({_cal(m + '_locked', _MODELS[m])} - 1)"
+_HIGH = _ALERT_NAMES[:2] + _ALERT_NAMES[3:5]
+_ALERTED = _EVENTS + ", tr AS (SELECT * FROM e WHERE right(window_id, 10) < '2024-01-08')" + _numeric_base("tr", ("latency", "batch")) + f""",
+an AS ({_long('e', ('latency', 'batch'), 'DOUBLE', 'window_id, ')}), ex AS (SELECT feature, ordinal::VARCHAR AS bucket, expected FROM nb),
+ac AS (SELECT window_id, feature, ({_BIN})::VARCHAR AS bucket, count(*) AS n FROM an JOIN cuts USING (feature) GROUP BY ALL)""" + _psi("window_id, ") + """,
+tp AS (SELECT window_id, max(psi) AS max_psi, first(feature ORDER BY psi DESC, feature = 'batch') AS max_psi_feature FROM psi GROUP BY ALL), al AS (
+  SELECT sn.window_id, request_count, error_count, records_scored, unseen_warning_records, max_psi, max_psi_feature, """ + ", ".join(f"{a} AS alert_{n}" for a, n in zip(_ALERT, _ALERT_NAMES)) + ", CASE WHEN " + " OR ".join(f"({a})" for a in _ALERT) + " THEN 'RED' ELSE 'GREEN' END AS alert_status FROM sn LEFT JOIN tp USING (window_id))"
+_RELEASED = "WITH RECURSIVE " + _ALERTED.removeprefix("WITH ").replace("strftime(ts, '%Y-%m-%d') AS window_id", "'r' || event_id % 4 || '|' || strftime(ts, '%Y-%m-%d') AS window_id")
 
 
 def _band(x: str, low: float = 0.9, high: float = 1.1) -> str:
     return f"{x} BETWEEN {low} AND {high}"
 
 
-_GATES = {
-    "frequency_improvement": f"{_gap('xgb_freq')} < {_gap('glm_freq')}", "loss_improvement": f"{_gap('xgb_loss')} < {_gap('glm_loss')}",
-    "frequency_calibrated": _band(_cal("xgb_freq_locked", "total_claims")), "loss_calibrated": _band(_cal("xgb_loss_locked", "total_incurred")),
-    "transport_consistent": _band(_cal("glm_freq_locked", "total_claims")), "tail_stable": "max(total_incurred) < 0.2::DOUBLE * sum(total_incurred)",
-}
+#: Fitted numbers of each model: a coefficient per feature and an intercept, or 31 a tree of depth 4.
+_TERMS = {"glm_freq": len(FEATURES) + 1, "xgb_freq": 450 * 31, "glm_loss": len(FEATURES) + 1, "xgb_loss": 500 * 31}
 _COVERAGE = f""", cv AS (
   SELECT c.coverage, CASE WHEN k = 1 THEN total_exposure / 2 ELSE total_exposure END AS exposure, total_premium AS premium, total_claims AS claims, total_incurred AS incurred
   FROM v JOIN (VALUES {', '.join(f"({k}, '{c}')" for k, c in enumerate(COVERAGES, 1))}) AS c(k, coverage) ON line_no = k WHERE year = {TEST}
@@ -228,26 +245,61 @@ SELECT coverage, covered_rows, round(e, 2) AS covered_exposure, round(c, 2) AS c
     "tail_sensitivity": LOCKED + _TAIL + " " + " UNION ALL ".join(f"SELECT '{m}' AS model, '{s}' AS subset, count(*) AS \"rows\", round(sum(total_exposure * {_tweedie('(total_incurred / total_exposure)', m)}) / sum(total_exposure), 6) AS tweedie_deviance, round({_cal(m, 'total_incurred')}, 6) AS calibration_ratio, round(avg(abs({m} * total_exposure - total_incurred)), 6) AS mean_absolute_error FROM t, q WHERE {c}" for m in ("glm_loss_locked", "xgb_loss_locked") for s, c in (("all", "true"), ("without_top_05pct", "total_incurred < q1"), ("without_top_1pct", "total_incurred < q0"))),
     "transport_points": _POINTS + ' SELECT segment, model, n AS "rows", round(point, 6) AS point FROM pt',
     "transport_pivot": _POINTS + ", pv AS (SELECT segment, " + ", ".join(f"max(point) FILTER (model = '{m}_locked') AS {m}_locked" for m in _MODELS) + " FROM pt GROUP BY segment) SELECT segment, " + ", ".join(f"round({m}_locked, 6) AS {m}_locked" for m in _MODELS) + ", CASE WHEN abs(xgb_freq_locked - 1) < abs(glm_freq_locked - 1) THEN 'xgb_freq_locked' ELSE 'glm_freq_locked' END AS closer FROM pv",
-    "bootstrap_deviance_ci": _DRAWN + " SELECT pair, round(mean, 6) AS mean, round(low, 6) AS ci95_low, round(high, 6) AS ci95_high, round(p, 6) AS p_gt_0 FROM ci",
-    "bootstrap_ratio_ci": BASE + _boot(2027) + f", f AS (SELECT business_type, rep, {_ratio('sum(n * glm_freq * total_exposure)', 'sum(n * total_claims)')} AS x FROM b2 WHERE n > 0 GROUP BY ALL) SELECT business_type, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.025), 6) AS ci95_low, round(quantile_cont(x, 0.975), 6) AS ci95_high, round(avg((x > 0)::INT), 6) AS p_gt_0 FROM f GROUP BY business_type",
+    "bootstrap_deviance_ci": BASE + _DRAWN + f" SELECT pair, {_ROUNDED} FROM ci",
+    "bootstrap_ratio_ci": SEEN + _boot("s", 2027, 300) + f", g AS (SELECT *, {_SEGMENT} FROM b2), f AS (SELECT segment, rep, "
+    + ", ".join(f"{_ratio(f'sum(n * {m}_locked * total_exposure)', f'sum(n * {a})')} AS {m}" for m, a in _MODELS.items()) + " FROM g GROUP BY segment, rep), i AS ("
+    + " UNION ALL ".join(f"SELECT segment, '{m}_locked' AS model, {_interval(m)} FROM f GROUP BY segment" for m in _MODELS) + f") SELECT segment, model, {_ROUNDED} FROM i",
     "rolling_origin": BASE + f", y1 AS (SELECT * FROM v WHERE year = {CALIBRATION}), y2 AS (SELECT * FROM v WHERE year = {TEST}), d AS ("
     + " UNION ALL ".join(_deviances(r, "", f", (SELECT count(*) FROM v WHERE year IN ({y})) AS n_train, '{y}' AS train_years, {t} AS test_year") for r, y, t in (("y1", f"{TRAIN}", CALIBRATION), ("y2", f"{TRAIN},{CALIBRATION}", TEST)))
-    + f") SELECT model, target, round(deviance, 6) AS deviance, round(calibration_ratio, 6) AS calibration_ratio, n_train, train_years, test_year::INT AS test_year, {_band('calibration_ratio', 0.85, 1.15)} AS within_diagnostic_band FROM d",
-    "locked_gate": _DRAWN + LOCKED.removeprefix(BASE) + f", d AS ({_deviances('t', '_locked')}), j AS (SELECT d.target, calibration_ratio, round(low, 6) AS ci95_low, CASE WHEN {_band('calibration_ratio')} AND round(low, 6) > 0 THEN 'PASS' ELSE 'HOLD' END AS decision FROM d JOIN ci ON d.target = ci.pair WHERE model LIKE 'xgb%') SELECT target, round(calibration_ratio, 6) AS calibration_ratio, ci95_low, decision, CASE WHEN bool_and(decision = 'PASS') OVER () THEN 'PROMOTE' ELSE 'HOLD' END AS overall FROM j",
-    "approval_gates": LOCKED + ", g AS (SELECT " + ", ".join(f"{x} AS {k}" for k, x in _GATES.items()) + f" FROM t) SELECT *, false AS complexity, CASE WHEN {' AND '.join(_GATES)} THEN 'APPROVE_FOR_SHADOW' ELSE 'HOLD' END AS decision, '{SHADOW_ONLY}' AS governance_status FROM g",
+    + f"){_WINDOWS} SELECT model, target, round(deviance, 6) AS deviance, round(calibration_ratio, 6) AS calibration_ratio, n_train, train_years, test_year::INT AS test_year, {_band('calibration_ratio', 0.85, 1.15)} AS within_diagnostic_band, {_ROUNDED} FROM d JOIN wci USING (test_year, target)",
+    "locked_gate": LOCKED + _DRAWN + f", d AS ({_deviances('t', '_locked')}), j AS (SELECT d.target, calibration_ratio, round(low, 6) AS ci95_low, CASE WHEN {_band('calibration_ratio')} AND round(low, 6) > 0 THEN 'PASS' ELSE 'HOLD' END AS decision FROM d JOIN ci ON d.target = ci.pair WHERE model LIKE 'xgb%') SELECT target, round(calibration_ratio, 6) AS calibration_ratio, ci95_low, decision, CASE WHEN bool_and(decision = 'PASS') OVER () THEN 'PROMOTE' ELSE 'HOLD' END AS overall FROM j",
+    "approval_gates": _POINTS + _DRAWN + _WINDOWS + f""", d AS ({_deviances('t', '_locked')}), o AS (
+  SELECT segment, abs(max(point) FILTER (model = 'xgb_loss_locked') - 1) < abs(max(point) FILTER (model = 'glm_loss_locked') - 1) AS challenger FROM pt WHERE segment IN ('seen', 'unseen') GROUP BY segment
+), gt AS (SELECT """ + ", ".join(f"(SELECT bool_and(round(low, 6) > 0) FROM ci WHERE pair = '{x}') AS locked_{x}, (SELECT bool_and(low > 0) FROM wci WHERE target = '{x}') AS rolling_{x}" for x, *_ in _PAIRS)
+    + """, (SELECT count(DISTINCT challenger) = 1 FROM o) AS transport_consistent,
+  (SELECT max(deviance) FILTER (model = 'xgb_loss_locked') < max(deviance) FILTER (model = 'glm_loss_locked') FROM d) AS lower_loss_deviance)
+"""
+    + f"SELECT *, {_TERMS['xgb_loss'] > _TERMS['glm_loss']} AS complexity, CASE WHEN {' AND '.join(DECIDING)} THEN 'APPROVE_FOR_SHADOW' ELSE 'HOLD' END AS decision, '{SHADOW_ONLY}' AS governance_status FROM gt",
     "baseline_numeric": _TRAINED + _numeric_base("tr", _NUMERIC) + " SELECT feature, ordinal::INT AS ordinal, round(cuts[ordinal + 1], 6) AS cut, round(expected, 6) AS expected FROM nb",
     "baseline_categorical": _TRAINED + _categorical_base("tr", _CATEGORIES) + " SELECT feature, bucket, round(expected, 6) AS expected FROM cb",
     "feature_psi": _FEATURE_PSI + " SELECT feature, round(psi, 6) AS psi FROM psi",
     "largest_psi": _FEATURE_PSI + f" SELECT round(max(psi), 6) AS max_psi, first(feature ORDER BY psi DESC, list_position({list((*_NUMERIC, *_CATEGORIES))}, feature)) AS max_psi_feature FROM psi",
-    "unseen_category_rate": BASE + f", tr AS (SELECT * FROM v WHERE year = {TRAIN} AND driver_age = 1), f AS (SELECT {' OR '.join(f'coalesce({c} NOT IN (SELECT {c} FROM tr WHERE {c} IS NOT NULL), false)' for c in _CATEGORIES)} AS flagged FROM v WHERE year = {TEST}) SELECT count(*) AS \"rows\", count_if(flagged)::BIGINT AS flagged, round(count_if(flagged) / count(*)::DOUBLE, 6) AS rate FROM f",
+    "unseen_category_rate": BASE + f", tr AS (SELECT * FROM v WHERE year = {TRAIN}), te AS (SELECT * FROM v WHERE year = {TEST} UNION ALL SELECT * REPLACE ('NEVER_SEEN' AS vehicle_brand) FROM v WHERE year = {TEST}), f AS (SELECT {' OR '.join(f'coalesce({c} NOT IN (SELECT {c} FROM tr WHERE {c} IS NOT NULL), false)' for c in _CATEGORIES)} AS flagged FROM te) SELECT count(*) AS \"rows\", count_if(flagged)::BIGINT AS flagged, round(count_if(flagged) / count(*)::DOUBLE, 6) AS rate FROM f",
     "monitoring_snapshot": _EVENTS + f" SELECT window_id, request_count, error_count, records_scored, unseen_warning_records, batch_max, '{PRIVACY_BOUNDARY}' AS privacy_boundary, " + ", ".join(f"round({c}, 6) AS {c}" for c in _SHOWN) + " FROM sn",
-    "monitoring_alerts": _EVENTS + ", tr AS (SELECT * FROM e WHERE window_id < '2024-01-08')" + _numeric_base("tr", ("latency", "batch")) + f""",
-an AS ({_long('e', ('latency', 'batch'), 'DOUBLE', 'window_id, ')}), ex AS (SELECT feature, ordinal::VARCHAR AS bucket, expected FROM nb),
-ac AS (SELECT window_id, feature, ({_BIN})::VARCHAR AS bucket, count(*) AS n FROM an JOIN cuts USING (feature) GROUP BY ALL)""" + _psi("window_id, ") + """,
-tp AS (SELECT window_id, max(psi) AS max_psi, first(feature ORDER BY psi DESC, feature = 'batch') AS max_psi_feature FROM psi GROUP BY ALL), al AS (
-  SELECT sn.window_id, max_psi, max_psi_feature, """ + ", ".join(f"{a} AS alert_{n}" for a, n in zip(_ALERT, _ALERT_NAMES)) + " FROM sn LEFT JOIN tp USING (window_id)) SELECT * REPLACE (round(max_psi, 6) AS max_psi), CASE WHEN " + " OR ".join(f"alert_{n}" for n in _ALERT_NAMES) + " THEN 'RED' ELSE 'GREEN' END AS alert_status FROM al",
+    "monitoring_alerts": _ALERTED + " SELECT * EXCLUDE (request_count, error_count, records_scored, unseen_warning_records) REPLACE (round(max_psi, 6) AS max_psi) FROM al",
+    "review_lifecycle": _RELEASED + f""", rw AS MATERIALIZED (
+  SELECT split_part(window_id, '|', 1) AS release_id, split_part(window_id, '|', 2) AS label, list_sort(list_filter([{', '.join(f"CASE WHEN alert_{n} THEN '{n}' END" for n in _ALERT_NAMES)}], lambda x: x IS NOT NULL)) AS active,
+         sha256('{{"window_id":"' || window_id || '","request_count":' || request_count || ',"error_count":' || error_count || ',"records_scored":' || records_scored || ',"unseen_warning_records":' || unseen_warning_records || '}}') AS evidence_sha256,
+         row_number() OVER (PARTITION BY split_part(window_id, '|', 1) ORDER BY split_part(window_id, '|', 2)) AS n
+  FROM al
+), st AS (
+  SELECT release_id, 0::BIGINT AS n, 'HEALTHY' AS state, 0::BIGINT AS breaches, 0::BIGINT AS greens, NULL::VARCHAR AS before, NULL::VARCHAR AS after FROM rw GROUP BY release_id
+  UNION ALL
+  SELECT release_id, n, CASE WHEN alert AND (under OR breaches + 1 >= 2) THEN 'REVIEW_REQUIRED' WHEN alert THEN 'WATCH' WHEN under AND greens + 1 < 2 THEN 'RECOVERING' ELSE 'HEALTHY' END,
+         CASE WHEN alert THEN breaches + 1 ELSE 0 END, CASE WHEN NOT alert AND under AND greens + 1 < 2 THEN greens + 1 ELSE 0 END, after,
+         CASE WHEN alert AND (under OR breaches + 1 < 2) THEN after WHEN alert THEN coalesce(after, 'review-' || lpad(n::VARCHAR, 4, '0') || '-' || evidence_sha256[1:8])
+              WHEN under AND greens + 1 < 2 THEN after WHEN under OR state = 'WATCH' THEN NULL ELSE after END
+  FROM (SELECT st.state, st.breaches, st.greens, st.after, rw.release_id, rw.n, rw.evidence_sha256, len(rw.active) > 0 AS alert, st.state IN ('REVIEW_REQUIRED', 'RECOVERING') AS under FROM st JOIN rw ON rw.release_id = st.release_id AND rw.n = st.n + 1)
+)
+SELECT release_id, label, n AS sequence, state, breaches AS breach_streak, greens AS recovery_streak, before AS review_id_before, after AS review_id_after, array_to_string(active, ',') AS active_alerts, evidence_sha256,
+  CASE WHEN list_has_any(active, {list(_HIGH)}) THEN 'HIGH' WHEN len(active) > 0 THEN 'MEDIUM' ELSE 'NONE' END AS severity,
+  CASE WHEN state = 'HEALTHY' THEN 'CONTINUE_SHADOW' WHEN state = 'WATCH' THEN 'OBSERVE_NEXT_WINDOW' WHEN state = 'RECOVERING' THEN 'VERIFY_RECOVERY'
+       WHEN list_has_any(active, {list(_HIGH[:2])}) AND list_has_any(active, {list(_HIGH[2:])}) THEN 'INVESTIGATE_SERVING_DATA_AND_MODEL' WHEN list_has_any(active, {list(_HIGH[:2])}) THEN 'INVESTIGATE_SERVING_AND_INPUT_CONTRACT'
+       WHEN list_has_any(active, {list(_HIGH[2:])}) THEN 'REVIEW_MODEL_DISAGREEMENT' WHEN list_contains(active, 'feature_drift') THEN 'REVIEW_PORTFOLIO_MIX_AND_SEGMENT_CALIBRATION' ELSE 'REVIEW_SERVING_PERFORMANCE' END AS recommended_action
+FROM st JOIN rw USING (release_id, n)""",
+    "event_chain_verify": """WITH RECURSIVE d AS MATERIALIZED (
+  SELECT chain, seq, chain || '|' || d || ':' || count(*) AS payload FROM (SELECT 'r' || event_id % 4 AS chain, day(ts)::BIGINT AS seq, strftime(ts, '%Y-%m-%d') AS d FROM events) GROUP BY chain, seq, d
+), o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY seq) AS k FROM d), c AS (
+  SELECT chain, k, seq, payload, '' AS prev, sha256('|' || seq || '|' || payload) AS own FROM o WHERE k = 1
+  UNION ALL SELECT o.chain, o.k, o.seq, o.payload, c.own, sha256(c.own || '|' || o.seq || '|' || o.payload) FROM c JOIN o ON o.chain = c.chain AND o.k = c.k + 1
+), e AS (SELECT chain, seq, own, CASE WHEN seq = 5 THEN 'changed' ELSE payload END AS payload, CASE WHEN seq = 9 THEN 'changed' ELSE prev END AS prev FROM c)
+SELECT chain, seq AS sequence, row_number() OVER w = seq AS sequence_ok, coalesce(lag(own) OVER w, '') = prev AS link_ok, sha256(prev || '|' || seq || '|' || payload) = own AS hash_ok
+FROM e WINDOW w AS (PARTITION BY chain ORDER BY seq)""",
+    "artifact_differences": """WITH a AS (SELECT 'part/' || p_partkey AS path, sha256(p_name) AS sha256 FROM part WHERE p_partkey % 11 != 0),
+b AS (SELECT 'part/' || p_partkey AS path, sha256(CASE WHEN p_partkey % 7 = 0 THEN 'changed' ELSE p_name END) AS other_sha256 FROM part WHERE p_partkey % 13 != 0)
+SELECT path, sha256, other_sha256 FROM a FULL JOIN b USING (path) WHERE sha256 IS DISTINCT FROM other_sha256""",
     "disagreement_shift": _EVENTS + " SELECT " + ", ".join(f"round(b.{c}, 6) AS base_{c}, round(x.{c}, 6) AS cmp_{c}, round({_ratio('x.' + c, 'b.' + c)}, 6) AS {c}_ratio, x.{c} > greatest(1.5 * b.{c}, b.{c} + 0.10) AS {c}_alert" for c in ("frequency_p95", "pure_premium_p95")) + " FROM sn b, sn x WHERE b.window_id = '2024-01-01' AND x.window_id = '2024-01-15'",
-    "complexity_join": LOCKED + f", d AS ({_deviances('t', '_locked')}) SELECT model, target, round(deviance, 6) AS deviance, round(calibration_ratio, 6) AS calibration_ratio, CASE WHEN model LIKE 'xgb%' THEN 30.0::DOUBLE ELSE 1.0::DOUBLE END AS relative_cost FROM d",
+    "complexity_join": LOCKED + f", d AS ({_deviances('t', '_locked')}) SELECT model, target, round(deviance, 6) AS deviance, round(calibration_ratio, 6) AS calibration_ratio, CASE model " + " ".join(f"WHEN '{m}_locked' THEN {n}" for m, n in _TERMS.items()) + " END::BIGINT AS terms FROM d",
     "parity_audit": "WITH x AS (" + " UNION ALL ".join(f"SELECT p_partkey AS k, '{f}' AS field, {e} AS e, {o} AS o FROM part" for f, e, o in (("price", "p_retailprice", "p_retailprice + p_partkey % 5 * 0.25::DOUBLE"), ("size", "p_size::DOUBLE", "p_size * 1.5::DOUBLE"))) + ") SELECT field, count(*) AS \"rows\", round(max(abs(o - e)), 6) AS max_abs_error, round(max(abs(o - e) / greatest(abs(e), 1e-12::DOUBLE)), 6) AS max_rel_error, first(k ORDER BY abs(o - e) DESC, k) AS worst_key FROM x GROUP BY field",
     "seeded_sample": f"SELECT event_id, value FROM events ORDER BY {_lcg('event_id', 42)}, event_id LIMIT 5000",
     "micro_batches": "WITH r AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 1000 AS batch FROM events) SELECT batch, count(*) AS \"rows\", min(event_id) AS \"first\", max(event_id) AS \"last\" FROM r GROUP BY batch",

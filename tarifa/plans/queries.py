@@ -7,14 +7,17 @@ never inside operators: sums of money to cents, rates and deviances to six digit
 from __future__ import annotations
 
 import math
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..contracts import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES, OFFLINE_FLOOR
+from ..contracts import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES
 from ..functions import exprs as X
 from ..operators import drift, governance, metrics, models, monitoring, resample, review
+from ..session import checkpoint_folder, checkpointed
 from ..sources.policy import (
     COVERAGES, ROW_KEY, date_range, missing_audit, policy_year, read, renewal_audit, renewals, usable_years, valid_policy_years,
     valid_renewals, value_counts,
@@ -181,37 +184,53 @@ def transport_pivot(spark, sf_dir):
     return rounded(closer, rates=tuple(f"{m}_locked" for m in MODELS))
 
 
-def _boot(spark, sf_dir, reps: int) -> DataFrame:
+#: The pairs whose deviances a bootstrap compares: reference and challenger of each target.
+PAIRS = {"frequency": ("glm_freq", "xgb_freq"), "loss": ("glm_loss", "xgb_loss")}
+#: Replicates of the locked comparison, of each window and of the transport ratios.
+REPS, WINDOW_REPS, RATIO_REPS = 250, 200, 300
+
+
+def _boot(rows: DataFrame, reps: int, groups=None) -> DataFrame:
+    """(group, pair, x): the replicates' differences of deviances."""
     w = F.col("total_exposure")
-    y, z = F.col("total_claims") / w, F.col("total_incurred") / w
-    pairs = {
-        "frequency": (X.poisson_deviance(y, "glm_freq"), X.poisson_deviance(y, "xgb_freq")),
-        "loss": (X.tweedie_deviance(z, "glm_loss"), X.tweedie_deviance(z, "xgb_loss")),
-    }
-    return resample.deviance_differences(years(spark, sf_dir, TEST), pairs, row_number_key(), reps)
+    unit = {"frequency": (X.poisson_deviance, F.col("total_claims") / w), "loss": (X.tweedie_deviance, F.col("total_incurred") / w)}
+    pairs = {n: tuple(unit[n][0](unit[n][1], m) for m in models) for n, models in PAIRS.items()}
+    frame = resample.deviance_differences(rows, pairs, row_number_key(), reps, groups=groups)
+    return frame.select("group", F.inline(F.array(*[F.struct(F.lit(n).alias("pair"), F.col(n).alias("x")) for n in PAIRS])))
+
+
+_INTERVAL = ("mean", "ci95_low", "ci95_high", "p_gt_0")
 
 
 def bootstrap_deviance_ci(spark, sf_dir):
-    frame = _boot(spark, sf_dir, 100)
-    long = frame.select(F.inline(F.array(*[F.struct(F.lit(n).alias("pair"), F.col(n).alias("x")) for n in ("frequency", "loss")])))
-    return rounded(resample.summary(long, "x", ("pair",)), rates=("mean", "ci95_low", "ci95_high", "p_gt_0"))
+    return rounded(resample.summary(_boot(years(spark, sf_dir, TEST), REPS), "x", ("pair",)), rates=_INTERVAL)
 
 
 def bootstrap_ratio_ci(spark, sf_dir):
-    rows = years(spark, sf_dir, TEST)
-    frame = resample.ratios(rows, F.col("glm_freq") * F.col("total_exposure"), F.col("total_claims"), row_number_key(), ("business_type",), 100, 2027)
-    return rounded(resample.summary(frame, "ratio", ("business_type",)), rates=("mean", "ci95_low", "ci95_high", "p_gt_0"))
+    """Calibration of every model in every (overlapping) transport segment."""
+    rows = _seen(spark, sf_dir, locked_test(spark, sf_dir))
+    models = {f"{m}_locked": (F.col(f"{m}_locked") * F.col("total_exposure"), F.col(a)) for m, a in MODELS.items()}
+    frame = resample.ratios(rows, models, row_number_key(), metrics.transport_segments(), RATIO_REPS, 2027)
+    return rounded(resample.summary(frame.withColumnRenamed("group", "segment"), "ratio", ("segment", "model")), rates=_INTERVAL)
+
+
+def _windows_ci(spark, sf_dir) -> DataFrame:
+    """(test_year, pair, interval): every year but the first, all in one pass."""
+    rows = years(spark, sf_dir, *[test for _, test in models.rolling_windows([TRAIN, CALIBRATION, TEST])])
+    found = resample.summary(_boot(rows, WINDOW_REPS, F.array(F.col("year").cast("string"))), "x", ("group", "pair"))
+    return found.select(F.col("group").cast("int").alias("test_year"), F.col("pair").alias("target"), *_INTERVAL)
 
 
 def rolling_origin(spark, sf_dir):
-    """Each year tested with raw predictions; all windows in one aggregation."""
+    """Each year tested with raw predictions, with the interval of the challenger's gain in the window."""
     out = None
     for train, test in models.rolling_windows([TRAIN, CALIBRATION, TEST]):
         rows = metrics.deviances(years(spark, sf_dir, test), ("glm_freq", "xgb_freq"), ("glm_loss", "xgb_loss"))
         n = years(spark, sf_dir, *train).agg(F.count("*").alias("n_train"))
         rows = rows.crossJoin(F.broadcast(n)).withColumns({"train_years": F.lit(",".join(map(str, train))), "test_year": F.lit(test)})
         out = rows if out is None else out.unionByName(rows)
-    return rounded(governance.cohort_diagnostic(out), rates=("deviance", "calibration_ratio"))
+    out = governance.cohort_diagnostic(out).join(_windows_ci(spark, sf_dir), ["test_year", "target"])
+    return rounded(out, rates=("deviance", "calibration_ratio", *_INTERVAL))
 
 
 def locked_gate(spark, sf_dir):
@@ -223,18 +242,18 @@ def locked_gate(spark, sf_dir):
 
 
 def approval_gates(spark, sf_dir):
-    gates = locked_test(spark, sf_dir).agg(
-        *[metrics.calibration(MODELS[m], f"{m}_locked").alias(m) for m in MODELS],
-        F.max("total_incurred").alias("largest"), F.sum("total_incurred").alias("total"),
-    )
-    ok = {
-        "frequency_improvement": F.abs(F.col("xgb_freq") - 1) < F.abs(F.col("glm_freq") - 1),
-        "loss_improvement": F.abs(F.col("xgb_loss") - 1) < F.abs(F.col("glm_loss") - 1),
-        "frequency_calibrated": governance.in_band("xgb_freq"), "loss_calibrated": governance.in_band("xgb_loss"),
-        "transport_consistent": governance.in_band("glm_freq"), "tail_stable": F.col("largest") < 0.2 * F.col("total"),
-        "complexity": F.lit(False),
-    }
-    table = gates.select(F.inline(F.array(*[F.struct(F.lit(k).alias("gate"), v.alias("passed")) for k, v in ok.items()])))
+    """The seven gates of the decision, from the locked and rolling intervals, transport, deviances and complexity."""
+    locked = bootstrap_deviance_ci(spark, sf_dir).agg(*[F.bool_and(F.when(F.col("pair") == n, F.col("ci95_low") > 0)).alias(f"locked_{n}") for n in PAIRS])
+    rolling = _windows_ci(spark, sf_dir).agg(*[F.bool_and(F.when(F.col("target") == n, F.col("ci95_low") > 0)).alias(f"rolling_{n}") for n in PAIRS])
+    nearer = F.when(F.abs(F.col("xgb_loss_locked") - 1) < F.abs(F.col("glm_loss_locked") - 1), "xgb_loss").otherwise("glm_loss")
+    winners = transport_pivot(spark, sf_dir).where(F.col("segment").isin("seen", "unseen")).agg((F.count_distinct(nearer) == 1).alias("transport_consistent"))
+    of = lambda m, c: F.max(F.when(F.col("model") == f"{m}_locked", F.col(c)))
+    deviance = _deviances(locked_test(spark, sf_dir)).agg((of("xgb_loss", "deviance") < of("glm_loss", "deviance")).alias("lower_loss_deviance"))
+    cost = _complexity(spark).agg((of("xgb_loss", "terms") > of("glm_loss", "terms")).alias("complexity"))
+    rows = locked
+    for part in (rolling, winners, deviance, cost):
+        rows = rows.crossJoin(F.broadcast(part))  # one row each
+    table = rows.select(F.inline(F.array(*[F.struct(F.lit(g).alias("gate"), F.col(g).alias("passed")) for g in governance.RECORDED])))
     return governance.approval(table)
 
 
@@ -249,7 +268,7 @@ def baseline_categorical(spark, sf_dir):
 
 
 def _psi(spark, sf_dir) -> DataFrame:
-    train, now = years(spark, sf_dir, TRAIN), years(spark, sf_dir, TEST).where(F.col("driver_age") > 10)
+    train, now = years(spark, sf_dir, TRAIN), years(spark, sf_dir, TEST)
     n, c = drift.numeric_baseline(train, NUMERIC), drift.categorical_baseline(train, CATEGORIES)
     counts = drift.numeric_counts(now, n, NUMERIC).unionByName(drift.categorical_counts(now, c, CATEGORIES))
     return drift.feature_psi(counts, drift.as_buckets(n, c))
@@ -264,18 +283,20 @@ def largest_psi(spark, sf_dir):
 
 
 def unseen_category_rate(spark, sf_dir):
-    train = years(spark, sf_dir, TRAIN).where("driver_age = 1")
-    levels = models.Preprocessor((), CATEGORIES).fit(train).levels  # part of a model: its categories
-    rows = years(spark, sf_dir, TEST).withColumn("warnings", X.unseen_warnings(CATEGORIES, levels))
+    """Test records, and the same with a brand that training never saw."""
+    levels = models.Preprocessor((), CATEGORIES).fit(years(spark, sf_dir, TRAIN)).levels  # part of a model: its categories
+    rows = years(spark, sf_dir, TEST)
+    rows = rows.unionByName(monitoring.stressed(rows, {"vehicle_brand": "NEVER_SEEN"})).withColumn("warnings", X.unseen_warnings(CATEGORIES, levels))
     flagged = F.count_if(F.size("warnings") > 0)
     return rows.agg(F.count("*").alias("rows"), flagged.alias("flagged"), F.round(monitoring.share(flagged, F.count("*")), 6).alias("rate"))
 
 
-def _requests(spark, sf_dir) -> DataFrame:
-    """Events read as scored requests, a window per day."""
-    n = F.get_json_object("props", "$.k").cast("long")
+def _requests(spark, sf_dir, releases: int = 0) -> DataFrame:
+    """Events read as scored requests, a window per day, or per release and day."""
+    n, day = F.get_json_object("props", "$.k").cast("long"), F.date_format("ts", "yyyy-MM-dd")
+    window = F.concat(F.lit("r"), (F.col("event_id") % releases).cast("string"), F.lit("|"), day) if releases else day
     return read(spark, sf_dir, "events").select(
-        F.date_format("ts", "yyyy-MM-dd").alias("window_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
+        window.alias("window_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("value").alias("latency_ms"), (F.col("event_type") == "error").alias("error"), n.alias("batch_size"),
         F.when(n % 17 == 0, 1).otherwise(0).alias("unseen"), F.log((F.col("value") + 100) / 250).alias("freq_log_ratio"),
         F.log((F.col("value") + 50) / 200).alias("loss_log_ratio"),
@@ -288,43 +309,46 @@ LIMITS = monitoring.THRESHOLDS | {"error_rate": 0.20, "unseen_category_rate": 0.
 
 
 def monitoring_snapshot(spark, sf_dir):
-    return rounded(monitoring.snapshot(_requests(spark, sf_dir), last=200), rates=_RATES)
+    return rounded(monitoring.snapshot(_requests(spark, sf_dir)), rates=_RATES)
 
 
-def _alerts(spark, sf_dir, last: int = monitoring.LAST) -> DataFrame:
-    rows = _requests(spark, sf_dir).withColumnsRenamed({"latency_ms": "latency", "batch_size": "batch"})
-    base = drift.numeric_baseline(rows.where("window_id < '2024-01-08'"), ("latency", "batch"))
+def _alerts(requests: DataFrame) -> DataFrame:
+    """The windows' aggregates and alerts, with drift from the first week."""
+    rows = requests.withColumnsRenamed({"latency_ms": "latency", "batch_size": "batch"})
+    base = drift.numeric_baseline(rows.where("right(window_id, 10) < '2024-01-08'"), ("latency", "batch"))
     counts = drift.numeric_counts(rows, base, ("latency", "batch"), ("window_id",))
     psi = drift.feature_psi(counts, drift.as_buckets(base, None), ("window_id",))
     top = drift.largest(psi, ("latency", "batch"), ("window_id",))
-    snaps = monitoring.snapshot(_requests(spark, sf_dir), last=last).join(top, "window_id", "left")
+    snaps = monitoring.snapshot(requests).join(top, "window_id", "left")
     return monitoring.with_alerts(snaps, LIMITS)
 
 
 def monitoring_alerts(spark, sf_dir):
-    out = _alerts(spark, sf_dir, 200).select("window_id", "max_psi", "max_psi_feature", *[f"alert_{a}" for a in monitoring.ALERTS], "alert_status")
+    out = _alerts(_requests(spark, sf_dir)).select("window_id", "max_psi", "max_psi_feature", *[f"alert_{a}" for a in monitoring.ALERTS], "alert_status")
     return rounded(out, rates=("max_psi",))
 
 
 def disagreement_shift(spark, sf_dir):
-    out = monitoring.disagreement_shift(monitoring.snapshot(_requests(spark, sf_dir), last=200), "2024-01-01", "2024-01-15")
+    out = monitoring.disagreement_shift(monitoring.snapshot(_requests(spark, sf_dir)), "2024-01-01", "2024-01-15")
     return rounded(out, rates=tuple(c for c in out.columns if not c.endswith("_alert")))
 
 
-def _windows(spark, sf_dir) -> DataFrame:
-    alerts = _alerts(spark, sf_dir)
-    evidence = F.sha2(F.concat_ws(":", "window_id", F.col("request_count").cast("string"), F.col("error_count").cast("string")), 256)
-    return alerts.select(F.lit("shadow").alias("release_id"), F.col("window_id").alias("label"), monitoring.active_alerts().alias("active_alerts"), evidence.alias("evidence_sha256"))
+#: Releases and chains that the review queries run side by side.
+RELEASES = 4
 
 
 def review_lifecycle(spark, sf_dir):
-    return review.lifecycle(_windows(spark, sf_dir)).withColumn("active_alerts", F.concat_ws(",", "active_alerts"))
+    """Every release's daily windows through the states of review."""
+    alerts = _alerts(_requests(spark, sf_dir, RELEASES)).withColumns({"release_id": F.substring_index("window_id", "|", 1), "label": F.substring_index("window_id", "|", -1), "active_alerts": monitoring.active_alerts()})
+    windows = review.with_evidence(alerts, "window_id", "request_count", "error_count", "records_scored", "unseen_warning_records")
+    return review.lifecycle(windows).withColumn("active_alerts", F.concat_ws(",", "active_alerts"))
 
 
 def event_chain_verify(spark, sf_dir):
-    """A chain of daily control events with one changed payload and one changed link."""
-    daily = _requests(spark, sf_dir).groupBy("window_id").agg(F.count("*").alias("n"))
-    events = daily.select(F.lit("shadow").alias("chain"), F.dayofmonth(F.to_date("window_id")).cast("long").alias("sequence"), F.concat_ws(":", "window_id", F.col("n").cast("string")).alias("payload"))
+    """Chains of daily control events, each with one changed payload and one changed link."""
+    daily = _requests(spark, sf_dir, RELEASES).groupBy("window_id").agg(F.count("*").alias("n"))
+    day = F.dayofmonth(F.to_date(F.substring_index("window_id", "|", -1))).cast("long")
+    events = daily.select(F.substring_index("window_id", "|", 1).alias("chain"), day.alias("sequence"), F.concat_ws(":", "window_id", F.col("n").cast("string")).alias("payload"))
     chain = governance.hash_chain(events).withColumns(
         {
             "payload": F.when(F.col("sequence") == 5, "changed").otherwise(F.col("payload")),
@@ -334,9 +358,28 @@ def event_chain_verify(spark, sf_dir):
     return governance.verify_chain(chain)
 
 
+def artifact_differences(spark, sf_dir):
+    """Artifacts whose hashes differ between two lists, or that one of them lacks."""
+    part = read(spark, sf_dir, "part").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"), "p_partkey", "p_name")
+    locked = part.where("p_partkey % 11 != 0").select("path", F.sha2("p_name", 256).alias("sha256"))
+    found = part.where("p_partkey % 13 != 0").select("path", F.sha2(F.when(F.col("p_partkey") % 7 == 0, F.lit("changed")).otherwise(F.col("p_name")), 256).alias("sha256"))
+    return governance.map_differences(locked, found)
+
+
+def _complexity(spark) -> DataFrame:
+    """(model, target, terms): how many fitted numbers a model of the catalogue has.
+
+    A GLM has a coefficient per encoded feature and an intercept; a boosted model, per tree, a threshold for each
+    inner node and a value for each leaf.
+    """
+    inner, leaves = 2**models.DEPTH - 1, 2**models.DEPTH
+    terms = lambda m: models.TREES[m] * (inner + leaves) if m in models.TREES else len(FEATURES) + 1
+    rows = [(f"{m}_locked", "frequency" if m.endswith("freq") else "loss", terms(m)) for m in MODELS]
+    return spark.createDataFrame(rows, "model string, target string, terms long")
+
+
 def complexity_join(spark, sf_dir):
-    costs = spark.createDataFrame([("glm_freq_locked", "frequency", 1.0), ("xgb_freq_locked", "frequency", 30.0), ("glm_loss_locked", "loss", 1.0), ("xgb_loss_locked", "loss", 30.0)], "model string, target string, relative_cost double")
-    return locked_deviances(spark, sf_dir).join(F.broadcast(costs), ["model", "target"])
+    return locked_deviances(spark, sf_dir).join(F.broadcast(_complexity(spark)), ["model", "target"])
 
 
 def parity_audit(spark, sf_dir):
@@ -402,19 +445,17 @@ def boosted_fit_scores(spark, sf_dir):
     """Both boosted models fitted on one year (its deviance before and after the rounds), locked on the next, measured on the third."""
     prep, parts = _fitted(spark, sf_dir)
     train, calibration, test = (prep.transform(p) for p in parts)
-    floor = lambda c: F.greatest(c, F.lit(OFFLINE_FLOOR))
-    out = None
-    for target, power in (("total_claims", 1.0), ("total_incurred", 1.5)):
-        unit = X.poisson_deviance if power == 1 else X.tweedie_deviance
+    held, out = models.held, None
+    for name in models.TREES:
+        target, unit = MODELS[name], X.poisson_deviance if name.endswith("freq") else X.tweedie_deviance
         rate = F.col(target) / F.col("total_exposure")
-        fitted = models.fit_booster(train.withColumn("rate", rate), "rate", "total_exposure", power, rounds=ROUNDS)
+        fitted = models.fit_model(name, parts[0], prep, rounds=ROUNDS)
         fit = fitted.transform(train).withColumn("start", F.lit(math.exp(fitted.base))).agg(
             X.weighted_mean(unit(rate, "start"), "total_exposure").alias("deviance_before"),
             X.weighted_mean(unit(rate, "prediction"), "total_exposure").alias("deviance_after"),
         )
-        sums = fitted.transform(calibration).agg(F.sum(target).alias("a"), F.sum(floor("prediction") * F.col("total_exposure")).alias("p")).first()
-        scale = sums.a / max(sums.p, 1e-12)
-        row = fitted.transform(test).withColumn("pred", floor(floor("prediction") * scale)).agg(
+        scale = models.scale_of(fitted.transform(calibration), target, "total_exposure", held("prediction"))
+        row = fitted.transform(test).withColumn("pred", held(held("prediction") * scale)).agg(
             F.lit(target).alias("target"), F.lit(float(scale)).alias("scale"), F.count("*").alias("rows"),
             X.weighted_mean(unit(rate, "pred"), "total_exposure").alias("deviance"),
             metrics.calibration(target, "pred").alias("calibration_ratio"),
@@ -424,6 +465,48 @@ def boosted_fit_scores(spark, sf_dir):
     return out
 
 
+def rolling_refit(spark, sf_dir):
+    """Every year after the first tested once by models refitted on all years before it, raw predictions, with the challengers' intervals."""
+    out = None
+    for before, test in models.rolling_windows([TRAIN, CALIBRATION, TEST]):
+        train, rows = years(spark, sf_dir, *before), years(spark, sf_dir, test).drop(*MODELS)
+        prep = models.Preprocessor(NUMERIC, CATEGORIES).fit(train)
+        fitted = {m: models.fit_model(m, train, prep, **({"rounds": ROUNDS} if m in models.TREES else {})) for m in MODELS}
+        scored = checkpointed(prep.transform(rows).withColumns({m: models.held(f.rate()) for m, f in fitted.items()}).drop("features"))
+        found = metrics.deviances(scored, ("glm_freq", "xgb_freq"), ("glm_loss", "xgb_loss"))
+        tops = None
+        for m, actual in MODELS.items():
+            top = metrics.top_capture(scored, m, actual, "total_exposure", ROW_KEY).select(F.lit(m).alias("model"), F.col("capture").alias("top10_capture"))
+            tops = top if tops is None else tops.unionByName(top)
+        gain = resample.summary(_boot(scored, WINDOW_REPS), "x", ("pair",)).withColumnRenamed("pair", "target")
+        found = found.join(tops, "model").join(gain, "target").withColumns({"train_years": F.lit(",".join(map(str, before))), "test_year": F.lit(test)})
+        out = found if out is None else out.unionByName(found)
+    return governance.cohort_diagnostic(out)
+
+
+def model_complexity(spark, sf_dir):
+    """Seconds to fit and to predict, and bytes written, of the four models, measured here and now."""
+    prep, (train, _, test) = _fitted(spark, sf_dir)
+    fitted = {}
+    for m in MODELS:
+        began = time.perf_counter()
+        model = models.fit_model(m, train, prep, **({"rounds": ROUNDS} if m in models.TREES else {}))
+        fitted[m] = model, time.perf_counter() - began
+    return spark.createDataFrame(models.complexity(fitted, prep.transform(test)), "model string, fit_seconds double, predict_seconds double, bytes long")
+
+
+def scorer_parity(spark, sf_dir):
+    """The largest differences between a scorer and the same scorer written and read again, over a year's records."""
+    prep, (train, _, test) = _fitted(spark, sf_dir)
+    fitted = {m: models.fit_model(m, train, prep, **({"rounds": ROUNDS} if m in models.TREES else {})) for m in MODELS}
+    scorer = models.Scorer(prep, fitted, dict.fromkeys(MODELS, 1.0))
+    path = f"{checkpoint_folder(spark)}/scorer-{uuid.uuid4().hex}"
+    models.save_scorer(scorer, spark, path)
+    rows = test.drop(*MODELS).withColumn("key", row_number_key() * 100 + F.col("l_suppkey") % 100)
+    again = models.load_scorer(spark, path)
+    return governance.largest_errors(scorer.score(rows), again.score(rows), "key", list(MODELS)).drop("worst_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -433,6 +516,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bootstrap_deviance_ci, bootstrap_ratio_ci, rolling_origin, locked_gate, approval_gates, baseline_numeric,
         baseline_categorical, feature_psi, largest_psi, unseen_category_rate, monitoring_snapshot, monitoring_alerts,
         disagreement_shift, review_lifecycle, event_chain_verify, complexity_join, parity_audit, seeded_sample, micro_batches,
-        stress_replay, contract_check, glm_fit_scores, boosted_fit_scores,
+        stress_replay, contract_check, glm_fit_scores, boosted_fit_scores, rolling_refit, model_complexity, scorer_parity, artifact_differences,
     )
 }

@@ -6,13 +6,14 @@ Late rows beyond the watermark are dropped, which the batch operators don't do;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import astuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.review import EVENT_SCHEMA, Lifecycle, observe
+from ..operators.review import FOLDED, Lifecycle, described, folded
 
 
 def windowed_telemetry(requests: DataFrame, window: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -39,20 +40,22 @@ def windowed_telemetry(requests: DataFrame, window: str = "1 day", late: str = "
 def review_stream(windows: DataFrame, open_after: int = 2, close_after: int = 2) -> DataFrame:
     """The review events of a stream of closed monitoring windows (release_id, label, active_alerts, evidence_sha256).
 
-    State per release is the lifecycle itself.  Windows of one micro-batch are put in order by
-    label; a release's windows must not arrive in later batches than their successors.
+    State per release is the lifecycle and the last label.  Windows of one micro-batch are put in order by
+    label; one that comes after its successors were folded is an error, as its events would be wrong.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = Lifecycle(*state.get) if state.exists else Lifecycle()
-        rows = pd.concat(list(batches)).sort_values("label")
-        out = []
-        for r in rows.itertuples():
-            now, event = observe(now, list(r.active_alerts), r.evidence_sha256, r.label, open_after=open_after, close_after=close_after)
-            out.append({"release_id": key[0]} | event)
-        state.update((now.state, now.breaches, now.greens, now.sequence, now.review_id))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENT_SCHEMA.split(", ")])
-
-    return windows.groupBy("release_id").applyInPandasWithState(
-        fold, EVENT_SCHEMA, "state string, breaches long, greens long, sequence long, review_id string", "append", GroupStateTimeout.NoTimeout
-    )
+        *known, last = state.get if state.exists else (*astuple(Lifecycle()), "")
+        rows = pd.concat(list(batches))
+        if rows.label.min() <= last:
+            raise ValueError(f"release {key[0]}: window {rows.label.min()} came after {last} was folded")
+        now, events = folded(key[0], Lifecycle(*known), rows, open_after=open_after, close_after=close_after)
+        state.update((*astuple(now), rows.label.max()))
+        yield events.merge(rows[["label", "active_alerts", "evidence_sha256"]], on="label")
+
+    thin = windows.withColumn("alert", F.size("active_alerts") > 0)
+    events = thin.groupBy("release_id").applyInPandasWithState(
+        fold, f"{FOLDED}, active_alerts array<string>, evidence_sha256 string",
+        "state string, breaches long, greens long, sequence long, review_id string, last string", "append", GroupStateTimeout.NoTimeout,
+    )
+    return described(events)

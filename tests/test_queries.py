@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
+from tarifa.functions.exprs import lcg
+from tarifa.operators import models, resample
+from tarifa.operators.quantiles import exact_quantiles
 from tarifa.plans.oracle import SQL
 from tarifa.plans.queries import QUERIES
 
@@ -55,6 +61,101 @@ def test_reviews_see_the_last_5000_requests(spark, monkeypatch):
 
 
 def test_chain_finds_each_change(spark):
-    rows = {r.sequence: r for r in QUERIES["event_chain_verify"](spark, needs_data("sf0.01")).collect()}
-    assert [k for k, r in rows.items() if not r.hash_ok] == [5, 9] or sorted(k for k, r in rows.items() if not r.hash_ok) == [5, 9]
-    assert [k for k, r in rows.items() if not r.link_ok] == [9]
+    rows = QUERIES["event_chain_verify"](spark, needs_data("sf0.01")).collect()
+    assert len({r.chain for r in rows}) == 4
+    assert {r.sequence for r in rows if not r.hash_ok} == {5, 9} and {r.sequence for r in rows if not r.link_ok} == {9}
+
+
+def test_bootstrap_draws_equal_the_expression(spark):
+    """The counts of the matrix, the hash as a column, and Poisson(1) moments."""
+    keys = np.arange(0, 5_000_000, 977)
+    n = resample.draws(keys, np.arange(40), 2026)
+    assert abs(n.mean() - 1) < 0.01 and abs(n.var() - 1) < 0.02
+    h = lcg(lcg(F.col("k"), 2026) + F.col("rep") * 7919, 2027)
+    rows = spark.createDataFrame([(int(k), r) for k in keys[:50] for r in range(3)], "k long, rep long").select("k", "rep", h.alias("h")).collect()
+    assert all(sum(r.h >= t for t in resample.POISSON_STEPS) == n[np.searchsorted(keys, r.k), r.rep] for r in rows)
+    df = spark.createDataFrame([(k, k % 7 / 2, ["a", "b"][: 1 + k % 2]) for k in range(500)] + [(500, None, []), (501, 1.0, None)], "k long, x double, g array<string>")
+    found = {(r.group, r.rep): r.s for r in resample.replicates(df, {"s": F.col("x")}, F.col("k"), 5, 1, F.col("g")).collect()}
+    counts = resample.draws(np.arange(500), np.arange(5), 1)
+    x = np.arange(500) % 7 / 2
+    for rep in range(5):
+        assert abs(found["a", rep] - counts[:, rep] @ x) < 1e-6 and abs(found["b", rep] - (counts[:, rep] * x)[1::2].sum()) < 1e-6
+    assert set(found) == {(g, r) for g in "ab" for r in range(5)}
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(7)
+    data = {"a": rng.normal(size=1001), "b": rng.integers(0, 5, 400).astype(float), "c": np.array([2.5])}
+    rows = [(f, float(x)) for f, xs in data.items() for x in xs] + [("a", None), ("d", None)]
+    qs = (0.0, 0.1, 0.5, 0.985, 1.0)
+    found = {r.feature: r.q for r in exact_quantiles(spark.createDataFrame(rows, "feature string, value double").repartition(5), qs).collect()}
+    assert set(found) == set(data)
+    for f, xs in data.items():
+        np.testing.assert_allclose(found[f], np.quantile(xs, qs), rtol=1e-12)
+
+
+def _sample(spark, n=1500, seed=3):
+    rng = np.random.default_rng(seed)
+    x, w = rng.normal(size=(n, 3)), rng.uniform(0.2, 1.0, n)
+    y = rng.poisson(w * np.exp(-0.5 + x @ [0.4, -0.3, 0.0])) / w
+    rows = spark.createDataFrame([(Vectors.dense(a), float(b), float(c)) for a, b, c in zip(x, y, w)], ["features", "rate", "w"])
+    return x, y, w, rows
+
+
+@pytest.mark.parametrize("power", [1.0, 1.5])
+def test_glm_equals_newton_steps(spark, power):
+    """The same objective minimised with NumPy: sum(w d / 2) / sum(w) + alpha / 2 |b|^2, the intercept free."""
+    x, y, w, rows = _sample(spark)
+    alpha, z = 1e-2, np.column_stack([np.ones(len(x)), x])
+    b, penalty = np.zeros(4), np.diag([0, 1, 1, 1]) * alpha
+    b[0] = np.log((w * y).sum() / w.sum())
+    for _ in range(50):
+        mu = np.exp(z @ b)
+        g = z.T @ (w * (mu ** (2 - power) - y * mu ** (1 - power))) / w.sum() + penalty @ b
+        h = (z * (w * ((2 - power) * mu ** (2 - power) + (power - 1) * y * mu ** (1 - power)))[:, None]).T @ z / w.sum() + penalty
+        b -= np.linalg.solve(h, g)
+    fitted = models.fit_glm(rows, "rate", "w", power, alpha, passes=6)
+    np.testing.assert_allclose([fitted.intercept, *fitted.coefficients], b, atol=2e-3)
+
+
+def test_booster_equals_its_trees(spark):
+    """A stump on all rows against the best split by hand; scores by arrays; the loss falls with rounds."""
+    x, y, w, rows = _sample(spark, 400)
+    one = models.fit_booster(rows, "rate", "w", 1.0, rounds=1, depth=1, subsample=1.0, colsample=1.0, min_child_weight=0.0)
+    mu = (w * y).sum() / w.sum()
+    g, h = w * (mu - y), w * mu
+    t = one.trees[0]
+    low = x[:, t["feature"][0]] <= t["threshold"][0]
+    for side, leaf in ((low, t["left"][0]), (~low, t["right"][0])):
+        assert abs(t["value"][leaf] + 0.3 * g[side].sum() / (h[side].sum() + 1.0)) < 1e-9
+    gain = lambda f, c: sum(g[s].sum() ** 2 / h[s].sum() for s in (x[:, f] <= c, x[:, f] > c))
+    best = max(gain(f, c) for f in range(3) for c in np.quantile(x[:, f], np.linspace(0.05, 0.95, 31)))
+    assert gain(t["feature"][0], t["threshold"][0]) > 0.85 * best  # thresholds are quantiles
+    deviance = lambda m: (w * (np.exp(s := m.margins(x)) - y * s)).sum()
+    few, more = (models.fit_booster(rows, "rate", "w", 1.5, rounds=n) for n in (1, 4))
+    assert deviance(more) < deviance(few) and len(more.trees) == 4
+    np.testing.assert_allclose([r.p for r in rows.select("features").select(more.rate().alias("p")).collect()], np.exp(more.margins(x)), rtol=1e-12)
+
+
+def test_empty_partitions_are_named(spark):
+    _, _, _, rows = _sample(spark, 20)
+    for fit in (models.fit_glm, models.fit_booster):
+        with pytest.raises(ValueError, match="no rows"):
+            fit(rows.where("w < 0"), "rate", "w", 1.0)
+    empty = spark.createDataFrame([], "a double, p double, e double")
+    with pytest.raises(ValueError, match="no rows"):
+        models.scale_of(empty, "a", "e", F.col("p"))
+
+
+def test_scorer_survives_writing(spark):
+    found = {r.field: r for r in QUERIES["scorer_parity"](spark, needs_data("sf0.001")).collect()}
+    assert set(found) == {"glm_freq", "xgb_freq", "glm_loss", "xgb_loss"} and all(r.max_rel_error <= 1e-12 and r.rows > 0 for r in found.values())
+
+
+def test_rolling_refit_and_complexity(spark):
+    folder = needs_data("sf0.001")
+    rows = QUERIES["rolling_refit"](spark, folder).collect()
+    assert {(r.train_years, r.test_year, r.model) for r in rows} == {(t, y, m) for t, y in (("1999", 2000), ("1999,2000", 2001)) for m in ("glm_freq", "xgb_freq", "glm_loss", "xgb_loss")}
+    assert all(r.deviance > 0 and 0.5 < r.calibration_ratio < 2 and 0 < r.top10_capture < 1 and r.ci95_low <= r.mean <= r.ci95_high for r in rows)
+    cost = {r.model: r for r in QUERIES["model_complexity"](spark, folder).collect()}
+    assert all(r.fit_seconds > 0 and r.predict_seconds > 0 for r in cost.values()) and cost["xgb_loss"].bytes > cost["glm_loss"].bytes
