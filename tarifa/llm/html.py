@@ -1,15 +1,20 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred per host.
 
-A page is a stream of balanced tags and texts.  Its *shape* is that stream with neighbours of one
-label folded into a repeated group.  Shapes of a host are aligned one after another: equal labels
-merge, what only one side has becomes optional, neighbours of one label become repeated, and texts
-that differ become slots.  Inference runs in the tasks that read the pages; what they find for a
-host is merged in two rounds, so a host with any share of the pages is no one task's work.
+A page is a stream of balanced tags and texts.  Its *shape* is that stream with neighbours that repeat,
+single elements or sequences of them, folded into repeated groups.  Shapes of a host are aligned one
+after another: equal labels merge, what only one side has becomes optional, repeats become groups, and
+texts that differ become slots.  Every page takes part.  Inference runs in the tasks that read the
+pages; what they find for a host is merged in two rounds, host by host, so a host with any share of the
+pages is no one task's work.
 
 Pages are read through their host's wrapper: its article element, or the innermost one outside of
 which nothing varies, less the blocks whose texts are the same on every page.  Elements that HTML or
 a class's one word sets aside go everywhere; longer names with such a word only where a host's pages
-don't differ, so that there is no wrapper to tell.
+don't differ, so that there is no wrapper to tell, only outside of articles, and only if less text stands in them
+than elsewhere.
+
+Elements may be nested to any depth: paths are chained hashes, and recursion is given as much room as
+a page is deep.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +37,10 @@ from .common import materialize, require, text_of
 TASK_HOSTS, MERGE_PARTS = 1000, 32
 #: Hosts up to which the wrappers' readings are broadcast (17 bytes a constant text, and a path).
 BROADCAST_ROWS = 20_000
-#: Elements nested deeper than this are read as if they stood at this depth.
-DEPTH = 200
+#: Labels that the unit of a repeated group has at most; longer units stay as they are.
+UNIT = 6
+#: Cells (labels times labels) up to which two sequences are compared at once; longer ones are halved first.
+CELLS = 1 << 28
 
 # Fixed values of HTML: elements without content, with raw content, that end a paragraph, and that break a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -75,7 +83,7 @@ _NAMED = re.compile(r"class|id|role|hidden|style", re.I)
 
 @lru_cache(maxsize=20_000)
 def label_of(tag: str, attributes: str) -> str:
-    """A tag with its class, id and role; digits are alike.  ``!`` marks what isn't shown."""
+    """A tag with its class, id and role; in an id, which numbers what it names, digits are alike.  ``!`` marks what isn't shown."""
     found = {}
     if _NAMED.search(attributes):
         for m in _ATTR.finditer(attributes):
@@ -83,7 +91,7 @@ def label_of(tag: str, attributes: str) -> str:
     out = tag
     for key, sign in (("class", "."), ("id", "#"), ("role", "@")):
         names = entities.unescape(found.get(key, "")).lower().split()
-        out += "".join(sign + re.sub(r"\d+", "0", n) for n in sorted(set(names)))
+        out += "".join(sign + (re.sub(r"\d+", "0", n) if key == "id" else n) for n in sorted(set(names)))
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         out += "!"
     return out
@@ -119,13 +127,17 @@ def is_header(label: str) -> bool:
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, tag, value) of a page: ``open`` and ``close`` with a label, balanced, and ``text``, decoded."""
     stack: list[tuple[str, str]] = []
+    still: dict[str, int] = {}  # open elements by tag
 
     def close_to(depth: int) -> Iterator[tuple[str, str, str]]:
         while len(stack) > depth:
             tag, label = stack.pop()
+            still[tag] -= 1
             yield "close", tag, label
 
     def innermost(tags: set | frozenset, shields: set) -> int | None:
+        if not any(still.get(t) for t in tags):
+            return None
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in tags:
                 return k
@@ -169,17 +181,17 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
                 yield "text", "", entities.unescape(inside)
             at = close.end() if close else end
             yield "close", tag, label
-        elif len(stack) < DEPTH:
-            stack.append((tag, label))
         else:
-            yield "close", tag, label
+            stack.append((tag, label))
+            still[tag] = still.get(tag, 0) + 1
     yield from close_to(0)
 
 
 # ---------------------------------------------------------------- inference
 #
-# A wrapper is a JSON value: [label, optional, repeated, items], items in order.  A text is the
-# label "" with its constant text, or null for a slot, in place of items.
+# A wrapper is a list [label, optional, repeated, items], items in order.  A text is the label "" with its
+# constant text, or null for a slot, in place of items.  A repeated group of several items is labelled by
+# their labels, "(h2,p)", and stands on no path of its own.
 
 
 def shape(stream: list[tuple[str, str, str]]) -> list:
@@ -200,8 +212,12 @@ def shape(stream: list[tuple[str, str, str]]) -> list:
     return root
 
 
+def is_group(label: str) -> bool:
+    return label[:1] == "("
+
+
 def folded(items: list) -> list:
-    """Items with neighbours of one label folded into one, repeated unless it is text."""
+    """Items with neighbours of one label, then of one sequence of labels, folded into one, repeated unless it is text."""
     out: list = []
     for item in items:
         if out and out[-1][0] == item[0]:
@@ -212,6 +228,28 @@ def folded(items: list) -> list:
                 out[-1][3] = None
         else:
             out.append(item)
+    for n in range(2, min(UNIT, len(out) // 2) + 1):
+        out = grouped(out, n)
+    return out
+
+
+def grouped(items: list, n: int, units: tuple[tuple[str, ...], ...] = ()) -> list:
+    """Items with sequences of ``n`` labels that repeat, or are one of ``units``, folded into groups."""
+    labels = [x[0] for x in items]
+    out, i = [], 0
+    while i < len(items):
+        unit = labels[i : i + n]
+        if len(unit) == n and not any(map(is_group, unit)) and (unit == labels[i + n : i + 2 * n] or tuple(unit) in units):
+            name = f"({','.join(unit)})"
+            group = [name, False, True, items[i : i + n]]
+            i += n
+            while labels[i : i + n] == unit:
+                group = merged(group, [name, False, True, items[i : i + n]])
+                i += n
+            out.append(group)
+        else:
+            out.append(items[i])
+            i += 1
     return out
 
 
@@ -223,86 +261,210 @@ def merged(a: list, b: list) -> list:
 
 
 def aligned(a: list, b: list) -> list:
-    """Two sequences of items as one: the longest common subsequence of labels merges, the rest is optional."""
-    if [x[0] for x in a] == [x[0] for x in b]:
+    """Two sequences of items as one: a longest common subsequence of labels merges, the rest is optional."""
+    units = tuple({x[0]: tuple(y[0] for y in x[3]) for x in (*a, *b) if is_group(x[0])}.values())
+    for n in sorted({len(u) for u in units}):
+        a, b = grouped(a, n, units), grouped(b, n, units)
+    if len(a) == len(b) and all(x[0] == y[0] for x, y in zip(a, b)):
         return [merged(x, y) for x, y in zip(a, b)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(merged(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], True, *a[i][2:]])
-            i += 1
-        else:
-            out.append([b[j][0], True, *b[j][2:]])
-            j += 1
+    for k, m in [*common([x[0] for x in a], [x[0] for x in b]), (len(a), len(b))]:
+        out += [[x[0], True, *x[2:]] for x in (*a[i:k], *b[j:m])]
+        if k < len(a):
+            out.append(merged(a[k], b[m]))
+        i, j = k + 1, m + 1
     return folded(out)
 
 
+def rows_of(a: list[str], b: list[str], keep: bool) -> list[int]:
+    """After each label of ``a`` (or only after the last), a bit for every label of ``b``: 0 where the longest common subsequence grows."""
+    full = (1 << len(b)) - 1
+    at: dict[str, int] = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    row, out = full, []
+    for x in a:
+        same = at.get(x, 0)
+        row = ((row + (row & same)) | (row & ~same)) & full
+        if keep:
+            out.append(row)
+    return out if keep else [row]
+
+
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places (i, j) of a longest common subsequence, by rows of bits; long sequences are halved until they fit ``CELLS``."""
+    n, m = len(a), len(b)
+    begin = 0
+    while begin < min(n, m) and a[begin] == b[begin]:
+        begin += 1
+    end = 0
+    while end < min(n, m) - begin and a[n - 1 - end] == b[m - 1 - end]:
+        end += 1
+    head, tail = [(k, k) for k in range(begin)], [(n - end + k, m - end + k) for k in range(end)]
+    x, y = a[begin : n - end], b[begin : m - end]
+    if not x or not y:
+        return head + tail
+    if len(x) * len(y) > CELLS and len(x) > 1:
+        half = len(x) // 2
+        up, down = rows_of(x[:half], y, False)[0], rows_of(x[half:][::-1], y[::-1], False)[0]
+        left, right = [0], [0]
+        for j in range(len(y)):
+            left.append(left[-1] + (~up >> j & 1))
+            right.append(right[-1] + (~down >> j & 1))
+        cut = max(range(len(y) + 1), key=lambda j: left[j] + right[len(y) - j])
+        found = common(x[:half], y[:cut]) + [(half + i, cut + j) for i, j in common(x[half:], y[cut:])]
+    else:
+        rows, found, i, j = rows_of(x, y, True), [], len(x), len(y)
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
+                if not (i and not rows[i - 1] >> (j - 1) & 1):
+                    j -= 1
+                    found.append((i, j))
+        found.reverse()
+    return head + [(begin + i, begin + j) for i, j in found] + tail
+
+
 def expression(wrapper: list) -> str:
     """A wrapper as a regular expression over tags, ``#`` for a slot."""
+    out: list[str] = []
+    stack = list(reversed(wrapper[3]))
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            out.append(item)
+            continue
+        label, optional, repeated, inner = item
+        marks = "+" * repeated + "?" * optional
+        opening, closing = ("(", f"){marks}") if marks else ("", "")
+        if not label:
+            out.append(opening + ("#" if inner is None else json.dumps(inner, ensure_ascii=False)) + closing)
+            continue
+        out.append(opening + ("" if is_group(label) else f"<{label}>"))
+        stack.append(("" if is_group(label) else "</>") + closing)
+        stack.extend(reversed(inner))
+    return "".join(out)
 
-    def write(item: list) -> str:
-        inner = item[3]
-        if not item[0] and not isinstance(inner, list):
-            body = "#" if inner is None else json.dumps(inner, ensure_ascii=False)
+
+def flat(wrapper: list) -> list:
+    """A wrapper as a flat list: label and flags of an element, its items, 0; the empty label, flags and text of a text."""
+    out: list = []
+    stack: list = list(reversed(wrapper[3]))
+    while stack:
+        item = stack.pop()
+        if item == 0:
+            out.append(0)
+            continue
+        out += [item[0], item[1] + 2 * item[2]]
+        if not item[0]:
+            out.append(item[3])
         else:
-            body = f"<{item[0]}>" + "".join(map(write, inner)) + "</>"
-        return f"({body})" + "+" * item[2] + "?" * item[1] if item[1] or item[2] else body
+            stack.append(0)
+            stack.extend(reversed(item[3]))
+    return out
 
-    return "".join(map(write, wrapper[3]))
+
+def unflat(tokens: list) -> list:
+    """The wrapper of ``flat``."""
+    root = ["", False, False, []]
+    stack, k = [root], 0
+    while k < len(tokens):
+        if tokens[k] == 0:
+            stack.pop()
+            k += 1
+            continue
+        item = [tokens[k], bool(tokens[k + 1] & 1), bool(tokens[k + 1] & 2), []]
+        stack[-1][3].append(item)
+        k += 2
+        if item[0]:
+            stack.append(item)
+        else:
+            item[3] = tokens[k]
+            k += 1
+        room_for(len(stack))
+    return root
+
+
+def room_for(depth: int) -> None:
+    """Let functions recurse as deep as elements nest."""
+    if 8 * depth + 500 > sys.getrecursionlimit():
+        sys.setrecursionlimit(16 * depth + 1000)
 
 
 def tag_of(label: str) -> str:
     return re.split(r"[.#@!]", label, maxsplit=1)[0]
 
 
-def named(path: str, text: str) -> str:
+@lru_cache(maxsize=20_000)
+def article_kind(label: str) -> str:
+    """``article`` or ``main`` for labels of such elements."""
+    tag = tag_of(label)
+    return "article" if tag == "article" else "main" if tag == "main" or "@main" in label else ""
+
+
+def below(path: int, label: str) -> int:
+    """The path of an element below a path: a chained hash."""
+    return xxhash.xxh3_64_intdigest(label, path)
+
+
+def named(path: int, text: str) -> str:
     """The name of a text at a path."""
-    return xxhash.xxh3_64_hexdigest(f"{path}\0{text}")
+    return xxhash.xxh3_64_hexdigest(text, path)
 
 
 class Host:
-    """What is known of a host: its wrapper and, by path, how many characters of text pages hold there.
+    """What is known of a host: its wrapper and, by path, how many characters of text its article and main elements hold.
 
     ``low`` and ``high`` are the least and greatest hash of a page's texts: they differ if pages do.
+    ``plain`` and ``partial`` count characters outside of what is set aside, and in elements that only a part of a name sets aside.
     """
 
-    def __init__(self, wrapper: list | None = None, mass: dict[str, int] | None = None, pages: int = 0, low: int | None = None, high: int | None = None):
+    def __init__(self, wrapper: list | None = None, mass: dict[int, int] | None = None, pages: int = 0, low: int | None = None, high: int | None = None, plain: int = 0, partial: int = 0):
         self.wrapper, self.mass, self.pages = wrapper, mass or {}, pages
-        self.low, self.high = low, high
+        self.low, self.high, self.plain, self.partial = low, high, plain, partial
 
     @property
     def lone(self) -> bool:
         """Whether all pages are alike, so that what is constant says nothing."""
         return self.low == self.high
 
+    @property
+    def by_name(self) -> bool:
+        """Whether parts of names set elements aside."""
+        return self.lone and self.partial <= self.plain
+
     def add_page(self, page: str) -> None:
         self.pages += 1
-        path, aside = [], 0
+        paths, counts, aside, partial = [0], [0], 0, 0
         texts: list[str] = []
         stream = list(events(page))
-        some = False
+        some, deepest = False, 0
         for kind, tag, value in stream:
             if kind == "open":
                 aside += aside > 0 or set_aside(value) or tag == "a" or is_header(value)
-                path.append(value)
+                partial += partial > 0 or set_aside(value, True)
+                paths.append(below(paths[-1], value))
+                counts.append(0)
+                deepest = max(deepest, len(paths))
             elif kind == "close":
                 aside -= aside > 0
-                path.pop()
+                partial -= partial > 0
+                path, n = paths.pop(), counts.pop()
+                counts[-1] += n
+                if n and article_kind(value):
+                    self.mass[path] = self.mass.get(path, 0) + n
             elif text := " ".join(value.split()):
                 some = True
                 if not aside:
                     texts.append(text)
-                    for k in range(1, len(path) + 1):
-                        key = "/".join(path[:k])
-                        self.mass[key] = self.mass.get(key, 0) + len(text)
+                    counts[-1] += len(text)
+                    if partial:
+                        self.partial += len(text)
+                    else:
+                        self.plain += len(text)
+        room_for(deepest)
         if some:  # a page without text has no template either
             own = xxhash.xxh3_64_intdigest("\0".join(texts)) if texts else None
             self._merge(shape(stream), own, own)
@@ -316,97 +478,116 @@ class Host:
 
     def add(self, other: Host) -> None:
         self.pages += other.pages
+        self.plain += other.plain
+        self.partial += other.partial
         for k, n in other.mass.items():
             self.mass[k] = self.mass.get(k, 0) + n
         self._merge(other.wrapper, other.low, other.high)
 
     def to_json(self) -> str:
-        return json.dumps([self.wrapper, self.mass, self.pages, self.low, self.high], ensure_ascii=False)
+        known = [None if self.wrapper is None else flat(self.wrapper), list(self.mass.items()), self.pages, self.low, self.high, self.plain, self.partial]
+        return json.dumps(known, ensure_ascii=False)
 
     @classmethod
     def from_json(cls, text: str) -> Host:
-        return cls(*json.loads(text))
+        wrapper, mass, *rest = json.loads(text)
+        return cls(None if wrapper is None else unflat(wrapper), dict(mass), *rest)
 
     def constants(self) -> list[str]:
         """The names of the texts that every page has, unless all pages are alike."""
         out: set[str] = set()
-
-        def walk(items: list, path: str) -> None:
+        stack = [(self.wrapper[3], 0)] if self.wrapper is not None and not self.lone else []
+        while stack:
+            items, path = stack.pop()
             for label, optional, _, inner in items:
                 if optional:
                     continue
                 if label:
-                    walk(inner, f"{path}/{label}" if path else label)
+                    stack.append((inner, path if is_group(label) else below(path, label)))
                 elif inner is not None:
                     out.add(named(path, inner))
-
-        if self.wrapper is not None and not self.lone:
-            walk(self.wrapper[3], "")
         return sorted(out)
 
     def main(self) -> str:
-        """The path of the wrapper's element that holds the article.
+        """The path, in hex, of the wrapper's element that holds the article; "" for the whole page.
 
         Of the articles (else of the main elements) the one with most text; without any, the
         innermost element outside of which there are only constants, what is set aside, and links
         that stand in no heading or paragraph.
         """
-        lone = self.lone
-        found: dict[str, list[str]] = {"article": [], "main": []}
-
-        def walk(item: list, path: str) -> None:
-            for child in item[3]:
-                if child[0] and not set_aside(child[0], lone):
-                    own = f"{path}/{child[0]}" if path else child[0]
-                    tag = tag_of(child[0])
-                    kind = "article" if tag == "article" else "main" if tag == "main" or "@main" in child[0] else ""
-                    if kind and self.mass.get(own):
-                        found[kind].append(own)
-                    walk(child, own)
+        lone, by_name = self.lone, self.by_name
+        if self.wrapper is None:
+            return ""
+        found: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
+        stack = [(self.wrapper[3], 0, 0)]
+        while stack:
+            items, path, depth = stack.pop()
+            for label, _, _, inner in items:
+                if is_group(label):
+                    stack.append((inner, path, depth))
+                elif label and not set_aside(label):
+                    own = below(path, label)
+                    if (kind := article_kind(label)) and self.mass.get(own):
+                        found[kind].append((own, depth))
+                    stack.append((inner, own, depth + 1))
+        for kind in ("article", "main"):
+            if found[kind]:
+                return f"{max(found[kind], key=lambda p: (self.mass[p[0]], -p[1], p[0]))[0]:016x}"
+        known: dict[tuple[int, bool, bool], bool] = {}
 
         def varies(item: list, fixed: bool, prose: bool = False) -> bool:
             label, optional, _, inner = item
             fixed = fixed and not optional
             if not label:
                 return lone or not fixed or inner is None
-            tag = tag_of(label)
-            if set_aside(label, lone) or lone and is_header(label) or tag == "a" and not prose:
-                return False
-            return any(varies(x, fixed, prose or tag in _HEADING) for x in inner)
-
-        if self.wrapper is None:
-            return ""
-        walk(self.wrapper, "")
-        for kind in ("article", "main"):
-            if found[kind]:
-                return max(found[kind], key=lambda p: (self.mass[p], -len(p), p))
-        path, items = "", [(x, True) for x in self.wrapper[3]]
+            key = (id(item), fixed, prose)
+            if key not in known:
+                known[key] = False
+                if not is_group(label):
+                    tag = tag_of(label)
+                    if set_aside(label, by_name) or lone and is_header(label) or tag == "a" and not prose:
+                        return False
+                    prose = prose or tag in _HEADING
+                for x in inner:
+                    if varies(x, fixed, prose):
+                        known[key] = True
+                        break
+            return known[key]
+
+        path, items = 0, opened([(x, True) for x in self.wrapper[3]])
         while len(holding := {x[0] for x, fixed in items if varies(x, fixed)}) == 1:
             label = holding.pop()
             if tag_of(label) not in BLOCK:
                 break
-            path = f"{path}/{label}" if path else label
-            items = [(y, fixed and not x[1]) for x, fixed in items if x[0] == label for y in x[3]]
-        return path
+            path = below(path, label)
+            items = opened([(y, fixed and not x[1]) for x, fixed in items if x[0] == label for y in x[3]])
+        return f"{path:016x}" if path else ""
+
+
+def opened(items: list[tuple[list, bool]]) -> list[tuple[list, bool]]:
+    """Items with those of groups in their groups' places."""
+    out = []
+    for x, fixed in items:
+        out += opened([(y, fixed and not x[1]) for y in x[3]]) if is_group(x[0]) else [(x, fixed)]
+    return out
 
 
 # ---------------------------------------------------------------- reading
 
 
-def read_page(page: str, main: str, constants: frozenset | set = frozenset(), lone: bool = True) -> tuple[str, bool]:
+def read_page(page: str, main: str, constants: frozenset | set = frozenset(), lone: bool = True, by_name: bool = True) -> tuple[str, bool]:
     """The main text of a page through the element at path ``main`` ("" for all), and whether that fits the page.
 
     Blocks of ``constants`` alone go.  It doesn't fit a page that lacks the element, or has more text
-    outside of it than inside, not counting constants, links and what is set aside.
+    outside of it than inside, not counting constants, links and what is set aside.  What encloses the
+    element sets nothing aside in it.
     """
-    path: list[str] = []
-    paths = [""]
+    wanted, paths = int(main or "0", 16), [0]
     blocks: list[str] = []
     run: list[str] = []
-    varying = False
-    inside, aside, there = (1, 0, True) if not main else (0, 0, False)
+    varying, there = False, not main
+    inside, aside, outer, articles = int(not main), 0, 0, 0
     links = within = without = 0
-    wanted = main.split("/") if main else []
 
     def flush() -> None:
         nonlocal varying
@@ -418,12 +599,12 @@ def read_page(page: str, main: str, constants: frozenset | set = frozenset(), lo
 
     for kind, tag, value in events(page):
         if kind == "open":
-            path.append(value)
-            paths.append(f"{paths[-1]}/{value}" if paths[-1] else value)
+            paths.append(below(paths[-1], value))
             links += tag == "a"
-            if not inside and len(path) == len(wanted) and path == wanted:
-                inside, there = len(path), True
-            elif aside or set_aside(value, lone) or lone and not (inside and wanted) and is_header(value):
+            articles += article_kind(value) != ""
+            if not inside and paths[-1] == wanted:
+                inside, there, outer, aside = len(paths), True, aside, 0
+            elif aside or set_aside(value, by_name and not articles) or lone and not (inside and main) and is_header(value):
                 aside += 1
             if tag in BLOCK:
                 flush()
@@ -432,12 +613,12 @@ def read_page(page: str, main: str, constants: frozenset | set = frozenset(), lo
         elif kind == "close":
             if tag in BLOCK:
                 flush()
-            if aside:
+            if main and inside == len(paths):
+                inside, aside = 0, outer
+            elif aside:
                 aside -= 1
-            elif main and inside == len(path):
-                inside = 0
+            articles -= article_kind(value) != ""
             links -= tag == "a"
-            path.pop()
             paths.pop()
         elif not aside and (text := " ".join(value.split())):
             new = not constants or named(paths[-1], text) not in constants
@@ -453,13 +634,13 @@ def read_page(page: str, main: str, constants: frozenset | set = frozenset(), lo
     return "\n".join(blocks), there and without <= within
 
 
-def main_text(page: str, main: str, constants: frozenset | set = frozenset(), lone: bool = True) -> str:
+def main_text(page: str, main: str, constants: frozenset | set = frozenset(), lone: bool = True, by_name: bool = True) -> str:
     """``read_page``, by the page's own wrapper where the host's doesn't fit."""
-    text, fits = read_page(page, main, constants, lone)
+    text, fits = read_page(page, main, constants, lone, by_name)
     if not fits:
         own = Host()
         own.add_page(page)
-        text, _ = read_page(page, own.main(), constants, lone)
+        text, _ = read_page(page, own.main(), constants, lone, by_name)
     return text
 
 
@@ -469,10 +650,10 @@ def host_of(url):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, pages, main, wrapper, lone, constants) per host of ``pages`` (url, html): all pages take part.
+    """(host, pages, main, wrapper, lone, by_name, constants) per host of ``pages`` (url, html): all pages take part.
 
     ``constants`` has the 16 digits each of the names of texts that every page has, ``lone`` says that
-    the pages don't differ.
+    the pages don't differ, ``by_name`` that parts of names set elements aside.
     """
     require(pages, "url", "html")
 
@@ -492,25 +673,34 @@ def wrappers(pages: DataFrame) -> DataFrame:
             [pa.array(list(hosts), pa.string()), pa.array([h.to_json() for h in hosts.values()], pa.string())], ["host", "known"]
         )
 
-    def combine(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hosts: dict[str, Host] = {}
-        for batch in groups:
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by host, one host after another."""
+        own, host = None, None
+        for batch in batches:
             for name, known in zip(batch.column(0).to_pylist(), batch.column(1)):
-                hosts.setdefault(name, Host()).add(Host.from_json(known.as_py()))
-        if hosts:
-            yield of(hosts)
+                if name != own and host is not None:
+                    yield of({own: host})
+                    host = None
+                own = name
+                other = Host.from_json(known.as_py())
+                if host is None:
+                    host = other
+                else:
+                    host.add(other)
+        if host is not None:
+            yield of({own: host})
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = [Host.from_json(x.as_py()) for x in batch.column(1)]
             columns = [
                 [h.pages for h in known], [h.main() for h in known], [expression(h.wrapper) if h.wrapper else "" for h in known],
-                [h.lone for h in known], [" ".join(h.constants()) for h in known],
+                [h.lone for h in known], [h.by_name for h in known], [" ".join(h.constants()) for h in known],
             ]
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string())
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                ["host", "pages", "main", "wrapper", "lone", "constants"],
+                ["host", "pages", "main", "wrapper", "lone", "by_name", "constants"],
             )
 
     parts = (
@@ -518,9 +708,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
         .mapInArrow(infer, "host string, known string")
         .withColumn("part", F.spark_partition_id() % MERGE_PARTS)
     )
-    first = parts.repartition("host", "part").select("host", "known").mapInArrow(combine, "host string, known string")
-    second = first.repartition("host").mapInArrow(combine, "host string, known string")
-    return second.mapInArrow(finish, "host string, pages long, main string, wrapper string, lone boolean, constants string")
+    first = parts.repartition("host", "part").sortWithinPartitions("host").select("host", "known").mapInArrow(combine, "host string, known string")
+    second = first.repartition("host").sortWithinPartitions("host").mapInArrow(combine, "host string, known string")
+    return second.mapInArrow(finish, "host string, pages long, main string, wrapper string, lone boolean, by_name boolean, constants string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -533,7 +723,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Repeated rows are read alike.  An empty table gives no rows.
     """
     require(pages, "page_id", "url", "html")
-    mains = materialize(wrappers(pages).select("host", "main", "lone", "constants"))
+    mains = materialize(wrappers(pages).select("host", "main", "lone", "by_name", "constants"))
     if mains.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         mains = F.broadcast(mains)
     rows = (
@@ -541,15 +731,15 @@ def extract(pages: DataFrame) -> DataFrame:
         .join(mains, "host", "left")
         .select(
             "page_id", "url", "html", F.coalesce("main", F.lit("")).alias("main"),
-            F.coalesce("lone", F.lit(True)).alias("lone"), F.coalesce("constants", F.lit("")).alias("constants"),
+            *[F.coalesce(c, F.lit(True)).alias(c) for c in ("lone", "by_name")], F.coalesce("constants", F.lit("")).alias("constants"),
         )
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named_by = lru_cache(maxsize=1000)(lambda text: frozenset(text.split()))
         for batch in batches:
-            rows = zip(batch.column(2), batch.column(3), batch.column(4), batch.column(5))
-            texts = [main_text(page.as_py(), main.as_py(), named_by(known.as_py()), lone.as_py()) for page, main, lone, known in rows]
+            rows = zip(*(batch.column(k) for k in range(2, 7)))
+            texts = [main_text(page.as_py(), main.as_py(), named_by(known.as_py()), lone.as_py(), by_name.as_py()) for page, main, lone, by_name, known in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = dict(pages.dtypes)["page_id"]

@@ -328,7 +328,66 @@ def test_html_keeps_slots_and_drops_constants(spark):
     row = html.wrappers(pages).first()
     assert "We use your data." in row.wrapper and "Title" not in row.wrapper
     copies = spark.createDataFrame([(k, "http://h.example/", frame.format(0)) for k in range(2)], PAGES)  # nothing to tell by
-    assert {r.text for r in html.extract(copies).collect()} == {"We use your data.\nTitle 0\nBy Ann 0"}
+    assert {r.text for r in html.extract(copies).collect()} == {"We use your data.\nTitle 0\nThen 0\nBy Ann 0"}  # nor by parts of names inside an article
+
+
+def texts_of_pages(spark, pages):
+    """The texts of (url, html) pages, with columns beside that no operator knows."""
+    rows = [(k, u, h, "x", 1) for k, (u, h) in enumerate(pages)]
+    found = html.extract(spark.createDataFrame(rows, f"{PAGES}, host string, main int")).collect()
+    return [r.text for r in sorted(found, key=lambda r: r.page_id)]
+
+
+def test_html_pages_that_lists_misread(spark):
+    """Boilerplate that only the wrapper knows; names that begin or end with a listed word; numbers in names."""
+    shop = "<body><div class='zz1'>Buy now, site boilerplate</div><div class='zz2'><p>{0}</p><p>More {0}</p></div></body>"
+    story = "<body><div class='promo-story'><h1>{0}</h1><p>" + "A long tale of {0}. " * 9 + "</p></div><p>foot</p></body>"
+    alert = "<body><article><p>One</p><div class='widget-alert'><p>Two</p></div></article></body>"
+    pages = [("http://a/", shop.format("x")), ("http://a/", shop.format("y")), ("http://b/", story.format("q")), ("http://c/", alert), ("http://d/", story.format("r")), ("http://d/", story.format("s"))]
+    tale = lambda x: " ".join([f"A long tale of {x}."] * 9)
+    assert texts_of_pages(spark, pages) == ["x\nMore x", "y\nMore y", f"q\n{tale('q')}\nfoot", "One\nTwo", f"r\n{tale('r')}", f"s\n{tale('s')}"]
+
+
+def test_html_deep_and_long_pages(spark):
+    deep = "<body>" + "<div>" * 5000 + "<nav><ul><li>Menu item</ul></nav><article><p>Text {0}</p></article>" + "</div>" * 5000
+    long = "<body><article>" + "".join(f"<h2>Part {k}</h2><p>Words {k} of {{0}}</p>" for k in range(3000)) + "</article></body>"
+    odd = "<body><article>" + "".join(f"<{'ph'[k % 7 % 2]}{'2' * (k % 7 % 2)}>{k} of {{0}}</{'ph'[k % 7 % 2]}{'2' * (k % 7 % 2)}>" for k in range(2000)) + "</article></body>"
+    pages = [(f"http://{n}/", page.format(k)) for n, page in enumerate((deep, long, odd)) for k in "ab"]
+    found = texts_of_pages(spark, pages)
+    assert found[:2] == ["Text a", "Text b"]
+    assert found[2] == "\n".join(x for k in range(3000) for x in (f"Part {k}", f"Words {k} of a")) and found[5] == "\n".join(f"{k} of b" for k in range(2000))
+
+
+def test_wrappers_have_repeated_groups_of_several_elements(spark):
+    pages = [(k, "http://h/", "<body><div>Site</div>" + "".join(f"<h2>t{k}{i}</h2><p>b{k}{i}</p>" for i in range(k)) + "</body>") for k in (1, 2, 3)]
+    assert html.wrappers(spark.createDataFrame(pages, PAGES)).first().wrapper == '<body><div>"Site"</>(<h2>#</><p>#</>)+</>'
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = (rng.choices("abc", k=rng.randint(0, 9)) for _ in "xy")
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        found = html.common(a, b)
+        assert len(found) == best[-1][-1] and all(a[i] == b[j] for i, j in found)
+
+
+def test_html_blocks_are_found(spark):
+    """Precision and recall of blocks over hosts whose templates differ and whose classes say nothing."""
+    rng, pages, want = random.Random(9), [], []
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    for h in range(12):
+        notice, side, foot = words(6), words(8), words(5)
+        for _ in range(8):
+            body = [words(rng.randint(8, 40)) for _ in range(rng.randint(2, 7))]
+            paragraphs = "".join(f"<p>{b}</p>" for b in body)
+            advert = f"<div class=ad>{words(9)}</div>" if rng.random() < 0.5 else ""
+            holder = ("<article>{}</article>", "<main><div>{}</div></main>", "<div class=c1>{}</div>")[h % 3].format(advert + paragraphs)
+            pages.append((f"http://h{h}/", f"<body><div class=c2>{notice}</div><nav><a href=/>{words(2)}</a></nav>{holder}<div class=c3><p>{side}</p></div><footer>{foot} {words(1)}</footer></body>"))
+            want.append(body)
+    found = [set(t.split("\n")) for t in texts_of_pages(spark, pages)]
+    hit = sum(len(f & set(w)) for f, w in zip(found, want))
+    assert hit / sum(map(len, found)) > 0.99 and hit / sum(map(len, want)) > 0.99
 
 
 def test_html_keeps_what_stands_beside_the_body(spark):
