@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: One white-space character, as a Java regular-expression class.
@@ -37,6 +37,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that is no longer read, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder; lost executors lose no part of it."""
     checkpoint_dir(df.sparkSession)
@@ -50,6 +56,21 @@ def firsts(rows: DataFrame, *key: str) -> DataFrame:
     return rows.join(least, "row_of_key", "left").withColumn("first_of_key", F.coalesce("first_of_key", F.lit(False))).drop("row_of_key")
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """``rows``, written once, with a column per entry of ``sums``: the sum of the named column over the rows before, in an order.
+
+    Rows are range-partitioned by the order and added up within their slice; the slices' sums, a row
+    per partition, give each slice its start.  So no task sees more than its slice, whatever the keys.
+    """
+    sliced = materialize(rows.repartitionByRange(*order).withColumn("slice_of", F.spark_partition_id()))
+    earlier = Window.orderBy("slice_of").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("slice_of").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sliced.groupBy("slice_of").agg(*[F.sum(c).alias(f"start_{n}") for n, c in sums.items()])
+    starts = starts.select("slice_of", *[F.coalesce(F.sum(f"start_{n}").over(earlier), F.lit(0)).alias(f"start_{n}") for n in sums])
+    out = sliced.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}).join(F.broadcast(starts), "slice_of")
+    return out.withColumns({n: F.col(n) + F.col(f"start_{n}") for n in sums}).drop("slice_of", *[f"start_{n}" for n in sums])
+
+
 def text_of(column: str | Column = "text") -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

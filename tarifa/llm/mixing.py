@@ -9,17 +9,18 @@ then range-sorted by that position.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, key_of, materialize, require, text_of
+from .common import WORD, key_of, materialize, require, running, text_of
 
 Schedule = Sequence[tuple[float, float]]
 
-#: Hex digits of the order key that name a document's slice: 16**3 slices a source.
-SLICE_DIGITS = 3
+#: Rows that a slice of a source is meant to have at most, where whole documents are moved.
+SLICE_ROWS = 4000
 
 
 def constant(weight: float) -> Schedule:
@@ -75,23 +76,21 @@ def source_targets(totals: DataFrame, schedules: Sequence[Schedule], share: floa
     level for all: sorted by cap * size / weight, the first source that isn't capped gives it.
     Adds ``schedule_id``, ``target``.
     """
-    weights = F.array(*[F.lit(integral(s)) for s in schedules])
-    ordered = Window.orderBy(F.col("source").isNull(), "source")
-    rows = totals.withColumn("schedule_id", ((F.row_number().over(ordered) - 1) % len(schedules)).cast("int"))
+    weights, no_source = F.array(*[F.lit(integral(s)) for s in schedules]), F.col("source").isNull()
+    rows = running(totals.withColumn("one", F.lit(1).cast("long")), [no_source, F.col("source")], {"place": "one"}).drop("one")
+    rows = rows.withColumn("schedule_id", (F.col("place") % len(schedules)).cast("int"))
     rows = rows.withColumn("weight", F.get(weights, F.col("schedule_id"))).withColumn(
         "most", F.lit(float(cap)) * F.col("source_size")
     )
-    by_level = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").isNull(), "source")
-    everything = Window.partitionBy()
-    before = F.coalesce(F.sum("most").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))
-    demand = F.lit(float(share)) * F.sum("source_size").over(everything)
-    rows = rows.withColumn("level", (demand - before) / rest)
-    open_level = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))
-    level = F.first(open_level, ignorenulls=True).over(
-        by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    target = F.least(F.col("most"), F.coalesce(level * F.col("weight"), F.col("most")))
+    by_level = [F.col("most") / F.col("weight"), no_source, F.col("source")]
+    rows = running(rows, by_level, {"most_before": "most", "weight_before": "weight"})
+    sums = rows.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    level = (F.lit(float(share)) * F.col("all_size") - F.col("most_before")) / (F.col("all_weight") - F.col("weight_before"))
+    rows = materialize(rows.crossJoin(F.broadcast(sums)).withColumn("level", level))  # one row
+    open_level = F.min_by("level", F.struct(by_level[0].alias("x"), no_source.alias("y"), "source"))
+    first = rows.where(F.col("level") * F.col("weight") <= F.col("most")).agg(open_level.alias("open_level"))
+    rows = rows.crossJoin(F.broadcast(first))  # one row
+    target = F.least(F.col("most"), F.coalesce(F.col("open_level") * F.col("weight"), F.col("most")))
     return rows.select("source", "source_key", "source_size", "schedule_id", target.alias("target"))
 
 
@@ -110,8 +109,8 @@ def mix(docs: DataFrame, schedules: Sequence[Schedule], **options) -> DataFrame:
     word.  No document is taken more than ``cap`` times.  Ties in the order (repeated rows) fall
     back on the id and the size; equal rows are interchangeable.  An empty table gives no rows.
 
-    Sizes are added up in two steps: per source and slice of the order key, then within slices,
-    so a source with any share of the rows is spread over ``16**SLICE_DIGITS`` window groups.
+    Sizes are added up in two steps, within slices of the order and over the slices' sums, so a
+    source with any share of the rows is many tasks' work, and so are any number of sources.
     """
     order = (F.col("position").asc_nulls_last(), F.col("order_key"))
     return placed(docs, schedules, **options).repartitionByRange(*order).sortWithinPartitions(*order)
@@ -132,35 +131,17 @@ def placed(
     require(docs, id_col, text_col, source_col)
     schedules = [check_schedule(s) for s in schedules]
     payload = F.struct("*") if carry else F.struct(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"))
-    order_key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    own = F.col(id_col).cast("string")
+    named = F.coalesce(own, F.concat(F.lit("~"), F.xxhash64(text_of(text_col)).cast("string"))) if carry else F.coalesce(own, F.lit(""))
     sized = docs.select(
         payload.alias("doc"),
         F.col(source_col).alias("source"),
         F.col(id_col).alias("id"),
         key_of(source_col).alias("source_key"),
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
-        order_key.alias("order_key"),
-    ).withColumn("slice", F.substring("order_key", 1, SLICE_DIGITS))
-    narrow = sized.select("source", "source_key", "slice", "size") if carry else (sized := materialize(sized))
-    slices = materialize(narrow.groupBy("source", "source_key", "slice").agg(F.sum("size").alias("slice_size")))
-
-    totals = slices.groupBy("source", "source_key").agg(F.sum("slice_size").alias("source_size"))
-    targets = source_targets(totals, schedules, share, cap).drop("source")
-    to_here = Window.partitionBy("source_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select(
-        "source_key", "slice", F.coalesce(F.sum("slice_size").over(to_here), F.lit(0)).alias("slice_begin")
-    ).join(targets, "source_key")
-
-    within = (
-        Window.partitionBy("source_key", "slice")
-        .orderBy("order_key", "id", "size")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    rows = (
-        sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(offsets, ["source_key", "slice"])
-        .withColumn("begin", F.col("slice_begin") + F.col("before"))
+        F.md5(F.concat(F.lit(f"{seed}:"), named)).alias("order_key"),
     )
+    rows = (_begun_where_they_lie if carry else _begun)(sized, docs, schedules, share, cap)
     whole = F.floor("target")
     parts = [
         F.greatest(F.lit(0), F.least(F.col("size"), whole - F.col("begin") - k * F.col("source_size")))
@@ -177,6 +158,34 @@ def placed(
     )
 
 
+def _begun(sized: DataFrame, docs: DataFrame, schedules: Sequence[Schedule], share: float, cap: float) -> DataFrame:
+    """Narrow rows with their source's target and ``begin``, the words of their source before them."""
+    sized = materialize(sized.withColumn("row", F.monotonically_increasing_id()))
+    totals = materialize(sized.groupBy("source", "source_key").agg(F.sum("size").alias("source_size")))
+    begins = running(totals, [F.col("source_key")], {"source_begin": "source_size"}).select("source_key", "source_begin")
+    targets = source_targets(totals, schedules, share, cap).drop("source").join(begins, "source_key")
+    order = [F.col(c) for c in ("source_key", "order_key", "id", "size", "row")]  # the row splits what ties
+    rows = running(sized, order, {"before": "size"}).join(targets, "source_key")
+    return rows.withColumn("begin", F.col("before") - F.col("source_begin"))
+
+
+def _begun_where_they_lie(sized: DataFrame, docs: DataFrame, schedules: Sequence[Schedule], share: float, cap: float) -> DataFrame:
+    """The same for rows with whole documents, which move once: by source and slice of the order key.
+
+    Slices have as many digits of the key as the number of documents asks for.
+    """
+    digits = min(max(1, math.ceil(math.log(max(docs.count() / SLICE_ROWS, 1), 16))), 16)
+    sized = sized.withColumn("slice", F.substring("order_key", 1, digits))
+    slices = materialize(sized.groupBy("source", "source_key", "slice").agg(F.sum("size").alias("slice_size")))
+    totals = materialize(slices.groupBy("source", "source_key").agg(F.sum("slice_size").alias("source_size")))
+    begins = running(totals, [F.col("source_key")], {"source_begin": "source_size"}).select("source_key", "source_begin")
+    targets = source_targets(totals, schedules, share, cap).drop("source").join(begins, "source_key")
+    offsets = running(slices.drop("source"), [F.col("source_key"), F.col("slice")], {"slice_begin": "slice_size"}).join(targets, "source_key")
+    within = Window.partitionBy("source_key", "slice").orderBy("order_key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["source_key", "slice"])
+    return rows.withColumn("begin", F.col("slice_begin") - F.col("source_begin") + F.col("before"))
+
+
 def mixed_documents(docs: DataFrame, schedules: Sequence[Schedule], **options) -> DataFrame:
     """The mix itself: the columns of ``docs``, each document once per pass, in training order.
 

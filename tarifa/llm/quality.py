@@ -216,6 +216,9 @@ BROADCAST_ROWS = 50_000
 def kept_documents(docs: DataFrame, min_docs: int = 100, fences: tuple[Fence, ...] = FENCES) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their columns.
 
+    Null, empty and blank texts go; null languages and sources are groups of their own; repeated rows
+    stay or go alike, whatever their ids; an empty table gives no rows.
+
     Two passes over the texts: one fills the sketches, one judges each row where it lies, so that
     no text is shuffled while the limits fit a broadcast; beyond that, a plain join follows.
     """
