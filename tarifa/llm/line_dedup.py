@@ -648,7 +648,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, Da
     if not often.isEmpty():
         passed = materialize(passed.unionByName(dealt(often)))
     place = F.struct("id", "row", "line_no")
-    first = lines.groupBy(*_CLASS, "size", "parity").agg(F.min(place).alias("first"))
+    first = materialize(lines.groupBy(*_CLASS, "size", "parity").agg(F.min(place).alias("first")))
     # Classes that these columns don't tell apart all come along; what wasn't in the bucket is told by its words.
     asked = first.withColumn("id_part", F.shiftright(F.shiftleft("id_low", 32), 32).cast("int")).join(passed, ["parity", "size", "id_part"])
     asked = materialize(
@@ -664,7 +664,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, Da
         .agg(F.sum("n_links").alias("n_links"), F.min(F.struct(F.col("match_id").alias("id"), F.col("match_row").alias("row"), F.col("match_no").alias("line_no"))).alias("match"))
     )
     classes = first.select(*_CLASS, "first").join(materialize(found), [*_CLASS], "left")
-    return lines, classes.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    # Written, so that a join with the lines is a plain one, in which a class of many lines is split.
+    return lines, materialize(classes.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")))
 
 
 def judged(docs: DataFrame, id_col: str) -> DataFrame:
