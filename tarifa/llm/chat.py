@@ -24,6 +24,7 @@ from operator import itemgetter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import require
 
@@ -470,7 +471,7 @@ def format_conversations(turns: DataFrame, template: str = CHATML) -> DataFrame:
     names = ["conv_id", "formatted", "spans"]
     kind = dict(turns.dtypes)["conv_id"]
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
-    kinds = [pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64(), pa.string(), pa.list_(span)]
+    kinds = [to_arrow_type(turns.schema["conv_id"].dataType), pa.string(), pa.list_(span)]
     texts = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")]
     ordered = (
         turns.select("conv_id", "turn", *texts).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

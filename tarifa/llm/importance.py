@@ -52,8 +52,11 @@ class Grams:
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> np.ndarray:
     """log(target model / raw model) per bucket.
 
-    The raw model counts every document; the target model counts those labelled good, up to
-    ``target_rows`` of them.  The result has ``buckets`` entries whatever the input.
+    The raw model counts every row; the target model counts those labelled good, up to ``target_rows``
+    ids of them (those of smallest hash).  The result has ``buckets`` entries whatever the input.
+
+    Null texts count nothing, repeated rows count as often, a null id is labelled nothing; labels that
+    repeat or lack a document make no difference.  Without good labels, or documents, all are 0.
     """
     good = labels.where("quality = 1").select("doc_id").distinct()
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).withColumn("good", F.lit(True))
@@ -82,7 +85,11 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_rows:
 
 
 def log_weights(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """(doc_id, n_grams, log_weight) per row, over the whole text."""
+    """(doc_id, n_grams, log_weight) per row, over the whole text.
+
+    Null, empty and blank texts have no grams and weight 0; repeated rows weigh alike; an empty table
+    gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -267,6 +267,84 @@ def test_importance_prefers_the_target(spark):
     assert importance.resample(docs_of(spark, []), labels).count() == 0
 
 
+def brute_grams(text, buckets):
+    words = [xxhash.xxh64_intdigest(w) for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()]
+    out, mask = Counter(w % buckets for w in words), 2**64 - 1
+    for a, b in zip(words, words[1:]):
+        pair = (a * 0x9E3779B97F4A7C15 & mask ^ b) * 0xC2B2AE3D27D4EB4F & mask
+        out[(pair ^ pair >> 29) % buckets] += 1
+    return out
+
+
+def test_importance_weights_equal_brute_force(spark):
+    """Both models, the weights, the noise and the sample; labels that repeat, lack documents or are null; repeated rows."""
+    rng, buckets = random.Random(11), 50
+    texts = EDGES + [" ".join(rng.choices(["Alpha", "beta", "GAMMA", "délta", "eps"], k=rng.randint(1, 12))) for _ in range(60)]
+    ids = [*range(len(texts) - 4), 20, 20, None, None]
+    labels = [(20, 1), (20, 1), (21, 1), (22, 0), (999, 1), (None, 1)] + [(i, 1) for i in range(30, 40)]
+    rows = importance.resample(docs_of(spark, texts, ids), spark.createDataFrame(labels, "doc_id long, quality int"), share=0.5, buckets=buckets).collect()
+    raw, target = Counter(), Counter()
+    good = {i for i, q in labels if q == 1 and i is not None}
+    for i, t in zip(ids, texts):
+        raw += brute_grams(t, buckets)
+        target += brute_grams(t, buckets) if i in good else Counter()
+    share = [(raw[b] + 1) / (raw.total() + buckets) for b in range(buckets)]
+    ratio = [np.log((target[b] + buckets * share[b]) / (target.total() + buckets) / share[b]) for b in range(buckets)]
+    want = sorted((str(i), c.total(), round(sum(n * ratio[b] for b, n in c.items()), 9)) for i, c in ((i, brute_grams(t, buckets)) for i, t in zip(ids, texts)))
+    found = sorted((str(r.doc_id), r.n_grams, round(r.log_weight, 9)) for r in rows)
+    assert [f[:2] for f in found] == [w[:2] for w in want] and np.allclose([f[2] for f in found], [w[2] for w in want], atol=1e-7)
+    keys = sorted((r.sample_key for r in rows), reverse=True)
+    assert all(r.kept == (r.sample_key >= keys[len(rows) // 2 - 1]) for r in rows)
+    g = np.array([r.g for r in spark.range(40_000).withColumnRenamed("id", "doc_id").select(importance.gumbel(3).alias("g")).collect()])
+    assert abs(g.mean() - 0.5772) < 0.03 and abs(g.var() - np.pi**2 / 6) < 0.06
+
+
+def test_importance_ranks_held_out_labels(spark):
+    """Fitted on the labels of even ids, measured on those of odd ones."""
+    folder = needs_data("sf0.01")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = importance.fit(docs, labels.where("doc_id % 2 = 0"))
+    rows = importance.log_weights(docs, model).join(labels.where("doc_id % 2 = 1").select("doc_id", "quality").distinct(), "doc_id").collect()
+    good, bad = ([r.log_weight / max(r.n_grams, 1) for r in rows if r.quality == q] for q in (1, 0))
+    assert len(good) > 20 and len(bad) > 20
+    assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.9
+
+
+def test_token_counts_on_the_real_vocabulary(spark):
+    """Greedy longest match by hand, with the vocabulary the query uses."""
+    import public_tokenizers
+
+    pieces = token_counts.sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    known, longest = set(pieces), max(map(len, pieces))
+    texts = EDGES[:3] + EDGES[6:] + [r.text for r in spark.read.parquet(f"{needs_data('sf0.001')}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+
+    def greedy(word):
+        n = 0
+        while word:
+            size = next((k for k in range(min(longest, len(word)), 0, -1) if word[:k] in known), 0)
+            n += 1 if size else len(word[0].encode())
+            word = word[size or 1 :]
+        return n
+
+    for r in token_counts.token_counts(docs_of(spark, texts), pieces).collect():
+        words = (texts[r.doc_id] or "").encode().split()
+        assert (r.n_words, r.n_tokens) == (len(words), sum(greedy("▁" + w.decode()) for w in words))
+    assert token_counts.token_counts(docs_of(spark, []), pieces).count() == 0
+
+
+@pytest.mark.parametrize("kind, ids", [("string", ["a", None]), ("double", [1.5, 2.0]), ("date", None)])
+def test_chat_edges(spark, kind, ids):
+    """Null roles and turns, repeated rows, ties, columns that clash, ids of any type."""
+    import datetime
+
+    ids = ids or [datetime.date(2024, 1, 1), None]
+    rows = [(ids[0], 1, None, "x", "f"), (ids[0], 1, None, "x", "f"), (ids[0], 2, "assistant", "b", None), (ids[0], 2, "assistant", "a", "g"), (ids[0], None, "user", None, "h"), (ids[1], 1, "assistant", "", "")]
+    found = {r.conv_id: r for r in chat.format_conversations(spark.createDataFrame(rows, f"conv_id {kind}, turn long, role string, text string, formatted string")).collect()}
+    assert set(found) == set(ids)
+    assert chat.parse_formatted(found[ids[0]].formatted) == [("user", ""), ("", "x"), ("", "x"), ("assistant", "a"), ("assistant", "b")]
+    assert chat.parse_formatted(found[ids[1]].formatted) == [("assistant", "")] and found[ids[1]].spans == []
+
+
 def test_token_counts_equal_greedy_match(spark):
     pieces = ["▁a", "▁ab", "abc", "b", "bc", "c", "cab", "▁", "aaaa", "a"]
     match = token_counts.LongestMatch(pieces)
