@@ -71,6 +71,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM g LEFT JOIN t USING (lang_key, source_key)
 """
 
+#: Weights over time of 5 - 4t, 1 and 1 + 2t have the integrals 5t - 2t^2, t and t + t^2; positions invert them.
 OP10 = rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce('=' || source, '~') AS k, len({_WORDS})::BIGINT AS size,
@@ -79,7 +80,8 @@ WITH d AS (
 ), s AS (
   SELECT source, k, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL
 ), w AS (
-  SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS weight,
+  SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS schedule,
+         [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS weight,
          2.0::DOUBLE * source_size AS most
   FROM s
 ), l AS (
@@ -91,15 +93,19 @@ WITH d AS (
 ), x AS (
   SELECT level FROM l WHERE level * weight <= most ORDER BY rank LIMIT 1
 ), t AS (
-  SELECT k, source_size, least(most, coalesce((SELECT level FROM x) * weight, most)) AS target FROM w
+  SELECT k, source_size, schedule, least(most, coalesce((SELECT level FROM x) * weight, most)) AS target FROM w
 ), p AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT doc_id, size, source_size, target, schedule,
          coalesce(sum(size) OVER (PARTITION BY k ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c
   FROM d JOIN t USING (k)
 )
 SELECT doc_id, size, source_size, target,
        (greatest(0, least(size, floor(target)::BIGINT - c)) + greatest(0, least(size, floor(target)::BIGINT - c - source_size)))::BIGINT AS taken,
-       CASE WHEN target > 0 THEN round(c / target, 9) END AS position
+       round(CASE WHEN target > 0 THEN CASE
+         WHEN schedule = 0 AND c < target THEN 2 * (3 * (c / target)) / (5 + sqrt(25 - 8 * (3 * (c / target))))
+         WHEN schedule = 2 AND c < target THEN 2 * (2 * (c / target)) / (1 + sqrt(1 + 4 * (2 * (c / target))))
+         WHEN schedule = 0 THEN 1 + (c / target - 1) * 3 WHEN schedule = 2 THEN 1 + (c / target - 1) * 2 / 3
+         ELSE c / target END END, 9) AS position
 FROM p
 """
 
