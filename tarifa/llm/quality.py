@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, SPACES, key_of, materialize, require, text_of
 
+#: Rows up to which the table of limits is broadcast: with keys of some tens of bytes, a few MB.  Beyond, both sides of
+#: the join are written tables, so that a hot language and source is split.
+BROADCAST_ROWS = 50_000
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
@@ -203,16 +206,13 @@ def judge(
     require(docs, *keep, text_col, lang_col, source_col)
     columns = [F.struct(*keep).alias("kept_columns"), key_of(lang_col).alias("lang_key"), key_of(source_col).alias("source_key")]
     features = materialize(base_features(docs, columns, text_col).withColumn("base_failed", base_failed()))
-    limits = thresholds(sketches(features, fences), min_docs, fences)
-    rows = features.join(limits, ["lang_key", "source_key"], "left")
+    limits = materialize(thresholds(sketches(features, fences), min_docs, fences))
+    small = limits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = features.join(F.broadcast(limits) if small else limits, ["lang_key", "source_key"], "left")
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return rows.select("kept_columns.*", *counts, "base_failed", (~F.col("base_failed") & ~outside(fences)).alias("kept"))
 
 
-#: Rows up to which the table of limits is broadcast: with keys of some tens of bytes, a few MB.
-BROADCAST_ROWS = 50_000
-
-
 def kept_documents(docs: DataFrame, min_docs: int = 100, fences: tuple[Fence, ...] = FENCES) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their columns.
 
