@@ -107,6 +107,27 @@ def disagreement_shift(snapshots: DataFrame, base: str, comparison: str) -> Data
     return rows
 
 
+def replay_acceptance(windows: DataFrame, control: str = "control", stress: str = "stress") -> DataFrame:
+    """(check, passed): whether replays show what they should, and ``accepted``, whether all do.
+
+    ``windows`` are snapshots with alerts, a row per replay: the control is green, stress sets off errors, unseen
+    categories, drift and both relative disagreement alerts, and every replay reports aggregates only.  What
+    a replay lacks isn't passed.
+    """
+    of = lambda w, c: F.bool_or(F.when(F.col("window_id") == w, c))
+    shift = disagreement_shift(windows, control, stress).select(*[F.col(f"{c}_alert") for c in ("frequency_p95", "pure_premium_p95")])
+    shift = shift.agg(*[F.bool_or(c).alias(c) for c in shift.columns])  # one row, also where a replay lacks
+    rows = windows.agg(
+        of(control, F.col("alert_status") == "GREEN").alias("control_green"), F.bool_and(F.col("privacy_boundary") == PRIVACY_BOUNDARY).alias("aggregates_only"),
+        *[of(stress, F.col(f"alert_{a}")).alias(f"stress_{a}") for a in ("error_rate", "unseen_category_rate", "feature_drift")],
+    ).crossJoin(F.broadcast(shift))
+    rows = rows.withColumnsRenamed({"frequency_p95_alert": "frequency_shift", "pure_premium_p95_alert": "pure_premium_shift"})
+    cells = [F.struct(F.lit(c).alias("check"), F.coalesce(c, F.lit(False)).alias("passed")) for c in rows.columns]
+    return rows.select(F.array(*cells).alias("cells")).select(
+        F.inline(F.concat("cells", F.array(F.struct(F.lit("accepted").alias("check"), F.forall("cells", lambda c: c["passed"]).alias("passed")))))
+    )
+
+
 def stressed(records: DataFrame, changes: dict[str, object]) -> DataFrame:
     """Records with fields overwritten, for a stress replay."""
     return records.withColumns({k: F.lit(v) for k, v in changes.items()})

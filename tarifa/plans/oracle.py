@@ -207,6 +207,14 @@ an AS ({_long('e', ('latency', 'batch'), 'DOUBLE', 'window_id, ')}), ex AS (SELE
 ac AS (SELECT window_id, feature, ({_BIN})::VARCHAR AS bucket, count(*) AS n FROM an JOIN cuts USING (feature) GROUP BY ALL)""" + _psi("window_id, ") + """,
 tp AS (SELECT window_id, max(psi) AS max_psi, first(feature ORDER BY psi DESC, feature = 'batch') AS max_psi_feature FROM psi GROUP BY ALL), al AS (
   SELECT sn.window_id, request_count, error_count, records_scored, unseen_warning_records, max_psi, max_psi_feature, """ + ", ".join(f"{a} AS alert_{n}" for a, n in zip(_ALERT, _ALERT_NAMES)) + ", CASE WHEN " + " OR ".join(f"({a})" for a in _ALERT) + " THEN 'RED' ELSE 'GREEN' END AS alert_status FROM sn LEFT JOIN tp USING (window_id))"
+_REPLAYED = (
+    _ALERTED.replace("WITH e AS (", "WITH e0 AS (", 1).replace("  FROM events\n), c AS", """  FROM events
+), e AS (
+  SELECT * REPLACE (CASE WHEN window_id < '2024-01-08' THEN 'control' ELSE 'temporal' END AS window_id) FROM e0
+  UNION ALL SELECT 'stress', event_id, latency * 3, event_id % 2 = 0, batch, batch, fr + 2, lo + 2 FROM e0 WHERE window_id < '2024-01-08'
+), c AS""", 1)
+    .replace("right(window_id, 10) < '2024-01-08'", "window_id = 'control'").replace("max_psi_feature, error_rate >", "max_psi_feature, frequency_p95, pure_premium_p95, error_rate >", 1)
+)
 _RELEASED = "WITH RECURSIVE " + _ALERTED.removeprefix("WITH ").replace("strftime(ts, '%Y-%m-%d') AS window_id", "'r' || event_id % 4 || '|' || strftime(ts, '%Y-%m-%d') AS window_id")
 
 
@@ -298,6 +306,11 @@ FROM e WINDOW w AS (PARTITION BY chain ORDER BY seq)""",
     "artifact_differences": """WITH a AS (SELECT 'part/' || p_partkey AS path, sha256(p_name) AS sha256 FROM part WHERE p_partkey % 11 != 0),
 b AS (SELECT 'part/' || p_partkey AS path, sha256(CASE WHEN p_partkey % 7 = 0 THEN 'changed' ELSE p_name END) AS other_sha256 FROM part WHERE p_partkey % 13 != 0)
 SELECT path, sha256, other_sha256 FROM a FULL JOIN b USING (path) WHERE sha256 IS DISTINCT FROM other_sha256""",
+    "replay_acceptance": _REPLAYED + """, k1 AS (SELECT * FROM al WHERE window_id = 'control'), k2 AS (SELECT * FROM al WHERE window_id = 'stress'), r AS (
+  SELECT unnest([{'check': 'control_green', 'passed': k1.alert_status = 'GREEN'}, {'check': 'aggregates_only', 'passed': true}, {'check': 'stress_error_rate', 'passed': k2.alert_error_rate},
+    {'check': 'stress_unseen_category_rate', 'passed': k2.alert_unseen_category_rate}, {'check': 'stress_feature_drift', 'passed': k2.alert_feature_drift},
+    {'check': 'frequency_shift', 'passed': k2.frequency_p95 > greatest(1.5 * k1.frequency_p95, k1.frequency_p95 + 0.10)}, {'check': 'pure_premium_shift', 'passed': k2.pure_premium_p95 > greatest(1.5 * k1.pure_premium_p95, k1.pure_premium_p95 + 0.10)}], recursive := true) FROM k1, k2
+) SELECT "check", passed FROM r UNION ALL SELECT 'accepted', bool_and(passed) FROM r""",
     "disagreement_shift": _EVENTS + " SELECT " + ", ".join(f"round(b.{c}, 6) AS base_{c}, round(x.{c}, 6) AS cmp_{c}, round({_ratio('x.' + c, 'b.' + c)}, 6) AS {c}_ratio, x.{c} > greatest(1.5 * b.{c}, b.{c} + 0.10) AS {c}_alert" for c in ("frequency_p95", "pure_premium_p95")) + " FROM sn b, sn x WHERE b.window_id = '2024-01-01' AND x.window_id = '2024-01-15'",
     "complexity_join": LOCKED + f", d AS ({_deviances('t', '_locked')}) SELECT model, target, round(deviance, 6) AS deviance, round(calibration_ratio, 6) AS calibration_ratio, CASE model " + " ".join(f"WHEN '{m}_locked' THEN {n}" for m, n in _TERMS.items()) + " END::BIGINT AS terms FROM d",
     "parity_audit": "WITH x AS (" + " UNION ALL ".join(f"SELECT p_partkey AS k, '{f}' AS field, {e} AS e, {o} AS o FROM part" for f, e, o in (("price", "p_retailprice", "p_retailprice + p_partkey % 5 * 0.25::DOUBLE"), ("size", "p_size::DOUBLE", "p_size * 1.5::DOUBLE"))) + ") SELECT field, count(*) AS \"rows\", round(max(abs(o - e)), 6) AS max_abs_error, round(max(abs(o - e) / greatest(abs(e), 1e-12::DOUBLE)), 6) AS max_rel_error, first(k ORDER BY abs(o - e) DESC, k) AS worst_key FROM x GROUP BY field",

@@ -312,10 +312,10 @@ def monitoring_snapshot(spark, sf_dir):
     return rounded(monitoring.snapshot(_requests(spark, sf_dir)), rates=_RATES)
 
 
-def _alerts(requests: DataFrame) -> DataFrame:
-    """The windows' aggregates and alerts, with drift from the first week."""
+def _alerts(requests: DataFrame, first: str = "right(window_id, 10) < '2024-01-08'") -> DataFrame:
+    """The windows' aggregates and alerts, with drift from those of ``first``: the first week."""
     rows = requests.withColumnsRenamed({"latency_ms": "latency", "batch_size": "batch"})
-    base = drift.numeric_baseline(rows.where("right(window_id, 10) < '2024-01-08'"), ("latency", "batch"))
+    base = drift.numeric_baseline(rows.where(first), ("latency", "batch"))
     counts = drift.numeric_counts(rows, base, ("latency", "batch"), ("window_id",))
     psi = drift.feature_psi(counts, drift.as_buckets(base, None), ("window_id",))
     top = drift.largest(psi, ("latency", "batch"), ("window_id",))
@@ -328,6 +328,21 @@ def monitoring_alerts(spark, sf_dir):
     return rounded(out, rates=("max_psi",))
 
 
+def replay_acceptance(spark, sf_dir):
+    """The first week as control, the rest as later data, and the first week under stress."""
+    rows = _requests(spark, sf_dir)
+    early = F.col("window_id") < "2024-01-08"
+    control = rows.where(early).withColumn("window_id", F.lit("control"))
+    stress = control.withColumns(
+        {
+            "window_id": F.lit("stress"), "latency_ms": F.col("latency_ms") * 3, "error": F.col("seq") % 2 == 0, "unseen": F.col("batch_size"),
+            "freq_log_ratio": F.abs("freq_log_ratio") + 2, "loss_log_ratio": F.abs("loss_log_ratio") + 2,
+        }
+    )
+    replays = control.unionByName(rows.where(~early).withColumn("window_id", F.lit("temporal"))).unionByName(stress)
+    return monitoring.replay_acceptance(_alerts(replays, "window_id = 'control'"))
+
+
 def disagreement_shift(spark, sf_dir):
     out = monitoring.disagreement_shift(monitoring.snapshot(_requests(spark, sf_dir)), "2024-01-01", "2024-01-15")
     return rounded(out, rates=tuple(c for c in out.columns if not c.endswith("_alert")))
@@ -516,6 +531,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bootstrap_deviance_ci, bootstrap_ratio_ci, rolling_origin, locked_gate, approval_gates, baseline_numeric,
         baseline_categorical, feature_psi, largest_psi, unseen_category_rate, monitoring_snapshot, monitoring_alerts,
         disagreement_shift, review_lifecycle, event_chain_verify, complexity_join, parity_audit, seeded_sample, micro_batches,
-        stress_replay, contract_check, glm_fit_scores, boosted_fit_scores, rolling_refit, model_complexity, scorer_parity, artifact_differences,
+        stress_replay, contract_check, glm_fit_scores, boosted_fit_scores, rolling_refit, model_complexity, scorer_parity, artifact_differences, replay_acceptance,
     )
 }

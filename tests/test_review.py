@@ -88,3 +88,39 @@ def test_artifact_tables_differ_where_files_do(spark, tmp_path):
     tables = [sinks.artifact_table(spark, f"{tmp_path}/{side}").withColumn("path", F.substring_index("path", "/", -1)) for side in "ab"]
     assert tables[0].where("path = 'x'").first().sha256 == hashlib.sha256(b"1").hexdigest()
     assert sorted(r.path for r in governance.map_differences(*tables).collect()) == ["y", "z"]
+
+
+def test_records_and_canonical_features(spark):
+    one = {c: 1 for c in contracts.NUMERIC_FEATURES} | {c: "x" for c in contracts.CATEGORICAL_FEATURES}
+    frame = contracts.records_frame(spark, [one, one | {contracts.NUMERIC_FEATURES[0]: None}])
+    assert frame.columns == list(contracts.FEATURES) and frame.count() == 2
+    for bad in ([], [one] * (contracts.MAX_BATCH + 1)):
+        with pytest.raises(contracts.ContractError):
+            contracts.records_frame(spark, bad)
+    odd = spark.createDataFrame([("2.5", float("nan"), 7)], f"{contracts.NUMERIC_FEATURES[0]} string, {contracts.NUMERIC_FEATURES[1]} double, {contracts.CATEGORICAL_FEATURES[0]} int")
+    row = contracts.canonical(odd).first()
+    assert row[0] == 2.5 and row[1] is None and row[len(contracts.NUMERIC_FEATURES)] == "7" and len(row) == len(contracts.FEATURES)
+
+
+def test_preprocessing_equals_numpy(spark):
+    """Medians, moments, modes, levels and one column per level; what is missing or new."""
+    import numpy as np
+    from tarifa.operators.models import Glm, Preprocessor, Scorer
+
+    rng = np.random.default_rng(5)
+    rows = [(float(x) if x > -1.2 else None, int(n), c) for x, n, c in zip(rng.normal(size=301), rng.integers(0, 4, 301), rng.choice(["a", "b", "c"], 301, p=[0.5, 0.3, 0.2]))] + [(1.0, 2, None)]
+    df = spark.createDataFrame(rows, "x double, n int, c string")
+    prep = Preprocessor(("x", "n"), ("c",)).fit(df)
+    x = np.array([np.nan if r[0] is None else r[0] for r in rows])
+    assert abs(prep.medians["x"] - np.nanmedian(x)) < 1e-12 and prep.levels == {"c": ["a", "b", "c"]} and prep.modes == {"c": "a"}
+    filled = np.where(np.isnan(x), np.nanmedian(x), x)
+    assert abs(prep.means["x"] - filled.mean()) < 1e-12 and abs(prep.scales["x"] - filled.std()) < 1e-12
+    new = spark.createDataFrame([(None, 1, "b"), (0.0, None, None), (0.0, 0, "z")], "x double, n int, c string")
+    out = [r.features.toArray().tolist() for r in prep.transform(new).collect()]
+    assert out[0][2:] == [0, 1, 0] and out[1][2:] == [1, 0, 0] and out[2][2:] == [0, 0, 0]
+    assert abs(out[0][0] - (np.nanmedian(x) - filled.mean()) / filled.std()) < 1e-12
+    scorer = Scorer(prep, {"glm_freq": Glm(0.1, [0.2, 0, 0, 0.3, 0]), "xgb_freq": Glm(0.4, [0.2, 0, 0, 0.3, 0])}, {"xgb_freq": 2.0})
+    row = scorer.score(new).collect()
+    assert all(abs(r.frequency_log_ratio - (0.3 + np.log(2))) < 1e-9 for r in row) and [r.warnings for r in row] == [[], [], ["unseen_category:c=z"]]
+    with pytest.raises(ValueError, match="too many levels"):
+        Preprocessor((), ("c",)).fit(spark.range(1200).select(F.col("id").cast("string").alias("c")))
