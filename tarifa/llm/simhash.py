@@ -295,17 +295,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of the component of every node with an edge.
 
     Alternates large-star and small-star steps until the edges form stars.  Nodes of any degree are
-    handled by minima and joins, never by collecting neighbours.
+    handled by minima and joins, never by collecting neighbours; the joins are of written tables, so
+    that a hub's rows are split.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     while True:
         # Large star: neighbours above a node go to the smallest node around it.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        around = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        around = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(around, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         # Small star: neighbours below a node, and the node, go to the smallest of them.
         large = materialize(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         below = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         step = materialize(below.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         if not _differ(edges, step):

@@ -531,6 +531,30 @@ def test_quality_edges(spark):
     assert rows[8].n_symbols == 6
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Repeated rows, repeated and null ids, nulls in any column, empty texts, further columns, an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    text = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(40))
+    a, b, c, d = (text() for _ in range(4))
+    texts, ids = [a, a, a + " ", b, c, c, d, d + " more", None, "", LONG], [7, 7, 5, 5, None, None, 9, 8, 3, None, 2]
+    docs_of(spark, texts, ids).coalesce(1).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == SCHEMA.replace(",", "").split()[::2], name
+    near = brute_print(d) ^ brute_print(d + " more")
+    want = [(5, a + " "), (5, b), (None, c), *([(8, d + " more")] if near.bit_count() <= 2 else [(8, d + " more"), (9, d)])]
+    assert sorted(((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()), key=str) == sorted(want, key=str)
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {r.doc_id for r in rows} <= {i for i, _ in want} and all(r.n_tokens > 0 for r in rows)
+    docs_of(spark, [a, a], [1, 1]).coalesce(1).write.parquet(f"{tmp_path}/twice/documents.parquet")
+    assert len(corpus_pipeline.run(spark, f"{tmp_path}/twice").collect()) <= 2  # one document, as often as the mix begins it
+    docs_of(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     """Its rows, from SQL for the rules and the mix and from brute force for the rest; with near copies added."""
     import duckdb
