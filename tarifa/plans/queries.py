@@ -522,6 +522,15 @@ def scorer_parity(spark, sf_dir):
     return governance.largest_errors(scorer.score(rows), again.score(rows), "key", list(MODELS)).drop("worst_key")
 
 
+def retrain_parity(spark, sf_dir):
+    """The largest differences between models and the same models fitted again on the rows in another order."""
+    prep, (train, _, test) = _fitted(spark, sf_dir)
+    glms = [m for m in MODELS if m not in models.TREES]
+    scorers = [models.Scorer(prep, {m: models.fit_model(m, rows, prep) for m in glms}, dict.fromkeys(glms, 1.0)) for rows in (train, train.orderBy(F.desc("l_orderkey"), "l_linenumber"))]
+    rows = test.drop(*MODELS).withColumn("key", row_number_key() * 100 + F.col("l_suppkey") % 100)
+    return governance.largest_errors(scorers[0].score(rows), scorers[1].score(rows), "key", glms).drop("worst_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -531,6 +540,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bootstrap_deviance_ci, bootstrap_ratio_ci, rolling_origin, locked_gate, approval_gates, baseline_numeric,
         baseline_categorical, feature_psi, largest_psi, unseen_category_rate, monitoring_snapshot, monitoring_alerts,
         disagreement_shift, review_lifecycle, event_chain_verify, complexity_join, parity_audit, seeded_sample, micro_batches,
-        stress_replay, contract_check, glm_fit_scores, boosted_fit_scores, rolling_refit, model_complexity, scorer_parity, artifact_differences, replay_acceptance,
+        stress_replay, contract_check, glm_fit_scores, boosted_fit_scores, rolling_refit, model_complexity, scorer_parity, retrain_parity, artifact_differences, replay_acceptance,
     )
 }

@@ -152,6 +152,11 @@ def test_scorer_survives_writing(spark):
     assert set(found) == {"glm_freq", "xgb_freq", "glm_loss", "xgb_loss"} and all(r.max_rel_error <= 1e-12 and r.rows > 0 for r in found.values())
 
 
+def test_retraining_gives_the_same_models(spark):
+    rows = QUERIES["retrain_parity"](spark, needs_data("sf0.001")).collect()
+    assert {r.field for r in rows} == {"glm_freq", "glm_loss"} and all(r.max_rel_error < 1e-6 for r in rows)
+
+
 def test_rolling_refit_and_complexity(spark):
     folder = needs_data("sf0.001")
     rows = QUERIES["rolling_refit"](spark, folder).collect()
