@@ -46,11 +46,11 @@ NAME_BLOCK = 22
 #: Classes in a bucket or block at most, and pairs filtered at once.
 BLOCK, PAIRS = 2000, 1 << 20
 #: Classes a task remembers; beyond, it starts afresh.
-CACHE = 1_000_000
+CACHE = 400_000
 #: Bytes of text and lines worked on at once; a longer line is worked on alone.
-SLICE, SLICE_LINES = 4 << 20, 1 << 19
+SLICE, SLICE_LINES = 2 << 20, 1 << 19
 #: Names whose counts a task keeps, and rows for buckets, before it hands them on.
-COUNTED, GATHERED = 1_500_000, 500_000
+COUNTED, GATHERED = 1_500_000, 300_000
 #: Rows of buckets a part is meant to have, and parts at most.
 PART, MOST_PARTS = 250_000, 20_000
 #: Words up to which a line's bitmap has 64 bits; twice as many for each doubling.
