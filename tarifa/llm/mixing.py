@@ -20,7 +20,7 @@ from .common import WORD, key_of, materialize, require, running, text_of
 Schedule = Sequence[tuple[float, float]]
 
 #: Rows that a slice of a source is meant to have at most, where whole documents are moved.
-SLICE_ROWS = 4000
+SLICE_ROWS = 250
 
 
 def constant(weight: float) -> Schedule:
