@@ -497,6 +497,28 @@ def test_mixing_meets_targets(spark):
     assert sorted((r.doc.doc_id, r.taken, r.position or -1) for r in rows) == sorted((r.doc.doc_id, r.taken, r.position or -1) for r in again)
 
 
+def test_mixing_of_repeated_and_null_ids(spark):
+    """Rows that share an id, or have none, are documents of their own; more sources than schedules."""
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 2, 3, None, None, k]), "w " * rng.randint(0, 30), rng.choice([None, "a", "b", "c", "d", "é", "Z"])) for k in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs, MIX_SCHEDULES).collect()
+    assert len(found) == len(rows)
+    taken, target, size = Counter(), {}, Counter()
+    for r in found:
+        taken[r.doc.source] += r.taken
+        size[r.doc.source] += r.size
+        target[r.doc.source] = r.target
+        assert 0 <= r.taken <= 2 * r.size and r.source_size >= r.size
+    assert size == Counter({s: sum(t.count("w") for _, t, x in rows if x == s) for s in {x for *_, x in rows}})
+    assert all(abs(taken[s] - target[s]) < 1 for s in target)
+    weigh = dict(zip(sorted(s for s in size if s is not None), (3, 1, 2) * 3)) | {None: (3, 1, 2)[len([s for s in size if s is not None]) % 3]}
+    open_ = [s for s in size if target[s] < 2 * size[s] - 1e-6]
+    assert len({round(target[s] / weigh[s], 6) for s in open_}) == 1
+    key = lambda rs: sorted((str(r.doc.doc_id), str(r.doc.source), r.size, r.taken) for r in rs)
+    assert key(found) == key(mixing.mix(docs.repartition(4), MIX_SCHEDULES).collect())
+
+
 def test_curriculum_inverts_its_integral(spark):
     ramp = ((0.0, 0.0), (0.5, 1.0), (1.0, 3.0))
     shares = [k / 50 for k in range(50)]
