@@ -19,6 +19,8 @@ from .common import WORD, key_of, materialize, require, running, text_of
 
 Schedule = Sequence[tuple[float, float]]
 
+#: Sources up to which their targets are broadcast (under 100 bytes each), and parts of a source beyond.
+BROADCAST_ROWS, SALTS = 50_000, 16
 #: Rows that a slice of a source is meant to have at most, where whole documents are moved.
 SLICE_ROWS = 250
 
@@ -158,6 +160,15 @@ def placed(
     )
 
 
+def _with_targets(rows: DataFrame, targets: DataFrame, salt: str) -> DataFrame:
+    """Rows with their source's columns: by a broadcast of checked size, else by source and a part of it, told by ``salt``."""
+    targets = materialize(targets)
+    if targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(targets), "source_key")
+    targets = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(targets, ["source_key", "salt"]).drop("salt")
+
+
 def _begun(sized: DataFrame, docs: DataFrame, schedules: Sequence[Schedule], share: float, cap: float) -> DataFrame:
     """Narrow rows with their source's target and ``begin``, the words of their source before them."""
     sized = materialize(sized.withColumn("row", F.monotonically_increasing_id()))
@@ -165,7 +176,7 @@ def _begun(sized: DataFrame, docs: DataFrame, schedules: Sequence[Schedule], sha
     begins = running(totals, [F.col("source_key")], {"source_begin": "source_size"}).select("source_key", "source_begin")
     targets = source_targets(totals, schedules, share, cap).drop("source").join(begins, "source_key")
     order = [F.col(c) for c in ("source_key", "order_key", "id", "size", "row")]  # the row splits what ties
-    rows = running(sized, order, {"before": "size"}).join(targets, "source_key")
+    rows = _with_targets(running(sized, order, {"before": "size"}), targets, "order_key")
     return rows.withColumn("begin", F.col("before") - F.col("source_begin"))
 
 
@@ -180,7 +191,8 @@ def _begun_where_they_lie(sized: DataFrame, docs: DataFrame, schedules: Sequence
     totals = materialize(slices.groupBy("source", "source_key").agg(F.sum("slice_size").alias("source_size")))
     begins = running(totals, [F.col("source_key")], {"source_begin": "source_size"}).select("source_key", "source_begin")
     targets = source_targets(totals, schedules, share, cap).drop("source").join(begins, "source_key")
-    offsets = running(slices.drop("source"), [F.col("source_key"), F.col("slice")], {"slice_begin": "slice_size"}).join(targets, "source_key")
+    offsets = running(slices.drop("source"), [F.col("source_key"), F.col("slice")], {"slice_begin": "slice_size"})
+    offsets = _with_targets(offsets, targets, "slice")
     within = Window.partitionBy("source_key", "slice").orderBy("order_key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["source_key", "slice"])
     return rows.withColumn("begin", F.col("slice_begin") - F.col("source_begin") + F.col("before"))

@@ -497,8 +497,10 @@ def test_mixing_meets_targets(spark):
     assert sorted((r.doc.doc_id, r.taken, r.position or -1) for r in rows) == sorted((r.doc.doc_id, r.taken, r.position or -1) for r in again)
 
 
-def test_mixing_of_repeated_and_null_ids(spark):
-    """Rows that share an id, or have none, are documents of their own; more sources than schedules."""
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_mixing_of_repeated_and_null_ids(spark, monkeypatch, broadcast):
+    """Rows that share an id, or have none, are documents of their own; more sources than schedules, and than are broadcast."""
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast)
     rng = random.Random(9)
     rows = [(rng.choice([1, 2, 3, None, None, k]), "w " * rng.randint(0, 30), rng.choice([None, "a", "b", "c", "d", "é", "Z"])) for k in range(250)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
