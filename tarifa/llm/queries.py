@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, divergence, exact_dedup, html, importance, line_dedup, mixing, quality, runs, simhash, token_counts
+from . import bpe, chat, divergence, exact_dedup, html, importance, line_dedup, minhash, mixing, quality, runs, simhash, token_counts
 from .common import read
 
 #: Schedules of the sources in turn, in code-point order: falling, flat and rising; they are mixed 3 : 1 : 2.
@@ -104,6 +104,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingles and component."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source's distance from each other source of its language, and the terms it has most beyond its language."""
     return divergence.audit(read(spark, sf_dir, "documents"))
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_minhash_near_dedup": op12_minhash_near_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
 

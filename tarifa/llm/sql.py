@@ -175,4 +175,28 @@ SELECT * FROM (
 ) WHERE part = 'pair' OR rank <= 50
 """
 
-SQL = {"op13_source_divergence": OP13, "op6_chat_formatting": OP6, "op5_exact_dedup": OP5, "op9_quality_rules": OP9, "op10_mixing": OP10}
+OP12 = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), g AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM d
+), x AS (
+  SELECT r, len(s) AS n, unnest(s) AS t FROM g
+), l AS (
+  SELECT a.r AS one, b.r AS other FROM x a JOIN x b ON a.t = b.t AND a.r < b.r
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), e AS (
+  SELECT one, other FROM l UNION ALL SELECT other, one FROM l
+), reach AS (
+  SELECT r AS a, r AS b FROM d
+  UNION SELECT reach.a, e.other FROM reach JOIN e ON reach.b = e.one
+)
+SELECT g.doc_id, len(g.s)::BIGINT AS n_shingles, min(o.doc_id) AS component_id, g.doc_id IS NOT DISTINCT FROM min(o.doc_id) AS kept
+FROM g JOIN reach ON reach.a = g.r JOIN g o ON o.r = reach.b GROUP BY g.r, g.doc_id, g.s
+"""
+
+SQL = {"op12_minhash_near_dedup": OP12, "op13_source_divergence": OP13, "op6_chat_formatting": OP6, "op5_exact_dedup": OP5, "op9_quality_rules": OP9, "op10_mixing": OP10}
