@@ -342,7 +342,7 @@ def similar(links: DataFrame, sets: DataFrame) -> DataFrame:
 
 def rooted(edges: DataFrame) -> DataFrame:
     """(set_id, root) of the sets that links connect, written."""
-    return materialize(components(edges).select(F.col("node").alias("set_id"), "root"))
+    return components(edges).select(F.col("node").alias("set_id"), "root")
 
 
 def across(links: DataFrame, roots: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ third of the free bits; once few bits are free the bucket is small, since its fi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import firsts, materialize, require, text_of
+from .common import checkpoint_dir, firsts, materialize, remove, require, text_of
 
 BITS = 64
 #: Fingerprints above which a bucket is divided, unless so few bits are free that it can't be large.
@@ -295,22 +296,35 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of the component of every node with an edge.
 
     Alternates large-star and small-star steps until the edges form stars.  Nodes of any degree are
-    handled by minima and joins, never by collecting neighbours; the joins are of written tables, so
-    that a hub's rows are split.
+    handled by minima and joins, never by collecting neighbours.  Every step is a table written to the
+    shared folder and read again, so that a hub's rows are split in joins and plans don't carry over
+    from round to round what the optimiser knew of the one before; a round's tables go with the next.
     """
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    spark, folder, tables = edges.sparkSession, f"{checkpoint_dir(edges.sparkSession)}/components-{uuid.uuid4().hex}", []
+
+    def written(df: DataFrame) -> DataFrame:
+        tables.append(f"{folder}/{len(tables)}")
+        df.write.parquet(tables[-1])
+        return spark.read.parquet(tables[-1])
+
+    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     while True:
         # Large star: neighbours above a node go to the smallest node around it.
+        begun = len(tables)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        around = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        around = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(around, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         # Small star: neighbours below a node, and the node, go to the smallest of them.
-        large = materialize(large)
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
+        large = written(large)
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")))
         below = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        step = materialize(below.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        step = written(below.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         if not _differ(edges, step):
-            return step.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = materialize(step.select(F.col("a").alias("node"), F.col("b").alias("root")))
+            remove(spark, folder)
+            return out
+        for path in tables[begun - 1 : -1]:
+            remove(spark, path)
         edges = step
 
 
@@ -369,12 +383,12 @@ def first_of_each(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str
     repeated = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     gone = found.where("doc_id IS NOT NULL").join(best.where("doc_id IS NOT NULL").withColumn("stays", F.lit(True)), ["doc_id", "fp"], "left")
     gone = gone.where("stays IS NULL").select("doc_id").unionByName(repeated).distinct()
-    own_id = F.col(id_col)
-    alone = docs.where(own_id.isNotNull()).join(_broadcast_if_small(materialize(gone).select(F.col("doc_id").alias("gone_id"))), own_id == F.col("gone_id"), "left_anti")
+    packed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("doc_id"))
+    alone = packed.where("doc_id IS NOT NULL").join(_broadcast_if_small(materialize(gone)), "doc_id", "left_anti").select("doc.*")
     if repeated.isEmpty() and found.where("doc_id IS NULL").isEmpty():
         return alone
-    again = docs.join(_broadcast_if_small(repeated.select(F.col("doc_id").alias("repeated_id"))), own_id == F.col("repeated_id"), "left_semi")
-    again = again.unionByName(docs.where(own_id.isNull())).select(F.struct("*").alias("doc"), text_of(text_col).alias("text"))
+    again = packed.join(_broadcast_if_small(repeated), "doc_id", "left_semi").unionByName(packed.where("doc_id IS NULL"))
+    again = again.select("doc", text_of(F.col("doc")[text_col]).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

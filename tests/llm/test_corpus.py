@@ -48,6 +48,17 @@ def test_kept_rows_have_the_columns_of_documents(spark, texts):
         assert out.count() <= 2 * len(texts)
 
 
+def test_first_of_each_takes_any_column_names(spark):
+    """Columns named like the operator's own, and one whose name holds a dot."""
+    names = ("gone_id", "repeated_id", "best_id", "best_fp", "stays", "no_id", "root", "component_id", "first_id", "fp", "doc", "a.b")
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names)
+    rows = [(3, "A"), (5, "A"), (5, "B"), (None, "A"), (None, "A"), (6, "q r s"), (6, "q r s")]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], schema)
+    out = simhash.first_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(3, "A"), (5, "B"), (6, "q r s")]
+
+
 def brute_exact(rows):
     drop, groups = str.maketrans("", "", " \t\n\x0b\x0c\r"), defaultdict(list)
     for i, t in rows:
