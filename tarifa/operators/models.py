@@ -1,29 +1,26 @@
 """Models: preprocessing, penalised GLMs, boosted trees, locked scaling and the batch scorer.
 
-All fitting is Spark ML or DataFrame aggregation.  The boosted model is a Newton booster over Spark
-ML trees: it stands in for a gradient-boosting library and is not bit-equal to any.
+Fitting is in passes over packed rows (``fitting``).  The boosted model is a second-order histogram
+booster: it stands in for a gradient-boosting library and is not bit-equal to any.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import time
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import CATEGORICAL_FEATURES, NUMERIC_FEATURES, OFFLINE_FLOOR, ONLINE_FLOOR, SHADOW_ONLY
 from ..functions.exprs import number, unseen_warnings
-from ..session import checkpointed
 from .drift import unpivot
+from .fitting import Packed, Task, Tree, boost, fit_coefficients, pack
 from .quantiles import exact_quantiles
 
 #: The catalogue: name, target, role, estimator.
@@ -34,8 +31,10 @@ CATALOGUE = (
 
 #: Levels of a category that become columns.
 MOST_LEVELS = 1000
-#: Depth of boosted trees, and trees of the catalogue's boosted models.
-DEPTH, TREES = 4, {"xgb_freq": 450, "xgb_loss": 500}
+#: Depth of boosted trees, and trees and learning rate of the catalogue's boosted models.
+DEPTH, TREES, RATES = 4, {"xgb_freq": 450, "xgb_loss": 500}, {"xgb_freq": 0.035, "xgb_loss": 0.03}
+#: Targets of the catalogue's models and their powers.
+POWERS = {"total_claims": 1.0, "total_incurred": 1.5}
 
 
 @dataclass
@@ -82,14 +81,34 @@ class Preprocessor:
     def width(self) -> int:
         return len(self.numeric) + sum(map(len, self.levels.values()))
 
+    @property
+    def sizes(self) -> tuple[int, ...]:
+        """How many levels each category has."""
+        return tuple(len(self.levels[c]) for c in self.categorical)
+
     def transform(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``features``: standardised numbers, then one column per level; unknown levels are all zero."""
-        cols = {f"__n{i}": (self.imputed(c) - self.means[c]) / self.scales[c] for i, c in enumerate(self.numeric)}
-        for i, c in enumerate(self.categorical):
-            value = F.coalesce(F.col(c).cast("string"), F.lit(self.modes[c]))
-            cols |= {f"__c{i}_{j}": (value == level).cast("double") for j, level in enumerate(self.levels[c])}
-        out = VectorAssembler(inputCols=list(cols), outputCol="features").transform(df.withColumns(cols))
-        return out.drop(*cols)
+        """``df`` with ``features``: the standardised numbers ``x``, and ``at``, for each category the column of its level.
+
+        Columns count the numbers first, then the levels of each category; an unknown level has -1.
+        Levels are looked up by hash in Arrow batches, so the plan is the same for any number of them.
+        """
+        x = F.array(*[(self.imputed(c) - self.means[c]) / self.scales[c] for c in self.numeric]).cast("array<double>")
+        at = F.array().cast("array<int>")
+        if self.categorical:
+            at = self._columns()(*[F.coalesce(F.col(c).cast("string"), F.lit(self.modes[c])) for c in self.categorical])
+        return df.withColumn("features", F.struct(x.alias("x"), at.alias("at")))
+
+    def _columns(self):
+        levels, first = [pa.array(self.levels[c], pa.string()) for c in self.categorical], len(self.numeric)
+        starts = np.cumsum([first, *map(len, levels)])[:-1].tolist()
+
+        @F.arrow_udf("array<int>")
+        def columns(*values: pa.Array) -> pa.Array:
+            found = [pc.index_in(v, known).fill_null(-1).to_numpy(zero_copy_only=False) for v, known in zip(values, levels)]
+            flat = np.stack([np.where(k < 0, -1, k + start) for k, start in zip(found, starts)], 1).astype("i4")
+            return pa.ListArray.from_arrays(np.arange(0, flat.size + 1, len(starts), "i4"), flat.ravel())
+
+        return columns
 
 
 @dataclass
@@ -100,16 +119,10 @@ class Glm:
     coefficients: list[float]
 
     def rate(self) -> Column:
-        terms = F.zip_with(vector_to_array("features"), F.array(*map(F.lit, self.coefficients)), lambda x, b: x * b)
-        return F.exp(F.lit(self.intercept) + F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
-
-
-def weighted_total(rows: DataFrame, rate: str, weight: str):
-    """Sums of the weights and of the weighted rates; a partition without weight is an error, named as such."""
-    total = rows.agg(F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col(rate)).alias("wy")).first()
-    if not total.w or total.w <= 0:
-        raise ValueError("no rows with positive weight to fit on")
-    return total
+        b = F.array(*map(F.lit, self.coefficients)).cast("array<double>")
+        numbers = F.transform("features.x", lambda x, k: x * F.get(b, k))
+        levels = F.transform(F.filter("features.at", lambda k: k >= 0), lambda k: F.get(b, k))
+        return F.exp(F.aggregate(F.concat(numbers, levels), F.lit(float(self.intercept)), lambda a, x: a + x))
 
 
 def scale_of(rows: DataFrame, target: str, weight: str, pred: Column) -> float:
@@ -120,29 +133,15 @@ def scale_of(rows: DataFrame, target: str, weight: str, pred: Column) -> float:
     return sums.a / max(sums.p, 1e-12)
 
 
-def fit_glm(rows: DataFrame, rate: str, weight: str, power: float, alpha: float = 1e-4, passes: int = 2, max_iter: int = 100) -> Glm:
+def fit_glm(rows: DataFrame, rate: str, weight: str, power: float, alpha: float = 1e-4, sizes: Sequence[int] = (), **options) -> Glm:
     """Minimise sum(w * d / 2) / sum(w) + alpha / 2 * |b|^2 over ``features``, the intercept free.
 
-    Spark's solver scales its penalty by the sum of working weights, so alpha is mapped to
-    alpha * sum(w) / sum(w * mu ** (2 - power)): in closed form for Poisson (at the optimum the
-    predictions add up to the target), by fixed point otherwise.  The label is divided by its weighted mean, which keeps the
-    solver in range for sums of money.
+    ``sizes`` are the levels of each category of ``features``.
     """
-    total = weighted_total(rows, rate, weight)
-    mean = total.wy / total.w
-    if mean <= 0:
-        raise ValueError("a log-link model needs a positive total")
-    scaled = rows.select("features", (F.col(rate) / mean).alias("label"), F.col(weight).alias("w"))
-    own = alpha * mean ** (power - 2)  # the penalty in units of the divided label
-    working, model = total.w, None  # sum of w * mu ** (2 - power) where mu = 1
-    for _ in range(1 if power == 1 else passes):
-        family = {"family": "poisson", "link": "log"} if power == 1 else {"family": "tweedie", "variancePower": power, "linkPower": 0.0}
-        model = GeneralizedLinearRegression(
-            labelCol="label", weightCol="w", regParam=own * total.w / working, maxIter=max_iter, tol=1e-10, **family
-        ).fit(scaled)
-        if power != 1:
-            working = model.transform(scaled).agg(F.sum(F.col("w") * F.pow("prediction", 2 - power))).first()[0]
-    return Glm(model.intercept + math.log(mean), [float(x) for x in model.coefficients])
+    packed = pack(rows, {"rate": rate}, weight, sizes)
+    b = fit_coefficients(packed, "rate", power, alpha, **options)
+    packed.release()
+    return Glm(float(b[0]), b[1:].tolist())
 
 
 @dataclass
@@ -155,14 +154,19 @@ class Booster:
     base: float
     trees: list[dict[str, list]] = field(default_factory=list)
 
-    def margins(self, x: np.ndarray) -> np.ndarray:
-        """Scores in logs of a matrix of features."""
-        out, rows = np.full(len(x), self.base), np.arange(len(x))
+    def margins(self, x: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Scores in logs of rows of numbers and of hot columns."""
+        out, rows, d = np.full(len(x), self.base), np.arange(len(x)), x.shape[1]
         for t in self.trees:
             feature, threshold, left, right, value = (np.array(t[k]) for k in ("feature", "threshold", "left", "right", "value"))
             node = np.zeros(len(x), int)
             while (inner := feature[node] >= 0).any():
-                low = x[rows, np.maximum(feature[node], 0)] <= threshold[node]
+                asked = feature[node]
+                low = np.zeros(len(x), bool)
+                if d:
+                    low = x[rows, np.clip(asked, 0, d - 1)] <= threshold[node]
+                if at is not None and at.shape[1]:
+                    low = np.where(asked < d, low, ~(at == asked[:, None]).any(1))
                 node = np.where(inner, np.where(low, left[node], right[node]), node)
             out += value[node]
         return out
@@ -171,69 +175,49 @@ class Booster:
         """The mean as a column over ``features``, by Arrow batches."""
         own = self
 
-        @F.pandas_udf("double")
-        def score(x: pd.Series) -> pd.Series:
-            return pd.Series(np.exp(own.margins(np.stack(x.to_numpy()))) if len(x) else np.zeros(0))
+        @F.arrow_udf("double")
+        def score(features: pa.Array) -> pa.Array:
+            n = len(features)
+            x, at = (features.field(k).flatten().to_numpy(zero_copy_only=False) for k in (0, 1))
+            return pa.array(np.exp(own.margins(x.reshape(n, -1), at.reshape(n, -1))) if n else np.zeros(0), pa.float64())
 
-        return score(vector_to_array("features"))
+        return score("features")
 
     def transform(self, rows: DataFrame, out: str = "prediction") -> DataFrame:
         return rows.withColumn(out, self.rate())
 
 
-def tree_arrays(tree, columns: Sequence[int], values: Sequence[float]) -> dict[str, list]:
-    """A Spark ML regression tree over some ``columns`` as the arrays of ``Booster``; ``values`` by leaf."""
+def tree_arrays(tree: Tree, packed: Packed) -> dict[str, list]:
+    """A tree over bins as the arrays of ``Booster``."""
     out: dict[str, list] = {k: [] for k in ("feature", "threshold", "left", "right", "value")}
-    leaves = iter(values)
+    d, starts = packed.layout.numbers, packed.layout.starts
 
-    def add(node) -> int:
-        k = len(out["feature"])
-        leaf = node.getClass().getSimpleName() == "LeafNode"
-        for key, x in (("feature", -1 if leaf else columns[node.split().featureIndex()]), ("threshold", 0.0 if leaf else node.split().threshold()), ("left", -1), ("right", -1), ("value", next(leaves) if leaf else 0.0)):
+    def add(place: int) -> int:
+        k, c, b = len(out["feature"]), int(tree.column[place]), int(tree.bin[place])
+        feature, threshold = (-1, 0.0) if c < 0 else (c, float(packed.cuts[c][b])) if c < d else (starts[c - d] + b, 0.5)
+        for key, x in (("feature", feature), ("threshold", threshold), ("left", -1), ("right", -1), ("value", 0.0 if c >= 0 else float(tree.value[place]))):
             out[key].append(x)
-        if not leaf:
-            out["left"][k], out["right"][k] = add(node.leftChild()), add(node.rightChild())
+        if c >= 0:
+            out["left"][k], out["right"][k] = add(2 * place), add(2 * place + 1)
         return k
 
-    add(tree._java_obj.rootNode())
+    add(1)
     return out
 
 
-def fit_booster(
-    rows: DataFrame, rate: str, weight: str, power: float, rounds: int = 20, depth: int = DEPTH, learning_rate: float = 0.3,
-    reg_lambda: float = 1.0, min_child_weight: float = 5.0, subsample: float = 0.9, colsample: float = 0.9, seed: int = 42,
-) -> Booster:
-    """Newton boosting of a log-link Poisson (power 1) or Tweedie (1 < power < 2) mean over ``features``.
+def boosters(packed: Packed, tasks: Sequence[Task]) -> list[Booster]:
+    """Boosted models of several targets, fitted in the same passes."""
+    return [Booster(base, [tree_arrays(t, packed) for t in trees]) for base, trees in boost(packed, tasks)]
+
+
+def fit_booster(rows: DataFrame, rate: str, weight: str, power: float, rounds: int = 20, sizes: Sequence[int] = (), **options) -> Booster:
+    """Second-order boosting of a log-link Poisson (power 1) or Tweedie (1 < power < 2) mean over ``features``.
 
-    Each round fits a regression tree to -gradient / hessian with hessian weights, on a share of the
-    rows and of the features, and sets leaves to -G / (H + lambda) from one aggregation by leaf.  The
-    running score is written out each round, so the plan doesn't grow.
+    ``options`` are the parameters of ``fitting.Task``.
     """
-    data = rows.select("features", F.col(rate).alias("y"), F.col(weight).alias("w")).where("w > 0")
-    total = weighted_total(data, "y", "w")
-    out = Booster(math.log(max(total.wy / total.w, 1e-12)))
-    width, chosen = len(data.first()["features"]), np.random.default_rng(seed)
-    state = data.withColumn("f", F.lit(out.base))
-    for k in range(rounds):
-        mu = F.exp("f")
-        up, down = F.pow(mu, F.lit(2.0 - power)), F.col("y") * F.pow(mu, F.lit(1.0 - power))
-        step = state.withColumns({"g": F.col("w") * (up - down), "h": F.col("w") * ((2 - power) * up + (power - 1) * down)})
-        step = checkpointed(step.where("h > 0").withColumn("z", -F.col("g") / F.col("h")))
-        columns = sorted(chosen.choice(width, max(1, math.ceil(colsample * width)), replace=False).tolist())
-        step = VectorSlicer(inputCol="features", outputCol="some", indices=columns).transform(step)
-        weight_sum = step.agg(F.sum("h")).first()[0] or 1.0
-        sample = step.sample(subsample, seed + k) if subsample < 1 else step
-        tree = DecisionTreeRegressor(
-            featuresCol="some", labelCol="z", weightCol="h", maxDepth=depth, leafCol="leaf", seed=seed + k,
-            minWeightFractionPerNode=min(0.49, min_child_weight / weight_sum),
-        ).fit(sample)
-        found = tree.transform(step).groupBy("leaf").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # 2**depth rows
-        values = [0.0] * ((tree.numNodes + 1) // 2)
-        for r in found:
-            values[int(r.leaf)] = -learning_rate * r.g / (r.h + reg_lambda)
-        out.trees.append(tree_arrays(tree, columns, values))
-        leaf = F.get(F.array(*map(F.lit, values)), F.col("leaf").cast("int"))
-        state = tree.transform(step).select("features", "y", "w", (F.col("f") + leaf).alias("f"))
+    packed = pack(rows, {"rate": rate}, weight, sizes, binned=True)
+    (out,) = boosters(packed, [Task("rate", power, rounds, **options)])
+    packed.release()
     return out
 
 
@@ -272,12 +256,29 @@ class Scorer:
         return cls(prep, {m: (Booster if "trees" in g else Glm)(**g) for m, g in d["models"].items()}, d["scales"], d["version"])
 
 
-def fit_model(name: str, rows: DataFrame, prep: Preprocessor, **options) -> Glm | Booster:
-    """A model of the catalogue fitted on rows with totals and exposure."""
-    kind = {n: k for n, _, _, k in CATALOGUE}[name]
-    target, power = ("total_claims", 1.0) if name.endswith("freq") else ("total_incurred", 1.5)
-    data = prep.transform(rows).withColumn("rate", F.col(target) / F.col("total_exposure"))
-    return (fit_booster if kind.startswith("boosted") else fit_glm)(data, "rate", "total_exposure", power, **options)
+def training(rows: DataFrame, prep: Preprocessor, boosted: bool = True) -> Packed:
+    """Rows with totals and exposure, encoded and written once for all models of the catalogue."""
+    rates = {t: F.col(t) / F.col("total_exposure") for t in POWERS}
+    return pack(prep.transform(rows), rates, "total_exposure", prep.sizes, boosted)
+
+
+def fit_models(names: Sequence[str], packed: Packed, warm: dict[str, Glm | Booster] | None = None, **options) -> dict[str, Glm | Booster]:
+    """Models of the catalogue fitted on one written table; the boosted ones in the same passes.
+
+    ``options`` change the parameters of boosted models, which have the catalogue's trees and
+    learning rates; GLMs start from those of ``warm`` that have as many columns.
+    """
+    target = {n: ("total_claims" if t == "frequency" else "total_incurred") for n, t, _, _ in CATALOGUE}
+    trees = [n for n in names if n in TREES]
+    tasks = [Task(target[n], POWERS[target[n]], **({"rounds": TREES[n], "learning_rate": RATES[n], "depth": DEPTH} | options)) for n in trees]
+    out: dict[str, Glm | Booster] = dict(zip(trees, boosters(packed, tasks) if tasks else ()))
+    for n in names:
+        if n not in TREES:
+            before = (warm or {}).get(n)
+            start = np.array([before.intercept, *before.coefficients]) if before and len(before.coefficients) == packed.layout.width else None
+            b = fit_coefficients(packed, target[n], POWERS[target[n]], start=start)
+            out[n] = Glm(float(b[0]), b[1:].tolist())
+    return {n: out[n] for n in names}
 
 
 def held(c: Column | str) -> Column:
@@ -285,13 +286,10 @@ def held(c: Column | str) -> Column:
     return F.greatest(c, F.lit(OFFLINE_FLOOR))
 
 
-def locked_run(
-    train: DataFrame, calibration: DataFrame, test: DataFrame, prep: Preprocessor, target: str, power: float, **options
-) -> tuple[Glm, float, DataFrame]:
-    """Fit on one year, lock the scale on the next, and score a third: (model, scale, test with ``pred``)."""
-    glm = fit_model("glm_freq" if power == 1 else "glm_loss", train, prep, **options)
-    scale = scale_of(prep.transform(calibration), target, "total_exposure", held(glm.rate()))
-    return glm, scale, prep.transform(test).withColumn("pred", held(held(glm.rate()) * scale)).drop("features")
+def locked_run(model: Glm | Booster, calibration: DataFrame, test: DataFrame, target: str) -> tuple[float, DataFrame]:
+    """A model's scale locked on one year, and another scored: (scale, test with ``pred``); both with ``features``."""
+    scale = scale_of(calibration, target, "total_exposure", held(model.rate()))
+    return scale, test.withColumn("pred", held(held(model.rate()) * scale))
 
 
 def rolling_windows(years: Sequence[int]) -> list[tuple[list[int], int]]:

@@ -32,3 +32,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int) -> bool:
     """Whether a frame has at most ``rows`` rows, by reading no more than one beyond."""
     return df.limit(rows + 1).count() <= rows
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder that is no longer read, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tarifa.functions.exprs import lcg
-from tarifa.operators import models, resample
+from tarifa.operators import fitting, models, resample
 from tarifa.operators.quantiles import exact_quantiles
 from tarifa.plans.oracle import SQL
 from tarifa.plans.queries import QUERIES
@@ -94,51 +93,100 @@ def test_quantiles_equal_numpy(spark):
         np.testing.assert_allclose(found[f], np.quantile(xs, qs), rtol=1e-12)
 
 
-def _sample(spark, n=1500, seed=3):
+def _sample(spark, n=1500, seed=3, levels=()):
+    """Numbers, hot columns (-1 for none), rates and weights, as arrays and as rows."""
     rng = np.random.default_rng(seed)
     x, w = rng.normal(size=(n, 3)), rng.uniform(0.2, 1.0, n)
-    y = rng.poisson(w * np.exp(-0.5 + x @ [0.4, -0.3, 0.0])) / w
-    rows = spark.createDataFrame([(Vectors.dense(a), float(b), float(c)) for a, b, c in zip(x, y, w)], ["features", "rate", "w"])
-    return x, y, w, rows
+    x[:, 2] = rng.integers(0, 4, n)
+    starts = np.cumsum([3, *levels])[:-1]
+    at = np.stack([np.where(rng.random(n) < 0.05, -1, rng.integers(0, k, n) + s) for s, k in zip(starts, levels)], 1) if levels else np.zeros((n, 0), int)
+    y = rng.poisson(w * np.exp(-0.5 + x @ [0.4, -0.3, 0.0] + (at == 4).any(1) * 0.8)) / w
+    rows = spark.createDataFrame([((a.tolist(), c.tolist()), float(b), float(d)) for a, c, b, d in zip(x, at, y, w)], "features struct<x: array<double>, at: array<int>>, rate double, w double")
+    return x, at, y, w, rows
+
+
+def _dense(x, at, levels):
+    hot = np.zeros((len(x), 3 + sum(levels)))
+    hot[:, :3] = x
+    for k, c in enumerate(at):
+        hot[k, c[c >= 0]] = 1
+    return hot
+
+
+@pytest.mark.parametrize("power", [1.0, 1.5])
+@pytest.mark.parametrize("levels", [(), (4, 3)])
+def test_glm_equals_newton_steps(spark, power, levels):
+    """The same objective minimised with NumPy, with the defaults the queries use: sum(w d / 2) / sum(w) + alpha / 2 |b|^2, the intercept free."""
+    x, at, y, w, rows = _sample(spark, levels=levels)
+    for alpha in (1e-4, 1e-2):
+        z = np.column_stack([np.ones(len(x)), _dense(x, at, levels)])
+        b, penalty = np.zeros(z.shape[1]), np.diag([0] + [alpha] * (z.shape[1] - 1))
+        b[0] = np.log((w * y).sum() / w.sum())
+        for _ in range(60):
+            mu = np.exp(z @ b)
+            g = z.T @ (w * (mu ** (2 - power) - y * mu ** (1 - power))) / w.sum() + penalty @ b
+            h = (z * (w * ((2 - power) * mu ** (2 - power) + (power - 1) * y * mu ** (1 - power)))[:, None]).T @ z / w.sum() + penalty
+            b -= np.linalg.solve(h, g)
+        fitted = models.fit_glm(rows.repartition(3), "rate", "w", power, sizes=levels, **({} if alpha == 1e-4 else {"alpha": alpha}))
+        np.testing.assert_allclose([fitted.intercept, *fitted.coefficients], b, atol=1e-8)
+    found = [r.p for r in rows.select(fitted.rate().alias("p")).collect()]
+    np.testing.assert_allclose(found, np.exp(z @ b), rtol=1e-6)
+
+
+def _numpy_booster(x, at, y, w, levels, power, rounds, depth, cuts, rate=0.3, lam=1.0, least=5.0):
+    """Scores after some rounds, every split searched over the same candidates; all rows and columns."""
+    f = np.full(len(x), np.log((w * y).sum() / w.sum()))
+    starts = np.cumsum([3, *levels])[:-1]
+    tests = [(x[:, k] > c) for k in range(3) for c in cuts[k]] + [(at == s + v).any(1) for s, n in zip(starts, levels) for v in range(n)]
+    for _ in range(rounds):
+        up, down = np.exp((2 - power) * f), y * np.exp((1 - power) * f)
+        g, h = w * (up - down), w * ((2 - power) * up + (power - 1) * down)
+        score = lambda m: g[m].sum() ** 2 / (h[m].sum() + lam)  # noqa: B023, E731
+        step = np.zeros(len(x))
+
+        def grow(rows, left):
+            gains = [score(rows & ~t) + score(rows & t) - score(rows) if min(h[rows & t].sum(), h[rows & ~t].sum()) >= least else 0.0 for t in tests] if left else [0.0]  # noqa: B023
+            k = int(np.argmax(np.round(gains, 9)))
+            if gains[k] <= 1e-12:
+                step[rows] = -rate * g[rows].sum() / (h[rows].sum() + lam)  # noqa: B023
+                return
+            grow(rows & ~tests[k], left - 1)
+            grow(rows & tests[k], left - 1)
+
+        grow(np.ones(len(x), bool), depth)
+        f = f + step
+    return f
 
 
 @pytest.mark.parametrize("power", [1.0, 1.5])
-def test_glm_equals_newton_steps(spark, power):
-    """The same objective minimised with NumPy: sum(w d / 2) / sum(w) + alpha / 2 |b|^2, the intercept free."""
-    x, y, w, rows = _sample(spark)
-    alpha, z = 1e-2, np.column_stack([np.ones(len(x)), x])
-    b, penalty = np.zeros(4), np.diag([0, 1, 1, 1]) * alpha
-    b[0] = np.log((w * y).sum() / w.sum())
-    for _ in range(50):
-        mu = np.exp(z @ b)
-        g = z.T @ (w * (mu ** (2 - power) - y * mu ** (1 - power))) / w.sum() + penalty @ b
-        h = (z * (w * ((2 - power) * mu ** (2 - power) + (power - 1) * y * mu ** (1 - power)))[:, None]).T @ z / w.sum() + penalty
-        b -= np.linalg.solve(h, g)
-    fitted = models.fit_glm(rows, "rate", "w", power, alpha, passes=6)
-    np.testing.assert_allclose([fitted.intercept, *fitted.coefficients], b, atol=2e-3)
-
-
-def test_booster_equals_its_trees(spark):
-    """A stump on all rows against the best split by hand; scores by arrays; the loss falls with rounds."""
-    x, y, w, rows = _sample(spark, 400)
-    one = models.fit_booster(rows, "rate", "w", 1.0, rounds=1, depth=1, subsample=1.0, colsample=1.0, min_child_weight=0.0)
-    mu = (w * y).sum() / w.sum()
-    g, h = w * (mu - y), w * mu
-    t = one.trees[0]
-    low = x[:, t["feature"][0]] <= t["threshold"][0]
-    for side, leaf in ((low, t["left"][0]), (~low, t["right"][0])):
-        assert abs(t["value"][leaf] + 0.3 * g[side].sum() / (h[side].sum() + 1.0)) < 1e-9
-    gain = lambda f, c: sum(g[s].sum() ** 2 / h[s].sum() for s in (x[:, f] <= c, x[:, f] > c))
-    best = max(gain(f, c) for f in range(3) for c in np.quantile(x[:, f], np.linspace(0.05, 0.95, 31)))
-    assert gain(t["feature"][0], t["threshold"][0]) > 0.85 * best  # thresholds are quantiles
-    deviance = lambda m: (w * (np.exp(s := m.margins(x)) - y * s)).sum()
-    few, more = (models.fit_booster(rows, "rate", "w", 1.5, rounds=n) for n in (1, 4))
-    assert deviance(more) < deviance(few) and len(more.trees) == 4
-    np.testing.assert_allclose([r.p for r in rows.select("features").select(more.rate().alias("p")).collect()], np.exp(more.margins(x)), rtol=1e-12)
+def test_booster_equals_numpy(spark, power, monkeypatch):
+    """Scores equal a booster by hand on the same cuts; also in another order of rows, and with running scores written on the way."""
+    levels = (4, 3)
+    x, at, y, w, rows = _sample(spark, 700, levels=levels)
+    monkeypatch.setattr(fitting, "SCORE_ROUNDS", 3)
+    packed = fitting.pack(rows, {"rate": "rate"}, "w", levels, binned=True)
+    (one,) = models.boosters(packed, [fitting.Task("rate", power, 5, subsample=1.0, colsample=1.0, depth=3)])
+    want = _numpy_booster(x, at, y, w, levels, power, 5, 3, packed.cuts)
+    np.testing.assert_allclose(one.margins(x, at), want, atol=1e-9)
+    np.testing.assert_allclose([r.p for r in rows.select(one.rate().alias("p")).collect()], np.exp(want), rtol=1e-9)
+    again = [models.fit_booster(r, "rate", "w", power, rounds=3, sizes=levels) for r in (rows, rows.orderBy(F.desc("rate")).repartition(3))]
+    assert again[0] == again[1] and len(again[0].trees) == 3
+    deviance = lambda m: (w * (np.exp((2 - power) * (s := m.margins(x, at))) / (2 - power) - (y * s if power == 1 else y * np.exp((1 - power) * s) / (1 - power)))).sum()
+    few = models.fit_booster(rows, "rate", "w", power, rounds=1, sizes=levels)
+    assert deviance(again[0]) < deviance(few)
+    with pytest.raises(ValueError, match="running score"):
+        fitting.boost(packed, [fitting.Task("rate", 1.0, 1)] * 2)
+
+
+def test_rows_and_columns_are_drawn_by_hash():
+    key = np.random.default_rng(1).integers(0, 1 << 63, 20000, np.uint64)
+    one, two = fitting.drawn(key, 1, 0.9), fitting.drawn(key, 2, 0.9)
+    assert abs(one.mean() - 0.9) < 0.01 and abs((one & two).mean() - 0.81) < 0.015 and fitting.drawn(key, 1, 1.0).all()
+    assert (fitting.drawn(key[::-1], 1, 0.9) == one[::-1]).all()
 
 
 def test_empty_partitions_are_named(spark):
-    _, _, _, rows = _sample(spark, 20)
+    *_, rows = _sample(spark, 20)
     for fit in (models.fit_glm, models.fit_booster):
         with pytest.raises(ValueError, match="no rows"):
             fit(rows.where("w < 0"), "rate", "w", 1.0)
@@ -149,12 +197,12 @@ def test_empty_partitions_are_named(spark):
 
 def test_scorer_survives_writing(spark):
     found = {r.field: r for r in QUERIES["scorer_parity"](spark, needs_data("sf0.001")).collect()}
-    assert set(found) == {"glm_freq", "xgb_freq", "glm_loss", "xgb_loss"} and all(r.max_rel_error <= 1e-12 and r.rows > 0 for r in found.values())
+    assert set(found) == {"glm_freq", "xgb_freq", "glm_loss", "xgb_loss", "frequency_log_ratio", "pure_premium_log_ratio"} and all(r.max_rel_error <= 1e-12 and r.rows > 0 for r in found.values())
 
 
 def test_retraining_gives_the_same_models(spark):
     rows = QUERIES["retrain_parity"](spark, needs_data("sf0.001")).collect()
-    assert {r.field for r in rows} == {"glm_freq", "glm_loss"} and all(r.max_rel_error < 1e-6 for r in rows)
+    assert {r.field for r in rows} == {"glm_freq", "xgb_freq", "glm_loss", "xgb_loss"} and all(r.max_rel_error < 1e-9 for r in rows)
 
 
 def test_rolling_refit_and_complexity(spark):
