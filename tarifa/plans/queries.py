@@ -190,12 +190,12 @@ PAIRS = {"frequency": ("glm_freq", "xgb_freq"), "loss": ("glm_loss", "xgb_loss")
 REPS, WINDOW_REPS, RATIO_REPS = 250, 200, 300
 
 
-def _boot(rows: DataFrame, reps: int, groups=None) -> DataFrame:
+def _boot(rows: DataFrame, reps: int, groups=None, draw=resample.replicates) -> DataFrame:
     """(group, pair, x): the replicates' differences of deviances."""
     w = F.col("total_exposure")
     unit = {"frequency": (X.poisson_deviance, F.col("total_claims") / w), "loss": (X.tweedie_deviance, F.col("total_incurred") / w)}
     pairs = {n: tuple(unit[n][0](unit[n][1], m) for m in models) for n, models in PAIRS.items()}
-    frame = resample.deviance_differences(rows, pairs, row_number_key(), reps, groups=groups)
+    frame = resample.deviance_differences(rows, pairs, row_number_key(), reps, groups=groups, draw=draw)
     return frame.select("group", F.inline(F.array(*[F.struct(F.lit(n).alias("pair"), F.col(n).alias("x")) for n in PAIRS])))
 
 
@@ -214,6 +214,20 @@ def bootstrap_ratio_ci(spark, sf_dir):
     return rounded(resample.summary(frame.withColumnRenamed("group", "segment"), "ratio", ("segment", "model")), rates=_INTERVAL)
 
 
+def multinomial_deviance_ci(spark, sf_dir):
+    """The locked comparison with replicates of exactly as many draws as there are rows."""
+    rows = years(spark, sf_dir, TEST)
+    return rounded(resample.summary(_boot(rows, REPS, draw=resample.fixed_replicates), "x", ("pair",)), rates=_INTERVAL)
+
+
+def multinomial_ratio_ci(spark, sf_dir):
+    """Calibration of every model in every transport segment, each segment resampled to its own size."""
+    rows = _seen(spark, sf_dir, locked_test(spark, sf_dir))
+    models = {f"{m}_locked": (F.col(f"{m}_locked") * F.col("total_exposure"), F.col(a)) for m, a in MODELS.items()}
+    frame = resample.ratios(rows, models, row_number_key(), metrics.transport_segments(), RATIO_REPS, 2027, resample.fixed_replicates)
+    return rounded(resample.summary(frame.withColumnRenamed("group", "segment"), "ratio", ("segment", "model")), rates=_INTERVAL)
+
+
 def _windows_ci(spark, sf_dir) -> DataFrame:
     """(test_year, pair, interval): every year but the first, all in one pass."""
     rows = years(spark, sf_dir, *[test for _, test in models.rolling_windows([TRAIN, CALIBRATION, TEST])])
@@ -550,7 +564,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         year_summary, schema_audit, audit_year_counts, temporal_split_counts, exposure_from_dates, exposure_audit, renewal_dates,
         locked_scale, calibration_ratio, locked_deviances, top10_capture, segment_calibration, id_transport,
         coverage_decomposition, coverage_reconciliation, tail_summary, tail_sensitivity, transport_points, transport_pivot,
-        bootstrap_deviance_ci, bootstrap_ratio_ci, rolling_origin, locked_gate, approval_gates, baseline_numeric,
+        bootstrap_deviance_ci, bootstrap_ratio_ci, multinomial_deviance_ci, multinomial_ratio_ci, rolling_origin, locked_gate, approval_gates, baseline_numeric,
         baseline_categorical, feature_psi, largest_psi, unseen_category_rate, monitoring_snapshot, monitoring_alerts,
         disagreement_shift, review_lifecycle, event_chain_verify, complexity_join, parity_audit, seeded_sample, micro_batches,
         stress_replay, contract_check, glm_fit_scores, boosted_fit_scores, rolling_refit, model_complexity, scorer_parity, retrain_parity, artifact_differences, replay_acceptance,

@@ -82,6 +82,45 @@ def test_bootstrap_draws_equal_the_expression(spark):
     assert set(found) == {(g, r) for g in "ab" for r in range(5)}
 
 
+def test_fixed_replicates_draw_exactly_all_rows(spark, monkeypatch):
+    """Counts of all slices add up, have multinomial moments, and give the sums whatever the order of rows; groups are drawn each to its size."""
+    sizes = np.array([300, 1, 0, 450, 249])
+    of_slices = np.stack([resample.slice_draws(sizes, k, 2000, 5) for k in range(5)])
+    assert (of_slices.sum(0) == 1000).all() and (of_slices[2] == 0).all()
+    assert np.allclose(of_slices.mean(1), sizes, atol=1.5) and np.allclose(of_slices.var(1), sizes * (1 - sizes / 1000), rtol=0.12, atol=0.01)
+    n = resample.row_draws(50, np.full(400, 50), 3, 5)
+    assert (n.sum(0) == 50).all() and abs(n.var() - 0.98) < 0.05 and (resample.row_draws(50, np.full(10, 50), 3, 5, 7) == n[:, 7:17]).all()
+    monkeypatch.setattr(resample, "SLICE_ROWS", 40)
+    rows = [(k, k % 7 / 2, ["a", "b"][: 1 + k % 2]) for k in range(300)] + [(500, None, []), (501, 1.0, None), (502, None, ["b"])]
+    df = spark.createDataFrame(rows, "k long, x double, g array<string>")
+    found = [sorted(map(tuple, resample.fixed_replicates(d, {"s": F.col("x"), "one": F.lit(1.0)}, F.col("k"), 6, 1, F.col("g")).collect())) for d in (df, df.orderBy(F.desc("k")).repartition(3))]
+    assert [r[:3] for r in found[0]] == [r[:3] for r in found[1]] and np.allclose([r[3:] for r in found[0]], [r[3:] for r in found[1]])
+    assert {(g, rep, n) for g, rep, n, _, _ in found[0]} == {(g, rep, n) for g, n in (("a", 300), ("b", 151)) for rep in range(6)}
+    assert all(one == n for *_, n, _, one in found[0]) and len({r[3] for r in found[0]}) > 8
+    keyed = df.select(F.inline(F.transform("g", lambda g: F.struct(g.alias("g"), "k", F.coalesce("x", F.lit(0.0)).alias("x")))))
+    for g, members in (("a", 300), ("b", 151)):
+        slices = -(-members // 40)
+        own = [(r.s, r.k, r.x) for r in keyed.where(F.col("g") == g).select(F.pmod(F.xxhash64("k"), F.lit(slices)).alias("s"), "k", "x").collect()]
+        sizes = np.bincount([s for s, *_ in own], minlength=slices)
+        want = np.zeros(6)
+        for s in range(slices):
+            x = np.array([v for at, _, v in sorted(own) if at == s])
+            seed = 1 + 7919 * "ab".index(g)
+            want += resample.row_draws(len(x), resample.slice_draws(sizes, s, 6, seed), s, seed).T @ x
+        assert np.allclose([r[3] for r in found[0] if r[0] == g], want)
+
+
+def test_multinomial_intervals_are_near_the_others(spark):
+    folder = needs_data("sf0.001")
+    for one, other, key in (("bootstrap_deviance_ci", "multinomial_deviance_ci", ("pair",)), ("bootstrap_ratio_ci", "multinomial_ratio_ci", ("segment", "model"))):
+        found = [{tuple(r[k] for k in key): r for r in QUERIES[q](spark, folder).collect()} for q in (one, other)]
+        assert set(found[0]) == set(found[1])
+        for k, a in found[0].items():
+            b = found[1][k]
+            wide = max(a.ci95_high - a.ci95_low, 1e-6)
+            assert abs(a["mean"] - b["mean"]) < 0.35 * wide and abs(a.ci95_low - b.ci95_low) < 0.6 * wide and abs(a.ci95_high - b.ci95_high) < 0.6 * wide
+
+
 def test_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(7)
     data = {"a": rng.normal(size=1001), "b": rng.integers(0, 5, 400).astype(float), "c": np.array([2.5])}
