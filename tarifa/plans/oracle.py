@@ -275,6 +275,7 @@ SELECT coverage, covered_rows, round(e, 2) AS covered_exposure, round(c, 2) AS c
     "unseen_category_rate": BASE + f", tr AS (SELECT * FROM v WHERE year = {TRAIN}), te AS (SELECT * FROM v WHERE year = {TEST} UNION ALL SELECT * REPLACE ('NEVER_SEEN' AS vehicle_brand) FROM v WHERE year = {TEST}), f AS (SELECT {' OR '.join(f'coalesce({c} NOT IN (SELECT {c} FROM tr WHERE {c} IS NOT NULL), false)' for c in _CATEGORIES)} AS flagged FROM te) SELECT count(*) AS \"rows\", count_if(flagged)::BIGINT AS flagged, round(count_if(flagged) / count(*)::DOUBLE, 6) AS rate FROM f",
     "monitoring_snapshot": _EVENTS + f" SELECT window_id, request_count, error_count, records_scored, unseen_warning_records, batch_max, '{PRIVACY_BOUNDARY}' AS privacy_boundary, " + ", ".join(f"round({c}, 6) AS {c}" for c in _SHOWN) + " FROM sn",
     "monitoring_alerts": _ALERTED + " SELECT * EXCLUDE (request_count, error_count, records_scored, unseen_warning_records) REPLACE (round(max_psi, 6) AS max_psi) FROM al",
+    "stream_monitor": _ALERTED.replace("strftime(ts, '%Y-%m-%d') AS window_id", "'r' || event_id % 4 || '|' || strftime(date_trunc('week', ts), '%Y-%m-%d') AS window_id") + " SELECT * REPLACE (round(max_psi, 6) AS max_psi) FROM al",
     "review_lifecycle": _RELEASED + f""", rw AS MATERIALIZED (
   SELECT split_part(window_id, '|', 1) AS release_id, split_part(window_id, '|', 2) AS label, list_sort(list_filter([{', '.join(f"CASE WHEN alert_{n} THEN '{n}' END" for n in _ALERT_NAMES)}], lambda x: x IS NOT NULL)) AS active,
          sha256('{{"window_id":"' || window_id || '","request_count":' || request_count || ',"error_count":' || error_count || ',"records_scored":' || records_scored || ',"unseen_warning_records":' || unseen_warning_records || '}}') AS evidence_sha256,

@@ -11,7 +11,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contracts import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES
@@ -22,6 +22,8 @@ from ..sources.policy import (
     COVERAGES, ROW_KEY, date_range, missing_audit, policy_year, read, renewal_audit, renewals, usable_years, valid_policy_years,
     valid_renewals, value_counts,
 )
+from ..streaming import monitor
+from ..streaming.sinks import batches, write_once
 
 TRAIN, CALIBRATION, TEST = 1999, 2000, 2001
 MODELS = {"glm_freq": "total_claims", "xgb_freq": "total_claims", "glm_loss": "total_incurred", "xgb_loss": "total_incurred"}
@@ -342,6 +344,28 @@ def monitoring_alerts(spark, sf_dir):
     return rounded(out, rates=("max_psi",))
 
 
+def stream_monitor(spark, sf_dir):
+    """The streaming monitor fed the events of four releases week by week, reset at every week's begin: its alerts after each week."""
+    rows = _requests(spark, sf_dir, RELEASES)
+    week = F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd")
+    rows = rows.withColumns({"service": F.substring_index("window_id", "|", 1), "week": week, "latency": F.col("latency_ms"), "batch": F.col("batch_size")})
+    first = F.min(F.struct("week", "seq")).over(Window.partitionBy("service", "week"))
+    rows = checkpointed(rows.withColumn("reset", F.col("seq") == first["seq"]).drop("window_id"))
+    base = drift.numeric_baseline(rows.where("week < '2024-01-08'"), ("latency", "batch"))
+    baseline = monitor.Baseline.collected(base, None, ("latency", "batch"))
+    folder = f"{checkpoint_folder(spark)}/monitor-{uuid.uuid4().hex}"
+    weeks = [r.week for r in rows.select("week").distinct().orderBy("week").collect()]  # a row a week
+    for week in weeks:  # each week comes as new files, to a stream that starts again where it stopped
+        rows.where(F.col("week") == week).write.mode("append").parquet(f"{folder}/in")
+        found = monitor.monitor(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), baseline, LIMITS)
+        writer = found.writeStream.foreachBatch(lambda batch, k: write_once(batch, k, f"{folder}/out")).outputMode("update")
+        writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    label = F.concat_ws("|", "service", F.element_at(F.array(*map(F.lit, weeks)), F.col("batch") + 1))
+    counters = ("request_count", "error_count", "records_scored", "unseen_warning_records")
+    out = batches(spark, f"{folder}/out").select(label.alias("window_id"), *counters, "max_psi", "max_psi_feature", *[f"alert_{a}" for a in monitoring.ALERTS], "alert_status")
+    return rounded(out, rates=("max_psi",))
+
+
 def replay_acceptance(spark, sf_dir):
     """The first week as control, the rest as later data, and the first week under stress."""
     rows = _requests(spark, sf_dir)
@@ -567,6 +591,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bootstrap_deviance_ci, bootstrap_ratio_ci, multinomial_deviance_ci, multinomial_ratio_ci, rolling_origin, locked_gate, approval_gates, baseline_numeric,
         baseline_categorical, feature_psi, largest_psi, unseen_category_rate, monitoring_snapshot, monitoring_alerts,
         disagreement_shift, review_lifecycle, event_chain_verify, complexity_join, parity_audit, seeded_sample, micro_batches,
-        stress_replay, contract_check, glm_fit_scores, boosted_fit_scores, rolling_refit, model_complexity, scorer_parity, retrain_parity, artifact_differences, replay_acceptance,
+        stream_monitor, stress_replay, contract_check, glm_fit_scores, boosted_fit_scores, rolling_refit, model_complexity, scorer_parity, retrain_parity, artifact_differences, replay_acceptance,
     )
 }
