@@ -1,7 +1,9 @@
 """The review lifecycle: a state machine with hysteresis over a release's monitoring windows.
 
-``step`` is pure; the batch fold, the streaming fold and the tests all use it.  The fold says which state
-follows; severity and the recommended action are column expressions.  It recommends and never acts.
+``step`` says which state follows; streams fold it and tests hold the batch against it.  In batch the
+lifecycle is a scan: a state follows from when the last alert, green window, opening and closing were,
+and such running maxima are taken in slices.  Severity and the recommended action are column
+expressions.  It recommends and never acts.
 """
 
 from __future__ import annotations
@@ -9,9 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 # Alerts by severity, and states.
 HIGH = ("error_rate", "unseen_category_rate", "frequency_disagreement", "pure_premium_disagreement")
 MEDIUM = ("feature_drift", "p95_latency_ms")
@@ -45,6 +49,52 @@ def with_evidence(windows: DataFrame, *columns: str) -> DataFrame:
     return out.withColumn("evidence_sha256", F.sha2("evidence", 256))
 
 
+def float_text(c: Column) -> Column:
+    """A double as JSON writers of other languages put it: plain from 0.0001 up to below 1e16, with a two-digit exponent beyond."""
+    text = F.abs(c).cast("string")
+    sign, digits = F.when(c < 0, "-").otherwise(""), F.regexp_replace(F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""), r"\.", "")
+    e = F.substring_index(text, "E", -1).cast("int")
+    whole = F.rpad(digits, F.greatest(F.length(digits), e + 1), "0")
+    plain = F.concat(F.substring(whole, F.lit(1), e + 1), F.lit("."), F.when(F.length(whole) > e + 1, F.substring(whole, e + 2, F.lit(400))).otherwise("0"))
+    exponent = F.concat(F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.lit(400)))).otherwise(""), F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.length(F.abs(e).cast("string")), F.lit(2)), "0"))
+    scientific = F.when(e == -4, F.concat(F.lit("0.000"), digits)).when((e > 0) & (e < 16), plain).otherwise(exponent)
+    return F.concat(sign, F.when(text.contains("E"), scientific).otherwise(text))
+
+
+# The fields of aggregate evidence in order of their names, by kind; each kind has its default.
+EVIDENCE = {
+    "active_alerts": "list", "error_rate": "float", "feature_drift_alert_eligible": "bool", "frequency_abs_log_ratio_p95": "float",
+    "governance_status": "text", "label": "text", "max_feature_psi": "float", "max_feature_psi_feature": "text", "model_version": "text",
+    "p95_latency_ms": "float", "privacy_boundary": "text", "pure_premium_abs_log_ratio_p95": "float", "records_scored": "int",
+    "request_count": "int", "service_version": "text", "unseen_category_rate": "float",
+}
+
+
+def aggregate_evidence(windows: DataFrame, **columns: Column | str) -> DataFrame:
+    """``windows`` with ``evidence``, compact JSON of the sixteen fields by name, and its SHA-256.
+
+    ``columns`` says where fields are that have other names.  A field that isn't there, or is null, has
+    its default: 0 or 0.0, false, no alerts, and null for texts.  Texts are as they are, beyond ASCII too.
+    """
+    kinds = {"float": "double", "int": "long", "bool": "boolean", "text": "string", "list": "array<string>"}
+    have, cells = set(windows.columns), []
+    for name, kind in EVIDENCE.items():
+        c = columns.get(name, name)
+        c = c if isinstance(c, Column) else F.col(c) if c in have else F.lit(None)
+        c = c.cast(kinds[kind])
+        if kind == "float":
+            text = float_text(F.coalesce(c, F.lit(0.0)))
+        elif kind == "list":
+            text = F.to_json(F.array_sort(F.coalesce(c, F.array().cast("array<string>"))))
+        elif kind == "text":
+            text = F.coalesce(F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", ""), F.lit("null"))
+        else:
+            text = F.coalesce(c, F.lit(0 if kind == "int" else False)).cast("string")
+        cells.append(F.concat(F.lit(f'"{name}":'), text))
+    out = windows.withColumn("evidence", F.concat(F.lit("{"), F.concat_ws(",", *cells), F.lit("}")))
+    return out.withColumn("evidence_sha256", F.sha2("evidence", 256))
+
+
 @dataclass(frozen=True)
 class Lifecycle:
     """Where a release stands."""
@@ -93,18 +143,50 @@ def folded(release_id: str, now: Lifecycle, rows: pd.DataFrame, **options: int)
     return now, pd.DataFrame(out, columns=[c.split()[0] for c in FOLDED.split(", ")])
 
 
+def _scan(rows: DataFrame, values: dict[str, Column], before: bool = False) -> DataFrame:
+    """``rows`` with running maxima of a release's values, up to each window or only ``before`` it: within slices, then from earlier slices."""
+    own = Window.partitionBy("slice", "release_id").orderBy("label").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    earlier = Window.partitionBy("release_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("slice", "release_id").agg(*[F.max(v).alias(f"_{n}") for n, v in values.items()])
+    ends = ends.select("slice", "release_id", *[F.max(f"_{n}").over(earlier).alias(f"_{n}") for n in values])
+    out = rows.withColumns({n: F.max(v).over(own) for n, v in values.items()}).join(ends, ["slice", "release_id"])
+    return out.withColumns({n: F.greatest(n, f"_{n}") for n in values}).drop(*[f"_{n}" for n in values])
+
+
 def lifecycle(windows: DataFrame, open_after: int = 2, close_after: int = 2) -> DataFrame:
     """The events of every release's windows (release_id, label, active_alerts, evidence_sha256), by label.
 
-    Labels are a release's own.  What is folded is a label, a flag and a hash per monitoring window, so a
-    group is small whatever the traffic; releases run in parallel.
+    Labels are a release's own.  The streak of a window is its distance from the last window of the
+    other kind.  A streak of ``open_after`` alerts calls for review, one of ``close_after`` green windows
+    ends it, so a release is under review if the last call is later than the last end; the call that
+    finds it not under review names the review.  Windows are range-partitioned, so a long release is many
+    tasks' work.
     """
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return folded(key[0], Lifecycle(), rows, open_after=open_after, close_after=close_after)[1]
-
     thin = windows.select("release_id", "label", (F.size("active_alerts") > 0).alias("alert"), "evidence_sha256")
-    events = thin.groupBy("release_id").applyInPandas(fold, FOLDED)
+    rows = checkpointed(thin.repartitionByRange("release_id", "label").withColumn("slice", F.spark_partition_id()))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("slice", "release_id").orderBy("label")).cast("long"))
+    sizes = rows.groupBy("slice", "release_id").agg(F.max("nth").alias("n"))
+    begin = F.sum("n").over(Window.partitionBy("release_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.join(sizes.select("slice", "release_id", F.coalesce(begin, F.lit(0)).alias("begin")), ["slice", "release_id"])
+    rows = rows.withColumn("sequence", F.col("begin") + F.col("nth")).drop("begin", "nth")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    rows = _scan(rows, {"alerted": F.when(F.col("alert"), F.col("sequence")), "green": F.when(~F.col("alert"), F.col("sequence"))})
+    streak = F.col("sequence") - F.when(F.col("alert"), none("green")).otherwise(none("alerted"))
+    rows = rows.withColumn("streak", streak).drop("alerted", "green")
+    call, end = F.col("alert") & (F.col("streak") >= open_after), ~F.col("alert") & (F.col("streak") >= close_after)
+    rows = _scan(rows, {"called": F.when(call, F.col("sequence")), "ended": F.when(end, F.col("sequence"))}, before=True)
+    rows = rows.withColumn("under", none("called") > none("ended"))
+    named = F.when(call & ~F.col("under"), F.struct("sequence", "evidence_sha256"))
+    rows = _scan(rows, {"review": named})
+    name = F.format_string("review-%04d-%s", F.col("review.sequence"), F.substring("review.evidence_sha256", 1, 8))
+    # The review before is the one open then: this window's own call, if it opens, isn't it.
+    opens, still = call & ~F.col("under"), (call | F.col("under")) & ~end
+    state = F.when(F.col("alert"), F.when(still, REVIEW).otherwise(WATCH)).otherwise(F.when(still, RECOVERING).otherwise(HEALTHY))
+    events = rows.select(
+        "release_id", "sequence", "label", state.alias("state"), F.when(F.col("alert"), F.col("streak")).otherwise(0).alias("breach_streak"),
+        F.when(~F.col("alert") & still, F.col("streak")).otherwise(0).alias("recovery_streak"),
+        F.when(F.col("under") & ~opens, name).alias("review_id_before"), F.when(still, name).alias("review_id_after"),
+    )
     return described(events.join(windows.select("release_id", "label", "active_alerts", "evidence_sha256"), ["release_id", "label"]))
 
 

@@ -39,6 +39,41 @@ def test_lifecycle_opens_recovers_and_reopens(spark):
     assert [e.state for e in events if e.release_id == "c"] == ["HEALTHY", "WATCH", "HEALTHY"]
 
 
+def test_the_scan_equals_the_fold(spark):
+    """Random releases under several limits, in many slices: the same events as ``step``, one window after another."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(f"r{r}", f"w{k:04d}", ["error_rate"] if rng.random() < 0.45 else [], f"{rng.randrange(1 << 60):064x}") for r in range(12) for k in range(rng.choice([1, 2, 7, 60]))]
+    windows = spark.createDataFrame(rows, WINDOWS).repartition(5)
+    for limits in ((2, 2), (1, 1), (3, 1), (1, 3)):
+        found = {(r.release_id, r.label): r for r in review.lifecycle(windows, *limits).collect()}
+        now = {}
+        for release, label, alerts, digest in rows:
+            before = now.get(release, review.Lifecycle())
+            now[release] = after = review.step(before, bool(alerts), digest, *limits)
+            r = found[release, label]
+            assert (r.sequence, r.state, r.breach_streak, r.recovery_streak, r.review_id_before, r.review_id_after) == (after.sequence, after.state, after.breaches, after.greens, before.review_id, after.review_id)
+
+
+def test_aggregate_evidence_has_all_fields_and_defaults(spark):
+    """The digest is that of sorted compact JSON, floats as Python writes them."""
+    import json
+
+    floats = [0.0, 1.0, 0.05, 0.0005, 0.00012345, 1e-5, 1.25e-7, 123456.789, 12345678.5, 1e15, 123456789012345678.0, 1e16, 1e22, 1.5e100, 0.1 + 0.2, -0.00025]
+    rows = [(f"w{k}", x, k, ["b", "a"] if k % 2 else None, k % 3 == 0 or None, None if k % 4 else 'quo"te') for k, x in enumerate(floats)]
+    df = spark.createDataFrame(rows, "label string, error_rate double, request_count int, alerts array<string>, feature_drift_alert_eligible boolean, mv string")
+    for r in review.aggregate_evidence(df, active_alerts="alerts", model_version="mv", p95_latency_ms=F.col("error_rate") * 2).collect():
+        want = {
+            "label": r.label, "service_version": None, "model_version": r.mv, "governance_status": None, "privacy_boundary": None, "request_count": r.request_count,
+            "records_scored": 0, "error_rate": r.error_rate, "unseen_category_rate": 0.0, "p95_latency_ms": r.error_rate * 2, "frequency_abs_log_ratio_p95": 0.0,
+            "pure_premium_abs_log_ratio_p95": 0.0, "max_feature_psi": 0.0, "max_feature_psi_feature": None, "feature_drift_alert_eligible": bool(r.feature_drift_alert_eligible),
+            "active_alerts": sorted(r.alerts or []),
+        }
+        text = json.dumps(want, sort_keys=True, separators=(",", ":"))
+        assert r.evidence == text and r.evidence_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_evidence_is_digested(spark):
     row = review.with_evidence(spark.createDataFrame([("w1", 3, None)], "label string, n long, x double"), "label", "n", "x").first()
     assert row.evidence == '{"label":"w1","n":3}' and row.evidence_sha256 == hashlib.sha256(row.evidence.encode()).hexdigest()
