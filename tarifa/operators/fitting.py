@@ -14,15 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder, removed
 from .drift import unpivot
-from .quantiles import exact_quantiles
+from .quantiles import quantile_cuts
 
 #: Policy rows of a block, bins of a number, and rounds after which running scores are written.
 BLOCK_ROWS, BINS, SCORE_ROUNDS = 1 << 15, 128, 25
+#: Bytes of sums that tasks send to the driver at most; more are merged by key in tasks first.
+DRIVER_BYTES = 1 << 24
 #: Columns of a GLM at most: the driver solves a dense system of that size.
 MOST_COLUMNS = 4000
 _PARTS = ("x", "at", "bins", "key", "w", "y", "f")
@@ -51,7 +53,7 @@ class Layout:
 
 @dataclass
 class Packed:
-    """Encoded training rows: the table of blocks, its folder and layout, sums over all rows, and cut points of the numbers.
+    """Encoded training rows: the table of blocks, its folder, number and layout, sums over all rows, and cut points of the numbers.
 
     A block has the numbers ``x``, the hot column of each category ``at`` (-1 for none), ``bins``, a
     hash of each row, its weight, and by target its rate and running score in logs.
@@ -59,6 +61,7 @@ class Packed:
 
     blocks: DataFrame
     path: str
+    many: int
     layout: Layout
     weight: float
     totals: dict[str, float]
@@ -85,17 +88,19 @@ def pack(rows: DataFrame, rates: dict[str, Column | str], weight: Column | str,
         F.col("features.x").alias("x"), F.col("features.at").alias("at"), col(weight).cast("double").alias("w"),
         F.array(*[col(c).cast("double") for c in rates.values()]).alias("y"),
     ).where("w > 0")
+    data, narrow = written(data)
     exact = lambda c: F.sum(c.cast("decimal(38,15)")).cast("double")  # noqa: E731  # the same in any order of rows
     sums = [exact(F.col("w") * F.col("y")[k]).alias(f"s{k}") for k in range(len(targets))]
     total = data.agg(F.count("*").alias("n"), exact(F.col("w")).alias("w"), F.first(F.size("x")).alias("numbers"), *sums).first()
     if not total.n:
+        removed(rows.sparkSession, narrow)
         raise ValueError("no rows with positive weight to fit on")
     numbers, starts = total.numbers, tuple(np.cumsum([total.numbers, *sizes])[:-1].tolist())
     cuts: list[np.ndarray] = []
     if binned and numbers:
         each = unpivot(data.select(*[F.col("x")[k].alias(f"x{k}") for k in range(numbers)]), [f"x{k}" for k in range(numbers)], "double")
-        found = {r.feature: r.q for r in exact_quantiles(each, tuple(k / BINS for k in range(1, BINS))).collect()}  # a row a number
-        cuts = [np.unique(found[f"x{k}"]) for k in range(numbers)]
+        found = {r.feature: r.cuts for r in quantile_cuts(each, BINS).collect()}  # a row a number
+        cuts = [np.array(found[f"x{k}"]) for k in range(numbers)]
     first = [math.log(max(total[f"s{k}"] / total.w, 1e-12)) for k in range(len(targets))]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +131,9 @@ def pack(rows: DataFrame, rates: dict[str, Column | str], weight: Column | str,
     keyed = data.withColumn("key", F.xxhash64("x", "at", "w", "y"))
     blocks = keyed.mapInArrow(packed, ", ".join(f"{p} binary" for p in _PARTS))
     blocks, path = written(blocks)
+    removed(rows.sparkSession, narrow)
     totals = {t: float(total[f"s{k}"]) for k, t in enumerate(targets)}
-    return Packed(blocks, path, Layout(targets, numbers, starts, tuple(sizes)), total.w, totals, cuts)
+    return Packed(blocks, path, blocks.count(), Layout(targets, numbers, starts, tuple(sizes)), total.w, totals, cuts)
 
 
 def written(blocks: DataFrame) -> tuple[DataFrame, str]:
@@ -138,8 +144,16 @@ def written(blocks: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.parquet(path), path
 
 
-def merged(parts: DataFrame, then: Callable[[int, np.ndarray], list[tuple]], schema: str) -> list:
-    """The sums by ``key`` of arrays of doubles (a row a task and key), and of each what ``then`` makes of it, in the merging tasks."""
+def merged(parts: DataFrame, then: Callable[[int, np.ndarray], list[tuple]], schema: str, size: int) -> list:
+    """The sums by ``key`` of arrays of doubles (a row a task and key), and of each what ``then`` makes of it.
+
+    ``size``, the bytes of all tasks' sums at most, says whether the driver adds them up or merging tasks do.
+    """
+    if size <= DRIVER_BYTES:
+        known: dict[int, np.ndarray] = {}
+        for row in parts.collect():
+            known[row.key] = known.get(row.key, 0.0) + np.frombuffer(row.sums)
+        return [Row(*[c.split()[0] for c in schema.split(", ")])(*r) for k, v in known.items() for r in then(k, v)]
     fields = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +234,7 @@ def fit_coefficients(p: Packed, target: str, power: float, alpha: float = 1e-4,
                 loss += float(w @ unit_loss(eta, y[k], power))
             yield _as_rows({0: np.append(total.ravel(), loss)})
 
-        found = merged(p.blocks.mapInArrow(run, "key int, sums binary"), lambda _, s: [(s.tobytes(),)], "sums binary")
+        found = merged(p.blocks.mapInArrow(run, "key int, sums binary"), lambda _, s: [(s.tobytes(),)], "sums binary", p.many * 8 * wide * (wide + 1))
         flat = np.frombuffer(found[0].sums)
         m = flat[:-1].reshape(wide, wide + 1) / p.weight
         second = np.triu(m[:, :wide])
@@ -390,7 +404,8 @@ def boost(p: Packed, tasks: Sequence[Task]) -> list[tuple[float, list[Tree]]]:
                 return [(k, c, *r) for r in found]
 
             schema = "task int, col int, node int, gain double, bin int, gl double, hl double, g double, h double"
-            found = merged(blocks.mapInArrow(run, "key int, sums binary"), split, schema)  # a row a task, column and node
+            size = p.many * 16 * sum(widths) * sum(map(len, asked.values()))
+            found = merged(blocks.mapInArrow(run, "key int, sums binary"), split, schema, size)  # a row a task, column and node
             for r in found:
                 if r.col < 0:
                     spread[r.task] = r.gain

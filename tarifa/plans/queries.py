@@ -475,6 +475,7 @@ def contract_check(spark, sf_dir):
 
 def _fitted(spark, sf_dir) -> tuple[models.Preprocessor, list[DataFrame]]:
     parts = [years(spark, sf_dir, y) for y in (TRAIN, CALIBRATION, TEST)]
+    parts[0] = checkpointed(parts[0].select(*{*NUMERIC, *CATEGORIES, *models.POWERS, "total_exposure", *ROW_KEY}))  # read by every fit
     return models.Preprocessor(NUMERIC, CATEGORIES).fit(parts[0]), parts
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tarifa.functions.exprs import lcg
 from tarifa.operators import fitting, models, resample
-from tarifa.operators.quantiles import exact_quantiles
+from tarifa.operators.quantiles import exact_quantiles, quantile_cuts
 from tarifa.plans.oracle import SQL
 from tarifa.plans.queries import QUERIES
 
@@ -132,6 +132,16 @@ def test_quantiles_equal_numpy(spark):
         np.testing.assert_allclose(found[f], np.quantile(xs, qs), rtol=1e-12)
 
 
+def test_cuts_part_rows_evenly(spark):
+    rng = np.random.default_rng(7)
+    data = {"a": rng.normal(size=1000), "b": rng.integers(0, 5, 400).astype(float), "c": np.array([2.5])}
+    rows = spark.createDataFrame([(f, float(x)) for f, xs in data.items() for x in xs] + [("a", None)], "feature string, value double").repartition(5)
+    found = {r.feature: r.cuts for r in quantile_cuts(rows, 8).collect()}
+    assert found["b"] == [0.0, 1.0, 2.0, 3.0] and found["c"] == []
+    sizes = np.bincount(np.searchsorted(found["a"], data["a"]), minlength=8)
+    assert len(found["a"]) == 7 and set(found["a"]) <= set(data["a"]) and sizes.min() >= 124 and sizes.max() <= 126
+
+
 def _sample(spark, n=1500, seed=3, levels=()):
     """Numbers, hot columns (-1 for none), rates and weights, as arrays and as rows."""
     rng = np.random.default_rng(seed)
@@ -203,6 +213,7 @@ def test_booster_equals_numpy(spark, power, monkeypatch):
     levels = (4, 3)
     x, at, y, w, rows = _sample(spark, 700, levels=levels)
     monkeypatch.setattr(fitting, "SCORE_ROUNDS", 3)
+    monkeypatch.setattr(fitting, "DRIVER_BYTES", 0 if power == 1 else 1 << 24)
     packed = fitting.pack(rows, {"rate": "rate"}, "w", levels, binned=True)
     (one,) = models.boosters(packed, [fitting.Task("rate", power, 5, subsample=1.0, colsample=1.0, depth=3)])
     want = _numpy_booster(x, at, y, w, levels, power, 5, 3, packed.cuts)
