@@ -229,6 +229,32 @@ _COVERAGE = f""", cv AS (
   FROM v JOIN (VALUES {', '.join(f"({k}, '{c}')" for k, c in enumerate(COVERAGES, 1))}) AS c(k, coverage) ON line_no = k WHERE year = {TEST}
 )"""
 
+#: The lifecycle of the windows ``rw`` (release_id, label, active, evidence_sha256, n), closing its parenthesis first.
+_STATES = """), st AS (
+  SELECT release_id, 0::BIGINT AS n, 'HEALTHY' AS state, 0::BIGINT AS breaches, 0::BIGINT AS greens, NULL::VARCHAR AS before, NULL::VARCHAR AS after FROM rw GROUP BY release_id
+  UNION ALL
+  SELECT release_id, n, CASE WHEN alert AND (under OR breaches + 1 >= 2) THEN 'REVIEW_REQUIRED' WHEN alert THEN 'WATCH' WHEN under AND greens + 1 < 2 THEN 'RECOVERING' ELSE 'HEALTHY' END,
+         CASE WHEN alert THEN breaches + 1 ELSE 0 END, CASE WHEN NOT alert AND under AND greens + 1 < 2 THEN greens + 1 ELSE 0 END, after,
+         CASE WHEN alert AND (under OR breaches + 1 < 2) THEN after WHEN alert THEN coalesce(after, 'review-' || lpad(n::VARCHAR, 4, '0') || '-' || evidence_sha256[1:8])
+              WHEN under AND greens + 1 < 2 THEN after WHEN under OR state = 'WATCH' THEN NULL ELSE after END
+  FROM (SELECT st.state, st.breaches, st.greens, st.after, rw.release_id, rw.n, rw.evidence_sha256, len(rw.active) > 0 AS alert, st.state IN ('REVIEW_REQUIRED', 'RECOVERING') AS under FROM st JOIN rw ON rw.release_id = st.release_id AND rw.n = st.n + 1)
+)
+"""
+_FLOATS = {"error_rate": "error_rate", "unseen_category_rate": "unseen_category_rate", "p95_latency_ms": "latency_p95", "frequency_abs_log_ratio_p95": "frequency_p95", "pure_premium_abs_log_ratio_p95": "pure_premium_p95", "max_feature_psi": "max_psi"}
+_FIELDS = {f: f"coalesce(round({c}, 6), 0.0)::DOUBLE::VARCHAR" for f, c in _FLOATS.items()} | dict.fromkeys(("governance_status", "model_version", "service_version"), "'null'") | {
+    "active_alerts": "to_json(active)::VARCHAR", "feature_drift_alert_eligible": "(records_scored >= 500)::VARCHAR", "label": "to_json(label)::VARCHAR",
+    "max_feature_psi_feature": "coalesce(to_json(max_psi_feature)::VARCHAR, 'null')", "privacy_boundary": f"'\"{PRIVACY_BOUNDARY}\"'", "records_scored": "records_scored::VARCHAR", "request_count": "request_count::VARCHAR",
+}
+_EVIDENCE = (
+    _RELEASED.replace("max_psi_feature, error_rate >", f"max_psi_feature, {', '.join(c for c in _FLOATS.values() if c != 'max_psi')}, error_rate >", 1)
+    + f""", rl AS (
+  SELECT *, split_part(window_id, '|', 1) AS release_id, split_part(window_id, '|', 2) AS label,
+         list_sort(list_filter([{', '.join(f"CASE WHEN alert_{n} THEN '{n}' END" for n in _ALERT_NAMES)}], lambda x: x IS NOT NULL)) AS active FROM al
+), ev AS (SELECT *, '{{' || """ + " || ',' || ".join(f"""'"{f}":' || {_FIELDS[f]}""" for f in sorted(_FIELDS)) + """ || '}' AS evidence FROM rl), rw AS MATERIALIZED (
+  SELECT release_id, label, active, evidence, sha256(evidence) AS evidence_sha256, row_number() OVER (PARTITION BY release_id ORDER BY label) AS n FROM ev
+"""
+)
+
 SQL = {
     "year_summary": BASE + f' SELECT year::BIGINT AS year, count(*) AS "rows", count(DISTINCT insured_id) AS unique_ids, round(sum(total_exposure), 2) AS exposure, round(sum(total_claims), 2) AS claims, {_RATES}, round(sum(total_premium), 2) AS premium, round({_ratio("sum(total_incurred)", "sum(total_premium)")}, 6) AS observed_loss_ratio FROM v WHERE year IN ({TRAIN}, {CALIBRATION}, {TEST}) GROUP BY year',
     "schema_audit": "WITH o AS (SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'NA' WHEN o_orderkey % 11 = 0 THEN ' ' ELSE o_orderpriority END AS o_orderpriority FROM orders) "
@@ -281,21 +307,14 @@ SELECT coverage, covered_rows, round(e, 2) AS covered_exposure, round(c, 2) AS c
          sha256('{{"window_id":"' || window_id || '","request_count":' || request_count || ',"error_count":' || error_count || ',"records_scored":' || records_scored || ',"unseen_warning_records":' || unseen_warning_records || '}}') AS evidence_sha256,
          row_number() OVER (PARTITION BY split_part(window_id, '|', 1) ORDER BY split_part(window_id, '|', 2)) AS n
   FROM al
-), st AS (
-  SELECT release_id, 0::BIGINT AS n, 'HEALTHY' AS state, 0::BIGINT AS breaches, 0::BIGINT AS greens, NULL::VARCHAR AS before, NULL::VARCHAR AS after FROM rw GROUP BY release_id
-  UNION ALL
-  SELECT release_id, n, CASE WHEN alert AND (under OR breaches + 1 >= 2) THEN 'REVIEW_REQUIRED' WHEN alert THEN 'WATCH' WHEN under AND greens + 1 < 2 THEN 'RECOVERING' ELSE 'HEALTHY' END,
-         CASE WHEN alert THEN breaches + 1 ELSE 0 END, CASE WHEN NOT alert AND under AND greens + 1 < 2 THEN greens + 1 ELSE 0 END, after,
-         CASE WHEN alert AND (under OR breaches + 1 < 2) THEN after WHEN alert THEN coalesce(after, 'review-' || lpad(n::VARCHAR, 4, '0') || '-' || evidence_sha256[1:8])
-              WHEN under AND greens + 1 < 2 THEN after WHEN under OR state = 'WATCH' THEN NULL ELSE after END
-  FROM (SELECT st.state, st.breaches, st.greens, st.after, rw.release_id, rw.n, rw.evidence_sha256, len(rw.active) > 0 AS alert, st.state IN ('REVIEW_REQUIRED', 'RECOVERING') AS under FROM st JOIN rw ON rw.release_id = st.release_id AND rw.n = st.n + 1)
-)
-SELECT release_id, label, n AS sequence, state, breaches AS breach_streak, greens AS recovery_streak, before AS review_id_before, after AS review_id_after, array_to_string(active, ',') AS active_alerts, evidence_sha256,
+""" + _STATES + f"""SELECT release_id, label, n AS sequence, state, breaches AS breach_streak, greens AS recovery_streak, before AS review_id_before, after AS review_id_after, array_to_string(active, ',') AS active_alerts, evidence_sha256,
   CASE WHEN list_has_any(active, {list(_HIGH)}) THEN 'HIGH' WHEN len(active) > 0 THEN 'MEDIUM' ELSE 'NONE' END AS severity,
   CASE WHEN state = 'HEALTHY' THEN 'CONTINUE_SHADOW' WHEN state = 'WATCH' THEN 'OBSERVE_NEXT_WINDOW' WHEN state = 'RECOVERING' THEN 'VERIFY_RECOVERY'
        WHEN list_has_any(active, {list(_HIGH[:2])}) AND list_has_any(active, {list(_HIGH[2:])}) THEN 'INVESTIGATE_SERVING_DATA_AND_MODEL' WHEN list_has_any(active, {list(_HIGH[:2])}) THEN 'INVESTIGATE_SERVING_AND_INPUT_CONTRACT'
        WHEN list_has_any(active, {list(_HIGH[2:])}) THEN 'REVIEW_MODEL_DISAGREEMENT' WHEN list_contains(active, 'feature_drift') THEN 'REVIEW_PORTFOLIO_MIX_AND_SEGMENT_CALIBRATION' ELSE 'REVIEW_SERVING_PERFORMANCE' END AS recommended_action
 FROM st JOIN rw USING (release_id, n)""",
+    "review_evidence": _EVIDENCE + ") SELECT release_id, label, evidence, evidence_sha256 FROM rw",
+    "review_replay": _EVIDENCE + _STATES + " SELECT release_id, n AS sequence, label, state, after AS review_id_after, 1::BIGINT AS whole, 1::BIGINT AS restarted, true AS as_batch FROM st JOIN rw USING (release_id, n)",
     "event_chain_verify": """WITH RECURSIVE d AS MATERIALIZED (
   SELECT chain, seq, chain || '|' || d || ':' || count(*) AS payload FROM (SELECT 'r' || event_id % 4 AS chain, day(ts)::BIGINT AS seq, strftime(ts, '%Y-%m-%d') AS d FROM events) GROUP BY chain, seq, d
 ), o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY seq) AS k FROM d), c AS (

@@ -24,6 +24,7 @@ from ..sources.policy import (
 )
 from ..streaming import monitor
 from ..streaming.sinks import batches, write_once
+from ..streaming.telemetry import review_stream
 
 TRAIN, CALIBRATION, TEST = 1999, 2000, 2001
 MODELS = {"glm_freq": "total_claims", "xgb_freq": "total_claims", "glm_loss": "total_incurred", "xgb_loss": "total_incurred"}
@@ -397,6 +398,40 @@ def review_lifecycle(spark, sf_dir):
     return review.lifecycle(windows).withColumn("active_alerts", F.concat_ws(",", "active_alerts"))
 
 
+def _review_windows(spark, sf_dir) -> DataFrame:
+    """Every release's daily windows with alerts and the digest of their full evidence, values rounded to six digits."""
+    alerts = _alerts(_requests(spark, sf_dir, RELEASES)).withColumns({"release_id": F.substring_index("window_id", "|", 1), "label": F.substring_index("window_id", "|", -1), "active_alerts": monitoring.active_alerts()})
+    six = {f: F.round(c, 6) for f, c in (("error_rate", "error_rate"), ("unseen_category_rate", "unseen_category_rate"), ("p95_latency_ms", "latency_p95"), ("frequency_abs_log_ratio_p95", "frequency_p95"), ("pure_premium_abs_log_ratio_p95", "pure_premium_p95"), ("max_feature_psi", "max_psi"))}
+    eligible = F.col("records_scored") >= LIMITS["min_feature_drift_records"]
+    return review.aggregate_evidence(alerts, max_feature_psi_feature="max_psi_feature", feature_drift_alert_eligible=eligible, **six)
+
+
+def review_evidence(spark, sf_dir):
+    """The aggregate evidence of every release's daily windows, and its digest."""
+    return _review_windows(spark, sf_dir).select("release_id", "label", "evidence", "evidence_sha256")
+
+
+def review_replay(spark, sf_dir):
+    """The lifecycle replayed as a stream twice, in one go and stopped half-way and started again: both give each event once, the batch's."""
+    windows = checkpointed(_review_windows(spark, sf_dir).select("release_id", "label", "active_alerts", "evidence_sha256"))
+    half = windows.agg(F.percentile_approx(F.to_date("label"), 0.5).cast("string").alias("half")).first().half
+    replays = []
+    for name, parts in (("whole", [F.lit(True)]), ("restarted", [F.col("label") <= half, F.col("label") > half])):
+        folder = f"{checkpoint_folder(spark)}/replay-{uuid.uuid4().hex}"
+        for part in parts:
+            windows.where(part).write.mode("append").parquet(f"{folder}/in")
+            stream = review_stream(spark.readStream.schema(windows.schema).parquet(f"{folder}/in"))
+            writer = stream.writeStream.foreachBatch(lambda batch, k, to=folder: write_once(batch, k, f"{to}/out")).outputMode("append")
+            writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        replays.append(batches(spark, f"{folder}/out").withColumn("replay", F.lit(name)))
+    events = replays[0].unionByName(replays[1]).groupBy("release_id", "sequence", "label", "state", "review_id_after").agg(
+        F.count_if(F.col("replay") == "whole").alias("whole"), F.count_if(F.col("replay") == "restarted").alias("restarted")
+    )
+    batch = review.lifecycle(windows).select("release_id", "sequence", F.lit(True).alias("in_batch"), *[F.col(c).alias(f"b_{c}") for c in ("state", "review_id_after")])
+    same = F.coalesce(F.col("state").eqNullSafe(F.col("b_state")) & F.col("review_id_after").eqNullSafe(F.col("b_review_id_after")), F.lit(False))
+    return events.join(batch, ["release_id", "sequence"], "left").select("release_id", "sequence", "label", "state", "review_id_after", "whole", "restarted", same.alias("as_batch"))
+
+
 def event_chain_verify(spark, sf_dir):
     """Chains of daily control events, each with one changed payload and one changed link."""
     daily = _requests(spark, sf_dir, RELEASES).groupBy("window_id").agg(F.count("*").alias("n"))
@@ -591,7 +626,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         coverage_decomposition, coverage_reconciliation, tail_summary, tail_sensitivity, transport_points, transport_pivot,
         bootstrap_deviance_ci, bootstrap_ratio_ci, multinomial_deviance_ci, multinomial_ratio_ci, rolling_origin, locked_gate, approval_gates, baseline_numeric,
         baseline_categorical, feature_psi, largest_psi, unseen_category_rate, monitoring_snapshot, monitoring_alerts,
-        disagreement_shift, review_lifecycle, event_chain_verify, complexity_join, parity_audit, seeded_sample, micro_batches,
+        disagreement_shift, review_lifecycle, review_evidence, review_replay, event_chain_verify, complexity_join, parity_audit, seeded_sample, micro_batches,
         stream_monitor, stress_replay, contract_check, glm_fit_scores, boosted_fit_scores, rolling_refit, model_complexity, scorer_parity, retrain_parity, artifact_differences, replay_acceptance,
     )
 }
