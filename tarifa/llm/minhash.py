@@ -7,8 +7,8 @@ collection deals documents into buckets; within a bucket, or where it is too ful
 the second one is compared.
 
 Documents of equal sets are one class, and all work past the first pass is on classes.  In a bucket
-bitmaps of the shingles leave out, exactly, most pairs that can't be similar.  A bucket hands on no
-pair that others make needless: a spanning forest of pairs that are similar by a wide margin, and
+bitmaps of the shingles leave out, exactly, most pairs that can't be similar.  A pair counts in its
+first common table alone, and a bucket hands on no pair that others make needless: a spanning forest of pairs that are similar by a wide margin, and
 the doubtful pairs between its trees.  All that counts is then verified on the sets themselves; should
 a pair of the forest not be similar, its buckets are gone through again, with what is linked known.
 """
@@ -34,6 +34,8 @@ PART, OF = 4, 5
 HALVES, HASHES = 14, 2
 #: Classes of a bucket or block at most, and pairs of one looked at, at once.
 BLOCK, PAIRS = 1000, 1 << 18
+#: Classes above which a bucket is divided by the second half keys: below, its blocks copy a row less often than as many tables would.
+DIVIDED = HALVES * BLOCK
 #: Bits of a bitmap a shingle, and bits at least and at most (powers of two).
 BITS_A_SHINGLE, LEAST_BITS, MOST_BITS = 8, 1 << 11, 1 << 16
 #: Deviations by which the estimated difference must stay below the limit for a pair to be near for sure.
@@ -121,11 +123,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 
 class Members(NamedTuple):
-    """Rows of whole buckets: which bucket, set, its size, second half keys, bitmap, what it is linked to, and its side (0 both, 1 or 2)."""
+    """Rows of whole buckets: which bucket, the half keys it is of (``mth`` is -1 where it isn't divided), set, its size,
+    its half keys, bitmap, what it is linked to, and its side (0 both, 1 or 2)."""
 
     bucket: np.ndarray
+    nth: np.ndarray
+    mth: np.ndarray
     set_id: list[bytes]
     n: np.ndarray
+    keys: np.ndarray
     others: np.ndarray
     bits: list[bytes]
     root: np.ndarray
@@ -133,7 +139,7 @@ class Members(NamedTuple):
 
 
 def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[Members]:
-    """The sorted rows (key, part, set_id, n, others, bits, root, side) of a task by whole buckets."""
+    """The sorted rows (key, part, nth, mth, set_id, n, keys, others, bits, root, side) of a task by whole buckets."""
 
     def members(t: pa.Table) -> Members:
         t = t.combine_chunks()
@@ -141,7 +147,8 @@ def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[Members]:
         bucket = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
         others = np.frombuffer(b"".join(t["others"].to_pylist()), np.uint32).reshape(-1, HALVES)
         root = t["root"].combine_chunks().dictionary_encode().indices.to_numpy()
-        return Members(bucket, t["set_id"].to_pylist(), t["n"].to_numpy(), others, t["bits"].to_pylist(), root, t["side"].to_numpy())
+        keys = t["keys"].combine_chunks().flatten().to_numpy().reshape(-1, HALVES)
+        return Members(bucket, t["nth"].to_numpy(), t["mth"].to_numpy(), t["set_id"].to_pylist(), t["n"].to_numpy(), keys, others, t["bits"].to_pylist(), root, t["side"].to_numpy())
 
     kept: pa.Table | None = None
     for batch in batches:
@@ -177,7 +184,7 @@ def pairs_of(m: Members) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def candidates(m: Members) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, ratio, sure): pairs of different roots that meet in a table and that size and bitmap don't rule out.
+    """(i, j, ratio, sure): pairs of different roots whose first common table is here, and that size and bitmap don't rule out.
 
     ``ratio`` is the difference of the bitmaps over the most that similar sets can have.
     """
@@ -192,7 +199,8 @@ def candidates(m: Members) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         a, b = m.n[i], m.n[j]
         keep = (PART * np.maximum(a, b) <= OF * np.minimum(a, b)) & (m.root[i] != m.root[j])
         i, j = i[keep], j[keep]
-        keep = (m.others[i] == m.others[j]).any(1)
+        same, whole = m.others[i] == m.others[j], m.mth[i] < 0
+        keep = np.where(whole, same.any(1), same.argmax(1) == m.mth[i]) & ((m.keys[i] == m.keys[j]).argmax(1) == m.nth[i])
         i, j = i[keep], j[keep]
         i, j = np.where(words[i] <= words[j], i, j), np.where(words[i] <= words[j], j, i)
         differ, full = np.zeros(len(i), np.int64), np.zeros(len(i))
@@ -253,26 +261,27 @@ def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared(keys: DataFrame) -> DataFrame:
-    """(key, set_id, size) of a table of (key, set_id): the keys that several sets have; the key's size is joined as a written table."""
+    """A table of (key, ...) with ``size``: the rows of keys that several have; the key's size is joined as a written table."""
     keys = materialize(keys)
     sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     return keys.join(sizes, "key")
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
-    """(key, set_id, size): the buckets of the first half keys; one of over ``BLOCK`` sets is divided by the second half keys."""
-    found = materialize(shared(classes.select("set_id", F.explode("keys").alias("key"))))
-    full = found.where(F.col("size") > BLOCK)
+    """(key, nth, mth, set_id, size): the buckets of the first half keys; one of over ``DIVIDED`` sets is divided by the second half keys."""
+    found = materialize(shared(classes.select("set_id", F.lit(-1).alias("mth"), F.posexplode("keys").alias("nth", "key"))))
+    full = found.where(F.col("size") > DIVIDED)
     if full.isEmpty():
         return found
     second = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(HALVES - 1)), lambda k: F.substring(F.col("others"), 4 * k + 1, F.lit(4))))
-    tables = full.join(classes.select("set_id", "others"), "set_id").select("set_id", "key", second.alias("nth", "half"))
-    tables = shared(tables.select("set_id", F.xxhash64("key", "nth", "half").alias("key")))
-    return materialize(found.where(F.col("size") <= BLOCK).unionByName(tables))
+    tables = full.join(classes.select("set_id", "others"), "set_id").select("set_id", "nth", "key", second.alias("mth", "half"))
+    tables = shared(tables.select("set_id", "mth", "nth", F.xxhash64("key", "mth", "half").alias("key")))
+    return materialize(found.where(F.col("size") <= DIVIDED).unionByName(tables))
 
 
 _LINKS = "a binary, b binary, ratio double, sure boolean"
-_MEMBER = ("key", "part", "set_id", "n", "others", "bits", "root", "side")
+_SKETCH = ("set_id", "n", "keys", "others", "bits")
+_MEMBER = ("key", "part", "nth", "mth", *_SKETCH, "root", "side")
 
 
 def linked(members: DataFrame) -> DataFrame:
@@ -287,23 +296,22 @@ def first_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     h = F.xxhash64("set_id")
     leads = rows.where(F.col("size") > BLOCK).groupBy("key").agg(F.min(h).alias("lead"))
     own = F.pmod(h, blocks).cast("int")
-    dealt = rows.join(leads, "key", "left").select("key", "set_id", F.explode(F.when(h == F.col("lead"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("part"))
-    sketch = classes.select("set_id", "n", "others", "bits")
-    return linked(dealt.join(sketch, "set_id").withColumns({"root": F.col("set_id"), "side": F.lit(0)}))
+    dealt = rows.join(leads, "key", "left").select("key", "nth", "mth", "set_id", F.explode(F.when(h == F.col("lead"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("part"))
+    return linked(dealt.join(classes.select(*_SKETCH), "set_id").withColumns({"root": F.col("set_id"), "side": F.lit(0)}))
 
 
 def later_links(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """Links between sets of a bucket that aren't linked yet: those outside of its largest component against all, by blocks of both."""
-    rows = materialize(rows.join(roots, "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root")))
+    rows = materialize(rows.join(roots, "set_id", "left").select("key", "nth", "mth", "set_id", F.coalesce("root", "set_id").alias("root")))
     counts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     per_key = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("roots"))
     per_key = materialize(per_key.where("roots > 1").select("key", F.col("top.root").alias("top"), F.ceil(F.col("size") / (BLOCK // 2)).alias("wide"), F.ceil((F.col("size") - F.col("top.n")) / (BLOCK // 2)).alias("high")))
     rows = rows.join(per_key, "key")
     h = F.xxhash64("set_id")
     x, y = F.pmod(h, "high"), F.pmod(F.xxhash64(h), "wide")
-    few = rows.where("root != top").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("y")).select("key", "set_id", "root", F.lit(1).alias("side"), (x * F.col("wide") + F.col("y")).alias("part"))
-    every = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1)).alias("x")).select("key", "set_id", "root", F.lit(2).alias("side"), (F.col("x") * F.col("wide") + y).alias("part"))
-    return linked(few.unionByName(every).join(classes.select("set_id", "n", "others", "bits"), "set_id"))
+    few = rows.where("root != top").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("y")).select("key", "nth", "mth", "set_id", "root", F.lit(1).alias("side"), (x * F.col("wide") + F.col("y")).alias("part"))
+    every = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1)).alias("x")).select("key", "nth", "mth", "set_id", "root", F.lit(2).alias("side"), (F.col("x") * F.col("wide") + y).alias("part"))
+    return linked(few.unionByName(every).join(classes.select(*_SKETCH), "set_id"))
 
 
 # ---------------------------------------------------------------- verifying
@@ -352,8 +360,8 @@ def across(links: DataFrame, roots: DataFrame) -> DataFrame:
     return links.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
 
 
-def confirmed(links: DataFrame, sets: DataFrame, known: DataFrame | None) -> tuple[DataFrame, bool]:
-    """Edges that connect what similar pairs of ``links`` (and the ``known`` edges) connect, and whether a sure pair failed.
+def confirmed(links: DataFrame, sets: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame, bool]:
+    """Edges that connect what similar pairs of ``links`` (and the ``known`` edges) connect, the roots, and whether a sure pair failed.
 
     Every set's best pair is verified first, then the pairs between what isn't connected by then.
     """
@@ -362,10 +370,14 @@ def confirmed(links: DataFrame, sets: DataFrame, known: DataFrame | None) -> tup
     tested = similar(links.join(best, ["a", "b"], "left_semi"), sets)
     edges = tested.where("holds").select("a", "b")
     edges = edges if known is None else edges.unionByName(known)
-    rest = across(links.join(tested.select("a", "b"), ["a", "b"], "left_anti"), rooted(edges))
-    tested_too = similar(rest, sets)
+    roots = rooted(edges)
+    tested_too = similar(across(links.join(tested.select("a", "b"), ["a", "b"], "left_anti"), roots), sets)
     failed = not tested.unionByName(tested_too).where("sure AND NOT holds").isEmpty()
-    return edges.unionByName(tested_too.where("holds").select("a", "b")), failed
+    more = tested_too.where("holds").select("a", "b")
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
+        roots = rooted(edges)
+    return edges, roots, failed
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -384,18 +396,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", tex
     classes = materialize(sketch.join(firsts, "set_id"))
     buckets = bucket_rows(classes)
     links = first_links(buckets, classes)
-    edges = None
+    roots = None
     if not links.isEmpty():
         sets = full_sets(docs, wanted_sets(links, classes), id_col, text_col, width)
-        edges, failed = confirmed(links, sets, None)
+        edges, roots, failed = confirmed(links, sets, None)
         again = buckets if failed else buckets.where(F.col("size") > BLOCK)
         if not again.isEmpty():
-            more = later_links(again, classes, rooted(edges))
+            more = later_links(again, classes, roots)
             if not more.isEmpty():
-                edges, _ = confirmed(more, sets.unionByName(full_sets(docs, wanted_sets(more, classes).join(sets.select("set_id"), "set_id", "left_anti"), id_col, text_col, width)), edges)
+                _, roots, _ = confirmed(more, sets.unionByName(full_sets(docs, wanted_sets(more, classes).join(sets.select("set_id"), "set_id", "left_anti"), id_col, text_col, width)), edges)
     found = classes.select("set_id", "first_id")
-    if edges is not None:
-        roots = found.join(rooted(edges), "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
+    if roots is not None:
+        roots = found.join(roots, "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
         names = roots.groupBy("root").agg(F.min("first_id").alias("first_id"))
         found = materialize(roots.select("set_id", "root")).join(materialize(names), "root").select("set_id", "first_id")
     out = rows.select("doc_id", "n", "set_id").join(materialize(found), "set_id", "left")

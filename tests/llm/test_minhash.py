@@ -76,6 +76,7 @@ def test_query_matches_sql(spark):
 def test_components_equal_brute_force(spark, monkeypatch, block):
     """Also with buckets so small that they are divided, dealt into blocks, and gone through again; null and repeated ids."""
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "DIVIDED", 3 * block)
     monkeypatch.setattr(minhash, "PAIRS", 1 << 18 if block > 6 else 5)
     rng = random.Random(block)
     rows = [(k * 7 % 1009, t) for k, t in enumerate(near_copies(rng))] + [(2000 + k, t) for k, t in enumerate(EDGES)]
@@ -98,7 +99,8 @@ def test_bitmaps_leave_no_similar_pair_out():
         base = rng.integers(0, 1 << 63, n * 2, np.uint64)
         for extra in (0, 1, n // 9, n // 8, n // 4):
             x, y = np.unique(base[:n]), np.unique(np.concatenate((base[extra:n], base[n : n + extra // 9])))
-            m = minhash.Members(np.zeros(2, int), [b"x", b"y"], np.array([len(x), len(y)]), np.ones((2, minhash.HALVES), np.uint32), [minhash.bits_of(x), minhash.bits_of(y)], np.arange(2), np.zeros(2, int))
+            zero, ones = np.zeros(2, int), np.ones((2, minhash.HALVES), np.uint32)
+            m = minhash.Members(zero, zero, zero - 1, [b"x", b"y"], np.array([len(x), len(y)]), ones, ones, [minhash.bits_of(x), minhash.bits_of(y)], np.arange(2), np.zeros(2, int))
             common = len(np.intersect1d(x, y))
             if 5 * common >= 4 * (len(x) + len(y) - common):
                 assert len(minhash.candidates(m)[0]) == 1
