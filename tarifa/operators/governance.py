@@ -75,6 +75,44 @@ def map_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").where(~F.col("sha256").eqNullSafe(F.col("other_sha256")))
 
 
+# Where a provenance statement says what is checked, and the types it must have.
+PROVENANCE = {
+    "repository": "$.verificationResult.signature.certificate.githubWorkflowRepository",
+    "workflow_name": "$.verificationResult.signature.certificate.githubWorkflowName",
+    "workflow_path": "$.verificationResult.statement.predicate.buildDefinition.externalParameters.workflow.path",
+    "workflow_repository": "$.verificationResult.statement.predicate.buildDefinition.externalParameters.workflow.repository",
+    "predicate_type": "$.verificationResult.statement.predicateType",
+    "build_type": "$.verificationResult.statement.predicate.buildDefinition.buildType",
+}
+SUBJECTS, TIMESTAMPS = "$.verificationResult.statement.subject", "$.verificationResult.verifiedTimestamps"
+COMMIT = "$.verificationResult.signature.certificate.sourceRepositoryDigest"
+
+
+def provenance_predicates(statements: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """(statement_id, name, sha256, predicate, passed): what is expected of each subject of each statement (statement_id, body).
+
+    ``expected`` gives the values of the paths of ``PROVENANCE``.  Besides, a statement needs a verified
+    timestamp and a commit of forty characters.  What a body lacks isn't passed; a body that isn't JSON,
+    or has no subjects, gives no rows.
+    """
+    body = statements.select("statement_id", F.try_parse_json("body").alias("v"))
+    text = lambda path: F.try_variant_get("v", path, "string")
+    checks = {n: text(PROVENANCE[n]) == F.lit(x) for n, x in expected.items()}
+    checks |= {"timestamps": F.size(F.try_variant_get("v", TIMESTAMPS, "array<variant>")) >= 1, "commit": F.length(text(COMMIT)) == 40}
+    cells = F.array(*[F.struct(F.lit(n).alias("predicate"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in checks.items()])
+    subjects = F.try_variant_get("v", SUBJECTS, "array<struct<name: string, digest: struct<sha256: string>>>")
+    rows = body.select("statement_id", cells.alias("cells"), F.explode(subjects).alias("s"))
+    return rows.select("statement_id", F.col("s.name").alias("name"), F.col("s.digest.sha256").alias("sha256"), F.inline("cells"))
+
+
+def attested(artifacts: DataFrame, predicates: DataFrame) -> DataFrame:
+    """(path, statements, matches, admitted): artifacts (path, sha256) by how many statements name them, and name them with all predicates passed; exactly one match admits."""
+    whole = predicates.groupBy("statement_id", "name", "sha256").agg(F.bool_and("passed").alias("passed"))
+    rows = artifacts.join(whole.withColumnRenamed("name", "path"), ["path", "sha256"], "left")
+    counts = rows.groupBy("path").agg(F.count("statement_id").alias("statements"), F.count_if("passed").alias("matches"))
+    return counts.withColumn("admitted", F.col("matches") == 1)
+
+
 CHAIN_SCHEMA = "chain string, sequence long, payload string, previous_sha256 string, event_sha256 string"
 
 

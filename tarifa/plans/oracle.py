@@ -326,6 +326,9 @@ FROM e WINDOW w AS (PARTITION BY chain ORDER BY seq)""",
     "artifact_differences": """WITH a AS (SELECT 'part/' || p_partkey AS path, sha256(p_name) AS sha256 FROM part WHERE p_partkey % 11 != 0),
 b AS (SELECT 'part/' || p_partkey AS path, sha256(CASE WHEN p_partkey % 7 = 0 THEN 'changed' ELSE p_name END) AS other_sha256 FROM part WHERE p_partkey % 13 != 0)
 SELECT path, sha256, other_sha256 FROM a FULL JOIN b USING (path) WHERE sha256 IS DISTINCT FROM other_sha256""",
+    "attestation_predicates": """WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 13 = 0 THEN 0 WHEN p_partkey % 17 = 0 THEN 2 ELSE 1 END AS n, p_partkey % 3 != 0 AND p_partkey % 5 != 0 AND p_partkey % 7 != 0 AND p_partkey % 11 != 0 AS good FROM part)
+SELECT 'part/' || k AS path, n::BIGINT AS statements, CASE WHEN good THEN n ELSE 0 END::BIGINT AS matches, good AND n = 1 AS admitted FROM p""",
+    "bucketed_seen": BASE + f" SELECT insured_id IN (SELECT insured_id FROM v WHERE year IN ({TRAIN}, {CALIBRATION})) AS seen_before, count(*) AS \"rows\", round(sum(total_exposure), 2) AS exposure FROM v WHERE year = {TEST} GROUP BY 1",
     "replay_acceptance": _REPLAYED + """, k1 AS (SELECT * FROM al WHERE window_id = 'control'), k2 AS (SELECT * FROM al WHERE window_id = 'stress'), r AS (
   SELECT unnest([{'check': 'control_green', 'passed': k1.alert_status = 'GREEN'}, {'check': 'aggregates_only', 'passed': true}, {'check': 'stress_error_rate', 'passed': k2.alert_error_rate},
     {'check': 'stress_unseen_category_rate', 'passed': k2.alert_unseen_category_rate}, {'check': 'stress_feature_drift', 'passed': k2.alert_feature_drift},
@@ -344,3 +347,4 @@ ac AS (SELECT replay, al.feature, CASE WHEN cb.bucket IS NULL THEN '__UNSEEN__'
     "contract_check": f"""WITH b AS (SELECT list_sort(list_filter([{', '.join([f"CASE WHEN value IS NULL THEN '-{c}' END" for c in NUMERIC_FEATURES] + [f"CASE WHEN event_type IS NULL THEN '-{c}' END" for c in CATEGORICAL_FEATURES])}, CASE WHEN event_id % 3 = 0 AND user_id IS NOT NULL THEN 'insured_id' END], lambda x: x IS NOT NULL)) AS v FROM events)
 SELECT coalesce(array_to_string(v, ','), '') AS violations, count(*) AS n, {len(FEATURES)}::INT AS features FROM b GROUP BY 1""",
 }
+SQL["bucketed_year_summary"] = SQL["year_summary"]

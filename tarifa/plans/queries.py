@@ -18,6 +18,7 @@ from ..contracts import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES
 from ..functions import exprs as X
 from ..operators import drift, governance, metrics, models, monitoring, resample, review
 from ..session import checkpoint_folder, checkpointed
+from ..sources.sinks import write_policy_table
 from ..sources.policy import (
     COVERAGES, ROW_KEY, date_range, missing_audit, policy_year, read, renewal_audit, renewals, usable_years, valid_policy_years,
     valid_renewals, value_counts,
@@ -454,6 +455,48 @@ def artifact_differences(spark, sf_dir):
     return governance.map_differences(locked, found)
 
 
+#: What the statements of ``attestation_predicates`` are held against.
+EXPECTED = {
+    "repository": "acme/pricing", "workflow_name": "release", "workflow_path": ".github/workflows/release.yml", "workflow_repository": "https://github.com/acme/pricing",
+    "predicate_type": "https://slsa.dev/provenance/v1", "build_type": "https://actions.github.io/buildtypes/workflow/v1",
+}
+
+
+def attestation_predicates(spark, sf_dir):
+    """Artifacts beside nested provenance statements, some of another repository or workflow, unsigned, of a short commit, without a subject, or double."""
+    part = read(spark, sf_dir, "part").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"), F.sha2("p_name", 256).alias("sha256"), F.sha1("p_name").alias("commit"), F.col("p_partkey").alias("k"))
+    every = lambda n, odd, usual: F.when(F.col("k") % n == 0, odd).otherwise(usual)
+    named = lambda **c: F.struct(*[(x if not isinstance(x, str) else F.lit(x)).alias(n) for n, x in c.items()])
+    subject = F.array(named(name="something else", digest=named(sha256="00")), named(name=F.col("path"), digest=named(sha256=F.col("sha256"))))
+    definition = named(buildType=EXPECTED["build_type"], externalParameters=named(workflow=named(path=every(5, "other.yml", EXPECTED["workflow_path"]), repository=EXPECTED["workflow_repository"])))
+    certificate = named(githubWorkflowRepository=every(3, "other/pricing", EXPECTED["repository"]), githubWorkflowName=EXPECTED["workflow_name"], sourceRepositoryDigest=every(11, F.substring("commit", 1, 39), F.col("commit")))
+    statement = named(subject=every(13, F.slice(subject, 1, 1), subject), predicateType=EXPECTED["predicate_type"], predicate=named(buildDefinition=definition))
+    stamps = every(7, F.array().cast("array<long>"), F.array("k"))
+    body = F.to_json(named(verificationResult=named(statement=statement, signature=named(certificate=certificate), verifiedTimestamps=stamps)))
+    copies = F.explode(every(17, F.array(F.lit("1"), F.lit("2")), F.array(F.lit("1"))))
+    statements = part.select("path", body.alias("body"), copies.alias("copy")).select(F.concat_ws("#", "path", "copy").alias("statement_id"), "body")
+    return governance.attested(part.select("path", "sha256"), governance.provenance_predicates(statements, EXPECTED))
+
+
+def _policy_table(spark, sf_dir) -> DataFrame:
+    """The three years' valid rows in folders by year and buckets by id."""
+    rows = years(spark, sf_dir, TRAIN, CALIBRATION, TEST).select("insured_id", "year", *[f"total_{c}" for c in ("exposure", "claims", "incurred", "premium")])
+    name = f"policy_years_{uuid.uuid4().hex}"
+    return write_policy_table(rows, name, f"{checkpoint_folder(spark)}/{name}")
+
+
+def bucketed_year_summary(spark, sf_dir):
+    """The year summary from a bucketed table: distinct ids without a shuffle of ids."""
+    return rounded(metrics.year_summary(_policy_table(spark, sf_dir)), ("exposure", "claims", "incurred", "premium"), ("claim_frequency", "pure_premium", "observed_loss_ratio"))
+
+
+def bucketed_seen(spark, sf_dir):
+    """The test year's rows by whether their id was seen before, from a bucketed table: a join without a shuffle of ids."""
+    table = _policy_table(spark, sf_dir)
+    rows = metrics.seen_before(table.where(F.col("year") == TEST), table.where(F.col("year").isin(TRAIN, CALIBRATION)).select("insured_id"))
+    return rounded(rows.groupBy("seen_before").agg(F.count("*").alias("rows"), F.sum("total_exposure").alias("exposure")), ("exposure",))
+
+
 def _complexity(spark) -> DataFrame:
     """(model, target, terms): how many fitted numbers a model of the catalogue has.
 
@@ -627,6 +670,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bootstrap_deviance_ci, bootstrap_ratio_ci, multinomial_deviance_ci, multinomial_ratio_ci, rolling_origin, locked_gate, approval_gates, baseline_numeric,
         baseline_categorical, feature_psi, largest_psi, unseen_category_rate, monitoring_snapshot, monitoring_alerts,
         disagreement_shift, review_lifecycle, review_evidence, review_replay, event_chain_verify, complexity_join, parity_audit, seeded_sample, micro_batches,
-        stream_monitor, stress_replay, contract_check, glm_fit_scores, boosted_fit_scores, rolling_refit, model_complexity, scorer_parity, retrain_parity, artifact_differences, replay_acceptance,
+        stream_monitor, stress_replay, contract_check, glm_fit_scores, boosted_fit_scores, rolling_refit, model_complexity, scorer_parity, retrain_parity, artifact_differences, attestation_predicates, bucketed_year_summary, bucketed_seen, replay_acceptance,
     )
 }

@@ -38,3 +38,15 @@ def artifact_table(spark: SparkSession, root: str) -> DataFrame:
     """(path, bytes, sha256) of all files below a folder in any store, hashed where they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_policy_table(rows: DataFrame, name: str, path: str, buckets: int = 16, year: str = "year", key: str = "insured_id") -> DataFrame:
+    """Policy years as a table in folders by year and in buckets by id, read back.
+
+    Filters on the year leave folders out; joins on the id, and distinct ids, read buckets that lie
+    together already and shuffle no ids.  Rows are dealt by year and bucket before they are written, so
+    each folder has a file a bucket.
+    """
+    dealt = rows.repartition(buckets, F.col(key))
+    dealt.write.mode("overwrite").partitionBy(year).bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return rows.sparkSession.table(name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +134,43 @@ def test_quantiles_equal_numpy(spark):
         np.testing.assert_allclose(found[f], np.quantile(xs, qs), rtol=1e-12)
 
 
+def test_bucketed_tables_shuffle_no_ids(spark):
+    """Neither distinct ids nor the join on ids exchange by id; a filter on the year reads that year's folder."""
+    from tarifa.operators import metrics
+    from tarifa.plans.queries import CALIBRATION, TEST, _policy_table
+
+    table = _policy_table(spark, needs_data("sf0.001"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seen = plan(metrics.seen_before(table.where(F.col("year") == TEST), table.where(F.col("year") == CALIBRATION)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in seen and "Exchange" not in seen and "PartitionFilters: [isnotnull(year" in seen
+    assert "hashpartitioning(insured_id" not in plan(metrics.year_summary(table)) and "hashpartitioning(year" in plan(metrics.year_summary(table))
+
+
+def test_provenance_predicates_take_odd_statements(spark):
+    """Bodies that aren't JSON, lack parts or have them of other kinds pass nothing; two whole matches admit nothing."""
+    from tarifa.operators import governance
+    from tarifa.plans.queries import EXPECTED
+
+    good = {"verificationResult": {
+        "statement": {"subject": [{"name": "a", "digest": {"sha256": "ff"}}], "predicateType": EXPECTED["predicate_type"], "predicate": {"buildDefinition": {"buildType": EXPECTED["build_type"], "externalParameters": {"workflow": {"path": EXPECTED["workflow_path"], "repository": EXPECTED["workflow_repository"]}}}}},
+        "signature": {"certificate": {"githubWorkflowRepository": EXPECTED["repository"], "githubWorkflowName": EXPECTED["workflow_name"], "sourceRepositoryDigest": "c" * 40}}, "verifiedTimestamps": [{"type": "x"}],
+    }}
+    bare = {"verificationResult": {"statement": {"subject": [{"name": "b", "digest": {"sha256": "ff"}}]}, "verifiedTimestamps": "none"}}
+    bodies = [json.dumps(good), json.dumps(bare), "{", None, "[]", json.dumps({"verificationResult": {"statement": {"subject": "a"}}})]
+    statements = spark.createDataFrame([(str(k), b) for k, b in enumerate(bodies)], "statement_id string, body string")
+    found = governance.provenance_predicates(statements, EXPECTED)
+    assert {(r.statement_id, r.passed) for r in found.collect()} == {("0", True), ("1", False)} and found.count() == 16
+    artifacts = spark.createDataFrame([("a", "ff"), ("b", "ff"), ("a2", "ff")], "path string, sha256 string")
+    assert sorted(map(tuple, governance.attested(artifacts, found).collect())) == [("a", 1, 1, True), ("a2", 0, 0, False), ("b", 1, 0, False)]
+    twice = governance.provenance_predicates(statements.unionByName(statements.where("statement_id = '0'").withColumn("statement_id", F.lit("9"))), EXPECTED)
+    assert ("a", 2, 2, False) in set(map(tuple, governance.attested(artifacts, twice).collect()))
+
+
 def test_cuts_part_rows_evenly(spark):
     rng = np.random.default_rng(7)
     data = {"a": rng.normal(size=1000), "b": rng.integers(0, 5, 400).astype(float), "c": np.array([2.5])}
