@@ -21,6 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ BUCKET = 4096
 PROBE_COST, PAIR_COST = 1.0, 0.01
 #: Dropped ids up to which they are broadcast (16 bytes each) rather than joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Edges of a part, which a task holds at once (some 20 MB).
+EDGES = 1 << 18
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _CHUNK = 1 << 16
 _BIT_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -292,13 +295,52 @@ def links(prints: DataFrame, masks: Sequence[int], radius: int) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame) -> DataFrame:
+def star_forest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Of every ``most`` edges (a, b) of a task or fewer, in the order read: each node but the smallest
+    of what they connect, with that smallest one."""
+
+    def forest(edges: pa.Table) -> pa.RecordBatch:
+        nodes = pa.concat_arrays([chunk for c in ("a", "b") for chunk in edges[c].chunks]).dictionary_encode()
+        order = pc.sort_indices(nodes.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        a, b = np.split(rank[nodes.indices.to_numpy()], 2)
+        label = np.arange(len(order))
+        while len(a):
+            # Roots go to the smallest root they have an edge to, and chains of them are shortened.
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label[label] != label).any():
+                label = label[label]
+            a, b = label[a], label[b]
+            a, b = a[a != b], b[a != b]
+        node = np.flatnonzero(label != np.arange(len(label)))
+        ends = [nodes.dictionary.take(pa.array(order[x])) for x in (node, label[node])]
+        return pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    kept, n = [], 0
+    for batch in batches:
+        while len(batch):
+            kept.append(batch.slice(0, most - n))
+            batch, n = batch.slice(len(kept[-1])), n + len(kept[-1])
+            if n == most:
+                yield forest(pa.Table.from_batches(kept))
+                kept, n = [], 0
+    if n:
+        yield forest(pa.Table.from_batches(kept))
+
+
+def components(edges: DataFrame, most: int = EDGES) -> DataFrame:
     """(node, root): the smallest node of the component of every node with an edge.
 
-    Alternates large-star and small-star steps until the edges form stars.  Nodes of any degree are
-    handled by minima and joins, never by collecting neighbours.  Every step is a table written to the
-    shared folder and read again, so that a hub's rows are split in joins and plans don't carry over
-    from round to round what the optimiser knew of the one before; a round's tables go with the next.
+    Edges lie in parts of ``most``.  A task makes its part a forest of stars, which connects the same;
+    between parts large-star and small-star steps alternate, until all parts together are a forest of
+    stars or what is left is one part.  Nodes of any degree are handled by minima and joins, never by
+    collecting neighbours.  Every step is a table written to the shared folder and read again, so that a
+    hub's rows are split in joins and plans don't carry over from round to round what the optimiser
+    knew of the one before; a round's tables go with the next.
+
+    No step adds edges or lets the sum of their ends' ranks grow, and one that leaves both as they were
+    changes nothing: so rounds end, and a round that changes nothing has met a forest of stars.
     """
     spark, folder, tables = edges.sparkSession, f"{checkpoint_dir(edges.sparkSession)}/components-{uuid.uuid4().hex}", []
 
@@ -307,8 +349,12 @@ def components(edges: DataFrame) -> DataFrame:
         df.write.parquet(tables[-1])
         return spark.read.parquet(tables[-1])
 
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    while True:
+    def forests(df: DataFrame) -> DataFrame:
+        return df.mapInArrow(lambda batches: star_forest(batches, most), ", ".join(f"{n} {kind}" for n, kind in df.dtypes))
+
+    edges = written(forests(edges.select("a", "b").where("a != b")))
+    state = _state(edges)
+    while state[0] > most:
         # Large star: neighbours above a node go to the smallest node around it.
         begun = len(tables)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -318,22 +364,23 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(large)
         least = written(large.groupBy("a").agg(F.min("b").alias("m")))
         below = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        step = written(below.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        if not _differ(edges, step):
-            out = materialize(step.select(F.col("a").alias("node"), F.col("b").alias("root")))
-            remove(spark, folder)
-            return out
+        edges = written(forests(below.unionByName(least.select("a", F.col("m").alias("b"))).distinct()))
         for path in tables[begun - 1 : -1]:
             remove(spark, path)
-        edges = step
+        before, state = state, _state(edges)
+        if state == before:
+            break
+    out = edges if state[0] > most else forests(edges.coalesce(1))
+    out = materialize(out.select(F.col("a").alias("node"), F.col("b").alias("root")))
+    remove(spark, folder)
+    return out
 
 
-def _differ(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two sets of edges differ, by their number and the sums of two hashes."""
-    of = lambda df: df.agg(
+def _state(edges: DataFrame) -> tuple:
+    """The number of edges and the sums of two hashes, by which sets of edges are told apart."""
+    return tuple(edges.agg(
         F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.hash("b", "a").cast("long"))
-    ).first()
-    return tuple(of(a)) != tuple(of(b))
+    ).first())
 
 
 def near_duplicates(

@@ -194,6 +194,35 @@ def test_probing_loses_no_link(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("most", [3, 40, simhash.EDGES])
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_components_of_any_number_of_parts(spark, most, kind):
+    """Chains, hubs, loops, repeated edges and negative or binary nodes, in parts of a few edges and in one."""
+    rng = random.Random(most)
+    nodes = list({rng.randrange(-(2**63), 2**63) for _ in range(300)})
+    chain = list(zip(nodes[:60], nodes[1:61]))
+    hub = [(nodes[61], x) for x in nodes[62:120]]
+    pairs = [tuple(rng.sample(nodes[120:], 2)) for _ in range(120)]
+    edges = chain + hub + pairs + pairs[:10] + [(x, x) for x in nodes[:3]]
+    rng.shuffle(edges)
+    name = (lambda x: x) if kind == "long" else lambda x: (x % 2**64).to_bytes(8, "big")
+    root = {name(x): name(x) for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(name(a)), find(name(b))
+        root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"a {kind}, b {kind}").repartition(5)
+    as_key = (lambda x: x) if kind == "long" else bytes
+    found = sorted((as_key(r.node), as_key(r.root)) for r in simhash.components(df, most).collect())
+    assert found == sorted((x, find(x)) for x in root if find(x) != x)
+    assert simhash.components(df.limit(0), most).count() == 0
+
+
 def brute_lines(rows):
     """Of (id, text) rows in order: (place, words, links, earliest place alike, removed) of their lines; nulls last."""
     key = lambda i, n, k: (i is None, i or 0, n, k)
