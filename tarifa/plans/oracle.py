@@ -348,3 +348,17 @@ ac AS (SELECT replay, al.feature, CASE WHEN cb.bucket IS NULL THEN '__UNSEEN__'
 SELECT coalesce(array_to_string(v, ','), '') AS violations, count(*) AS n, {len(FEATURES)}::INT AS features FROM b GROUP BY 1""",
 }
 SQL["bucketed_year_summary"] = SQL["year_summary"]
+SQL["delimited_year_summary"] = SQL["json_year_report"] = SQL["year_summary"]
+SQL["csv_schema_audit"] = SQL["schema_audit"]
+
+_FILES = """WITH f AS (SELECT p_partkey // 1000 AS block, string_agg(CASE WHEN p_partkey // 1000 % 3 = 0 THEN 'PK' ELSE '' END || p_name || chr(10), '' ORDER BY p_partkey) AS content FROM part GROUP BY 1)"""
+SQL["file_containers"] = _FILES + " SELECT block::BIGINT AS block, strlen(content) AS bytes, sha256(content) AS sha256, lower(hex(left(content, 32))) AS head, CASE WHEN block % 3 = 0 THEN 'zip' ELSE 'text_or_other' END AS container FROM f"
+SQL["artifact_bytes"] = _FILES + " SELECT (block % 10)::BIGINT AS digit, count(*) AS files, sum(strlen(content))::BIGINT AS bytes, count(DISTINCT sha256(content)) AS hashes FROM f GROUP BY 1"
+
+_CANONICAL = {
+    "driver_age": "CASE WHEN l_linenumber != 3 THEN driver_age END", "vehicle_value": "CASE WHEN l_linenumber != 5 THEN vehicle_value END", "seats": "seats",
+    "policy_type": "policy_type", "business_type": "CASE WHEN l_linenumber != 4 THEN business_type END", "vehicle_brand": "vehicle_brand", "bonus_score": "l_linenumber",
+}
+SQL["canonical_features"] = BASE + " " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({_CANONICAL.get(c, 'NULL')}) AS \"values\", count(DISTINCT {_CANONICAL.get(c, 'NULL')}) AS levels FROM p" for c in FEATURES)
+SQL["download_names"] = """WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_name || chr(233) || '.csv' ELSE p_name || ' & more.csv' END AS name FROM part)
+SELECT p_partkey, name, CASE WHEN name IS NULL THEN 'file' ELSE regexp_replace(name, '[^A-Za-z0-9._-]+', '_', 'g') END AS safe_name FROM n"""

@@ -13,14 +13,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from ..contracts import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES
+from ..contracts import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES, canonical
 from ..functions import exprs as X
 from ..operators import drift, governance, metrics, models, monitoring, resample, review
 from ..session import checkpoint_folder, checkpointed
-from ..sources.sinks import write_policy_table
+from ..sources.sinks import artifact_table, write_blocks, write_csv, write_json_document, write_policy_table
 from ..sources.policy import (
-    COVERAGES, ROW_KEY, date_range, missing_audit, policy_year, read, renewal_audit, renewals, usable_years, valid_policy_years,
+    COVERAGES, ROW_KEY, containers, date_range, delimited, json_document, missing_audit, policy_year, read, renewal_audit, renewals, require_columns, usable_years, valid_policy_years,
     valid_renewals, value_counts,
 )
 from ..streaming import monitor
@@ -61,10 +62,13 @@ def year_summary(spark, sf_dir):
     return rounded(out, ("exposure", "claims", "incurred", "premium"), ("claim_frequency", "pure_premium", "observed_loss_ratio"))
 
 
-def schema_audit(spark, sf_dir):
+def _audited(spark, sf_dir) -> DataFrame:
     rows = read(spark, sf_dir, "orders")
-    rows = rows.select(*[F.col(c).cast("string") for c in ("o_orderkey", "o_custkey")], F.when(F.col("o_orderkey") % 7 == 0, "NA").when(F.col("o_orderkey") % 11 == 0, " ").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
-    return rounded(missing_audit(rows), rates=("rate",))
+    return rows.select(*[F.col(c).cast("string") for c in ("o_orderkey", "o_custkey")], F.when(F.col("o_orderkey") % 7 == 0, "NA").when(F.col("o_orderkey") % 11 == 0, " ").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+
+
+def schema_audit(spark, sf_dir):
+    return rounded(missing_audit(_audited(spark, sf_dir)), rates=("rate",))
 
 
 def audit_year_counts(spark, sf_dir):
@@ -497,6 +501,87 @@ def bucketed_seen(spark, sf_dir):
     return rounded(rows.groupBy("seen_before").agg(F.count("*").alias("rows"), F.sum("total_exposure").alias("exposure")), ("exposure",))
 
 
+def _new_path(spark, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delimited_year_summary(spark, sf_dir):
+    """The year summary of a semicolon-delimited export of the policy years, read as text, pruned to what it needs."""
+    path, rows = _new_path(spark, "policies"), policy_year(spark, sf_dir)
+    needed = ["insured_id", "year", "total_exposure", "total_claims", "total_incurred", "total_premium"]
+    write_csv(rows.select("business_type", *needed, "policy_type"), path, sep=";")
+    table = require_columns(delimited(spark, path, columns=needed), *needed)
+    out = metrics.year_summary(valid_policy_years(table, (TRAIN, CALIBRATION, TEST)))
+    return rounded(out, ("exposure", "claims", "incurred", "premium"), ("claim_frequency", "pure_premium", "observed_loss_ratio"))
+
+
+def csv_schema_audit(spark, sf_dir):
+    """The schema audit of a comma-separated export, read again."""
+    path = _new_path(spark, "audit")
+    write_csv(_audited(spark, sf_dir), path)
+    return rounded(missing_audit(delimited(spark, path, ",")), rates=("rate",))
+
+
+def json_year_report(spark, sf_dir):
+    """The year summary written as one JSON document, read again and unpacked."""
+    report, path = year_summary(spark, sf_dir), _new_path(spark, "report")
+    write_json_document(report, path, "years")
+    schema = StructType([StructField("years", ArrayType(report.schema))])
+    return json_document(spark, path, schema).select(F.inline("years"))
+
+
+def _part_files(spark, sf_dir) -> str:
+    """Text files of the names of a thousand parts each; every third begins like a zip archive."""
+    part, path = read(spark, sf_dir, "part"), _new_path(spark, "parts")
+    block = F.floor(F.col("p_partkey") / 1000).alias("block")
+    name = F.when(F.floor(F.col("p_partkey") / 1000) % 3 == 0, F.concat(F.lit("PK"), "p_name")).otherwise(F.col("p_name"))
+    write_blocks(part.select(block, "p_partkey", name.alias("value")), path, "block", "p_partkey")
+    return path
+
+
+def _block_of(path: str = "path"):
+    return F.regexp_extract(path, "block=([0-9]+)", 1).cast("long").alias("block")
+
+
+def file_containers(spark, sf_dir):
+    """Size, hash, first bytes and kind of container of every file of a folder."""
+    found = containers(spark, f"{_part_files(spark, sf_dir)}/*/*.txt")
+    return found.select(_block_of(), "bytes", "sha256", "head", "container")
+
+
+def artifact_bytes(spark, sf_dir):
+    """Files, bytes and different hashes of a folder, by a digit of the block they hold."""
+    files = artifact_table(spark, _part_files(spark, sf_dir)).where("path LIKE '%.txt'")
+    by_digit = files.groupBy((_block_of() % 10).alias("digit"))
+    return by_digit.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.count_distinct("sha256").alias("hashes"))
+
+
+def canonical_features(spark, sf_dir):
+    """Of records whose numbers are text, some of it none, and which lack features: values and levels of every canonical feature."""
+    rows = policy_year(spark, sf_dir).withColumns(
+        {
+            "driver_age": F.when(F.col("l_linenumber") == 3, "unknown").otherwise(F.col("driver_age").cast("string")),
+            "vehicle_value": F.when(F.col("l_linenumber") == 5, float("nan")).otherwise(F.col("vehicle_value")),
+            "business_type": F.when(F.col("l_linenumber") != 4, F.col("business_type")),
+            "bonus_score": F.col("l_linenumber"),
+        }
+    )
+    features = canonical(rows)
+    counts = features.agg(*[f(c).alias(f"{c}_{n}") for c in FEATURES for n, f in (("values", F.count), ("levels", F.count_distinct))])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}_values").alias("values"), F.col(f"{c}_levels").alias("levels")) for c in FEATURES])))
+
+
+def download_names(spark, sf_dir):
+    """The file names that content-disposition headers give, plain and encoded, and safe names made of them."""
+    part, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    plain = F.concat(F.lit('attachment; filename="'), "p_name", F.lit(' & more.csv"'))
+    encoded = F.concat(F.lit("attachment; filename=x.csv; filename*=UTF-8''"), F.replace("p_name", F.lit(" "), F.lit("%20")), F.lit("%C3%A9.csv"))
+    header = F.when(k % 5 == 0, "inline").when(k % 3 == 0, encoded).otherwise(plain)
+    named = part.select("p_partkey", X.disposition_name(header).alias("name"))
+    return named.select("p_partkey", "name", X.safe_name("name").alias("safe_name"))
+
+
 def _complexity(spark) -> DataFrame:
     """(model, target, terms): how many fitted numbers a model of the catalogue has.
 
@@ -671,5 +756,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         baseline_categorical, feature_psi, largest_psi, unseen_category_rate, monitoring_snapshot, monitoring_alerts,
         disagreement_shift, review_lifecycle, review_evidence, review_replay, event_chain_verify, complexity_join, parity_audit, seeded_sample, micro_batches,
         stream_monitor, stress_replay, contract_check, glm_fit_scores, boosted_fit_scores, rolling_refit, model_complexity, scorer_parity, retrain_parity, artifact_differences, attestation_predicates, bucketed_year_summary, bucketed_seen, replay_acceptance,
+        delimited_year_summary, csv_schema_audit, json_year_report, file_containers, artifact_bytes, canonical_features, download_names,
     )
 }

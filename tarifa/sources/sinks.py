@@ -17,11 +17,25 @@ def few(df: DataFrame, most: int = MOST_ROWS) -> list:
     return rows
 
 
-def write_csv(df: DataFrame, path: str, one_file: bool = False, most: int = MOST_ROWS) -> None:
+def write_csv(df: DataFrame, path: str, one_file: bool = False, most: int = MOST_ROWS, sep: str = ",") -> None:
     """A result as CSV with a header, through Spark's writer; ``one_file`` only for at most ``most`` rows."""
     if one_file:
         df = df.sparkSession.createDataFrame(few(df, most), df.schema).coalesce(1)
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+
+
+def write_json_document(df: DataFrame, path: str, name: str = "rows", most: int = MOST_ROWS) -> None:
+    """A small result as one indented JSON document, an object with the list ``name``; nulls are kept."""
+    rows = df.sparkSession.createDataFrame(few(df, most), df.schema).coalesce(1)
+    listed = F.coalesce(F.collect_list(F.struct("*")), F.array())
+    text = F.to_json(F.struct(listed.alias(name)), {"pretty": "true", "ignoreNullFields": "false"})
+    rows.agg(text.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_blocks(rows: DataFrame, path: str, block: str, order: str, text: str = "value") -> None:
+    """A text file per value of ``block``, in a folder of that name, its lines in the order of ``order``."""
+    dealt = rows.repartition(block).sortWithinPartitions(block, order)
+    dealt.select(block, text).write.mode("overwrite").partitionBy(block).text(path)
 
 
 def markdown(df: DataFrame, title: str, digits: int = 5, most: int = 1000) -> str:

@@ -6,6 +6,7 @@ import hashlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarifa import contracts
 from tarifa.functions import exprs as X
@@ -106,6 +107,23 @@ def test_delimited_sources(spark, tmp_path):
     assert heads == {"a.csv": "text_or_other", "d.json": "text_or_other"}
 
 
+def test_documents_and_blocks_are_written_whole(spark, tmp_path):
+    """Nulls and empty results in a JSON document; a file per block, its lines in order, whatever the partitions."""
+    rows = spark.createDataFrame([(1, "a|b", None), (2, None, 0.5)], "k long, s string, x double")
+    schema = f"years array<{rows.schema.simpleString()}>"
+    for df in (rows, rows.limit(0)):
+        sinks.write_json_document(df, f"{tmp_path}/doc", "years")
+        again = policy.json_document(spark, f"{tmp_path}/doc", T._parse_datatype_string(schema)).select(F.inline("years"))
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(ValueError):
+        sinks.write_json_document(rows, f"{tmp_path}/doc", most=1)
+    lines = spark.range(100).select((F.col("id") % 3).alias("block"), (-F.col("id")).alias("n"), F.col("id").cast("string").alias("value"))
+    sinks.write_blocks(lines.repartition(7), f"{tmp_path}/blocks", "block", "n")
+    for b in range(3):
+        (file,) = (tmp_path / "blocks" / f"block={b}").glob("*.txt")
+        assert file.read_text() == "".join(f"{i}\n" for i in range(99, -1, -1) if i % 3 == b)
+
+
 def test_small_results_only(spark, tmp_path):
     rows = spark.range(12).select("id", (F.col("id") / 3).alias("x|y"))
     assert sinks.markdown(rows.limit(1), "T").splitlines() == ["## T", "", "| id | x|y |", "| --- | --- |", "| 0 | 0.00000 |"]
