@@ -22,12 +22,13 @@ from .drift import unpivot
 from .quantiles import quantile_cuts
 
 #: Policy rows of a block, bins of a number, and rounds after which running scores are written.
-BLOCK_ROWS, BINS, SCORE_ROUNDS = 1 << 15, 128, 25
+BLOCK_ROWS, BINS, SCORE_ROUNDS = 1 << 15, 128, 12
 #: Bytes of sums that tasks send to the driver at most; more are merged by key in tasks first.
 DRIVER_BYTES = 1 << 24
 #: Columns of a GLM at most: the driver solves a dense system of that size.
 MOST_COLUMNS = 4000
 _PARTS = ("x", "at", "bins", "key", "w", "y", "f")
+_LINEAR, _BOOSTED = ("x", "at", "w", "y"), ("bins", "key", "w", "y", "f")
 
 
 @dataclass
@@ -43,20 +44,25 @@ class Layout:
     def width(self) -> int:
         return self.numbers + sum(self.sizes)
 
-    def arrays(self, block: dict) -> tuple[np.ndarray, ...]:
-        """x, at, bins, key, w, y, f of a block."""
-        x, at, bins, key, w, y, f = (np.frombuffer(block[p], t) for p, t in zip(_PARTS, ("f8", "i4", "i2", "u8", "f8", "f8", "f8")))
+    def linear(self, block: dict) -> tuple[np.ndarray, ...]:
+        """x, at, w, y of a block: what a GLM reads."""
+        x, at, w, y = (np.frombuffer(block[p], t) for p, t in zip(_LINEAR, ("f8", "i4", "f8", "f8")))
         n, k = len(w), len(self.targets)
-        bins = bins.reshape(n, -1) if bins.size else np.zeros((n, 0), int)
-        return x.reshape(n, self.numbers), at.reshape(n, len(self.starts)), bins, key, w, y.reshape(k, n), f.reshape(k, n)
+        return x.reshape(n, self.numbers), at.reshape(n, len(self.starts)), w, y.reshape(k, n)
+
+    def boosted(self, block: dict) -> tuple[np.ndarray, ...]:
+        """bins, key, w, y, f of a block: what boosting reads."""
+        bins, key, w, y, f = (np.frombuffer(block[p], t) for p, t in zip(_BOOSTED, ("i2", "u8", "f8", "f8", "f8")))
+        n, k = len(w), len(self.targets)
+        return bins.reshape(-1, n), key, w, y.reshape(k, n), f.reshape(k, n)
 
 
 @dataclass
 class Packed:
     """Encoded training rows: the table of blocks, its folder, number and layout, sums over all rows, and cut points of the numbers.
 
-    A block has the numbers ``x``, the hot column of each category ``at`` (-1 for none), ``bins``, a
-    hash of each row, its weight, and by target its rate and running score in logs.
+    A block has the numbers ``x``, the hot column of each category ``at`` (-1 for none), ``bins`` by
+    column, a hash of each row, its weight, and by target its rate and running score in logs.
     """
 
     blocks: DataFrame
@@ -113,7 +119,7 @@ def pack(rows: DataFrame, rates: dict[str, Column | str], weight: Column | str,
             bins = [np.searchsorted(c, x[:, k]) for k, c in enumerate(cuts)]
             if binned:
                 bins += [np.where(at[:, k] < 0, s, at[:, k] - a) for k, (a, s) in enumerate(zip(starts, sizes))]
-            bins = np.stack(bins, 1) if bins else np.zeros((len(t), 0))
+            bins = np.stack(bins) if bins else np.zeros((0, len(t)))
             y = dense("y", len(targets)).T
             f = np.repeat(np.array(first)[:, None], len(t), 1)
             parts = (x, at, bins.astype("i2"), t["key"].to_numpy(), t["w"].to_numpy(), np.ascontiguousarray(y), f)
@@ -176,7 +182,7 @@ def _as_rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
 
 def unit_steps(eta: np.ndarray, y: np.ndarray, power: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gradient and second derivative of half the unit deviance, by the score in logs, and what neither exceeds."""
-    up, down = np.exp((2 - power) * eta), y * np.exp((1 - power) * eta)
+    up, down = np.exp((2 - power) * eta), y if power == 1 else y * np.exp((1 - power) * eta)
     return up - down, (2 - power) * up + (power - 1) * down, up + down
 
 
@@ -227,20 +233,22 @@ def fit_coefficients(p: Packed, target: str, power: float, alpha: float = 1e-4,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, loss = np.zeros((wide, wide + 1)), 0.0
             for block in blocks_of(batches):
-                x, at, _, _, w, y, _ = layout.arrays(block)
+                x, at, w, y = layout.linear(block)
                 eta = b[0] + x @ b[1 : 1 + layout.numbers] + np.where(at >= 0, b[at + 1], 0.0).sum(1)
                 g, h, _ = unit_steps(eta, y[k], power)
                 total += gram(layout, x, at, w * g, w * h)
                 loss += float(w @ unit_loss(eta, y[k], power))
             yield _as_rows({0: np.append(total.ravel(), loss)})
 
-        found = merged(p.blocks.mapInArrow(run, "key int, sums binary"), lambda _, s: [(s.tobytes(),)], "sums binary", p.many * 8 * wide * (wide + 1))
+        found = merged(blocks.mapInArrow(run, "key int, sums binary"), lambda _, s: [(s.tobytes(),)], "sums binary", most * 8 * wide * (wide + 1))
         flat = np.frombuffer(found[0].sums)
         m = flat[:-1].reshape(wide, wide + 1) / p.weight
         second = np.triu(m[:, :wide])
         second = second + np.triu(second, 1).T + np.diag(penalty)
         return flat[-1] / p.weight + float(penalty @ b**2) / 2, m[:, wide] + penalty * b, second
 
+    blocks = p.blocks.select(*_LINEAR)
+    most = min(p.many, blocks.rdd.getNumPartitions())
     b = begin if start is None else start
     loss, slope, second = sums(b)
     for _ in range(max_iter):
@@ -278,15 +286,95 @@ class Tree:
         n = 2 << depth
         return cls(depth, np.full(n, -1), np.zeros(n, int), np.zeros(n))
 
-    def places(self, bins: np.ndarray, numbers: int) -> np.ndarray:
-        """The place each row comes to."""
-        at, rows = np.ones(len(bins), int), np.arange(len(bins))
+    def places(self, bins: Sequence[np.ndarray], numbers: int, rows: int) -> np.ndarray:
+        """The place each row comes to; ``bins`` by column."""
+        at, own = np.ones(rows, int), np.arange(rows)
+        bins = np.stack(bins) if len(bins) else np.zeros((1, rows), int)
         for _ in range(self.depth):
             c, b = self.column[at], self.bin[at]
-            own = bins[rows, np.maximum(c, 0)]
-            at = np.where(c >= 0, 2 * at + np.where(c >= numbers, own == b, own > b), at)
+            v = bins[np.maximum(c, 0), own]
+            at = np.where(c >= 0, 2 * at + np.where(c >= numbers, v == b, v > b), at)
         return at
 
+    def masks(self, numbers: int) -> tuple[list[int], list[tuple[int, slice, int]]]:
+        """Its ends from left to right, and its tests as of ``Masks``."""
+        ends: list[int] = []
+        tests: list[tuple[int, slice, int]] = []
+
+        def walk(place: int) -> None:
+            c, b = int(self.column[place]), int(self.bin[place])
+            if c < 0:
+                ends.append(place)
+                return
+            first = len(ends)
+            walk(2 * place)
+            tests.append((c, slice(b, b + 1) if c >= numbers else slice(b + 1, None), (1 << len(ends)) - (1 << first)))
+            walk(2 * place + 1)
+
+        walk(1)
+        return ends, tests
+
+
+#: Leaves of a tree that ``Masks`` holds at most: the bits of a lane.
+MOST_LEAVES = 16
+
+
+class Masks:
+    """Trees of at most ``MOST_LEAVES`` leaves as masks over bins, four trees to a word.
+
+    A test (column, the bins that go right, the bits of the leaves on its left) takes those leaves from
+    a row that goes right.  The first leaf that is left, from the left, is the row's own: a look-up by
+    column gives it for four trees at once, without a walk from node to node.
+    """
+
+    def __init__(self, widths: Sequence[int], trees: Sequence[Sequence[tuple[int, slice, int]]]):
+        self.trees, groups = len(trees), -(-len(trees) // 4)
+        lanes = [np.full((groups, n, 4), 0xFFFF, "u2") for n in widths]
+        for k, tests in enumerate(trees):
+            for c, right, bits in tests:
+                lanes[c][k // 4, right, k % 4] &= np.uint16(0xFFFF ^ bits)
+        words = [m.view("u8")[:, :, 0] for m in lanes]
+        whole = np.uint64(2**64 - 1)
+        self.words = [[(c, w[g]) for c, w in enumerate(words) if (w[g] != whole).any()] for g in range(groups)]
+
+    def leaves(self, bins: Sequence[np.ndarray], rows: int) -> Iterator[np.ndarray]:
+        """Of each tree the bit of every row's leaf; ``bins`` by column."""
+        for g, words in enumerate(self.words):
+            word = np.full(rows, 2**64 - 1, "u8")
+            for c, table in words:
+                word &= table.take(bins[c])
+            lanes = word.view("u2").reshape(rows, 4)
+            lanes &= -lanes
+            for k in range(min(4, self.trees - 4 * g)):
+                yield lanes[:, k]
+
+
+def by_bit(values: Sequence, fill: float = 0) -> np.ndarray:
+    """A table of the values of a tree's leaves by their bits."""
+    values = np.asarray(values)
+    out = np.full(1 << MOST_LEAVES, fill, values.dtype) if fill else np.zeros(1 << MOST_LEAVES, values.dtype)
+    out[1 << np.arange(len(values))] = values
+    return out
+
+
+def adder(trees: Sequence[Tree], numbers: int, widths: Sequence[int]) -> Callable[[np.ndarray, Sequence[np.ndarray]], None]:
+    """What adds the values of trees to scores, tree by tree, given the bins by column."""
+    shapes = [t.masks(numbers) if 1 << t.depth <= MOST_LEAVES else None for t in trees]
+    if None in shapes:
+
+        def walk(score: np.ndarray, bins: Sequence[np.ndarray]) -> None:
+            for tree in trees:
+                score += tree.value[tree.places(bins, numbers, len(score))]
+
+        return walk
+    masks, values = Masks(widths, [tests for _, tests in shapes]), [by_bit(t.value[ends]) for t, (ends, _) in zip(trees, shapes)]
+
+    def add(score: np.ndarray, bins: Sequence[np.ndarray]) -> None:
+        for leaf, v in zip(masks.leaves(bins, len(score)), values):
+            score += v.take(leaf)
+
+    return add
+
 
 @dataclass
 class Task:
@@ -353,7 +441,8 @@ def boost(p: Packed, tasks: Sequence[Task]) -> list[tuple[float, list[Tree]]]:
     out: list[list[Tree]] = [[] for _ in tasks]
     new: list[list[Tree]] = [[] for _ in tasks]  # since running scores were written
     bound = [2 * p.weight * math.exp((2 - t.power) * b) for t, b in zip(tasks, base)]  # of the sums of gradients of any rows
-    blocks, path = p.blocks, None
+    blocks, path = p.blocks.select(*_BOOSTED), None
+    most = min(p.many, blocks.rdd.getNumPartitions())
     columns = [np.array([f"{k}:{b}" for k, n in enumerate(widths) for b in range(n - 1 if k >= numbers else 1)]) for _ in tasks]
     for round_ in range(max((t.rounds for t in tasks), default=0)):
         live = [k for k, t in enumerate(tasks) if round_ < t.rounds]
@@ -375,25 +464,26 @@ def boost(p: Packed, tasks: Sequence[Task]) -> list[tuple[float, list[Tree]]]:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums: dict[int, np.ndarray] = {}
                 spreads = np.zeros(len(tasks))
+                add = {k: adder(new[k], numbers, widths) for k in asked}
+                slots = {k: slotter(trees[k], nodes, numbers, widths) for k, nodes in asked.items()}
                 for block in blocks_of(batches):
-                    _, _, bins, key, w, y, f = layout.arrays(block)
+                    bins, key, w, y, f = layout.boosted(block)
+                    bins = bins.astype(np.intp)
                     for k, nodes in asked.items():
                         t, score = tasks[k], f[order[tasks[k].target]].copy()
-                        for tree in new[k]:
-                            score += tree.value[tree.places(bins, numbers)]
+                        add[k](score, bins)
                         g, h, wide = unit_steps(score, y[order[t.target]], t.power)
-                        spreads[k] += float(w @ wide)
-                        slot = np.full(2 << t.depth, -1)
-                        slot[nodes] = np.arange(len(nodes))
-                        place = slot[trees[k].places(bins, numbers)]
+                        if level == 0:  # the score is the same at all levels
+                            spreads[k] += float(w @ wide)
+                        place = slots[k](bins, len(w))
                         use = (place >= 0) & drawn(key, t.seed * 100_003 + round_, t.subsample)
-                        place, g, h = place[use], rounded((w * g)[use], units[k]), rounded((w * h)[use], units[k])
+                        place, g, h = (np.where(use, v, 0) for v in (place, rounded(w * g, units[k]), rounded(w * h, units[k])))
                         for c, n in enumerate(widths):
-                            at = place * n + bins[use, c]
+                            at = place * n + bins[c]
                             own = np.stack([np.bincount(at, v, len(nodes) * n) for v in (g, h)], 1).ravel()
                             name = k * len(widths) + c
                             sums[name] = sums[name] + own if name in sums else own
-                yield _as_rows(sums | {-1 - k: np.array([v]) for k, v in enumerate(spreads) if k in asked})
+                yield _as_rows(sums | {-1 - k: np.array([v]) for k, v in enumerate(spreads) if k in asked and level == 0})
 
             def split(name: int, sums: np.ndarray) -> list[tuple]:
                 if name < 0:
@@ -404,7 +494,7 @@ def boost(p: Packed, tasks: Sequence[Task]) -> list[tuple[float, list[Tree]]]:
                 return [(k, c, *r) for r in found]
 
             schema = "task int, col int, node int, gain double, bin int, gl double, hl double, g double, h double"
-            size = p.many * 16 * sum(widths) * sum(map(len, asked.values()))
+            size = most * 16 * sum(widths) * sum(map(len, asked.values()))
             found = merged(blocks.mapInArrow(run, "key int, sums binary"), split, schema, size)  # a row a task, column and node
             for r in found:
                 if r.col < 0:
@@ -426,7 +516,8 @@ def boost(p: Packed, tasks: Sequence[Task]) -> list[tuple[float, list[Tree]]]:
             out[k].append(trees[k])
             new[k].append(trees[k])
         if max(map(len, new)) >= SCORE_ROUNDS:
-            before, (blocks, path) = path, written(scored(layout, blocks, tasks, order, new))
+            before, (blocks, path) = path, written(scored(layout, blocks, tasks, order, new, widths))
+            most = min(p.many, blocks.rdd.getNumPartitions())
             if before:
                 removed(blocks.sparkSession, before)
             new = [[] for _ in tasks]
@@ -435,17 +526,28 @@ def boost(p: Packed, tasks: Sequence[Task]) -> list[tuple[float, list[Tree]]]:
     return list(zip(base, out))
 
 
-def scored(layout: Layout, blocks: DataFrame, tasks: Sequence[Task], order: dict[str, int], new: list[list[Tree]]) -> DataFrame:
+def slotter(tree: Tree, nodes: Sequence[int], numbers: int, widths: Sequence[int]) -> Callable[[Sequence[np.ndarray], int], np.ndarray]:
+    """What gives each row the number of its open node, or -1, from the bins by column."""
+    slot = np.full(2 << tree.depth, -1)
+    slot[list(nodes)] = np.arange(len(nodes))
+    if 1 << tree.depth > MOST_LEAVES:
+        return lambda bins, rows: slot[tree.places(bins, numbers, rows)]
+    ends, tests = tree.masks(numbers)
+    masks, known = Masks(widths, [tests]), by_bit(slot[ends], -1)
+    return lambda bins, rows: known.take(next(masks.leaves(bins, rows)))
+
+
+def scored(layout: Layout, blocks: DataFrame, tasks: Sequence[Task], order: dict[str, int], new: list[list[Tree]], widths: Sequence[int]) -> DataFrame:
     """Blocks whose running scores have the values of the new trees added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add = [adder(trees, layout.numbers, widths) for trees in new]
         for block in blocks_of(batches):
-            _, _, bins, _, _, _, f = layout.arrays(block)
-            f = f.copy()
-            for k, trees in enumerate(new):
-                for tree in trees:
-                    f[order[tasks[k].target]] += tree.value[tree.places(bins, layout.numbers)]
+            bins, _, _, _, f = layout.boosted(block)
+            bins, f = bins.astype(np.intp), f.copy()
+            for k, one in enumerate(add):
+                one(f[order[tasks[k].target]], bins)
             block["f"] = f.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([block[c]], pa.binary()) for c in _PARTS], list(_PARTS))
+            yield pa.RecordBatch.from_arrays([pa.array([block[c]], pa.binary()) for c in _BOOSTED], list(_BOOSTED))
 
-    return blocks.mapInArrow(run, ", ".join(f"{c} binary" for c in _PARTS))
+    return blocks.mapInArrow(run, ", ".join(f"{c} binary" for c in _BOOSTED))

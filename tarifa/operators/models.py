@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..contracts import CATEGORICAL_FEATURES, NUMERIC_FEATURES, OFFLINE_FLOOR, ONLINE_FLOOR, SHADOW_ONLY
 from ..functions.exprs import number, unseen_warnings
 from .drift import unpivot
-from .fitting import Packed, Task, Tree, boost, fit_coefficients, pack
+from .fitting import MOST_LEAVES, Masks, Packed, Task, Tree, boost, by_bit, fit_coefficients, pack
 from .quantiles import exact_quantiles
 
 #: The catalogue: name, target, role, estimator.
@@ -156,6 +156,55 @@ class Booster:
 
     def margins(self, x: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
         """Scores in logs of rows of numbers and of hot columns."""
+        return self.scoring(x.shape[1], 0 if at is None else at.shape[1])(x, at)
+
+    def scoring(self, d: int, positions: int) -> Callable[[np.ndarray, np.ndarray | None], np.ndarray]:
+        """What scores rows of ``d`` numbers and ``positions`` hot columns: masks of the trees, made once for many rows."""
+        leaves = [self._leaves(t) for t in self.trees]
+        if max((len(values) for values, _ in leaves), default=0) > MOST_LEAVES:
+            return self._walked
+        cuts = [np.unique([t for _, tests in leaves for f, t, _ in tests if f == c]) for c in range(d)]
+        top = max((f for _, tests in leaves for f, _, _ in tests), default=-1)
+        hot, widths = range(d, d + positions), [len(c) + 1 for c in cuts] + [top + 3] * positions
+        trees = []
+        for _, tests in leaves:
+            own = []
+            for f, t, bits in tests:
+                if f < d:
+                    own.append((f, slice(int(np.searchsorted(cuts[f], t)) + 1, None), bits))
+                else:  # a row goes right if any of its hot columns is the test's
+                    own += [(c, slice(f + 1, f + 2), bits) for c in hot]
+            trees.append(own)
+        masks, tables = Masks(widths, trees), [by_bit(values) for values, _ in leaves]
+
+        def score(x: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+            out = np.full(len(x), self.base)
+            bins = [np.searchsorted(c, x[:, k]) for k, c in enumerate(cuts)] + [np.clip(at[:, k], -1, top + 1).astype(np.intp) + 1 for k in range(positions)]
+            for leaf, v in zip(masks.leaves(bins, len(x)), tables):
+                out += v.take(leaf)
+            return out
+
+        return score
+
+    @staticmethod
+    def _leaves(t: dict[str, list]) -> tuple[list[float], list[tuple[int, float, int]]]:
+        """A tree's values of leaves from left to right, and its tests: (feature, threshold, bits of the leaves on the left)."""
+        values, tests = [], []
+
+        def walk(node: int) -> None:
+            if t["feature"][node] < 0:
+                values.append(float(t["value"][node]))
+                return
+            first = len(values)
+            walk(t["left"][node])
+            tests.append((t["feature"][node], t["threshold"][node], (1 << len(values)) - (1 << first)))
+            walk(t["right"][node])
+
+        walk(0)
+        return values, tests
+
+    def _walked(self, x: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """The same for trees of more leaves than masks hold, from node to node."""
         out, rows, d = np.full(len(x), self.base), np.arange(len(x)), x.shape[1]
         for t in self.trees:
             feature, threshold, left, right, value = (np.array(t[k]) for k in ("feature", "threshold", "left", "right", "value"))
@@ -173,13 +222,18 @@ class Booster:
 
     def rate(self) -> Column:
         """The mean as a column over ``features``, by Arrow batches."""
-        own = self
+        own, made = self, {}
 
         @F.arrow_udf("double")
         def score(features: pa.Array) -> pa.Array:
             n = len(features)
-            x, at = (features.field(k).flatten().to_numpy(zero_copy_only=False) for k in (0, 1))
-            return pa.array(np.exp(own.margins(x.reshape(n, -1), at.reshape(n, -1))) if n else np.zeros(0), pa.float64())
+            if not n:
+                return pa.array([], pa.float64())
+            x, at = (features.field(k).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for k in (0, 1))
+            wide = x.shape[1], at.shape[1]
+            if wide not in made:  # once a task
+                made[wide] = own.scoring(*wide)
+            return pa.array(np.exp(made[wide](x, at)), pa.float64())
 
         return score("features")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -304,3 +305,61 @@ def test_rolling_refit_and_complexity(spark, monkeypatch):
     assert all(r.deviance > 0 and 0.5 < r.calibration_ratio < 2 and 0 < r.top10_capture < 1 and r.ci95_low <= r.mean <= r.ci95_high for r in rows)
     cost = {r.model: r for r in QUERIES["model_complexity"](spark, folder).collect()}
     assert all(r.fit_seconds > 0 and r.predict_seconds > 0 for r in cost.values()) and cost["xgb_loss"].bytes > cost["glm_loss"].bytes
+
+
+def test_masks_score_as_the_walk_does():
+    """Trees by masks equal the walk from node to node, also for missing numbers, unknown levels, deeper trees and none."""
+    rng = np.random.default_rng(5)
+
+    def tree(depth):
+        out = {k: [] for k in ("feature", "threshold", "left", "right", "value")}
+
+        def add(left):
+            k, leaf = len(out["feature"]), left == 0 or rng.random() < 0.1
+            f = -1 if leaf else int(rng.integers(0, 9))
+            for key, v in zip(out, (f, 0.5 if f > 2 else float(np.round(rng.normal(), 1)), -1, -1, float(rng.normal()))):
+                out[key].append(v)
+            if not leaf:
+                out["left"][k], out["right"][k] = add(left - 1), add(left - 1)
+            return k
+
+        add(depth)
+        return out
+
+    x, at = np.round(rng.normal(size=(3000, 3)), 1), rng.integers(-1, 14, (3000, 2))
+    x[::50, 1] = np.nan
+    for depth, many in ((4, 9), (4, 50), (3, 4), (0, 2), (6, 5), (4, 0)):
+        model = models.Booster(0.3, [tree(depth) for _ in range(many)])
+        assert (model.margins(x, at) == model._walked(x, at)).all()
+    long, rows = np.repeat(x, 30, 0), np.repeat(at, 30, 0)
+    model, took = models.Booster(0.3, [tree(4) for _ in range(50)]), []
+    for score in (model._walked, model.margins):
+        began = time.perf_counter()
+        score(long, rows)
+        took.append(time.perf_counter() - began)
+    assert took[1] * 2 < took[0]
+
+
+def test_trees_over_bins_by_masks():
+    """Places and sums of trees over bins are the walk's, and a pass over blocks reads only what it needs."""
+    rng, widths, numbers = np.random.default_rng(6), [20, 9, 5, 7], 2
+    bins = [rng.integers(0, w, 2000) for w in widths]
+    for depth in (1, 3, 4, 5):
+        trees = []
+        for _ in range(7):
+            t = fitting.Tree.empty(depth)
+            for place in range(1, 1 << depth):
+                if rng.random() < 0.8 and (place == 1 or t.column[place // 2] >= 0):
+                    t.column[place] = c = rng.integers(0, 4)
+                    t.bin[place] = rng.integers(0, widths[c] - 1)
+            t.value[:] = rng.normal(size=len(t.value))
+            trees.append(t)
+        want, found = np.zeros(2000), np.zeros(2000)
+        for t in trees:
+            want += t.value[t.places(bins, numbers, 2000)]
+        fitting.adder(trees, numbers, widths)(found, bins)
+        assert (want == found).all()
+        nodes = [p for p in range(1, 2 << depth) if trees[0].column[p] < 0 and (p == 1 or trees[0].column[p // 2] >= 0)][::2]
+        at = trees[0].places(bins, numbers, 2000)
+        want = np.array([nodes.index(p) if p in nodes else -1 for p in at])
+        assert (fitting.slotter(trees[0], nodes, numbers, widths)(bins, 2000) == want).all()
