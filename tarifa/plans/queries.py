@@ -468,7 +468,8 @@ EXPECTED = {
 
 def attestation_predicates(spark, sf_dir):
     """Artifacts beside nested provenance statements, some of another repository or workflow, unsigned, of a short commit, without a subject, or double."""
-    part = read(spark, sf_dir, "part").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"), F.sha2("p_name", 256).alias("sha256"), F.sha1("p_name").alias("commit"), F.col("p_partkey").alias("k"))
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")  # a row is a document of some kB: few bytes of input are much work
+    part = part.select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"), F.sha2("p_name", 256).alias("sha256"), F.sha1("p_name").alias("commit"), F.col("p_partkey").alias("k"))
     every = lambda n, odd, usual: F.when(F.col("k") % n == 0, odd).otherwise(usual)
     named = lambda **c: F.struct(*[(x if not isinstance(x, str) else F.lit(x)).alias(n) for n, x in c.items()])
     subject = F.array(named(name="something else", digest=named(sha256="00")), named(name=F.col("path"), digest=named(sha256=F.col("sha256"))))

@@ -363,3 +363,15 @@ def test_trees_over_bins_by_masks():
         at = trees[0].places(bins, numbers, 2000)
         want = np.array([nodes.index(p) if p in nodes else -1 for p in at])
         assert (fitting.slotter(trees[0], nodes, numbers, widths)(bins, 2000) == want).all()
+
+
+def test_statements_are_parsed_once(spark):
+    """The plan of the provenance predicates has one parse of each statement: no filter repeats it below, and the rows are spread before it."""
+    from tarifa.operators import governance
+    from tarifa.plans import queries
+
+    rows = spark.range(4).select(F.concat(F.lit("s"), "id").alias("statement_id"), F.concat(F.lit('{"a": '), F.col("id").cast("string"), F.lit("}")).alias("body"))
+    plan = governance.provenance_predicates(rows, queries.EXPECTED)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") == 1
+    plan = QUERIES["attestation_predicates"](spark, needs_data("sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") == 1
