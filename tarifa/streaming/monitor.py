@@ -85,6 +85,58 @@ class Baseline:
         return top["psi"], top["feature"]
 
 
+class Arrived:
+    """A service's requests of a micro-batch, read part by part in any order and never held as a frame.
+
+    Of each request after the last reset known so far stay its place, flag, two counts and buckets, as
+    arrays; of the values only those of the last requests.  Requests rank by ``seq``, equal ones as they came.
+    """
+
+    def __init__(self, last: int):
+        self.last, self.read, self.seq, self.reset = last, 0, None, None
+        self.thin: list[tuple[np.ndarray, ...]] = []
+        self.values: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(_VALUES))))
+
+    def _after(self, seq: np.ndarray, came: np.ndarray) -> np.ndarray:
+        if self.reset is None:
+            return np.ones(len(seq), bool)
+        return (seq > self.reset[0]) | (seq == self.reset[0]) & (came >= self.reset[1])
+
+    def add(self, rows: pd.DataFrame) -> None:
+        if not len(rows):
+            return
+        seq, came = rows.seq.to_numpy(np.int64), np.arange(self.read, self.read + len(rows))
+        self.read += len(rows)
+        self.seq = int(seq.max()) if self.seq is None else max(self.seq, int(seq.max()))
+        if (at := np.flatnonzero(rows.reset.to_numpy(bool))).size:
+            top = max(zip(seq[at].tolist(), came[at].tolist()))
+            if self.reset is None or top > self.reset:
+                self.reset = top
+                known, self.thin = self.thin, []
+                for part in known:
+                    self._keep(part)
+        buckets = np.array(rows.buckets.tolist(), np.int32).reshape(len(rows), -1)
+        self._keep((seq, came, rows.error.to_numpy(bool), rows.batch_size.to_numpy(np.int64), rows.unseen.to_numpy(np.int64), buckets))
+        seq, came, values = (np.concatenate(x) for x in zip(self.values, (seq, came, rows[list(_VALUES)].to_numpy(float))))
+        order = np.lexsort((came, seq))[-self.last :]
+        self.values = seq[order], came[order], values[order]
+
+    def _keep(self, part: tuple[np.ndarray, ...]) -> None:
+        after = self._after(*part[:2])
+        if after.any():
+            self.thin.append(part if after.all() else tuple(x[after] for x in part))
+
+    def since_reset(self, width: int) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+        """Counters, last values in order, and counts of buckets of the requests from the last reset on."""
+        counts, bins = np.zeros(4, np.int64), np.zeros(width, np.int64)
+        for _, _, error, batch_size, unseen, buckets in self.thin:
+            counts += [len(error), int(error.sum()), int(batch_size.sum()), int(unseen.sum())]
+            if width:
+                bins += np.bincount(buckets.ravel(), minlength=width)
+        shown = self.values[2][self._after(*self.values[:2])]
+        return counts, {v: shown[:, k] for k, v in enumerate(_VALUES)}, bins
+
+
 def monitor(requests: DataFrame, baseline: Baseline, thresholds: dict[str, float] = THRESHOLDS, last: int = LAST) -> DataFrame:
     """Snapshots with drift and alerts of a stream of requests, a row per service and micro-batch.
 
@@ -100,16 +152,16 @@ def monitor(requests: DataFrame, baseline: Baseline, thresholds: dict[str, float
         if state.exists:
             known = state.get
             counts, values, bins = np.array(known[:4]), dict(zip(_VALUES, map(np.array, known[4:8]))), np.array(known[8], np.int64)
-        rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
-        seq, resets = int(rows.seq.iloc[-1]), np.flatnonzero(rows.reset)
-        if len(resets):
-            rows = rows.iloc[resets[-1] :]
+        new = Arrived(last)
+        for rows in parts:
+            new.add(rows)
+        seq = new.seq
+        if new.reset is not None:
             counts, values, bins = counts * 0, {v: np.zeros(0) for v in _VALUES}, bins * 0
-        counts = counts + [len(rows), int(rows.error.sum()), int(rows.batch_size.sum()), int(rows.unseen.sum())]
+        more, own, buckets = new.since_reset(width)
+        counts, bins = counts + more, bins + buckets
         for v in _VALUES:
-            values[v] = np.concatenate((values[v], rows[v].to_numpy(float)))[-last:]
-        if width:
-            bins = bins + np.bincount(np.concatenate(rows.buckets.to_numpy()).astype(int), minlength=width)
+            values[v] = np.concatenate((values[v], own[v]))[-last:]
         state.update((*map(int, counts), *[values[v].tolist() for v in _VALUES], bins.tolist()))
         at = lambda v, *qs: [float(x) for x in np.quantile(v, qs)] if len(v) else [0.0] * len(qs)
         latency, batch, frequency, premium = (values[v][~np.isnan(values[v])] for v in _VALUES)

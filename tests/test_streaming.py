@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tarifa import contracts
@@ -116,3 +117,27 @@ def test_scoring_a_stream_accounts_for_every_request(spark, tmp_path):
     want = scorer.score(contracts.canonical(spark.read.json(spark.createDataFrame([(bodies[1],)], "value string").rdd.map(lambda r: r[0])))).first()
     one = scored.where("request_id = 1").first()
     assert all(abs(one[m] - want[m]) < 1e-12 for m in scorer.models) and list(one.warnings) == list(want.warnings) == [f"unseen_category:{c[0]}=never"]
+
+
+def test_requests_of_a_batch_are_read_in_parts():
+    """Parts in any order, with resets and equal places, give what the sorted whole gives, and hold little of each request."""
+    rng, last = np.random.default_rng(8), 40
+    for trial in range(60):
+        n = int(rng.integers(1, 300))
+        rows = pd.DataFrame({
+            "seq": rng.integers(0, 80, n), "reset": rng.random(n) < (0, 0.02, 0.2)[trial % 3], "error": rng.random(n) < 0.3, "batch_size": rng.integers(0, 9, n), "unseen": rng.integers(0, 2, n),
+            **{v: rng.normal(size=n) for v in ("latency_ms", "freq_log_ratio", "loss_log_ratio")}, "buckets": [x.tolist() for x in rng.integers(0, 6, (n, 2))],
+        })
+        whole = rows.sort_values("seq", kind="stable")
+        at = np.flatnonzero(whole.reset)
+        whole = whole.iloc[at[-1] :] if len(at) else whole
+        new = monitor.Arrived(last)
+        for k in range(0, n, 37):
+            new.add(rows.iloc[k : k + 37])
+        counts, values, bins = new.since_reset(6)
+        assert new.seq == rows.seq.max() and (new.reset is None) == (not len(at))
+        assert counts.tolist() == [len(whole), whole.error.sum(), whole.batch_size.sum(), whole.unseen.sum()]
+        assert bins.tolist() == np.bincount(np.concatenate(whole.buckets.to_numpy()), minlength=6).tolist()
+        assert all((values[v] == whole[v].to_numpy(float)[-last:]).all() for v in values) and len(new.values[0]) <= last
+    held = sum(x.nbytes for part in new.thin for x in part)
+    assert held <= 48 * len(whole)
