@@ -637,9 +637,13 @@ def contract_check(spark, sf_dir):
     return rows.groupBy("violations").agg(F.count("*").alias("n"), F.lit(len(FEATURES)).alias("features"))
 
 
+def _training_rows(spark, sf_dir, *wanted: int) -> DataFrame:
+    """What fits read of some years, written once: every pass of the preprocessor and of the encoding reads it."""
+    return checkpointed(years(spark, sf_dir, *wanted).select(*{*NUMERIC, *CATEGORIES, *models.POWERS, "total_exposure", *ROW_KEY}))
+
+
 def _fitted(spark, sf_dir) -> tuple[models.Preprocessor, list[DataFrame]]:
-    parts = [years(spark, sf_dir, y) for y in (TRAIN, CALIBRATION, TEST)]
-    parts[0] = checkpointed(parts[0].select(*{*NUMERIC, *CATEGORIES, *models.POWERS, "total_exposure", *ROW_KEY}))  # read by every fit
+    parts = [_training_rows(spark, sf_dir, TRAIN), *[years(spark, sf_dir, y) for y in (CALIBRATION, TEST)]]
     return models.Preprocessor(NUMERIC, CATEGORIES).fit(parts[0]), parts
 
 
@@ -688,7 +692,7 @@ def rolling_refit(spark, sf_dir):
     """Every year after the first tested once by models refitted on all years before it, raw predictions, with the challengers' intervals."""
     out, fitted = None, None
     for before, test in models.rolling_windows([TRAIN, CALIBRATION, TEST]):
-        train, rows = years(spark, sf_dir, *before), years(spark, sf_dir, test).drop(*MODELS)
+        train, rows = _training_rows(spark, sf_dir, *before), years(spark, sf_dir, test).drop(*MODELS)
         prep = models.Preprocessor(NUMERIC, CATEGORIES).fit(train)
         packed = models.training(train, prep)
         fitted = models.fit_models(list(MODELS), packed, fitted, **BOOSTED)
