@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +121,19 @@ def test_merge_index_folds_runs():
     assert hit.tolist() == [want[k] > 1 for k in keys.tolist()]
 
 
+def test_bpe_merges_few_new_words_at_once():
+    """Texts all of new words: what encoding holds beyond the ids stays far below an executor's share of memory."""
+    rng = random.Random(3)
+    texts = pa.array([" ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(1000)) for _ in range(300)])
+    encode = bpe.Tokenizer.load(Path(word_bpe()).read_text("utf-8")).encoder()
+    tracemalloc.start()
+    ids = [encode(part.column(0).to_pylist()) for part in bpe.slices(pa.RecordBatch.from_arrays([texts], ["text"]), texts)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, ids)) == 300
+    assert peak < 150e6
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
