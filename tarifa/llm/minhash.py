@@ -10,7 +10,8 @@ Documents of equal sets are one class, and all work past the first pass is on cl
 bitmaps of the shingles leave out, exactly, most pairs that can't be similar.  A pair counts in its
 first common table alone, and a bucket hands on no pair that others make needless: a spanning forest of pairs that are similar by a wide margin, and
 the doubtful pairs between its trees.  All that counts is then verified on the sets themselves; should
-a pair of the forest not be similar, its buckets are gone through again, with what is linked known.
+a pair of the forest not be similar, its buckets alone are gone through again, with what is linked
+known and the pair doubtful, until no pair of a forest fails.
 """
 
 from __future__ import annotations
@@ -183,7 +184,7 @@ def pairs_of(m: Members) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield i, j
 
 
-def candidates(m: Members) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def candidates(m: Members, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, ratio, sure): pairs of different roots whose first common table is here, and that size and bitmap don't rule out.
 
     ``ratio`` is the difference of the bitmaps over the most that similar sets can have.
@@ -217,7 +218,7 @@ def candidates(m: Members) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         keep = differ <= most
         i, j, differ, full, most = i[keep], j[keep], differ[keep], full[keep], most[keep]
         room = np.maximum(1 - full, 1e-9)
-        out.append((i, j, differ / most, differ / room + MARGIN * np.sqrt((differ + 1) * full) / room <= most))
+        out.append((i, j, differ / most, differ / room + margin * np.sqrt((differ + 1) * full) / room <= most))
     return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0), np.zeros(0, bool))
 
 
@@ -245,10 +246,22 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, ratio: np.ndarray) -> tuple[np.
         label = to[label]
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, ratio, sure): the forest of sure pairs of each bucket, and the doubtful pairs between its trees."""
+def pair_hash(a: bytes, b: bytes) -> int:
+    """A 64-bit hash of two sets, of whatever order."""
+    return xxhash.xxh3_64_intdigest(min(a, b) + max(a, b))
+
+
+def bucket_links(batches: Iterator[pa.RecordBatch], wrong: np.ndarray | None = None, margin: float = MARGIN) -> Iterator[pa.RecordBatch]:
+    """(a, b, ratio, sure): the forest of sure pairs of each bucket, and the doubtful pairs between its trees.
+
+    Pairs in the bitmap ``wrong`` are doubtful.
+    """
     for m in whole_buckets(batches):
-        i, j, ratio, sure = candidates(m)
+        i, j, ratio, sure = candidates(m, margin)
+        if wrong is not None and sure.any():
+            at = np.flatnonzero(sure)
+            hashes = np.array([pair_hash(m.set_id[x], m.set_id[y]) for x, y in zip(i[at].tolist(), j[at].tolist())], np.uint64)
+            sure[at[in_bitmap(wrong, hashes)]] = False
         at = np.flatnonzero(sure)
         picks, tree = forest(len(m.n), i[at], j[at], ratio[at])
         use = np.concatenate((at[picks], np.flatnonzero(~sure & (tree[i] != tree[j]))))
@@ -284,9 +297,23 @@ _SKETCH = ("set_id", "n", "keys", "others", "bits")
 _MEMBER = ("key", "part", "nth", "mth", *_SKETCH, "root", "side")
 
 
-def linked(members: DataFrame) -> DataFrame:
+def sketches_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sketches of the sets that ``rows``, written, have: a bitmap tells tasks which to send, so that no join moves those of all classes."""
+    bitmap = bitmap_of(materialize(rows.select(F.xxhash64("set_id").alias("h")).distinct()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            use = in_bitmap(bitmap, batch.column(0).to_numpy().view(np.uint64))
+            yield batch.select(list(_SKETCH)).filter(pa.array(use, pa.bool_()))
+
+    sketch = classes.select(*_SKETCH)
+    return classes.select(F.xxhash64("set_id").alias("h"), *_SKETCH).mapInArrow(run, sketch.schema)
+
+
+def linked(members: DataFrame, wrong: np.ndarray | None = None) -> DataFrame:
     """(a, b, ratio, sure), each pair once, of dealt members."""
-    rows = members.select(*_MEMBER).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(bucket_links, _LINKS)
+    margin = MARGIN
+    rows = members.select(*_MEMBER).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(lambda batches: bucket_links(batches, wrong, margin), _LINKS)
     return materialize(rows.groupBy("a", "b").agg(F.min("ratio").alias("ratio"), F.max("sure").alias("sure")))
 
 
@@ -297,21 +324,31 @@ def first_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     leads = rows.where(F.col("size") > BLOCK).groupBy("key").agg(F.min(h).alias("lead"))
     own = F.pmod(h, blocks).cast("int")
     dealt = rows.join(leads, "key", "left").select("key", "nth", "mth", "set_id", F.explode(F.when(h == F.col("lead"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("part"))
-    return linked(dealt.join(classes.select(*_SKETCH), "set_id").withColumns({"root": F.col("set_id"), "side": F.lit(0)}))
+    return linked(dealt.join(sketches_of(rows, classes), "set_id").withColumns({"root": F.col("set_id"), "side": F.lit(0)}))
 
 
-def later_links(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Links between sets of a bucket that aren't linked yet: those outside of its largest component against all, by blocks of both."""
+def later_links(rows: DataFrame, classes: DataFrame, roots: DataFrame, wrong: np.ndarray | None = None) -> DataFrame:
+    """Links between sets of a bucket that aren't linked yet: those outside of its largest component against all, by blocks of both.
+
+    Pairs in the bitmap ``wrong`` are doubtful.
+    """
     rows = materialize(rows.join(roots, "set_id", "left").select("key", "nth", "mth", "set_id", F.coalesce("root", "set_id").alias("root")))
     counts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     per_key = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("roots"))
     per_key = materialize(per_key.where("roots > 1").select("key", F.col("top.root").alias("top"), F.ceil(F.col("size") / (BLOCK // 2)).alias("wide"), F.ceil((F.col("size") - F.col("top.n")) / (BLOCK // 2)).alias("high")))
-    rows = rows.join(per_key, "key")
+    rows = materialize(rows.join(per_key, "key"))
     h = F.xxhash64("set_id")
     x, y = F.pmod(h, "high"), F.pmod(F.xxhash64(h), "wide")
     few = rows.where("root != top").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("y")).select("key", "nth", "mth", "set_id", "root", F.lit(1).alias("side"), (x * F.col("wide") + F.col("y")).alias("part"))
     every = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1)).alias("x")).select("key", "nth", "mth", "set_id", "root", F.lit(2).alias("side"), (F.col("x") * F.col("wide") + y).alias("part"))
-    return linked(few.unionByName(every).join(classes.select(*_SKETCH), "set_id"))
+    return linked(few.unionByName(every).join(sketches_of(rows, classes), "set_id"), wrong)
+
+
+def buckets_of(buckets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key), written: the buckets in which both sets of one of the pairs lie."""
+    keys = buckets.select("key", "set_id")
+    ends = pairs.join(keys.withColumnRenamed("set_id", "a"), "a").join(keys.withColumnRenamed("set_id", "b"), ["b", "key"])
+    return materialize(ends.select("key").distinct())
 
 
 # ---------------------------------------------------------------- verifying
@@ -360,8 +397,8 @@ def across(links: DataFrame, roots: DataFrame) -> DataFrame:
     return links.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
 
 
-def confirmed(links: DataFrame, sets: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame, bool]:
-    """Edges that connect what similar pairs of ``links`` (and the ``known`` edges) connect, the roots, and whether a sure pair failed.
+def confirmed(links: DataFrame, sets: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges that connect what similar pairs of ``links`` (and the ``known`` edges) connect, the roots, and the sure pairs (a, b) that failed, written.
 
     Every set's best pair is verified first, then the pairs between what isn't connected by then.
     """
@@ -372,7 +409,7 @@ def confirmed(links: DataFrame, sets: DataFrame, known: DataFrame | None) -> tup
     edges = edges if known is None else edges.unionByName(known)
     roots = rooted(edges)
     tested_too = similar(across(links.join(tested.select("a", "b"), ["a", "b"], "left_anti"), roots), sets)
-    failed = not tested.unionByName(tested_too).where("sure AND NOT holds").isEmpty()
+    failed = materialize(tested.unionByName(tested_too).where("sure AND NOT holds").select("a", "b"))
     more = tested_too.where("holds").select("a", "b")
     if not more.isEmpty():
         edges = edges.unionByName(more)
@@ -396,15 +433,23 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", tex
     classes = materialize(sketch.join(firsts, "set_id"))
     buckets = bucket_rows(classes)
     links = first_links(buckets, classes)
-    roots = None
-    if not links.isEmpty():
-        sets = full_sets(docs, wanted_sets(links, classes), id_col, text_col, width)
-        edges, roots, failed = confirmed(links, sets, None)
-        again = buckets if failed else buckets.where(F.col("size") > BLOCK)
-        if not again.isEmpty():
-            more = later_links(again, classes, roots)
-            if not more.isEmpty():
-                _, roots, _ = confirmed(more, sets.unionByName(full_sets(docs, wanted_sets(more, classes).join(sets.select("set_id"), "set_id", "left_anti"), id_col, text_col, width)), edges)
+    roots = sets = edges = wrong = None
+    while not links.isEmpty():
+        wanted = wanted_sets(links, classes)
+        wanted = wanted if sets is None else materialize(wanted.join(sets.select("set_id"), "set_id", "left_anti"))
+        if sets is None or not wanted.isEmpty():
+            more = full_sets(docs, wanted, id_col, text_col, width)
+            sets = more if sets is None else sets.unionByName(more)
+        full = F.col("size") > BLOCK if edges is None else F.lit(False)
+        edges, roots, failed = confirmed(links, sets, edges)
+        if failed.isEmpty():
+            again = buckets.where(full)
+        else:
+            wrong = failed if wrong is None else wrong.unionByName(failed)
+            again = buckets.join(buckets_of(buckets, failed).withColumn("failed", F.lit(True)), "key", "left").where(full | F.col("failed")).drop("failed")
+        if again.isEmpty():
+            break
+        links = later_links(again, classes, roots, None if wrong is None else bitmap_of(pair_hashes(wrong)))
     found = classes.select("set_id", "first_id")
     if roots is not None:
         roots = found.join(roots, "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
@@ -415,6 +460,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", tex
     return out.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"), F.col("doc_id").eqNullSafe(name).alias("kept"))
 
 
+def pair_hashes(pairs: DataFrame) -> DataFrame:
+    """``pair_hash`` of every pair (a, b), as a long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [pair_hash(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64))], ["h"])
+
+    return pairs.select("a", "b").mapInArrow(run, "h long")
+
+
 def wanted_sets(links: DataFrame, classes: DataFrame) -> DataFrame:
     """(set_id, first_id) of the ends of links, written."""
     ends = links.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()

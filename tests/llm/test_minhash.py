@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarifa.llm import minhash
@@ -93,6 +94,51 @@ def test_a_failed_sure_pair_is_made_up_for(spark, monkeypatch):
     assert sorted(map(tuple, minhash.near_duplicates(docs_of(spark, rows)).collect())) == sorted(brute(rows))
 
 
+def test_only_the_buckets_of_failed_pairs_are_gone_through_again(spark, monkeypatch):
+    """Texts just below the similarity, called sure, fail; copies of other texts hold, and their buckets rest."""
+    monkeypatch.setattr(minhash, "MARGIN", -1e9)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    passage = [word() for _ in range(883)]
+    texts = [" ".join(passage + [word() for _ in range(117)]) for _ in range(12)]
+    for _ in range(30):
+        base = [word() for _ in range(200)]
+        texts += [" ".join(base), " ".join([*base, word()])]
+    rows = list(enumerate(texts))
+    seen, all_rows, later, first = [], [], minhash.later_links, minhash.first_links
+    monkeypatch.setattr(minhash, "later_links", lambda rows, *a: seen.append(rows.count()) or later(rows, *a))
+    monkeypatch.setattr(minhash, "first_links", lambda rows, *a: all_rows.append(rows.count()) or first(rows, *a))
+    assert sorted(map(tuple, minhash.near_duplicates(docs_of(spark, rows)).collect())) == sorted(brute(rows))
+    assert seen and seen[0] < all_rows[0]
+
+
+def test_a_pair_that_fails_hides_no_other(spark):
+    """A pair known as wrong is doubtful: it no longer joins two trees, so that the doubtful pairs between them are handed on."""
+    base = np.random.default_rng(5).integers(0, 1 << 63, 400, np.uint64)
+    sets = [np.unique(base[k : 300 + k]) for k in (0, 1, 2)]
+    ids = [bytes([k]) * 16 for k in range(3)]
+    keys = np.zeros(minhash.HALVES, np.int64)
+    row = {"key": [0] * 3, "part": [0] * 3, "nth": [0] * 3, "mth": [-1] * 3, "set_id": ids, "n": [len(x) for x in sets], "keys": [keys.tolist()] * 3,
+           "others": [keys.astype(np.uint32).tobytes()] * 3, "bits": [minhash.bits_of(x) for x in sets], "root": ids, "side": [0] * 3}
+    batch = pa.RecordBatch.from_pydict(row)
+    pairs = lambda wrong: {(r["a"], r["b"]): r["sure"] for out in minhash.bucket_links(iter([batch]), wrong) for r in out.to_pylist()}
+    plain = pairs(None)
+    assert len(plain) == 2 and all(plain.values())
+    failed = spark.createDataFrame([(a, b) for a, b in plain], "a binary, b binary")
+    now = pairs(minhash.bitmap_of(minhash.pair_hashes(failed)))
+    assert set(plain) <= set(now) and not any(now[p] for p in plain) and len(now) == 3
+
+
+def test_only_sketches_of_sets_that_meet_are_moved(spark):
+    rows = [(k, " ".join(str(10 * k + c) for c in range(8))) for k in range(2000)] + [(3000, "w " * 40), (3001, "w " * 39 + "v")]
+    sketch = minhash.sketches(docs_of(spark, rows), "doc_id", "text", 4).where("keys IS NOT NULL").select(*minhash._SKETCH)
+    classes = minhash.materialize(sketch)
+    buckets = minhash.bucket_rows(classes)
+    met = {bytes(r.set_id) for r in buckets.select("set_id").distinct().collect()}
+    moved = [bytes(r.set_id) for r in minhash.sketches_of(buckets, classes).collect()]
+    assert met <= set(moved) and len(moved) < 300 < classes.count()
+
+
 def test_bitmaps_leave_no_similar_pair_out():
     rng = np.random.default_rng(1)
     for n in (3, 50, 255, 257, 1000, 9000):
