@@ -118,7 +118,7 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
 
     out = np.zeros((1 << bits) // 8, np.uint8)
     found = hashes.mapInArrow(positions, "block int, bit int").repartition("block").mapInArrow(fold, "block int, bits binary")
-    for r in found.toLocalIterator():
+    for r in found.collect():  # one job, whatever the partitions; 32 MB at most
         out[r.block * block // 8 : (r.block + 1) * block // 8] = np.frombuffer(r.bits, np.uint8)
     return out
 

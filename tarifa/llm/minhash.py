@@ -11,7 +11,9 @@ bitmaps of the shingles leave out, exactly, most pairs that can't be similar.  A
 first common table alone, and a bucket hands on no pair that others make needless: a spanning forest of pairs that are similar by a wide margin, and
 the doubtful pairs between its trees.  All that counts is then verified on the sets themselves; should
 a pair of the forest not be similar, its buckets alone are gone through again, with what is linked
-known and the pair doubtful, until no pair of a forest fails.
+known and the pair doubtful, until no pair of a forest fails.  Of a bucket of several blocks,
+what isn't linked meets all others once; where that would copy rows more often than there are second
+half keys, these divide the bucket first.
 """
 
 from __future__ import annotations
@@ -167,7 +169,7 @@ def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[Members]:
 def pairs_of(m: Members) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows within buckets, in pieces: of either side, or one of each."""
     opens = np.flatnonzero(np.concatenate(([True], m.bucket[1:] != m.bucket[:-1])))
-    sizes = np.diff(np.append(opens, len(m.bucket)))
+    sizes, sided = np.diff(np.append(opens, len(m.bucket))), m.side.any()
     for size in np.unique(sizes[sizes > 1]).tolist():
         at = opens[sizes == size][:, None] + np.arange(size)
         many = max(1, PAIRS // size)
@@ -178,8 +180,8 @@ def pairs_of(m: Members) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for top in range(0, len(at), many):
                 i, j = np.broadcast_arrays(at[top : top + many, low:high, None], at[top : top + many, None, low + 1 :])
                 i, j = i[:, upper].ravel(), j[:, upper].ravel()
-                if m.side[i[0]]:
-                    across = m.side[i] != m.side[j]
+                if sided:
+                    across = (m.side[i] == 0) | (m.side[i] != m.side[j])
                     i, j = i[across], j[across]
                 yield i, j
 
@@ -280,16 +282,20 @@ def shared(keys: DataFrame) -> DataFrame:
     return keys.join(sizes, "key")
 
 
+def by_second_keys(rows: DataFrame, sketch: DataFrame, *more: str) -> DataFrame:
+    """(set_id, mth, nth, key, more) of rows (key, nth, set_id, more), divided by the second half keys of their sets."""
+    second = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(HALVES - 1)), lambda k: F.substring(F.col("others"), 4 * k + 1, F.lit(4))))
+    tables = rows.select("set_id", "nth", "key", *more).join(sketch.select("set_id", "others"), "set_id").select("set_id", "nth", "key", *more, second.alias("mth", "half"))
+    return tables.select("set_id", "mth", "nth", F.xxhash64("key", "mth", "half").alias("key"), *more)
+
+
 def bucket_rows(classes: DataFrame) -> DataFrame:
     """(key, nth, mth, set_id, size): the buckets of the first half keys; one of over ``DIVIDED`` sets is divided by the second half keys."""
     found = materialize(shared(classes.select("set_id", F.lit(-1).alias("mth"), F.posexplode("keys").alias("nth", "key"))))
     full = found.where(F.col("size") > DIVIDED)
     if full.isEmpty():
         return found
-    second = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(HALVES - 1)), lambda k: F.substring(F.col("others"), 4 * k + 1, F.lit(4))))
-    tables = full.join(classes.select("set_id", "others"), "set_id").select("set_id", "nth", "key", second.alias("mth", "half"))
-    tables = shared(tables.select("set_id", "mth", "nth", F.xxhash64("key", "mth", "half").alias("key")))
-    return materialize(found.where(F.col("size") <= DIVIDED).unionByName(tables))
+    return materialize(found.where(F.col("size") <= DIVIDED).unionByName(shared(by_second_keys(full, classes))))
 
 
 _LINKS = "a binary, b binary, ratio double, sure boolean"
@@ -327,21 +333,45 @@ def first_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return linked(dealt.join(sketches_of(rows, classes), "set_id").withColumns({"root": F.col("set_id"), "side": F.lit(0)}))
 
 
-def later_links(rows: DataFrame, classes: DataFrame, roots: DataFrame, wrong: np.ndarray | None = None) -> DataFrame:
-    """Links between sets of a bucket that aren't linked yet: those outside of its largest component against all, by blocks of both.
-
-    Pairs in the bitmap ``wrong`` are doubtful.
-    """
-    rows = materialize(rows.join(roots, "set_id", "left").select("key", "nth", "mth", "set_id", F.coalesce("root", "set_id").alias("root")))
+def still_open(rows: DataFrame) -> DataFrame:
+    """The rows (key, root, ...) of buckets that more than one root has, with the bucket's ``size``, its most frequent root ``top`` and
+    the blocks of ``BLOCK`` that all rows and those of other roots fill (``wide`` and ``high``), written."""
     counts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     per_key = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("roots"))
-    per_key = materialize(per_key.where("roots > 1").select("key", F.col("top.root").alias("top"), F.ceil(F.col("size") / (BLOCK // 2)).alias("wide"), F.ceil((F.col("size") - F.col("top.n")) / (BLOCK // 2)).alias("high")))
-    rows = materialize(rows.join(per_key, "key"))
+    blocks = (F.ceil(F.col("size") / BLOCK).alias("wide"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).alias("high"))
+    per_key = materialize(per_key.where("roots > 1").select("key", F.col("top.root").alias("top"), "size", *blocks, (F.col("size") - F.col("top.n")).alias("others_of_top")))
+    return materialize(rows.join(per_key, "key"))
+
+
+def dealt_again(rows: DataFrame) -> DataFrame:
+    """The rows of open buckets by parts: one of up to two blocks is one part, of a larger one those of other roots than its most
+    frequent meet all rows, by blocks of both."""
     h = F.xxhash64("set_id")
     x, y = F.pmod(h, "high"), F.pmod(F.xxhash64(h), "wide")
-    few = rows.where("root != top").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("y")).select("key", "nth", "mth", "set_id", "root", F.lit(1).alias("side"), (x * F.col("wide") + F.col("y")).alias("part"))
-    every = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1)).alias("x")).select("key", "nth", "mth", "set_id", "root", F.lit(2).alias("side"), (F.col("x") * F.col("wide") + y).alias("part"))
-    return linked(few.unionByName(every).join(sketches_of(rows, classes), "set_id"), wrong)
+    own = ("key", "nth", "mth", "set_id", "root")
+    whole, large = rows.where(F.col("size") <= 2 * BLOCK), rows.where(F.col("size") > 2 * BLOCK)
+    few = large.where("root != top").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("y"))
+    every = large.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1)).alias("x"))
+    out = whole.select(*own, F.lit(0).alias("side"), F.lit(0).cast("long").alias("part"))
+    out = out.unionByName(few.select(*own, F.lit(1).alias("side"), (x * F.col("wide") + F.col("y")).alias("part")))
+    return out.unionByName(every.select(*own, F.lit(2).alias("side"), (F.col("x") * F.col("wide") + y).alias("part")))
+
+
+def later_links(rows: DataFrame, classes: DataFrame, roots: DataFrame, wrong: np.ndarray | None = None) -> DataFrame:
+    """Links between sets of a bucket that aren't linked yet: those outside of its largest component against all.
+
+    A bucket whose blocks would copy its rows more often than there are second half keys is divided by these
+    first, and only rows that share one with another component go on.  Pairs in the bitmap ``wrong`` are doubtful.
+    """
+    rows = still_open(materialize(rows.join(roots, "set_id", "left").select("key", "nth", "mth", "set_id", F.coalesce("root", "set_id").alias("root"))))
+    sketch = sketches_of(rows, classes)
+    copies = F.col("others_of_top") * F.col("wide") + F.col("size") * F.col("high")
+    full = (F.col("mth") < 0) & (F.col("size") > 2 * BLOCK) & (copies > HALVES * F.col("size"))
+    divided = rows.where(full)
+    if not divided.isEmpty():
+        tables = by_second_keys(divided, sketch, "root")
+        rows = rows.where(~full).unionByName(still_open(materialize(tables)))
+    return linked(dealt_again(rows).join(sketch, "set_id"), wrong)
 
 
 def buckets_of(buckets: DataFrame, pairs: DataFrame) -> DataFrame:

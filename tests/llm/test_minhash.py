@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tarifa.llm import minhash
 from tarifa.llm.queries import QUERIES, SQL
@@ -139,6 +140,67 @@ def test_only_sketches_of_sets_that_meet_are_moved(spark):
     assert met <= set(moved) and len(moved) < 300 < classes.count()
 
 
+def test_large_buckets_are_divided_before_they_are_copied(spark, monkeypatch):
+    """Rows of a large bucket that isn't linked go on at most once for each second half key, not once for each pair of blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    monkeypatch.setattr(minhash, "DIVIDED", 1 << 30)
+    rng = np.random.default_rng(3)
+    n = 90
+    others = rng.integers(0, 1 << 32, (n, minhash.HALVES), np.uint32)
+    others[1::30, 5] = 7  # these three meet, and no others
+    ids, keys = [bytes([k]) * 16 for k in range(n)], [list(range(minhash.HALVES))] * n
+    sets = [np.unique(rng.integers(0, 1 << 63, 50, np.uint64)) for _ in ids]
+    rows = [(i, len(x), k, bytearray(o.tobytes()), bytearray(minhash.bits_of(x))) for i, x, k, o in zip(ids, sets, keys, others)]
+    classes = spark.createDataFrame(rows, "set_id binary, n long, keys array<long>, others binary, bits binary")
+    buckets = spark.createDataFrame([(1, 0, -1, i, n) for i in ids], "key long, nth int, mth int, set_id binary, size long")
+    roots = spark.createDataFrame([], "set_id binary, root binary")
+    seen, linked = [], minhash.linked
+    monkeypatch.setattr(minhash, "linked", lambda members, *a: seen.append({bytes(r.set_id) for r in members.collect()} if members.count() < n else members.count()) or linked(members, *a))
+    assert minhash.later_links(buckets, classes, roots).count() == 0
+    assert seen == [set(ids[1::30])]
+
+
+def test_components_equal_brute_force_with_large_buckets(spark, monkeypatch):
+    """With large buckets divided in later rounds, beside parts of several blocks and of one."""
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    monkeypatch.setattr(minhash, "DIVIDED", 1 << 30)
+    divided, by_second_keys = [], minhash.by_second_keys
+    monkeypatch.setattr(minhash, "by_second_keys", lambda *a: divided.append(1) or by_second_keys(*a))
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefgh", k=3))
+    passage = [word() for _ in range(60)]
+    texts = near_copies(rng, 6, 20, 10) + [" ".join(passage + [word() for _ in range(rng.randint(12, 40))]) for _ in range(60)]
+    rows = list(enumerate(texts))
+    assert sorted(map(tuple, minhash.near_duplicates(docs_of(spark, rows)).collect())) == sorted(brute(rows))
+    assert divided
+
+
+def test_pairs_of_whole_parts_and_of_sides():
+    """Parts of both kinds and of one size lie in one task: of the one all pairs count, of the other those across."""
+    zero = np.zeros(8, np.int64)
+    m = minhash.Members(np.repeat([0, 1], 4), zero, zero, [b""] * 8, zero, zero, zero, [b""] * 8, zero, np.array([1, 1, 2, 2, 0, 0, 0, 0]))
+    pairs = {p for i, j in minhash.pairs_of(m) for p in zip(i.tolist(), j.tolist())}
+    assert pairs == {(0, 2), (0, 3), (1, 2), (1, 3)} | {(i, j) for i in range(4, 8) for j in range(i + 1, 8)}
+
+
+def test_a_bitmap_is_one_job_whatever_the_partitions(spark):
+    """Before, each partition was a job of its own."""
+    hashes = spark.range(3000).select(F.xxhash64("id").alias("h")).localCheckpoint()
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("bitmap", "")
+        bitmap = minhash.bitmap_of(hashes)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    h = np.array([r.h for r in hashes.collect()], np.int64).view(np.uint64)
+    assert minhash.in_bitmap(bitmap, h).all()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap")) <= 4
+
+
 def test_bitmaps_leave_no_similar_pair_out():
     rng = np.random.default_rng(1)
     for n in (3, 50, 255, 257, 1000, 9000):
