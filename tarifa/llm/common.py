@@ -49,6 +49,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a written table of a few numbers or digests a row lies in one part.
+FEW = 1 << 18
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df``, written once, of narrow rows; at most ``FEW`` rows lie in one part, so that steps on them are one task each and not one for each partition."""
+    df = materialize(df)
+    return materialize(df.coalesce(1)) if df.count() <= FEW else df
+
+
 def firsts(rows: DataFrame, *key: str) -> DataFrame:
     """``rows``, written once, with ``first_of_key``: true for exactly one row of each key, which is nobody's large task."""
     rows = materialize(rows.withColumn("row_of_key", F.monotonically_increasing_id()))
@@ -97,7 +107,7 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
     """A bit for the leading bits of every hash of a one-column frame of longs: an array of at most 2**MOST_BITS bits.
 
     It tells tasks which rows can't matter; more hashes than it has room for make it let more
-    rows through, never fewer.
+    rows through, never fewer.  Up to ``FEW`` hashes are folded by one task.
     """
     n = hashes.count()
     bits = min(max(16, math.ceil(math.log2(max(n, 1) * BITS_A_HASH))), MOST_BITS)
@@ -116,8 +126,11 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
                 known.setdefault(b, np.zeros(block, bool))[bit[blocks == b]] = True
         yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.int32()), pa.array([np.packbits(x).tobytes() for x in known.values()], pa.binary())], ["block", "bits"])
 
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    found = hashes.mapInArrow(positions, "block int, bit int").repartition("block").mapInArrow(fold, "block int, bits binary")
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fold(positions(batches))
+
+    out, kind = np.zeros((1 << bits) // 8, np.uint8), "block int, bits binary"
+    found = hashes.repartition(1).mapInArrow(both, kind) if n <= FEW else hashes.mapInArrow(positions, "block int, bit int").repartition("block").mapInArrow(fold, kind)
     for r in found.collect():  # one job, whatever the partitions; 32 MB at most
         out[r.block * block // 8 : (r.block + 1) * block // 8] = np.frombuffer(r.bits, np.uint8)
     return out

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, in_bitmap, materialize, require, text_of
+from .common import bitmap_of, gathered, in_bitmap, materialize, require, text_of
 from .simhash import components
 
 #: Similarity as a fraction: intersection over union of 4/5.
@@ -320,7 +320,7 @@ def linked(members: DataFrame, wrong: np.ndarray | None = None) -> DataFrame:
     """(a, b, ratio, sure), each pair once, of dealt members."""
     margin = MARGIN
     rows = members.select(*_MEMBER).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(lambda batches: bucket_links(batches, wrong, margin), _LINKS)
-    return materialize(rows.groupBy("a", "b").agg(F.min("ratio").alias("ratio"), F.max("sure").alias("sure")))
+    return gathered(rows.groupBy("a", "b").agg(F.min("ratio").alias("ratio"), F.max("sure").alias("sure")))
 
 
 def first_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -378,7 +378,7 @@ def buckets_of(buckets: DataFrame, pairs: DataFrame) -> DataFrame:
     """(key), written: the buckets in which both sets of one of the pairs lie."""
     keys = buckets.select("key", "set_id")
     ends = pairs.join(keys.withColumnRenamed("set_id", "a"), "a").join(keys.withColumnRenamed("set_id", "b"), ["b", "key"])
-    return materialize(ends.select("key").distinct())
+    return gathered(ends.select("key").distinct())
 
 
 # ---------------------------------------------------------------- verifying
@@ -412,7 +412,7 @@ def similar(links: DataFrame, sets: DataFrame) -> DataFrame:
 
     rows = materialize(links.select("a", "b", "sure")).join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a")
     rows = rows.join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "sure", "x", "y")
-    return materialize(rows.mapInArrow(run, "a binary, b binary, sure boolean, holds boolean"))
+    return gathered(rows.mapInArrow(run, "a binary, b binary, sure boolean, holds boolean"))
 
 
 def rooted(edges: DataFrame) -> DataFrame:
@@ -504,4 +504,4 @@ def pair_hashes(pairs: DataFrame) -> DataFrame:
 def wanted_sets(links: DataFrame, classes: DataFrame) -> DataFrame:
     """(set_id, first_id) of the ends of links, written."""
     ends = links.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    return materialize(classes.select("set_id", "first_id").join(ends, "set_id", "left_semi"))
+    return gathered(classes.select("set_id", "first_id").join(ends, "set_id", "left_semi"))

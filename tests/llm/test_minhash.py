@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarifa.llm import minhash
+from tarifa.llm import common, minhash
 from tarifa.llm.queries import QUERIES, SQL
 
 from ..compare import differences, needs_data
@@ -201,6 +201,35 @@ def test_a_bitmap_is_one_job_whatever_the_partitions(spark):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap")) <= 4
 
 
+def test_few_links_lie_in_one_part(spark, monkeypatch):
+    """Before, links and what was verified of them kept as many parts as a shuffle has, and so had every step after them."""
+    seen, components = [], minhash.components
+    monkeypatch.setattr(minhash, "components", lambda edges: seen.append(edges.rdd.getNumPartitions()) or components(edges))
+    rng = random.Random(5)
+    rows = list(enumerate(near_copies(rng, 4, 5, 40)))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = sorted(map(tuple, minhash.near_duplicates(docs_of(spark, rows)).collect()))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert found == sorted(brute(rows))
+    assert seen and max(seen) < 12
+
+
+def test_gathered_keeps_all_rows_and_the_parts_of_many(spark, monkeypatch):
+    rows = spark.range(100).repartition(7)
+    for few, parts in ((100, 1), (99, 7)):
+        monkeypatch.setattr(common, "FEW", few)
+        out = common.gathered(rows)
+        assert (sorted(r.id for r in out.collect()), out.rdd.getNumPartitions()) == (list(range(100)), parts)
+        bitmap = common.bitmap_of(rows.select(F.xxhash64("id").alias("h")))
+        h = np.array([r.h for r in rows.select(F.xxhash64("id").alias("h")).collect()], np.int64).view(np.uint64)
+        assert common.in_bitmap(bitmap, h).all() and np.unpackbits(bitmap).sum() <= 100
+
+
 def test_bitmaps_leave_no_similar_pair_out():
     rng = np.random.default_rng(1)
     for n in (3, 50, 255, 257, 1000, 9000):
