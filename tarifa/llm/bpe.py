@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from .common import require, text_of
 
-#: Words whose encoding a task remembers; beyond, it starts afresh.
-CACHE_WORDS = 300_000
+#: Words whose encoding a task remembers (some 260 bytes each); beyond, it starts afresh.
+CACHE_WORDS = 100_000
 #: Code points of text whose words are merged at once (some 80 bytes each where all words are new), and rows decoded at once; a longer text goes alone.
 MERGE_CHARS, DECODE_ROWS = 1 << 20, 1000
 _SHIFT = 20

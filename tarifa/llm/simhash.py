@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import checkpoint_dir, firsts, materialize, remove, require, text_of
+from .common import checkpoint_dir, firsts, gathered, materialize, remove, require, text_of
 
 BITS = 64
 #: Fingerprints above which a bucket is divided, unless so few bits are free that it can't be large.
@@ -406,7 +406,8 @@ def _components(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str =
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     n, both = bit_counts(distinct)
     plan = make_plan(n, both, radius)
-    found = components(links(distinct.select("fp"), plan.masks, radius))
+    # Written first: verifying and making forests in one stage would hold two Python workers for every task.
+    found = components(gathered(links(distinct.select("fp"), plan.masks, radius)))
     roots = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )

@@ -209,6 +209,16 @@ def test_probing_loses_no_link(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_links_are_written_before_components(spark, monkeypatch):
+    """Before, links were verified and made forests in one stage, by two Python workers for every task."""
+    plans, components = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: plans.append(edges._jdf.queryExecution().optimizedPlan().toString()) or components(edges))
+    docs = spark.createDataFrame([(k, f"a b c d {k % 5}") for k in range(20)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert all(found[k] == found[k % 5] for k in range(20))
+    assert plans and "MapInArrow" not in plans[0]
+
+
 @pytest.mark.parametrize("most", [3, 40, simhash.EDGES])
 @pytest.mark.parametrize("kind", ["long", "binary"])
 def test_components_of_any_number_of_parts(spark, most, kind):
