@@ -23,12 +23,14 @@ from .quantiles import quantile_cuts
 
 #: Policy rows of a block, bins of a number, and rounds after which running scores are written.
 BLOCK_ROWS, BINS, SCORE_ROUNDS = 1 << 15, 128, 12
+#: Rows to one of all rows alike, on average, from which on they are counted.
+ALIKE = 2
 #: Bytes of sums that tasks send to the driver at most; more are merged by key in tasks first.
 DRIVER_BYTES = 1 << 24
 #: Columns of a GLM at most: the driver solves a dense system of that size.
 MOST_COLUMNS = 4000
-_PARTS = ("x", "at", "bins", "key", "w", "y", "f")
-_LINEAR, _BOOSTED = ("x", "at", "w", "y"), ("bins", "key", "w", "y", "f")
+_PARTS = ("x", "at", "bins", "key", "w", "m", "y", "f")
+_LINEAR, _BOOSTED = ("x", "at", "w", "m", "y"), ("bins", "key", "w", "m", "y", "f")
 
 
 @dataclass
@@ -45,16 +47,16 @@ class Layout:
         return self.numbers + sum(self.sizes)
 
     def linear(self, block: dict) -> tuple[np.ndarray, ...]:
-        """x, at, w, y of a block: what a GLM reads."""
-        x, at, w, y = (np.frombuffer(block[p], t) for p, t in zip(_LINEAR, ("f8", "i4", "f8", "f8")))
+        """x, at, weight of all rows alike, y of a block: what a GLM reads."""
+        x, at, w, m, y = (np.frombuffer(block[p], t) for p, t in zip(_LINEAR, ("f8", "i4", "f8", "f8", "f8")))
         n, k = len(w), len(self.targets)
-        return x.reshape(n, self.numbers), at.reshape(n, len(self.starts)), w, y.reshape(k, n)
+        return x.reshape(n, self.numbers), at.reshape(n, len(self.starts)), w * m, y.reshape(k, n)
 
     def boosted(self, block: dict) -> tuple[np.ndarray, ...]:
-        """bins, key, w, y, f of a block: what boosting reads."""
-        bins, key, w, y, f = (np.frombuffer(block[p], t) for p, t in zip(_BOOSTED, ("i2", "u8", "f8", "f8", "f8")))
+        """bins, key, w, m, y, f of a block: what boosting reads."""
+        bins, key, w, m, y, f = (np.frombuffer(block[p], t) for p, t in zip(_BOOSTED, ("i2", "u8", "f8", "f8", "f8", "f8")))
         n, k = len(w), len(self.targets)
-        return bins.reshape(-1, n), key, w, y.reshape(k, n), f.reshape(k, n)
+        return bins.reshape(-1, n), key, w, m, y.reshape(k, n), f.reshape(k, n)
 
 
 @dataclass
@@ -62,7 +64,8 @@ class Packed:
     """Encoded training rows: the table of blocks, its folder, number and layout, sums over all rows, and cut points of the numbers.
 
     A block has the numbers ``x``, the hot column of each category ``at`` (-1 for none), ``bins`` by
-    column, a hash of each row, its weight, and by target its rate and running score in logs.
+    column, a hash of each row, its weight, how many rows are alike in all of these and in their rates,
+    and by target its rate and running score in logs.
     """
 
     blocks: DataFrame
@@ -87,17 +90,19 @@ def pack(rows: DataFrame, rates: dict[str, Column | str], weight: Column | str,
     """Encode rows with ``features`` (numbers ``x``, hot columns ``at``) once; rows of no weight are left out, none at all is an error.
 
     ``sizes`` are the levels of each category; ``binned`` also cuts numbers at quantiles, for trees.
+    Rows alike in features, rates and weight are encoded as one and their number, if that halves the rows
+    at least: a fit's sums have each of them all the same, and its draws, by hash, take all or none.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
     targets = tuple(rates)
     data = rows.select(
         F.col("features.x").alias("x"), F.col("features.at").alias("at"), col(weight).cast("double").alias("w"),
         F.array(*[col(c).cast("double") for c in rates.values()]).alias("y"),
-    ).where("w > 0")
+    ).where("w > 0").withColumn("key", F.xxhash64("x", "at", "w", "y"))
     data, narrow = written(data)
     exact = lambda c: F.sum(c.cast("decimal(38,15)")).cast("double")  # noqa: E731  # the same in any order of rows
     sums = [exact(F.col("w") * F.col("y")[k]).alias(f"s{k}") for k in range(len(targets))]
-    total = data.agg(F.count("*").alias("n"), exact(F.col("w")).alias("w"), F.first(F.size("x")).alias("numbers"), *sums).first()
+    total = data.agg(F.count("*").alias("n"), exact(F.col("w")).alias("w"), F.first(F.size("x")).alias("numbers"), F.approx_count_distinct("key").alias("different"), *sums).first()
     if not total.n:
         removed(rows.sparkSession, narrow)
         raise ValueError("no rows with positive weight to fit on")
@@ -122,7 +127,7 @@ def pack(rows: DataFrame, rates: dict[str, Column | str], weight: Column | str,
             bins = np.stack(bins) if bins else np.zeros((0, len(t)))
             y = dense("y", len(targets)).T
             f = np.repeat(np.array(first)[:, None], len(t), 1)
-            parts = (x, at, bins.astype("i2"), t["key"].to_numpy(), t["w"].to_numpy(), np.ascontiguousarray(y), f)
+            parts = (x, at, bins.astype("i2"), t["key"].to_numpy(), t["w"].to_numpy(), t["m"].to_numpy(), np.ascontiguousarray(y), f)
             return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts], list(_PARTS))
 
         for batch in batches:
@@ -134,8 +139,11 @@ def pack(rows: DataFrame, rates: dict[str, Column | str], weight: Column | str,
         if n:
             yield block()
 
-    keyed = data.withColumn("key", F.xxhash64("x", "at", "w", "y"))
-    blocks = keyed.mapInArrow(packed, ", ".join(f"{p} binary" for p in _PARTS))
+    if total.n >= ALIKE * total.different:
+        counted = data.groupBy("key", "x", "at", "w", "y").agg(F.count("*").cast("double").alias("m"))
+    else:
+        counted = data.withColumn("m", F.lit(1.0))
+    blocks = counted.mapInArrow(packed, ", ".join(f"{p} binary" for p in _PARTS))
     blocks, path = written(blocks)
     removed(rows.sparkSession, narrow)
     totals = {t: float(total[f"s{k}"]) for k, t in enumerate(targets)}
@@ -467,17 +475,17 @@ def boost(p: Packed, tasks: Sequence[Task]) -> list[tuple[float, list[Tree]]]:
                 add = {k: adder(new[k], numbers, widths) for k in asked}
                 slots = {k: slotter(trees[k], nodes, numbers, widths) for k, nodes in asked.items()}
                 for block in blocks_of(batches):
-                    bins, key, w, y, f = layout.boosted(block)
+                    bins, key, w, m, y, f = layout.boosted(block)
                     bins = bins.astype(np.intp)
                     for k, nodes in asked.items():
                         t, score = tasks[k], f[order[tasks[k].target]].copy()
                         add[k](score, bins)
                         g, h, wide = unit_steps(score, y[order[t.target]], t.power)
                         if level == 0:  # the score is the same at all levels
-                            spreads[k] += float(w @ wide)
+                            spreads[k] += float((w * m) @ wide)
                         place = slots[k](bins, len(w))
                         use = (place >= 0) & drawn(key, t.seed * 100_003 + round_, t.subsample)
-                        place, g, h = (np.where(use, v, 0) for v in (place, rounded(w * g, units[k]), rounded(w * h, units[k])))
+                        place, g, h = (np.where(use, v, 0) for v in (place, rounded(w * g, units[k]) * m, rounded(w * h, units[k]) * m))
                         for c, n in enumerate(widths):
                             at = place * n + bins[c]
                             own = np.stack([np.bincount(at, v, len(nodes) * n) for v in (g, h)], 1).ravel()
@@ -543,7 +551,7 @@ def scored(layout: Layout, blocks: DataFrame, tasks: Sequence[Task], order: dict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         add = [adder(trees, layout.numbers, widths) for trees in new]
         for block in blocks_of(batches):
-            bins, _, _, _, f = layout.boosted(block)
+            bins, *_, f = layout.boosted(block)
             bins, f = bins.astype(np.intp), f.copy()
             for k, one in enumerate(add):
                 one(f[order[tasks[k].target]], bins)

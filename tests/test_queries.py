@@ -268,6 +268,21 @@ def test_booster_equals_numpy(spark, power, monkeypatch):
         fitting.boost(packed, [fitting.Task("rate", 1.0, 1)] * 2)
 
 
+def test_rows_alike_are_packed_once(spark, monkeypatch):
+    """Rows alike are one row and their number in the blocks, and the trees are those of all rows."""
+    *_, rows = _sample(spark, 300, levels=(4, 3))
+    thrice = rows.unionByName(rows).unionByName(rows)
+    fits = {}
+    for alike, want in ((2, 300), (100, 900)):
+        monkeypatch.setattr(fitting, "ALIKE", alike)
+        packed = fitting.pack(thrice, {"rate": "rate"}, "w", (4, 3), binned=True)
+        counts = np.concatenate([np.frombuffer(b.m) for b in packed.blocks.select("m").collect()])
+        assert len(counts) == want and counts.sum() == 900
+        fits[alike] = models.boosters(packed, [fitting.Task("rate", 1.5, 4, depth=3)]), fitting.fit_coefficients(packed, "rate", 1.0)
+    assert fits[2][0] == fits[100][0]
+    np.testing.assert_allclose(fits[2][1], fits[100][1], atol=1e-9)
+
+
 def test_rows_and_columns_are_drawn_by_hash():
     key = np.random.default_rng(1).integers(0, 1 << 63, 20000, np.uint64)
     one, two = fitting.drawn(key, 1, 0.9), fitting.drawn(key, 2, 0.9)
