@@ -14,17 +14,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark import RDD, StorageLevel
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder, removed
 from .drift import unpivot
 from .quantiles import quantile_cuts
 
-#: Policy rows of a block, bins of a number, and rounds after which running scores are written.
-BLOCK_ROWS, BINS, SCORE_ROUNDS = 1 << 15, 128, 12
+#: Policy rows of a block, bins of a number, rounds after which running scores are held, and after which they are written.
+BLOCK_ROWS, BINS, SCORE_ROUNDS, START_ROUNDS = 1 << 15, 128, 4, 48
 #: Rows to one of all rows alike, on average, from which on they are counted.
 ALIKE = 2
+#: Combinations of bins of columns that are summed together.
+CELLS = 1 << 12
 #: Bytes of sums that tasks send to the driver at most; more are merged by key in tasks first.
 DRIVER_BYTES = 1 << 24
 #: Columns of a GLM at most: the driver solves a dense system of that size.
@@ -181,6 +184,17 @@ def merged(parts: DataFrame, then: Callable[[int, np.ndarray], list[tuple]], sch
     return parts.repartition("key").mapInArrow(run, schema).collect()
 
 
+def merged_pairs(parts: RDD, then: Callable[[int, np.ndarray], list[tuple]], schema: str, size: int) -> list:
+    """``merged`` of pairs of a key and an array."""
+    kind = Row(*[f.split()[0] for f in schema.split(", ")])
+    if size > DRIVER_BYTES:
+        return [kind(*r) for r in parts.reduceByKey(np.add).flatMap(lambda pair: then(*pair)).collect()]
+    known: dict[int, np.ndarray] = {}
+    for key, sums in parts.collect():
+        known[key] = known[key] + sums if key in known else sums
+    return [kind(*r) for key, sums in known.items() for r in then(key, sums)]
+
+
 def _as_rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["key", "sums"])
 
@@ -439,6 +453,10 @@ def boost(p: Packed, tasks: Sequence[Task]) -> list[tuple[float, list[Tree]]]:
     split alone.  Gain is G^2 / (H + lambda) of both sides less that of the node, each side needs
     ``min_child_weight`` of H, a leaf is -learning_rate * G / (H + lambda).  Rows and columns of a tree
     are drawn by hashes.  Gradients are rounded so that sums don't depend on the order of rows.
+
+    Passes read rows held by the executors, in memory and beyond it on disk, as bytes that go to Python
+    as they are (``Joint``).  Rows with later scores are made from those of the start, so that what is
+    lost is made again in two steps; now and then they are written and become the start.
     """
     layout = p.layout
     numbers, widths = layout.numbers, [len(c) + 1 for c in p.cuts] + [s + 1 for s in layout.sizes]
@@ -449,10 +467,15 @@ def boost(p: Packed, tasks: Sequence[Task]) -> list[tuple[float, list[Tree]]]:
     out: list[list[Tree]] = [[] for _ in tasks]
     new: list[list[Tree]] = [[] for _ in tasks]  # since running scores were written
     bound = [2 * p.weight * math.exp((2 - t.power) * b) for t, b in zip(tasks, base)]  # of the sums of gradients of any rows
-    blocks, path = p.blocks.select(*_BOOSTED), None
-    most = min(p.many, blocks.rdd.getNumPartitions())
+    joint = Joint(layout, numbers, widths, [order[t.target] for t in tasks])
+    cells, powers, draws = joint.cells, [t.power for t in tasks], [(t.seed, t.subsample) for t in tasks]
+    rows = p.blocks.select(*_BOOSTED).rdd.map(joint.packed).persist(StorageLevel.MEMORY_AND_DISK)
+    most = min(p.many, rows.getNumPartitions())
     columns = [np.array([f"{k}:{b}" for k, n in enumerate(widths) for b in range(n - 1 if k >= numbers else 1)]) for _ in tasks]
-    for round_ in range(max((t.rounds for t in tasks), default=0)):
+    checkpoint_folder(p.blocks.sparkSession)
+    rounds, before = max((t.rounds for t in tasks), default=0), []
+    start, since = rows, [[] for _ in tasks]  # rows that running scores are counted from, and the trees since
+    for round_ in range(rounds):
         live = [k for k, t in enumerate(tasks) if round_ < t.rounds]
         trees = {k: Tree.empty(tasks[k].depth) for k in live}
         units = {k: 2.0 ** (math.ceil(math.log2(bound[k])) - 52) for k in live}
@@ -469,29 +492,32 @@ def boost(p: Packed, tasks: Sequence[Task]) -> list[tuple[float, list[Tree]]]:
             if not asked:
                 break
 
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def run(raws: Iterator[bytes]) -> Iterator[tuple[int, np.ndarray]]:
                 sums: dict[int, np.ndarray] = {}
-                spreads = np.zeros(len(tasks))
-                add = {k: adder(new[k], numbers, widths) for k in asked}
-                slots = {k: slotter(trees[k], nodes, numbers, widths) for k, nodes in asked.items()}
-                for block in blocks_of(batches):
-                    bins, key, w, m, y, f = layout.boosted(block)
-                    bins = bins.astype(np.intp)
-                    for k, nodes in asked.items():
-                        t, score = tasks[k], f[order[tasks[k].target]].copy()
-                        add[k](score, bins)
-                        g, h, wide = unit_steps(score, y[order[t.target]], t.power)
+                spreads, places = np.zeros(len(tasks)), joint.places(new, trees if level else {}, asked)
+                for raw in raws:
+                    code, key, w, m, y, f = joint.block(raw)
+                    drawn_by: dict[tuple[int, float], np.ndarray] = {}
+                    for k, place in places(code, f):
+                        g, h, wide = unit_steps(f[k], y[k], powers[k])
                         if level == 0:  # the score is the same at all levels
-                            spreads[k] += float((w * m) @ wide)
-                        place = slots[k](bins, len(w))
-                        use = (place >= 0) & drawn(key, t.seed * 100_003 + round_, t.subsample)
-                        place, g, h = (np.where(use, v, 0) for v in (place, rounded(w * g, units[k]) * m, rounded(w * h, units[k]) * m))
-                        for c, n in enumerate(widths):
-                            at = place * n + bins[c]
-                            own = np.stack([np.bincount(at, v, len(nodes) * n) for v in (g, h)], 1).ravel()
-                            name = k * len(widths) + c
-                            sums[name] = sums[name] + own if name in sums else own
-                yield _as_rows(sums | {-1 - k: np.array([v]) for k, v in enumerate(spreads) if k in asked and level == 0})
+                            spreads[k] += float((w if m is None else w * m) @ wide)
+                        seed, share = draws[k]
+                        if draws[k] not in drawn_by:
+                            use = drawn(key, seed * 100_003 + round_, share)
+                            drawn_by[draws[k]] = use if m is None else use * m
+                        g, h = (rounded(w * v, units[k]) * drawn_by[draws[k]] for v in (g, h))
+                        for j, n in enumerate(cells):
+                            at, size = (code[j], n) if place is None else (place * n + code[j], (len(asked[k]) + 1) * n)
+                            name = k * len(cells) + j
+                            if name not in sums:
+                                sums[name] = np.zeros((2, size))
+                            for total, v in zip(sums[name], (g, h)):
+                                total += np.bincount(at, v, size)
+                for name, v in sums.items():
+                    k, j = divmod(name, len(cells))
+                    yield from ((k * len(widths) + c, own) for c, own in joint.marginals(j, v, len(asked[k])))
+                yield from ((-1 - k, np.array([v])) for k, v in enumerate(spreads) if k in asked and level == 0)
 
             def split(name: int, sums: np.ndarray) -> list[tuple]:
                 if name < 0:
@@ -503,7 +529,7 @@ def boost(p: Packed, tasks: Sequence[Task]) -> list[tuple[float, list[Tree]]]:
 
             schema = "task int, col int, node int, gain double, bin int, gl double, hl double, g double, h double"
             size = most * 16 * sum(widths) * sum(map(len, asked.values()))
-            found = merged(blocks.mapInArrow(run, "key int, sums binary"), split, schema, size)  # a row a task, column and node
+            found = merged_pairs(rows.mapPartitions(run), split, schema, size)  # a row a task, column and node
             for r in found:
                 if r.col < 0:
                     spread[r.task] = r.gain
@@ -523,17 +549,144 @@ def boost(p: Packed, tasks: Sequence[Task]) -> list[tuple[float, list[Tree]]]:
             bound[k] = spread[k] * math.exp(leaves)
             out[k].append(trees[k])
             new[k].append(trees[k])
-        if max(map(len, new)) >= SCORE_ROUNDS:
-            before, (blocks, path) = path, written(scored(layout, blocks, tasks, order, new, widths))
-            most = min(p.many, blocks.rdd.getNumPartitions())
-            if before:
-                removed(blocks.sparkSession, before)
-            new = [[] for _ in tasks]
-    if path:
-        removed(blocks.sparkSession, path)
+        while before:  # what has been read instead was held on the way
+            released(before.pop())
+        if max(map(len, new)) >= SCORE_ROUNDS and round_ + 1 < rounds:
+            since, new = [a + b for a, b in zip(since, new)], [[] for _ in tasks]
+            if rows is not start:
+                before.append(rows)
+            rows = start.mapPartitions(joint.scored(since)).persist(StorageLevel.MEMORY_AND_DISK)
+            if max(map(len, since)) >= START_ROUNDS:
+                rows.checkpoint()
+                before.append(start)
+                start, since = rows, [[] for _ in tasks]
+    for old in {id(r): r for r in [*before, rows, start]}.values():
+        released(old)
     return list(zip(base, out))
 
 
+def released(rows: RDD) -> None:
+    """Give up rows that are held, and their folder if they were written."""
+    rows.unpersist()
+    if rows.isCheckpointed():
+        removed(SparkSession.active(), rows.getCheckpointFile())
+
+
+class Joint:
+    """Rows of blocks as bytes for boosting, columns joined to groups of at most ``CELLS`` combinations of bins.
+
+    Sums are by code of a group and a column's own follow from them, exactly, as gradients are rounded.
+    Trees are masks over codes, those of all tasks together.
+    """
+
+    def __init__(self, layout: Layout, numbers: int, widths: Sequence[int], order: Sequence[int]):
+        self.layout, self.numbers, self.widths, self.order = layout, numbers, list(widths), list(order)
+        self.groups: list[list[int]] = []
+        size = lambda cs: math.prod(self.widths[c] for c in cs)
+        for c in sorted(range(len(self.widths)), key=lambda c: -self.widths[c]):
+            room = next((g for g in self.groups if size([*g, c]) <= CELLS), None)
+            if room is None:
+                self.groups.append([c])
+            else:
+                room.append(c)
+        self.cells = [size(g) for g in self.groups]
+        self.code = "u2" if max(self.cells, default=0) <= 1 << 16 else "u4"
+        self.bins = {c: b for g, n in zip(self.groups, self.cells) for c, b in zip(g, np.unravel_index(np.arange(n), [self.widths[c] for c in g]))}
+        self.group = {c: j for j, g in enumerate(self.groups) for c in g}
+
+    def packed(self, block: Row) -> bytes:
+        """A block's codes, hashes, weights, numbers (none if all are 1), rates and scores."""
+        bins, key, w, m, y, f = self.layout.boosted(block)
+        code = [np.ravel_multi_index([bins[c].astype(np.intp) for c in g], [self.widths[c] for c in g]).astype(self.code) for g in self.groups]
+        many = np.empty(0) if (m == 1).all() else m
+        return b"".join(np.ascontiguousarray(v).tobytes() for v in (np.array([len(w), len(many)]), key, w, many, y[self.order], f[self.order], np.array(code, self.code)))
+
+    def block(self, raw: bytes) -> tuple:
+        """code, key, w, m (or None), y, f of ``packed``; codes as places of tables, scores to be written to."""
+        n, many = np.frombuffer(raw, "i8", 2).tolist()
+        at, k, out = 16, len(self.order), []
+        for kind, size in (("u8", n), ("f8", n), ("f8", many), ("f8", k * n), ("f8", k * n), (self.code, len(self.groups) * n)):
+            out.append(np.frombuffer(raw, kind, size, at))
+            at += out[-1].nbytes
+        key, w, m, y, f, code = out
+        return [c.astype(np.intp) for c in code.reshape(len(self.groups), n)], key, w, m if many else None, y.reshape(k, n), f.reshape(k, n).copy()
+
+    def masks(self, trees: Sequence[Tree]) -> tuple[Masks, list[list[int]]] | None:
+        """Trees as masks over codes, and the ends of each; none if one has too many leaves."""
+        if any(1 << t.depth > MOST_LEAVES for t in trees):
+            return None
+        shapes = [t.masks(self.numbers) for t in trees]
+        tests = []
+        for _, own in shapes:
+            right = []
+            for c, side, bits in own:
+                goes = np.zeros(self.widths[c], bool)
+                goes[side] = True
+                right.append((self.group[c], goes[self.bins[c]], bits))
+            tests.append(right)
+        return Masks(self.cells, tests), [ends for ends, _ in shapes]
+
+    def by_column(self, code: Sequence[np.ndarray]) -> list[np.ndarray]:
+        return [self.bins[c].take(code[self.group[c]]) for c in range(len(self.widths))]
+
+    def places(self, new: Sequence[Sequence[Tree]], trees: dict[int, Tree], asked: dict[int, list[int]]) -> Callable[..., Iterator[tuple[int, np.ndarray | None]]]:
+        """What adds trees to the scores of a block, and gives each task asked for with its rows' open nodes: their numbers, one more for none, or None for a root."""
+        nodes_of = {k: nodes for k, nodes in asked.items() if k in trees}
+        added = [(k, t) for k in asked for t in new[k]]
+        found = self.masks([*[t for _, t in added], *[trees[k] for k in nodes_of]])
+        if found is None:
+            adds = {k: adder(new[k], self.numbers, self.widths) for k in asked}
+            slots = {k: slotter(trees[k], nodes, self.numbers, self.widths) for k, nodes in nodes_of.items()}
+
+            def walk(code: list[np.ndarray], f: np.ndarray) -> Iterator[tuple[int, np.ndarray | None]]:
+                bins = self.by_column(code)
+                for k in asked:
+                    adds[k](f[k], bins)
+                    place = slots[k](bins, f.shape[1]) if k in slots else None
+                    yield k, None if place is None else np.where(place < 0, len(asked[k]), place)
+
+            return walk
+        masks, ends = found
+        values = [by_bit(t.value[e]) for (_, t), e in zip(added, ends)]
+        known = []
+        for (k, nodes), e in zip(nodes_of.items(), ends[len(added) :]):
+            slot = np.full(2 << trees[k].depth, len(nodes))
+            slot[nodes] = np.arange(len(nodes))
+            known.append(by_bit(slot[e]))
+
+        def go(code: list[np.ndarray], f: np.ndarray) -> Iterator[tuple[int, np.ndarray | None]]:
+            leaves = masks.leaves(code, f.shape[1])
+            for (k, _), v in zip(added, values):
+                f[k] += v.take(next(leaves))
+            place = {k: v.take(next(leaves)) for k, v in zip(nodes_of, known)}
+            for k in asked:
+                yield k, place.get(k)
+
+        return go
+
+    def marginals(self, j: int, sums: np.ndarray, nodes: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Of a group's sums by (g and h, node, code) those of its columns, by (node, bin, g and h); sums of no open node go."""
+        group = self.groups[j]
+        shaped = sums.reshape(2, -1, *[self.widths[c] for c in group])[:, :nodes]
+        for a, c in enumerate(group):
+            own = shaped.sum(tuple(2 + b for b in range(len(group)) if b != a))
+            yield c, np.ascontiguousarray(np.moveaxis(own, 0, -1)).ravel()
+
+    def scored(self, new: list[list[Tree]]) -> Callable[[Iterator[bytes]], Iterator[bytes]]:
+        """What adds the values of new trees to the running scores."""
+
+        def run(raws: Iterator[bytes]) -> Iterator[bytes]:
+            add = self.places(new, {}, {k: [1] for k in range(len(new))})
+            for raw in raws:
+                code, *_, f = self.block(raw)
+                for _ in add(code, f):
+                    pass
+                end = len(raw) - len(self.groups) * f.shape[1] * np.dtype(self.code).itemsize
+                yield b"".join((raw[: end - f.nbytes], f.tobytes(), raw[end:]))
+
+        return run
+
+
 def slotter(tree: Tree, nodes: Sequence[int], numbers: int, widths: Sequence[int]) -> Callable[[Sequence[np.ndarray], int], np.ndarray]:
     """What gives each row the number of its open node, or -1, from the bins by column."""
     slot = np.full(2 << tree.depth, -1)
@@ -543,19 +696,3 @@ def slotter(tree: Tree, nodes: Sequence[int], numbers: int, widths: Sequence[int
     ends, tests = tree.masks(numbers)
     masks, known = Masks(widths, [tests]), by_bit(slot[ends], -1)
     return lambda bins, rows: known.take(next(masks.leaves(bins, rows)))
-
-
-def scored(layout: Layout, blocks: DataFrame, tasks: Sequence[Task], order: dict[str, int], new: list[list[Tree]], widths: Sequence[int]) -> DataFrame:
-    """Blocks whose running scores have the values of the new trees added."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        add = [adder(trees, layout.numbers, widths) for trees in new]
-        for block in blocks_of(batches):
-            bins, *_, f = layout.boosted(block)
-            bins, f = bins.astype(np.intp), f.copy()
-            for k, one in enumerate(add):
-                one(f[order[tasks[k].target]], bins)
-            block["f"] = f.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([block[c]], pa.binary()) for c in _BOOSTED], list(_BOOSTED))
-
-    return blocks.mapInArrow(run, ", ".join(f"{c} binary" for c in _BOOSTED))

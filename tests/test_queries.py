@@ -283,6 +283,27 @@ def test_rows_alike_are_packed_once(spark, monkeypatch):
     np.testing.assert_allclose(fits[2][1], fits[100][1], atol=1e-9)
 
 
+def test_passes_read_held_rows(spark, monkeypatch):
+    """A boosting pass plans no table; trees are the same with scores held and written on the way, at depths beyond masks too; nothing stays held."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    levels = (4, 3)
+    x, at, y, w, rows = _sample(spark, 500, levels=levels)
+    packed = fitting.pack(rows.withColumn("other", F.col("rate") + 1), {"rate": "rate", "other": "other"}, "w", levels, binned=True)
+    plans, plain, held = [], Classic.mapInArrow, spark.sparkContext._jsc.getPersistentRDDs().size()
+    monkeypatch.setattr(Classic, "mapInArrow", lambda *args, **options: plans.append(1) or plain(*args, **options))
+    tasks = [fitting.Task("other", 1.0, 7, depth=3), fitting.Task("rate", 1.5, 5, depth=2)]
+    fits = {}
+    for scores, start, cells in ((100, 100, 1 << 12), (2, 100, 8), (1, 2, 1 << 12)):
+        for name, value in (("SCORE_ROUNDS", scores), ("START_ROUNDS", start), ("CELLS", cells)):
+            monkeypatch.setattr(fitting, name, value)
+        fits[scores] = models.boosters(packed, tasks)
+    assert fits[100] == fits[2] == fits[1] and [len(b.trees) for b in fits[1]] == [7, 5]
+    deep = models.boosters(packed, [fitting.Task("rate", 1.0, 3, subsample=1.0, colsample=1.0, depth=5)])
+    np.testing.assert_allclose(deep[0].margins(x, at), _numpy_booster(x, at, y, w, levels, 1.0, 3, 5, packed.cuts), atol=1e-9)
+    assert not plans and spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
 def test_rows_and_columns_are_drawn_by_hash():
     key = np.random.default_rng(1).integers(0, 1 << 63, 20000, np.uint64)
     one, two = fitting.drawn(key, 1, 0.9), fitting.drawn(key, 2, 0.9)
